@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from millrace.llm.mixing import op7_mixing
 from millrace.llm.sharding import op3_sharding
+from millrace.llm.substring_dedup import op2_substring_dedup
 from millrace.llm.url_filters import OP1_SQL, op1_url_filters
 from millrace.llm.warc import op9_warc
 
@@ -11,6 +12,7 @@ from millrace.llm.warc import op9_warc
 def queries() -> dict:
     return {
         "op1_url_filters": op1_url_filters,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_sharding": op3_sharding,
         "op7_mixing": op7_mixing,
         "op9_warc": op9_warc,
