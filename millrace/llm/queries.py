@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from millrace.llm.mixing import op7_mixing
 from millrace.llm.sharding import op3_sharding
+from millrace.llm.simhash_dedup import op10_simhash_dedup
 from millrace.llm.substring_dedup import op2_substring_dedup
 from millrace.llm.url_filters import OP1_SQL, op1_url_filters
 from millrace.llm.warc import op9_warc
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op3_sharding": op3_sharding,
         "op7_mixing": op7_mixing,
         "op9_warc": op9_warc,
+        "op10_simhash_dedup": op10_simhash_dedup,
     }
 
 
