@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from millrace.llm.decontamination import op6_decontamination
 from millrace.llm.mixing import op7_mixing
 from millrace.llm.sharding import op3_sharding
 from millrace.llm.simhash_dedup import op10_simhash_dedup
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op1_url_filters": op1_url_filters,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_sharding": op3_sharding,
+        "op6_decontamination": op6_decontamination,
         "op7_mixing": op7_mixing,
         "op9_warc": op9_warc,
         "op10_simhash_dedup": op10_simhash_dedup,
