@@ -43,9 +43,12 @@ def term_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Itera
 
 
 def tokens(data: np.ndarray, offs: np.ndarray):
-    """Letters-only words: lower-cased bytes where ASCII punctuation and digits separate like white space."""
+    """Letters-only words, lower-cased (ASCII and Latin-1 letters); ASCII punctuation and digits separate like white space."""
     data = LOWER[data]
     plain = data.copy()
+    # In UTF-8 the capitals of Latin-1 are C3 80 to C3 9E but for C3 97, the small letters 20 (hexadecimal) above.
+    capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    plain[capital] += 0x20
     plain[(data < 128) & ~((data >= 97) & (data <= 122))] = 32
     return (plain, *R.words(plain, offs))
 
