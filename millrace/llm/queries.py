@@ -7,6 +7,7 @@ from millrace.llm.mixing import op7_mixing
 from millrace.llm.sharding import op3_sharding
 from millrace.llm.simhash_dedup import op10_simhash_dedup
 from millrace.llm.substring_dedup import op2_substring_dedup
+from millrace.llm.suffix_dedup import op5_suffix_dedup
 from millrace.llm.toxicity import op8_toxicity
 from millrace.llm.url_filters import OP1_SQL, op1_url_filters
 from millrace.llm.warc import op9_warc
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op1_url_filters": op1_url_filters,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_sharding": op3_sharding,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_decontamination": op6_decontamination,
         "op7_mixing": op7_mixing,
         "op8_toxicity": op8_toxicity,
