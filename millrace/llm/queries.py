@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from millrace.llm.decontamination import op6_decontamination
 from millrace.llm.mixing import op7_mixing
+from millrace.llm.quality_rules import op4_quality_rules
 from millrace.llm.sharding import op3_sharding
 from millrace.llm.simhash_dedup import op10_simhash_dedup
 from millrace.llm.substring_dedup import op2_substring_dedup
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op1_url_filters": op1_url_filters,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_sharding": op3_sharding,
+        "op4_quality_rules": op4_quality_rules,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_decontamination": op6_decontamination,
         "op7_mixing": op7_mixing,
