@@ -33,6 +33,8 @@ RADIUS = 4
 BLOCKS = (9, 9, 9, 9, 9, 9, 10)
 #: Groups up to this size are compared side by side at once.
 SMALL = 6
+#: The same where links are verified by text, so that every pair in it is a candidate of its own.
+VERIFIED_GROUP = 64
 #: Pivots, and samples of bits where the radius is wide.
 N_PIVOTS, SAMPLES = 16, 48
 LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=R.U)
@@ -106,20 +108,20 @@ def pivot_table(fp: np.ndarray) -> np.ndarray:
     return np.column_stack([_distance(fp, p[None, :]) for p in pivots])
 
 
-def linked(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links (indices) that connect, within each group (equal neighbours in ``group``), what all links would connect."""
+def linked(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS, small: int = SMALL) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links (indices) that connect, within each group (equal neighbours in ``group``), what all links would connect; all links in groups of up to ``small``."""
     pivots = pivot_table(fp)
     head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     size = np.diff(np.append(head, len(group)))
     out = []
     ranks = np.arange(len(group)) - np.repeat(head, size)
     sizes = np.repeat(size, size)
-    for d in range(1, SMALL):
-        i = np.flatnonzero((ranks + d < sizes) & (sizes <= SMALL))
+    for d in range(1, small):
+        i = np.flatnonzero((ranks + d < sizes) & (sizes <= small))
         i = i[np.abs(pivots[i] - pivots[i + d]).max(axis=1, initial=0) <= radius]
         i = i[_distance(fp[i], fp[i + d]) <= radius]
         out.append((i, i + d))
-    for a, n in zip(head[size > SMALL], size[size > SMALL], strict=True):
+    for a, n in zip(head[size > small], size[size > small], strict=True):
         rest = np.arange(a, a + n)
         while len(rest):
             reached, rest = [rest[0]], rest[1:]
@@ -175,7 +177,7 @@ def _keyed(lanes: int, bits: int | None):
     return emit
 
 
-def _links(lanes: int, radius: int):
+def _links(lanes: int, radius: int, small: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links among the fingerprints of one partition; a key's rows are all in it."""
         got = [(b.column(0).to_numpy(), _array(b.column(1), lanes)) for b in batches]
@@ -190,7 +192,7 @@ def _links(lanes: int, radius: int):
         key, fp = key[order], fp[order]
         if not len(fp):
             return
-        found = linked(fp, key, radius)
+        found = linked(fp, key, radius, small)
         pairs = np.unique(np.column_stack([fp[np.concatenate([x[0] for x in found])], fp[np.concatenate([x[1] for x in found])]]), axis=0)
         if len(pairs):
             a, b = ([x.tobytes() for x in side.astype(">u8")] for side in (pairs[:, :lanes], pairs[:, lanes:]))
@@ -199,21 +201,51 @@ def _links(lanes: int, radius: int):
     return emit
 
 
-def fingerprint_links(distinct: DataFrame, lanes: int = 1, radius: int = RADIUS, bits: int | None = None) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, lanes: int = 1, radius: int = RADIUS, bits: int | None = None, small: int = SMALL) -> DataFrame:
     """Links (a, b) among distinct fingerprints (column ``fp``), enough to connect all that are connected.
 
     ``bits`` None: radius four of 64 bits, all links count. Else pairs count that agree in one of ``SAMPLES`` samples of so many bits."""
     if bits is None and (lanes, radius) != (1, RADIUS):
         raise ValueError("agreeing blocks are for 64 bits and radius 4")
     n = n_buckets(distinct.sparkSession, None)
-    return distinct.select("fp").mapInArrow(_keyed(lanes, bits), "key long, fp binary").repartition(n, "key").mapInArrow(_links(lanes, radius), "a binary, b binary")
+    return distinct.select("fp").mapInArrow(_keyed(lanes, bits), "key long, fp binary").repartition(n, "key").mapInArrow(_links(lanes, radius, small), "a binary, b binary")
 
 
-def simhash_components(docs: DataFrame, width: int = 4, lanes: int = 1, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _shingle_sets(width: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ((x.as_buffer().to_pybytes() if x.is_valid else b"") for x in pc.cast(batch.column(1), pa.binary()))
+            sets = [np.unique((np.array(shingle_hashes(b" ".join(t.split()).lower(), width), dtype=R.U) >> R.U(32)).astype("<u4")).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["fp", "shingles"])
+
+    return emit
+
+
+def _jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Jaccard coefficient of two sets of 32-bit hashes, each sorted and packed; 1 for two empty ones."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        s, t = (np.frombuffer(v.as_buffer(), "<u4") for v in (x, y))
+        both = len(np.intersect1d(s, t, assume_unique=True))
+        out.append(both / (len(s) + len(t) - both) if len(s) or len(t) else 1.0)
+    return pa.array(out, pa.float64())
+
+
+def verified_links(links: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """``links`` whose fingerprints' texts (one for each fingerprint) have a Jaccard coefficient of ``similarity`` or more over their shingles."""
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    shown = ends.join(distinct, F.col("node") == F.col("fp")).select("node", F.col("least.key").alias("key"))
+    texts = docs.select(row_key(id_col, text_col).alias("doc_key"), F.col(text_col).cast("string").alias("text")).join(shown, F.col("doc_key") == F.col("key"))
+    sets = stored(texts.select("node", "text").mapInArrow(_shingle_sets(width), "fp binary, shingles binary").dropDuplicates(["fp"]), "shingle-sets")
+    both = links.join(sets.toDF("fa", "sa"), F.col("a") == F.col("fa")).join(sets.toDF("fb", "sb"), F.col("b") == F.col("fb"))
+    return both.select("a", "b", F.arrow_udf(_jaccard, "double")("sa", "sb").alias("alike")).where(F.col("alike") >= similarity).select("a", "b")
+
+
+def simhash_components(docs: DataFrame, width: int = 4, lanes: int = 1, radius: int = RADIUS, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, doc_key, fp, component_id, least_key) for every row of ``docs``: documents whose fingerprints are joined by links of at most ``radius`` bits.
 
     ``component_id`` is the smallest id of the component, ``least_key`` the ``row_key`` of one row with it. With one lane (64 bits) the radius is four
-    and no link is missed. With more lanes, pairs are found by samples of bits: near certainly at 10 % differing
+    and no link is missed. With ``similarity``, a link must also have that Jaccard coefficient over the texts' shingles. With more lanes, pairs are found by samples of bits: near certainly at 10 % differing
     bits, about six in seven times at 15 %.
 
     Null and empty texts have fingerprint zero and link like any other; a text of fewer words than a shingle is
@@ -225,20 +257,23 @@ def simhash_components(docs: DataFrame, width: int = 4, lanes: int = 1, radius:
     first = F.min(F.struct(F.col("row").isNull().alias("no"), F.col("row").alias("row"), F.col("doc_key").alias("key")))
     distinct = stored(fps.groupBy("fp").agg(first.alias("least")), "distinct-fingerprints")
     bits = None if lanes == 1 else max(12, min(30, int(distinct.count()).bit_length() + 2))
-    roots = components(fingerprint_links(distinct, lanes, radius, bits))
+    links = fingerprint_links(distinct, lanes, radius, bits, SMALL if similarity is None else VERIFIED_GROUP)
+    if similarity is not None:
+        links = verified_links(stored(links.distinct(), "candidate-links"), distinct, docs, width, similarity, id_col, text_col)
+    roots = components(links)
     by_fp = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = by_fp.groupBy("root").agg(F.min("least").alias("best"))
     named = by_fp.join(least, "root").select(F.col("fp").alias("fp2"), F.col("best.row").alias("component_id"), F.col("best.key").alias("least_key"))
     return fps.join(named, F.col("fp") == F.col("fp2")).select(F.col("row").alias(id_col), "doc_key", "fp", "component_id", "least_key")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, lanes: int = 4, radius: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 4, radius: int = 56, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component: the one with the smallest id. All columns stay.
 
-    By default fingerprints of 256 bits over five-word shingles. A similarity of 0.8 (Jaccard) makes 39 bits differ on average,
-    with a standard deviation of 6: the radius takes 19 of 20 such pairs, nearly all above 0.85, hardly any below 0.55.
+    By default fingerprints of 256 bits over five-word shingles find candidates, which a similarity (Jaccard) of 0.8 or more
+    links. At 0.8, 39 bits differ on average, with a standard deviation of 6, so the radius takes nearly all such pairs.
     """
-    groups = simhash_components(docs, width, lanes, radius, id_col, text_col)
+    groups = simhash_components(docs, width, lanes, radius, similarity, id_col, text_col)
     stay = groups.where(F.col("doc_key") == F.col("least_key")).select(F.col("doc_key").alias("key_")).distinct()
     keyed = docs.withColumn("row_key_", row_key(id_col, text_col))
     # A key stands for one id and text; rows that repeat it are equal in both, and one of them stays.
