@@ -159,11 +159,11 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
 
 
-def sharing_documents(docs: DataFrame, scan: Scan, buckets: int, name: str) -> DataFrame:
-    """The rows of ``docs`` (as from ``keyed_texts``) with an anchor that another document has too: with ``hits``,
-    the anchors' numbers in the document (little-endian 32-bit), and ``part``, one of ``buckets`` groups of documents.
+def shared_anchors(docs: DataFrame, scan: Scan, buckets: int, name: str) -> DataFrame:
+    """(doc_id, doc_key, part, hits) of the rows of ``docs`` (as from ``keyed_texts``) with an anchor that another document has too: ``hits``
+    are the anchors' numbers in the document (little-endian 32-bit), ``part`` as from ``in_parts``.
 
-    ``docs`` is read three times and must give its rows in the same order each time, as files do;
+    ``docs`` is read twice and must give its rows in the same order each time, as files do;
     where it doesn't, the job fails rather than lose a hit. A third of all rows may share an anchor: its bucket gets it once
     for each chunk.
     """
@@ -171,6 +171,18 @@ def sharing_documents(docs: DataFrame, scan: Scan, buckets: int, name: str) -> D
     hits = probes.groupBy("bucket").applyInPandas(_match, "chunk long, steps binary, rest binary")
     directory = docs.mapInArrow(_directory(scan), "chunk long, doc_id long, doc_key long, first long, n long, local binary")
     by_doc = directory.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInPandas(_to_documents, "doc_id long, doc_key long, hits binary")
-    by_doc = stored(by_doc.dropDuplicates(["doc_id", "doc_key"]), f"{name}-hits")
-    near = docs.join(by_doc.toDF("hid", "hkey", "hits"), F.col("doc_id").eqNullSafe(F.col("hid")) & (F.col("doc_key") == F.col("hkey")))
-    return stored(near.select("doc_id", "doc_key", "text", "hits", F.pmod(F.xxhash64("doc_key"), F.lit(buckets)).cast("int").alias("part")), f"{name}-documents")
+    return in_parts(stored(by_doc.dropDuplicates(["doc_id", "doc_key"]), f"{name}-hits"), buckets)
+
+
+def in_parts(df: DataFrame, parts: int) -> DataFrame:
+    """``df`` with ``part``, one of so many groups of documents by ``doc_key``."""
+    return df.withColumn("part", F.pmod(F.xxhash64("doc_key"), F.lit(parts)).cast("int"))
+
+
+def with_hits(docs: pa.Table, hits: pa.Table) -> pa.Table:
+    """The rows of a group of documents that have hits, with them, in the order of their keys: a shuffle gives rows in any order."""
+    known = dict(zip(zip(hits.column("doc_id").to_pylist(), hits.column("doc_key").to_pylist(), strict=True), hits.column("hits").to_pylist(), strict=True))
+    keys = docs.column("doc_key").to_pylist()
+    own = [known.get(k) for k in zip(docs.column("doc_id").to_pylist(), keys, strict=True)]
+    keep = sorted((i for i, x in enumerate(own) if x is not None), key=keys.__getitem__)
+    return docs.take(pa.array(keep, pa.int64())).append_column("hits", pa.array([own[i] for i in keep], pa.binary()))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import stored
+
+__all__ = ["LAST_ID", "SPACE", "WORD", "fresh", "inline", "lower_ascii", "n_buckets", "stored", "table"]
+
 #: A word, in Java's and Python's regular expressions: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A run of ASCII white space.
@@ -23,27 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session names no such folder (tests, one machine) is a local one set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        Path("/tmp/checkpoints").mkdir(exist_ok=True)
-        base = f"file://{tempfile.mkdtemp(prefix='millrace-', dir='/tmp/checkpoints')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here, and a lost
-    executor costs only a read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """For each name one like it that ``df`` has no column of, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, []

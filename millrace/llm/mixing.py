@@ -46,7 +46,7 @@ def targets_of(sizes: list[tuple[str | None, int]], weights=WEIGHTS, most: float
             target |= share
             break
         for s in full:
-            target[s] = most * size[s]
+            target[s] = float(most * size[s])
             left -= target[s]
         open_ = [s for s in open_ if s not in full]
     return target
@@ -81,24 +81,38 @@ def splitting_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+#: Documents at the end of a block among which the best sum is sought, and words that may then be missing at most.
+TAIL, TAIL_WORDS = 256, 400_000
+
+
 def _fill(sizes: list[int], want: int) -> list[bool]:
-    """Which documents of the last block to take, in their permuted order, to come nearest to ``want``:
-    each that still fits, then one more if that leaves less missing."""
-    took, left = [], want
-    for n in sizes:
-        took.append(n <= left)
-        left -= n if n <= left else 0
-    rest = [(n, i) for i, n in enumerate(sizes) if not took[i] and n - left < left]
-    if rest:
-        took[min(rest)[1]] = True
+    """Which documents of the last block to take, in their permuted order, to come nearest to ``want``: each that still fits, and
+    of the last ones the set whose sum is nearest to what is missing."""
+    took, left, k = [False] * len(sizes), want, 0
+    while k < len(sizes) and (len(sizes) - k > TAIL or left > TAIL_WORDS):
+        took[k] = sizes[k] <= left
+        left -= sizes[k] if took[k] else 0
+        k += 1
+    # Bit s of sums[i] tells whether some of the first i documents of the tail sum to s.
+    sums, mask = [1], (1 << (2 * left + 1)) - 1
+    for n in sizes[k:]:
+        sums.append((sums[-1] | sums[-1] << n) & mask)
+    below = (sums[-1] & ((1 << (left + 1)) - 1)).bit_length() - 1
+    above = sums[-1] >> (left + 1)
+    best = left + (above & -above).bit_length() if above else None
+    at = best if best is not None and best - left < left - below else below
+    for i in range(len(sums) - 2, -1, -1):
+        if not sums[i] >> at & 1:
+            took[k + i] = True
+            at -= sizes[k + i]
     return took
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, shards: int = 64, seed: int = 17, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with ``size`` (words), ``source_size``, ``target``, ``taken`` and ``copies``, an array of (copy, shard).
 
-    A document is taken whole, ``taken / size`` times (0 to ``most``). The taken words of a source differ
-    from its target by less than its smallest untaken document. Who is taken depends on ids, texts
+    A document is taken whole, ``taken / size`` times (0 to ``most``). The taken words of a source come as near
+    to its target as whole documents of its last block allow. Who is taken depends on ids, texts
     and the seed alone, so reruns agree.
 
     Null sources are one source, the last in order. Null and empty texts have size 0: they ride

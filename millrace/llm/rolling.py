@@ -15,7 +15,7 @@ U = np.uint64
 #: Odd bases and their inverses modulo 2**64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Texts are taken in slices of about so many bytes; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -99,11 +99,15 @@ def window_hashes(items: np.ndarray, width: int, at: np.ndarray, base: int = WOR
     return mix((total[at + width] - total[at]) * down[at])
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of ``n`` items lie in a window of ``width`` from one of ``starts``."""
-    step = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, np.minimum(starts + width, n), -1)
+    step = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(starts + width, n), minlength=n + 1)
     return np.cumsum(step[:n]) > 0
 
 

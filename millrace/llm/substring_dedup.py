@@ -19,149 +19,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import rolling as R
-from millrace.llm.common import LAST_ID, n_buckets, stored, table
+from millrace.llm.anchors import in_parts, keyed_texts, row_key, shared_anchors, with_hits
+from millrace.llm.common import LAST_ID, n_buckets, table
 
-#: Windows of a chunk, about; a longer document is a chunk of its own.
-CHUNK_WINDOWS = 2_000_000
 
-
-def pack_steps(at: np.ndarray) -> tuple[bytes, bytes]:
-    """Increasing positions as one or two bytes for each step, and the steps that are too long for that."""
-    step = np.diff(at, prepend=0).astype(np.int64)
-    kind = np.uint8 if len(at) and at[-1] < 64 * len(at) else np.uint16
-    most = np.iinfo(kind).max
-    long = np.flatnonzero(step > most)
-    head = np.array([len(long), kind().itemsize], dtype="<u4").tobytes()
-    return np.minimum(step, most).astype(kind).tobytes(), head + long.astype("<u4").tobytes() + step[long].astype("<i8").tobytes()
-
-
-def unpack_steps(steps: bytes, rest: bytes) -> np.ndarray:
-    n, size = np.frombuffer(rest, "<u4", 2)
-    step = np.frombuffer(steps, np.uint8 if size == 1 else np.uint16).astype(np.int64)
-    step[np.frombuffer(rest, "<u4", n, 8)] = np.frombuffer(rest, "<i8", n, 8 + 4 * int(n))
-    return np.cumsum(step)
-
-
-class _Chunk:
-    """Rolling windows of consecutive documents, numbered through."""
-
-    def __init__(self, width: int):
-        self.width, self.hashes, self.blocks, self.docs, self.n, self.sum = width, [], [], [], 0, xxhash.xxh64()
-
-    def add(self, ids, keys, data: np.ndarray, offs: np.ndarray) -> None:
-        w = self.width
+def _scan(anchor: int):
+    def scan(data: np.ndarray, offs: np.ndarray):
+        """Every rolling window of ``anchor`` words; those at multiples of it are the document's reference blocks."""
         starts, ends, first = R.words(data, offs)
-        self.sum.update(np.asarray(keys, dtype=np.int64).tobytes())
-        at = R.in_one_text(first, w)
-        counts = np.maximum(np.diff(first) - w + 1, 0)
-        if len(at):
-            self.hashes.append(R.window_hashes(R.word_hashes(data, starts, ends), w, at))
-            self.blocks.append((at - np.repeat(first[:-1], counts)) % w == 0)
-        for i, k, c in zip(ids, keys, counts, strict=True):
-            if c:
-                self.docs.append((i, k, self.n, int(c)))
-                self.n += int(c)
-
-    def close(self):
-        """Key; hash, least position and block mark of each distinct window; positions of the windows that two documents of this chunk share."""
-        h = np.concatenate(self.hashes) if self.hashes else np.zeros(0, R.U)
-        block = np.concatenate(self.blocks) if self.blocks else np.zeros(0, bool)
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(len(self.docs)), [d[3] for d in self.docs])[order] if len(s) else np.zeros(0, np.int64)
-        shared = np.zeros(0, np.int64)
-        if len(s):
-            size = np.diff(np.append(head, len(s)))
-            two = np.maximum.reduceat(doc, head) > np.minimum.reduceat(doc, head)
-            shared = np.sort(order[np.repeat(two, size)])
-            block = np.logical_or.reduceat(block[order], head)
-        key = np.int64(np.uint64(self.sum.intdigest()).astype(np.int64))
-        return key, s[head], order[head], block, shared
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[_Chunk]:
-    chunk = _Chunk(width)
-    for batch in batches:
-        ids, keys = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-        for a, b, offs, data in R.text_slices(batch.column(2)):
-            chunk.add(ids[a:b], keys[a:b], data, offs)
-            if chunk.n >= CHUNK_WINDOWS:
-                yield chunk
-                chunk = _Chunk(width)
-    if chunk.n:
-        yield chunk
-
-
-def _probes(width: int, buckets: int):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, width):
-            key, h, at, block, _ = chunk.close()
-            bucket = (h % R.U(buckets)).astype(np.int32)
-            order = np.lexsort((at, bucket))
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
-            for b in range(buckets):
-                own = order[cut[b] : cut[b + 1]]
-                if len(own):
-                    rows.append((b, int(key), (h[own] >> R.U(32)).astype("<u4").tobytes(), *pack_steps(at[own]), np.packbits(block[own]).tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["bucket", "chunk", "hashes", "steps", "rest", "blocks"])
-
-    return emit
+        at = R.in_one_text(first, anchor)
+        counts = np.maximum(np.diff(first) - anchor + 1, 0)
+        return R.window_hashes(R.word_hashes(data, starts, ends), anchor, at), counts, (at - np.repeat(first[:-1], counts)) % anchor == 0
 
-
-def _directory(width: int):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, width):
-            key, _, _, _, shared = chunk.close()
-            ids, keys, first, n = zip(*chunk.docs, strict=True)
-            cut = np.searchsorted(shared, [*first, chunk.n])
-            local = [(shared[cut[i] : cut[i + 1]] - first[i]).astype("<u4").tobytes() for i in range(len(first))]
-            yield pa.RecordBatch.from_arrays([pa.array([int(key)] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(local, pa.binary())], ["chunk", "doc_id", "doc_key", "first", "n", "local"])
-
-    return emit
-
-
-def _match(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Probes of one bucket against its blocks: the positions, chunk by chunk, whose window is a block and is in another chunk too."""
-    h = [np.frombuffer(x, "<u4") for x in pdf["hashes"]]
-    sizes = [len(x) for x in h]
-    every = np.concatenate(h)
-    block = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(pdf["blocks"], sizes, strict=True)]).astype(bool)
-    order = np.argsort(every, kind="stable")
-    s = every[order]
-    head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    size = np.diff(np.append(head, len(s)))
-    hit = (size > 1) & np.logical_or.reduceat(block[order], head)
-    found = np.zeros(len(every), dtype=bool)
-    found[order[np.repeat(hit, size)]] = True
-    out, at = [], 0
-    for chunk, steps, rest, n in zip(pdf["chunk"], pdf["steps"], pdf["rest"], sizes, strict=True):
-        mine = found[at : at + n]
-        if mine.any():
-            out.append((chunk, *pack_steps(unpack_steps(steps, rest)[mine])))
-        at += n
-    return pd.DataFrame(out, columns=["chunk", "steps", "rest"])
-
-
-def _to_documents(documents: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
-    """Hit positions of a chunk, by document. A chunk that wasn't formed twice alike would lose its hits, so it is an error."""
-    if not len(documents):
-        raise RuntimeError("the documents came in another order when read again; store them first")
-    at = np.unique(np.concatenate([unpack_steps(s, r) for s, r in zip(hits["steps"], hits["rest"], strict=True)])) if len(hits) else np.zeros(0, np.int64)
-    documents = documents.drop_duplicates(["first"])
-    lo, hi = np.searchsorted(at, documents["first"]), np.searchsorted(at, documents["first"] + documents["n"])
-    out = []
-    for i, k, first, a, b, local in zip(documents["doc_id"], documents["doc_key"], documents["first"], lo, hi, documents["local"], strict=True):
-        if b > a or local:
-            out.append((i, k, np.union1d(at[a:b] - first, np.frombuffer(local, "<u4")).astype("<u4").tobytes()))
-    return pd.DataFrame(out, columns=["doc_id", "doc_key", "hits"])
+    return scan
 
 
 def _extended(part: pa.Table, width: int):
@@ -183,37 +57,55 @@ def _extended(part: pa.Table, width: int):
             one = R.window_hashes(words, width, at)
             two = R.window_hashes(R.mix(words ^ R.U(0xA5A5A5A5A5A5A5A5)), width, at)
             doc = LAST_ID if ids[row] is None else ids[row]
-            yield row, doc, data, starts[lo:hi], ends[lo:hi], at, one, two
+            yield row, doc, data, starts[lo:hi], ends[lo:hi], at, one, (two >> R.U(32)).astype(np.uint32)
 
 
 PAIR = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
-def _least(part: pa.Table, width: int):
-    """Distinct windows of a group of documents (64 and 32 bits of hash) and the least id that has each."""
+class Keys:
+    """Distinct windows by 64 and 32 bits of hash, with the least id that has each."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray):
+        order = np.argsort(a, kind="stable")
+        s = a[order]
+        head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
+        if len(head) and (np.minimum.reduceat(b[order], head) != np.maximum.reduceat(b[order], head)).any():
+            # Two windows agree in 64 bits but not in 96.
+            order = np.lexsort((b, a))
+            head = np.flatnonzero(np.concatenate(([True], (np.diff(a[order]) != 0) | (np.diff(b[order].astype(np.int64)) != 0))))
+        self.a, self.b = a[order[head]], b[order[head]]
+        self.least = np.minimum.reduceat(doc[order], head) if len(head) else np.zeros(0, np.int64)
+
+    def at(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Where windows, all of them known, stand."""
+        slot = np.searchsorted(self.a, a)
+        while len(off := np.flatnonzero(self.b[slot] != b)):
+            slot[off] += 1
+        return slot
+
+
+def _keys(part: pa.Table, width: int) -> Keys:
     got = [(one, two, np.full(len(at), doc, dtype=np.int64)) for _, doc, _, _, _, at, one, two in _extended(part, width)]
-    h = np.zeros(sum(len(x[0]) for x in got), dtype=PAIR)
-    if not len(h):
-        return h, np.zeros(0, np.int64)
-    h["a"], h["b"] = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]) >> R.U(32)
-    return _least_of(h, np.concatenate([x[2] for x in got]))
+    if not got:
+        return Keys(np.zeros(0, R.U), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    return Keys(*(np.concatenate([x[i] for x in got]) for i in range(3)))
 
 
-def _least_of(h: np.ndarray, doc: np.ndarray):
-    order = np.lexsort((doc, h["b"], h["a"]))
-    s = h[order]
-    head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    return s[head], doc[order[head]]
+def _packed(a: np.ndarray, b: np.ndarray) -> bytes:
+    out = np.zeros(len(a), dtype=PAIR)
+    out["a"], out["b"] = a, b
+    return out.tobytes()
 
 
 def _windows(width: int, buckets: int):
-    def emit(part: pa.Table) -> pa.Table:
-        h, least = _least(part, width)
-        bucket = (h["a"] % R.U(buckets)).astype(np.int32)
+    def emit(docs: pa.Table, hits: pa.Table) -> pa.Table:
+        k = _keys(with_hits(docs, hits), width)
+        bucket = (k.a % R.U(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        group = part.column("part")[0].as_py()
-        rows = [(b, group, h[own].tobytes(), least[own].astype("<i8").tobytes()) for b in range(buckets) if len(own := order[cut[b] : cut[b + 1]])]
+        group = (docs if docs.num_rows else hits).column("part")[0].as_py()
+        rows = [(b, group, _packed(k.a[own], k.b[own]), k.least[own].astype("<i8").tobytes()) for b in range(buckets) if len(own := order[cut[b] : cut[b + 1]])]
         cols = list(zip(*rows, strict=True)) or [[], [], [], []]
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "part", "windows", "least"])
 
@@ -224,10 +116,10 @@ def _smaller(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: for each group of documents, the windows that a smaller id outside it has, with that id."""
     h = [np.frombuffer(x, PAIR) for x in pdf["windows"]]
     own = [np.frombuffer(x, "<i8") for x in pdf["least"]]
-    keys, least = _least_of(np.concatenate(h), np.concatenate(own))
+    k = Keys(np.concatenate([x["a"] for x in h]), np.concatenate([x["b"] for x in h]), np.concatenate(own))
     out = []
     for part, mine, ids in zip(pdf["part"], h, own, strict=True):
-        best = least[np.searchsorted(keys, mine)]
+        best = k.least[k.at(np.ascontiguousarray(mine["a"]), mine["b"])]
         less = best < ids
         if less.any():
             out.append((part, mine[less].tobytes(), best[less].astype("<i8").tobytes()))
@@ -235,24 +127,24 @@ def _smaller(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cut(width: int):
-    def cut(part: pa.Table, smaller: pa.Table) -> pa.Table:
+    def cut(docs: pa.Table, found: pa.Table) -> pa.Table:
         rows = []
+        part = with_hits(docs, found.filter(pc.is_valid(found.column("hits"))))
+        smaller = found.filter(pc.is_valid(found.column("windows")))
         if part.num_rows:
-            keys, least = _least(part, width)
-            if smaller.num_rows:
-                more = np.concatenate([np.frombuffer(x, PAIR) for x in smaller.column("windows").to_pylist()])
-                least = least.copy()
-                least[np.searchsorted(keys, more)] = np.concatenate([np.frombuffer(x, "<i8") for x in smaller.column("least").to_pylist()])
+            k = _keys(part, width)
+            for windows, ids in zip(smaller.column("windows").to_pylist(), smaller.column("least").to_pylist(), strict=True):
+                more = np.frombuffer(windows, PAIR)
+                k.least[k.at(np.ascontiguousarray(more["a"]), more["b"])] = np.frombuffer(ids, "<i8")
             ids, doc_keys = part.column("doc_id").to_pylist(), part.column("doc_key").to_pylist()
             for row, doc, data, starts, ends, at, one, two in _extended(part, width):
-                h = np.zeros(len(at), dtype=PAIR)
-                h["a"], h["b"] = one, two >> R.U(32)
-                gone = at[least[np.searchsorted(keys, h)] < doc]
+                gone = at[k.least[k.at(one, two)] < doc]
                 if not len(gone):
                     continue
                 out = R.covered(gone, width, len(starts))
-                kept = b" ".join(bytes(data[s:e]) for s, e in zip(starts[~out], ends[~out], strict=True))
-                rows.append((ids[row], doc_keys[row], int(out.sum()), [{"start": int(s), "end": int(e)} for s, e in R.runs(out)], kept.decode("utf-8", "surrogatepass")))
+                # The kept words are some whole runs of words, in which only the white space may have to be made one space.
+                kept = b" ".join(b" ".join(data[starts[s] : ends[e - 1]].tobytes().split()) for s, e in R.runs(~out))
+                rows.append((ids[row], doc_keys[row], int(out.sum()), [{"start": int(s), "end": int(e)} for s, e in R.runs(out)], kept.decode()))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), span, pa.string()), strict=True)], ["doc_id", "doc_key", "n_removed", "spans", "kept_text"])
@@ -260,11 +152,6 @@ def _cut(width: int):
     return cut
 
 
-def row_key(id_col: str, text_col: str):
-    """Tells rows of the same id apart; rows equal in both are equal in all results."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
 def repeated_passages(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """The documents that repeat a passage of a document with a smaller id: (doc_id, doc_key, n_removed, spans, kept_text).
 
@@ -273,22 +160,17 @@ def repeated_passages(docs: DataFrame, width: int = 50, id_col: str = "doc_id",
 
     Null and empty texts, and texts of fewer than ``width`` words, repeat nothing. A null id stands
     after every other, and null ids don't precede one another. An empty table gives an empty one.
-    Other columns are ignored. ``docs`` is read three times and must give its rows in the same
-    order each time, as files do; where it doesn't, the job fails rather than lose a repeat.
+    Other columns are ignored. ``docs`` must give its rows in the same order each time it is read, as files do.
     """
     n = n_buckets(docs.sparkSession, buckets)
-    anchor = width // 2
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("doc_key"), F.col(text_col).alias("text"))
-    probes = docs.mapInArrow(_probes(anchor, n), "bucket int, chunk long, hashes binary, steps binary, rest binary, blocks binary")
-    hits = probes.groupBy("bucket").applyInPandas(_match, "chunk long, steps binary, rest binary")
-    directory = docs.mapInArrow(_directory(anchor), "chunk long, doc_id long, doc_key long, first long, n long, local binary")
-    by_doc = directory.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInPandas(_to_documents, "doc_id long, doc_key long, hits binary")
-    by_doc = stored(by_doc.dropDuplicates(["doc_id", "doc_key"]), "passage-hits")
-    near = docs.join(by_doc.toDF("hid", "hkey", "hits"), F.col("doc_id").eqNullSafe(F.col("hid")) & (F.col("doc_key") == F.col("hkey"))).select("doc_id", "doc_key", "text", "hits", F.pmod(F.xxhash64("doc_key"), F.lit(n)).cast("int").alias("part"))
-    near = stored(near, "passage-documents")
-    windows = near.groupBy("part").applyInArrow(_windows(width, n), "bucket int, part int, windows binary, least binary")
+    docs = keyed_texts(docs, id_col, text_col)
+    hits = shared_anchors(docs, _scan(width // 2), n, "passages")
+    docs = in_parts(docs, n)
+    windows = docs.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(_windows(width, n), "bucket int, part int, windows binary, least binary")
     smaller = windows.groupBy("bucket").applyInPandas(_smaller, "part int, windows binary, least binary")
-    cut = near.groupBy("part").cogroup(smaller.groupBy("part")).applyInArrow(_cut(width), "doc_id long, doc_key long, n_removed long, spans array<struct<start: long, end: long>>, kept_text string")
+    # Both cogroups read the same exchange of the texts.
+    found = hits.unionByName(smaller, allowMissingColumns=True)
+    cut = docs.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cut(width), "doc_id long, doc_key long, n_removed long, spans array<struct<start: long, end: long>>, kept_text string")
     return cut.dropDuplicates(["doc_id", "doc_key"])
 
 

@@ -19,15 +19,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import rolling as R
-from millrace.llm.anchors import keyed_texts, row_key, sharing_documents
+from millrace.llm.anchors import in_parts, keyed_texts, row_key, shared_anchors, with_hits
 from millrace.llm.common import LAST_ID, n_buckets, table
 
-#: Bytes of the k-grams among which a string's anchor is chosen.
-GRAM = 16
+#: Bytes of the k-grams among which a string's anchor is chosen: long enough that unrelated texts seldom share one.
+GRAM = 24
 TOP = np.uint64(0xFFFFFFFF00000000)
 
 
@@ -46,8 +48,16 @@ def anchors(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray,
     least k-gram); and the k-gram hashes at all positions."""
     if len(data) < width:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, R.U)
-    grams = R.window_hashes(R.BYTE_VALUES[data], GRAM, np.arange(len(data) - GRAM + 1), R.BYTE_BASE)
-    best = sliding_min((grams & TOP) | np.arange(len(grams), dtype=R.U), width - GRAM + 1)
+    up, down = R.powers(R.BYTE_BASE, len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=R.U)
+    np.multiply(R.BYTE_VALUES[data], up[: len(data)], out=total[1:])
+    np.cumsum(total[1:], out=total[1:])
+    grams = total[GRAM:] - total[:-GRAM]
+    grams *= down[: len(grams)]
+    order = (grams ^ (grams >> R.U(29))) * R.U(0xBF58476D1CE4E5B9)
+    order &= TOP
+    order |= np.arange(len(grams), dtype=R.U)
+    best = sliding_min(order, width - GRAM + 1)
     at = R.in_one_text(offs, width)
     return at, (best[at] & R.U(0xFFFFFFFF)).astype(np.int64), grams
 
@@ -69,54 +79,60 @@ def _scan(width: int):
 
 
 class Segments:
-    """The segments of some documents around their shared anchors, each distinct content once."""
+    """The segments of some documents around their shared anchors, each distinct content once.
+
+    ``slices`` has the texts, a few at a time, with the range of their segments; ``begin`` is in the slice's bytes."""
 
     def __init__(self, part: pa.Table, width: int):
-        self.docs: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
-        ids, hits = part.column("doc_id").to_pylist(), part.column("hits").to_pylist()
-        key, size, ahead, route, doc, pieces = [], [], [], [], [], []
+        ids = part.column("doc_id")
+        self.ids = pc.fill_null(ids, LAST_ID).to_numpy() if part.num_rows else np.zeros(0, np.int64)
+        hits = part.column("hits").to_pylist()
+        self.slices: list[tuple[int, np.ndarray, np.ndarray, int, int]] = []
+        got: list[tuple[np.ndarray, ...]] = []
         total = 0
         for a, b, offs, data in R.text_slices(part.column("text")):
             at, anchor, grams = anchors(data, offs, width)
             first, text = segments(at, anchor, offs)
-            own = np.searchsorted(text, np.arange(b - a + 1))
-            chosen = np.concatenate([own[t] + np.frombuffer(hits[a + t], "<u4").astype(np.int64) for t in range(b - a)])
-            begin, n = at[first[chosen]], first[chosen + 1] - first[chosen]
-            length = n + width - 1
-            key.append(_content(data, begin, length))
-            size.append(length)
-            ahead.append(anchor[first[chosen]] - begin)
-            route.append(R.mix(grams[anchor[first[chosen]]]))
-            doc.append(np.array([LAST_ID if ids[a + t] is None else ids[a + t] for t in text[chosen].tolist()], dtype=np.int64))
-            pieces.append((data, begin))
-            bounds = np.searchsorted(text[chosen], np.arange(b - a + 1))
-            for t in range(b - a):
-                lo, hi = bounds[t], bounds[t + 1]
-                self.docs.append((a + t, offs[t + 1] - offs[t], begin[lo:hi] - offs[t], n[lo:hi], np.arange(total + lo, total + hi)))
+            own = np.searchsorted(text, np.arange(b - a))
+            numbers = [np.frombuffer(hits[a + t], "<u4") for t in range(b - a)]
+            chosen = np.repeat(own, [len(x) for x in numbers]) + np.concatenate(numbers)
+            begin, n, kgram = at[first[chosen]], first[chosen + 1] - first[chosen], anchor[first[chosen]]
+            size, ahead = n + width - 1, kgram - at[first[chosen]]
+            got.append((_content(data, begin, size, ahead), begin, size, ahead, R.mix(grams[kgram]), a + text[chosen], np.full(len(chosen), len(self.slices))))
+            self.slices.append((a, offs, data, total, total + len(chosen)))
             total += len(chosen)
-        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        key, size, ahead, route, doc = cat(key, R.U), cat(size, np.int64), cat(ahead, np.int64), cat(route, R.U), cat(doc, np.int64)
-        # Distinct by content, length and anchor place; the least id of each.
-        order = np.lexsort((doc, ahead, size, key))
-        head = np.flatnonzero(np.concatenate(([True], (np.diff(key[order]) != 0) | (np.diff(size[order]) != 0) | (np.diff(ahead[order]) != 0)))) if len(order) else np.zeros(0, np.int64)
-        self.distinct_of = np.zeros(len(order), dtype=np.int64)
-        self.distinct_of[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
-        self.first = order[head]
-        self.size, self.ahead, self.route, self.least = size[self.first], ahead[self.first], route[self.first], doc[self.first]
-        where = np.repeat(np.arange(len(pieces)), [len(p[1]) for p in pieces]) if pieces else np.zeros(0, np.int64)
-        begin = cat([p[1] for p in pieces], np.int64)
-        self._take = lambda i: pieces[where[self.first[i]]][0][begin[self.first[i]] : begin[self.first[i]] + self.size[i]].tobytes()
+        kinds = (R.U, np.int64, np.int64, np.int64, R.U, np.int64, np.int64)
+        key, self.begin, size, ahead, route, self.row, piece = (np.concatenate(x) if got else np.zeros(0, k) for x, k in zip(zip(*got, strict=True) if got else [()] * 7, kinds, strict=True))
+        self.strings = size - width + 1
+        self.distinct_of, head, self.least = distinct(key, self.ids[self.row])
+        self.head, self.size, self.ahead, self.route, self.piece = head, size[head], ahead[head], route[head], piece[head]
 
     def bytes_of(self, chosen: np.ndarray) -> bytes:
-        return b"".join(self._take(i) for i in chosen.tolist())
-
-
-def _content(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges of any length."""
+        """Contents of distinct segments; ``chosen`` goes through the slices in order."""
+        cut = np.searchsorted(self.piece[chosen], np.arange(len(self.slices) + 1))
+        begin = self.begin[self.head]
+        return b"".join(self.slices[p][2][R.ranges(begin[own], self.size[own])].tobytes() for p in range(len(self.slices)) if len(own := chosen[cut[p] : cut[p + 1]]))
+
+
+def distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each item the number of its key, and for each key its first item and least id; keys are numbered in the order of their first items."""
+    order = np.argsort(key, kind="stable")
+    head = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))) if len(key) else np.zeros(0, np.int64)
+    first, least = order[head], np.minimum.reduceat(doc[order], head) if len(head) else np.zeros(0, np.int64)
+    by_first = np.argsort(first, kind="stable")
+    number = np.empty(len(first), dtype=np.int64)
+    number[by_first] = np.arange(len(first))
+    of = np.empty(len(key), dtype=np.int64)
+    of[order] = np.repeat(number, np.diff(np.append(head, len(key))))
+    return of, first[by_first], least[by_first]
+
+
+def _content(data: np.ndarray, begin: np.ndarray, length: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges of any length, with the length and the anchor's place."""
     up, down = R.powers(R.BYTE_BASE, len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=R.U)
     np.cumsum(R.BYTE_VALUES[data] * up[: len(data)], out=total[1:])
-    return R.mix((total[begin + length] - total[begin]) * down[begin])
+    return R.mix((total[begin + length] - total[begin]) * down[begin] + R.mix((length * 1024 + ahead).astype(R.U)))
 
 
 def range_minima(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -173,13 +189,15 @@ def column_classes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, ahead:
 
 
 def _send(width: int, buckets: int):
-    def send(part: pa.Table) -> pa.Table:
+    def send(docs: pa.Table, hits: pa.Table) -> pa.Table:
+        part = with_hits(docs, hits)
         s = Segments(part, width)
         bucket = (s.route % R.U(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        group = part.column("part")[0].as_py()
-        rows = [(b, group, s.bytes_of(own), s.size[own].astype("<u2").tobytes(), s.ahead[own].astype("u1").tobytes(), s.least[own].astype("<i8").tobytes()) for b in range(buckets) if len(own := order[cut[b] : cut[b + 1]])]
+        group = (docs if docs.num_rows else hits).column("part")[0].as_py()
+        pack = zstandard.ZstdCompressor(level=1).compress
+        rows = [(b, group, pack(s.bytes_of(own)), s.size[own].astype("<u2").tobytes(), s.ahead[own].astype("u1").tobytes(), s.least[own].astype("<i8").tobytes()) for b in range(buckets) if len(own := order[cut[b] : cut[b + 1]])]
         return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "part", "content", "size", "ahead", "least"])
 
     return send
@@ -190,19 +208,22 @@ def _columns(width: int):
         """All columns of one bucket; goes back to each group of documents: which of its segments have a string
         that a smaller id than their own has, and the least id for each of their strings."""
         sizes = [np.frombuffer(x, "<u2").astype(np.int64) for x in pdf["size"]]
-        size = np.concatenate(sizes)
+        size, ahead = np.concatenate(sizes), np.concatenate([np.frombuffer(x, "u1") for x in pdf["ahead"]]).astype(np.int64)
         own = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["least"]])
-        data = np.frombuffer(b"".join(pdf["content"]), np.uint8)
+        data = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, pdf["content"])), np.uint8)
         begin = np.cumsum(size) - size
-        best = column_classes(data, begin, size, np.concatenate([np.frombuffer(x, "u1") for x in pdf["ahead"]]).astype(np.int64), own, width)
-        strings = size - width + 1
-        slot = np.concatenate(([0], np.cumsum(strings)))
-        less = np.minimum.reduceat(best, slot[:-1]) < own if len(own) else np.zeros(0, bool)
+        # The same content from several groups of documents is one document of the collection.
+        of, head, least = distinct(_content(data, begin, size, ahead), own)
+        best = column_classes(data, begin[head], size[head], ahead[head], least, width)
+        strings = size[head] - width + 1
+        slot = np.cumsum(strings) - strings
+        less = (np.minimum.reduceat(best, slot) if len(head) else least)[of] < own
         out, at = [], 0
         for bucket, part, n in zip(pdf["bucket"], pdf["part"], [len(x) for x in sizes], strict=True):
             mine = np.flatnonzero(less[at : at + n])
             if len(mine):
-                out.append((bucket, part, mine.astype("<u4").tobytes(), np.concatenate([best[slot[at + i] : slot[at + i + 1]] for i in mine.tolist()]).astype("<i8").tobytes()))
+                which = of[at + mine]
+                out.append((bucket, part, mine.astype("<u4").tobytes(), best[R.ranges(slot[which], strings[which])].astype("<i8").tobytes()))
             at += n
         return pd.DataFrame(out, columns=["bucket", "part", "segments", "least"])
 
@@ -210,34 +231,32 @@ def _columns(width: int):
 
 
 def _cut(width: int, buckets: int):
-    def cut(part: pa.Table, smaller: pa.Table) -> pa.Table:
+    def cut(docs: pa.Table, found: pa.Table) -> pa.Table:
         rows = []
-        if part.num_rows:
-            s = Segments(part, width)
-            strings = s.size - width + 1
-            slot = np.concatenate(([0], np.cumsum(strings)))
-            least = np.repeat(s.least, strings)
-            bucket = (s.route % R.U(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            start = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b, which, ids in zip(*(smaller.column(c).to_pylist() for c in ("bucket", "segments", "least")), strict=True):
-                values, at = np.frombuffer(ids, "<i8"), 0
-                for i in order[start[b] + np.frombuffer(which, "<u4").astype(np.int64)].tolist():
-                    least[slot[i] : slot[i + 1]] = values[at : at + strings[i]]
-                    at += int(strings[i])
-            ids, doc_keys, texts = part.column("doc_id").to_pylist(), part.column("doc_key").to_pylist(), part.column("text")
-            for row, n_bytes, begin, n, numbers in s.docs:
-                doc, gone = LAST_ID if ids[row] is None else ids[row], []
-                for p, k, i in zip(begin.tolist(), n.tolist(), s.distinct_of[numbers].tolist(), strict=True):
-                    if s.least[i] < doc:
-                        gone.append(np.arange(p, p + k))
-                    elif len(f := np.flatnonzero(least[slot[i] : slot[i + 1]] < doc)):
-                        gone.append(p + f)
-                if not gone:
-                    continue
-                out = R.covered(np.concatenate(gone), width, int(n_bytes))
-                text = np.frombuffer((texts[row].as_py() or "").encode(), np.uint8)
-                rows.append((ids[row], doc_keys[row], int(out.sum()), [{"start": int(a), "end": int(b)} for a, b in R.runs(out)], text[~out].tobytes()))
+        part = with_hits(docs, found.filter(pc.is_valid(found.column("hits"))))
+        smaller = found.filter(pc.is_valid(found.column("segments")))
+        s = Segments(part, width)
+        strings = s.size - width + 1
+        slot = np.cumsum(strings) - strings
+        least = np.repeat(s.least, strings)
+        bucket = (s.route % R.U(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        start = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b, which, ids in zip(*(smaller.column(c).to_pylist() for c in ("bucket", "segments", "least")), strict=True):
+            own = order[start[b] + np.frombuffer(which, "<u4").astype(np.int64)]
+            least[R.ranges(slot[own], strings[own])] = np.frombuffer(ids, "<i8")
+        ids, doc_keys = part.column("doc_id").to_pylist(), part.column("doc_key").to_pylist()
+        for a, offs, data, lo, hi in s.slices:
+            n, of = s.strings[lo:hi], s.distinct_of[lo:hi]
+            gone = least[R.ranges(slot[of], n)] < np.repeat(s.ids[s.row[lo:hi]], n)
+            if not gone.any():
+                continue
+            out = R.covered(R.ranges(s.begin[lo:hi], n)[gone], width, len(data))
+            removed = np.concatenate(([0], np.cumsum(out)))
+            removed = removed[offs[1:]] - removed[offs[:-1]]
+            for t in np.flatnonzero(removed).tolist():
+                mine = out[offs[t] : offs[t + 1]]
+                rows.append((ids[a + t], doc_keys[a + t], int(removed[t]), [{"start": int(x), "end": int(y)} for x, y in R.runs(mine)], data[offs[t] : offs[t + 1]][~mine].tobytes()))
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), span, pa.binary()), strict=True)], ["doc_id", "doc_key", "n_removed", "spans", "kept_bytes"])
 
@@ -257,10 +276,14 @@ def repeated_bytes(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     if not GRAM < width <= 250:
         raise ValueError(f"width has to be above {GRAM} and at most 250")
     n = n_buckets(docs.sparkSession, buckets)
-    near = sharing_documents(keyed_texts(docs, id_col, text_col), _scan(width), n, "suffixes")
-    sent = near.groupBy("part").applyInArrow(_send(width, n), "bucket int, part int, content binary, size binary, ahead binary, least binary")
+    docs = keyed_texts(docs, id_col, text_col)
+    hits = shared_anchors(docs, _scan(width), n, "suffixes")
+    docs = in_parts(docs, n)
+    sent = docs.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(_send(width, n), "bucket int, part int, content binary, size binary, ahead binary, least binary")
     smaller = sent.groupBy("bucket").applyInPandas(_columns(width), "bucket int, part int, segments binary, least binary")
-    cut = near.groupBy("part").cogroup(smaller.groupBy("part")).applyInArrow(_cut(width, n), "doc_id long, doc_key long, n_removed long, spans array<struct<start: long, end: long>>, kept_bytes binary")
+    # Both cogroups read the same exchange of the texts.
+    found = hits.unionByName(smaller, allowMissingColumns=True)
+    cut = docs.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cut(width, n), "doc_id long, doc_key long, n_removed long, spans array<struct<start: long, end: long>>, kept_bytes binary")
     return cut.dropDuplicates(["doc_id", "doc_key"])
 
 

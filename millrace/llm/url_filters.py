@@ -19,7 +19,7 @@ from millrace.llm.common import fresh, lower_ascii, n_buckets, table
 #: The rules of the registered query, in the form (host, path, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: At most so many sampled keys come to the driver; they decide only how evenly the ranges are cut.
-SAMPLED_KEYS = 4096
+SAMPLED_KEYS = 1024
 
 
 def url_host(url: Column) -> Column:
@@ -82,7 +82,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     keyed = pages.withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))}).withColumns({rhost: reversed_host(F.col("host")), salt: F.hex(F.xxhash64(url_col, "path"))})
     # Splitters are pairs (key, salt), so that a host with very many urls is cut into several ranges.
     n = n_buckets(spark, buckets)
-    sample = sorted((r[0], r[1]) for r in keyed.select(rhost, salt).orderBy(F.xxhash64(rhost, salt)).limit(SAMPLED_KEYS).collect())
+    # The key with the least hash in each of SAMPLED_KEYS hash ranges: a sample that every task reduces to its own bound.
+    hashed = F.xxhash64(rhost, salt)
+    sample = sorted((r["k"][1], r["k"][2]) for r in keyed.groupBy(F.pmod(hashed, F.lit(SAMPLED_KEYS))).agg(F.min(F.struct(hashed, rhost, salt)).alias("k")).collect())
     cuts = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
 
     def range_of(keys: pd.Series, salts: pd.Series) -> pd.Series:
