@@ -33,8 +33,9 @@ RADIUS = 4
 BLOCKS = (9, 9, 9, 9, 9, 9, 10)
 #: Groups up to this size are compared side by side at once.
 SMALL = 6
-#: The same where links are verified by text, so that every pair in it is a candidate of its own.
-VERIFIED_GROUP = 64
+#: The same where links are verified by text, so that every pair in it is a candidate of its own. A row has fewer candidates
+#: than this in each such group, so that their number follows the rows, however many near copies there are.
+VERIFIED_GROUP = 16
 #: Pivots, and samples of bits where the radius is wide.
 N_PIVOTS, SAMPLES = 16, 48
 LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=R.U)
@@ -188,7 +189,9 @@ def _links(lanes: int, radius: int, small: int):
         same = key[order][1:] == key[order][:-1]
         order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
         key, fp = key[order], fp[order]
-        order = np.lexsort((*fp.T, key))
+        # A large group begins at another fingerprint in each sample, so that one that fails the verification doesn't stand for the group in all.
+        turn = R.mix(fp[:, 0] ^ R.mix(key.view(R.U))) if lanes > 1 else fp[:, 0]
+        order = np.lexsort((*fp.T, turn, key))
         key, fp = key[order], fp[order]
         if not len(fp):
             return
