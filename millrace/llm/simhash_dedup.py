@@ -5,10 +5,9 @@ the triangle inequality two fingerprints within the radius differ by no more tha
 distances, so pairs whose largest coordinate difference is more are discarded; survivors are verified.
 
 Pivot tables alone would have to look at every pair. Pairs are therefore looked at only where they
-agree in chosen bits. With 64 bits and radius four these are any three of seven blocks, one choice of which
-every pair within the radius has in common; longer fingerprints with a wide radius take samples of bits
-instead, which find a pair with high probability. In a group of fingerprints that agree, each one reached is compared
-with those not reached yet, never all with all: links found so join the same fingerprints as all links would.
+agree in any three of seven blocks of bits, one choice of which every pair within the radius has in common. In a group
+of fingerprints that agree, each one reached is compared with those not reached yet, never all with all: links found so
+join the same fingerprints as all links would. Where a similarity of the texts decides, see ``near_duplicates``.
 """
 
 from __future__ import annotations
@@ -27,17 +26,15 @@ from millrace.llm import rolling as R
 from millrace.llm.anchors import row_key
 from millrace.llm.common import n_buckets, stored, table
 from millrace.llm.components import components
+from millrace.llm.near_duplicates import similar_components
 
 RADIUS = 4
 #: Bits of each block of a 64-bit fingerprint, lowest first. Four bits can touch at most four of the seven blocks.
 BLOCKS = (9, 9, 9, 9, 9, 9, 10)
 #: Groups up to this size are compared side by side at once.
 SMALL = 6
-#: The same where links are verified by text, so that every pair in it is a candidate of its own. A row has fewer candidates
-#: than this in each such group, so that their number follows the rows, however many near copies there are.
-VERIFIED_GROUP = 16
-#: Pivots, and samples of bits where the radius is wide.
-N_PIVOTS, SAMPLES = 16, 48
+#: Pivots.
+N_PIVOTS = 16
 LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=R.U)
 
 
@@ -151,34 +148,21 @@ def block_keys(fp: np.ndarray) -> np.ndarray:
     return np.stack(out)
 
 
-def sample_keys(fp: np.ndarray, bits: int) -> np.ndarray:
-    """For each sample a key (samples x fingerprints): the sample and its bits of the fingerprint."""
-    lanes = fp.shape[1]
-    out = []
-    for c in range(SAMPLES):
-        own = np.argsort(R.mix(np.arange(64 * lanes, dtype=R.U) + R.U(1000 * (c + 1))))[:bits]
-        key = np.full(len(fp), c, dtype=R.U)
-        for b in own.tolist():
-            key = (key << R.U(1)) | ((fp[:, b // 64] >> R.U(b % 64)) & R.U(1))
-        out.append(key)
-    return np.stack(out)
-
-
 def _array(column, lanes: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=">u8").astype(R.U).reshape(-1, lanes)
 
 
-def _keyed(lanes: int, bits: int | None):
+def _keyed(lanes: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = _array(batch.column(0), lanes)
-            for key in block_keys(fp) if bits is None else sample_keys(fp, bits):
+            for key in block_keys(fp):
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], ["key", "fp"])
 
     return emit
 
 
-def _links(lanes: int, radius: int, small: int):
+def _links(lanes: int, radius: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links among the fingerprints of one partition; a key's rows are all in it."""
         got = [(b.column(0).to_numpy(), _array(b.column(1), lanes)) for b in batches]
@@ -189,13 +173,11 @@ def _links(lanes: int, radius: int, small: int):
         same = key[order][1:] == key[order][:-1]
         order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
         key, fp = key[order], fp[order]
-        # A large group begins at another fingerprint in each sample, so that one that fails the verification doesn't stand for the group in all.
-        turn = R.mix(fp[:, 0] ^ R.mix(key.view(R.U))) if lanes > 1 else fp[:, 0]
-        order = np.lexsort((*fp.T, turn, key))
+        order = np.lexsort((*fp.T, key))
         key, fp = key[order], fp[order]
         if not len(fp):
             return
-        found = linked(fp, key, radius, small)
+        found = linked(fp, key, radius)
         pairs = np.unique(np.column_stack([fp[np.concatenate([x[0] for x in found])], fp[np.concatenate([x[1] for x in found])]]), axis=0)
         if len(pairs):
             a, b = ([x.tobytes() for x in side.astype(">u8")] for side in (pairs[:, :lanes], pairs[:, lanes:]))
@@ -204,65 +186,33 @@ def _links(lanes: int, radius: int, small: int):
     return emit
 
 
-def fingerprint_links(distinct: DataFrame, lanes: int = 1, radius: int = RADIUS, bits: int | None = None, small: int = SMALL) -> DataFrame:
-    """Links (a, b) among distinct fingerprints (column ``fp``), enough to connect all that are connected.
-
-    ``bits`` None: radius four of 64 bits, all links count. Else pairs count that agree in one of ``SAMPLES`` samples of so many bits."""
-    if bits is None and (lanes, radius) != (1, RADIUS):
+def fingerprint_links(distinct: DataFrame, lanes: int = 1, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) among distinct fingerprints (column ``fp``), enough to connect all that are connected."""
+    if (lanes, radius) != (1, RADIUS):
         raise ValueError("agreeing blocks are for 64 bits and radius 4")
     n = n_buckets(distinct.sparkSession, None)
-    return distinct.select("fp").mapInArrow(_keyed(lanes, bits), "key long, fp binary").repartition(n, "key").mapInArrow(_links(lanes, radius, small), "a binary, b binary")
-
-
-def _shingle_sets(width: int):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = ((x.as_buffer().to_pybytes() if x.is_valid else b"") for x in pc.cast(batch.column(1), pa.binary()))
-            sets = [np.unique((np.array(shingle_hashes(b" ".join(t.split()).lower(), width), dtype=R.U) >> R.U(32)).astype("<u4")).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["fp", "shingles"])
-
-    return emit
-
-
-def _jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Jaccard coefficient of two sets of 32-bit hashes, each sorted and packed; 1 for two empty ones."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        s, t = (np.frombuffer(v.as_buffer(), "<u4") for v in (x, y))
-        both = len(np.intersect1d(s, t, assume_unique=True))
-        out.append(both / (len(s) + len(t) - both) if len(s) or len(t) else 1.0)
-    return pa.array(out, pa.float64())
-
-
-def verified_links(links: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """``links`` whose fingerprints' texts (one for each fingerprint) have a Jaccard coefficient of ``similarity`` or more over their shingles."""
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    shown = ends.join(distinct, F.col("node") == F.col("fp")).select("node", F.col("least.key").alias("key"))
-    texts = docs.select(row_key(id_col, text_col).alias("doc_key"), F.col(text_col).cast("string").alias("text")).join(shown, F.col("doc_key") == F.col("key"))
-    sets = stored(texts.select("node", "text").mapInArrow(_shingle_sets(width), "fp binary, shingles binary").dropDuplicates(["fp"]), "shingle-sets")
-    both = links.join(sets.toDF("fa", "sa"), F.col("a") == F.col("fa")).join(sets.toDF("fb", "sb"), F.col("b") == F.col("fb"))
-    return both.select("a", "b", F.arrow_udf(_jaccard, "double")("sa", "sb").alias("alike")).where(F.col("alike") >= similarity).select("a", "b")
+    return distinct.select("fp").mapInArrow(_keyed(lanes), "key long, fp binary").repartition(n, "key").mapInArrow(_links(lanes, radius), "a binary, b binary")
 
 
 def simhash_components(docs: DataFrame, width: int = 4, lanes: int = 1, radius: int = RADIUS, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, doc_key, fp, component_id, least_key) for every row of ``docs``: documents whose fingerprints are joined by links of at most ``radius`` bits.
 
-    ``component_id`` is the smallest id of the component, ``least_key`` the ``row_key`` of one row with it. With one lane (64 bits) the radius is four
-    and no link is missed. With ``similarity``, a link must also have that Jaccard coefficient over the texts' shingles. With more lanes, pairs are found by samples of bits: near certainly at 10 % differing
-    bits, about six in seven times at 15 %.
+    ``component_id`` is the smallest id of the component, ``least_key`` the ``row_key`` of one row with it. Links are for one lane (64 bits) and a radius of four,
+    and none is missed. With ``similarity``, documents are joined by links of that Jaccard coefficient over their shingles instead (``similar_components``), at any
+    distance of the fingerprints.
 
     Null and empty texts have fingerprint zero and link like any other; a text of fewer words than a shingle is
     one shingle. A null id is never the smallest; a component of null ids alone has a null
     ``component_id``. Repeated rows are results each. An empty table gives an empty one; other columns are ignored.
     """
+    if similarity is not None:
+        groups = similar_components(docs, width, similarity, id_col, text_col).withColumnRenamed("doc_key", "key")
+        return fingerprints(docs, width, lanes, id_col, text_col).join(groups, F.col("doc_key") == F.col("key")).select(F.col("row").alias(id_col), "doc_key", "fp", "component_id", "least_key")
     fps = stored(fingerprints(docs, width, lanes, id_col, text_col), "fingerprints")
     # Null ids last, so that they represent a component only where it has no other.
     first = F.min(F.struct(F.col("row").isNull().alias("no"), F.col("row").alias("row"), F.col("doc_key").alias("key")))
     distinct = stored(fps.groupBy("fp").agg(first.alias("least")), "distinct-fingerprints")
-    bits = None if lanes == 1 else max(12, min(30, int(distinct.count()).bit_length() + 2))
-    links = fingerprint_links(distinct, lanes, radius, bits, SMALL if similarity is None else VERIFIED_GROUP)
-    if similarity is not None:
-        links = verified_links(stored(links.distinct(), "candidate-links"), distinct, docs, width, similarity, id_col, text_col)
+    links = fingerprint_links(distinct, lanes, radius)
     roots = components(links)
     by_fp = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = by_fp.groupBy("root").agg(F.min("least").alias("best"))
@@ -270,14 +220,13 @@ def simhash_components(docs: DataFrame, width: int = 4, lanes: int = 1, radius:
     return fps.join(named, F.col("fp") == F.col("fp2")).select(F.col("row").alias(id_col), "doc_key", "fp", "component_id", "least_key")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 4, radius: int = 56, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component: the one with the smallest id. All columns stay.
 
-    By default fingerprints of 256 bits over five-word shingles find candidates, which a similarity (Jaccard) of 0.8 or more
-    links. At 0.8, 39 bits differ on average, with a standard deviation of 6, so the radius takes nearly all such pairs.
+    Links are all pairs whose five-word shingle sets have a similarity (Jaccard) of 0.8 or more.
     """
-    groups = simhash_components(docs, width, lanes, radius, similarity, id_col, text_col)
-    stay = groups.where(F.col("doc_key") == F.col("least_key")).select(F.col("doc_key").alias("key_")).distinct()
+    groups = similar_components(docs, width, similarity, id_col, text_col)
+    stay = groups.select(F.col("least_key").alias("key_")).distinct()
     keyed = docs.withColumn("row_key_", row_key(id_col, text_col))
     # A key stands for one id and text; rows that repeat it are equal in both, and one of them stays.
     return keyed.join(stay, F.col("row_key_") == F.col("key_")).drop("key_").dropDuplicates(["row_key_"]).drop("row_key_")
