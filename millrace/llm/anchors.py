@@ -59,16 +59,22 @@ class Chunk:
                 self.n += c
 
     def close(self):
-        """Key; hash, least position and block mark of each distinct anchor; positions of the anchors that two documents of this chunk share."""
+        """Key; hash, least position and block mark of each distinct anchor; positions of the anchors that two documents of this chunk share; least and each
+        further position of the other anchors, those that one document has several times, by the further one."""
         h, block = np.concatenate(self.hashes), np.concatenate(self.blocks)
         order = np.argsort(h, kind="stable")
         s = h[order]
         head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         doc = np.repeat(np.arange(len(self.docs)), [d[3] for d in self.docs])[order]
         two = np.maximum.reduceat(doc, head) > np.minimum.reduceat(doc, head)
-        shared = np.sort(order[np.repeat(two, np.diff(np.append(head, len(s))))])
+        size = np.diff(np.append(head, len(s)))
+        shared = np.sort(order[np.repeat(two, size)])
+        further = np.repeat(~two, size)
+        further[head] = False
+        again = np.column_stack([np.repeat(order[head], size)[further], order[further]])
+        again = again[np.argsort(again[:, 1], kind="stable")]
         key = np.array([self.sum.intdigest()], dtype=R.U).view(np.int64)[0]
-        return int(key), s[head], order[head], np.logical_or.reduceat(block[order], head), shared
+        return int(key), s[head], order[head], np.logical_or.reduceat(block[order], head), shared, again
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], scan: Scan) -> Iterator[Chunk]:
@@ -87,7 +93,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], scan: Scan) -> Iterator[Chunk]:
 def _probes(scan: Scan, buckets: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, scan):
-            key, h, at, block, _ = chunk.close()
+            key, h, at, block, *_ = chunk.close()
             bucket = (h % R.U(buckets)).astype(np.int32)
             order = np.lexsort((at, bucket))
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -104,11 +110,13 @@ def _probes(scan: Scan, buckets: int):
 def _directory(scan: Scan):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, scan):
-            key, _, _, _, shared = chunk.close()
+            key, _, _, _, shared, again = chunk.close()
             ids, keys, first, n = zip(*chunk.docs, strict=True)
             cut = np.searchsorted(shared, [*first, chunk.n])
             local = [(shared[cut[i] : cut[i + 1]] - first[i]).astype("<u4").tobytes() for i in range(len(first))]
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(ids), pa.int64()), *(pa.array(c, pa.int64()) for c in (ids, keys, first, n)), pa.array(local, pa.binary())], ["chunk", "doc_id", "doc_key", "first", "n", "local"])
+            cut = np.searchsorted(again[:, 1], [*first, chunk.n])
+            inner = [(again[cut[i] : cut[i + 1]] - first[i]).astype("<u4").tobytes() for i in range(len(first))]
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(ids), pa.int64()), *(pa.array(c, pa.int64()) for c in (ids, keys, first, n)), pa.array(local, pa.binary()), pa.array(inner, pa.binary())], ["chunk", "doc_id", "doc_key", "first", "n", "local", "inner"])
 
     return emit
 
@@ -143,9 +151,12 @@ def _to_documents(documents: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
     documents = documents.drop_duplicates(["first"])
     lo, hi = np.searchsorted(at, documents["first"]), np.searchsorted(at, documents["first"] + documents["n"])
     out = []
-    for i, k, first, a, b, local in zip(documents["doc_id"], documents["doc_key"], documents["first"], lo, hi, documents["local"], strict=True):
+    for i, k, first, a, b, local, inner in zip(documents["doc_id"], documents["doc_key"], documents["first"], lo, hi, documents["local"], documents["inner"], strict=True):
         if b > a or local:
-            out.append((i, k, np.union1d(at[a:b] - first, np.frombuffer(local, "<u4")).astype("<u4").tobytes()))
+            own, again = at[a:b] - first, np.frombuffer(inner, "<u4").reshape(-1, 2)
+            # A bucket knows the least position of an anchor; the document has the others.
+            own = np.concatenate([own, again[np.isin(again[:, 0], own), 1]])
+            out.append((i, k, np.union1d(own, np.frombuffer(local, "<u4")).astype("<u4").tobytes()))
     return pd.DataFrame({"doc_id": pd.array([x[0] for x in out], dtype="Int64"), "doc_key": pd.Series([x[1] for x in out], dtype="int64"), "hits": pd.Series([x[2] for x in out], dtype=object)})
 
 
@@ -169,7 +180,7 @@ def shared_anchors(docs: DataFrame, scan: Scan, buckets: int, name: str) -> Data
     """
     probes = docs.mapInArrow(_probes(scan, buckets), "bucket int, chunk long, hashes binary, steps binary, rest binary, blocks binary")
     hits = probes.groupBy("bucket").applyInPandas(_match, "chunk long, steps binary, rest binary")
-    directory = docs.mapInArrow(_directory(scan), "chunk long, doc_id long, doc_key long, first long, n long, local binary")
+    directory = docs.mapInArrow(_directory(scan), "chunk long, doc_id long, doc_key long, first long, n long, local binary, inner binary")
     by_doc = directory.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInPandas(_to_documents, "doc_id long, doc_key long, hits binary")
     return in_parts(stored(by_doc.dropDuplicates(["doc_id", "doc_key"]), f"{name}-hits"), buckets)
 
