@@ -55,3 +55,15 @@ def test_large_group_below_the_similarity(spark, monkeypatch, block):
     want = kept(rows)
     assert len(want) == 400
     assert stays(spark, rows) == want
+
+
+def test_pairs_at_the_similarity_among_many(spark):
+    r, rows, want = random.Random(2), [], []
+    for i in range(400):
+        text = [f"a{i}_{k}" for k in range(204)]
+        # A run of n other words changes n + 4 of 200 shingles: 178 of 222 are in both.
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text[:90], *(f"b{i}_{k}" for k in range(18)), *text[108:]]))]
+        want.append(2 * i)
+    other = [(1000 + i, " ".join(f"c{r.randrange(10**9)}" for _ in range(12))) for i in range(8000)]
+    assert len(shingles(rows[0][1]) & shingles(rows[1][1])) == 178
+    assert stays(spark, rows + other) == want + [i for i, _ in other]
