@@ -67,3 +67,10 @@ def test_pairs_at_the_similarity_among_many(spark):
     other = [(1000 + i, " ".join(f"c{r.randrange(10**9)}" for _ in range(12))) for i in range(8000)]
     assert len(shingles(rows[0][1]) & shingles(rows[1][1])) == 178
     assert stays(spark, rows + other) == want + [i for i, _ in other]
+
+
+def test_repeated_line_and_other_words(spark):
+    # The line's shingles are so many times in each text that they decide every bit of a SimHash.
+    line = " ".join(f"l{k}" for k in range(7))
+    rows = [(i, " ".join([*[line] * 400, *(f"d{i}_{k}" for k in range(400))])) for i in range(4)]
+    assert stays(spark, rows) == kept(rows) == [0, 1, 2, 3]
