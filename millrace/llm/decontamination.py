@@ -1,15 +1,21 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-Benchmark items get a SimHash of their word shingles. A document's windows of an item's length get
-theirs; a multi-index over bit blocks finds every item fingerprint within the radius (``RADIUS + 1``
-blocks, so one at least agrees); exact weighted-shingle similarity decides. Windows that share too
-few shingles with an item of their length to reach the similarity, whatever else they hold, are not fingerprinted.
+Benchmark items and document windows of an item's length get a 128-bit SimHash of their word shingles; the k-th time that a
+shingle occurs it counts as another shingle, so that repeats weigh. A multi-index over eight blocks of 16 bits finds every
+item fingerprint within the radius: a pair within ``RADIUS`` bits differs in at most ``RADIUS // 8`` bits of some block, and each
+block is looked up at all values that close. Exact weighted-shingle similarity verifies what the index finds.
+
+Windows in which too few shingles are any benchmark shingle at all cannot reach the similarity with an item of their length, and
+are not fingerprinted: a bound, which loses nothing. Which item a window resembles is found through the index alone.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import uuid
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,147 +23,176 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import rolling as R
+from millrace.llm.anchors import row_key
 from millrace.llm.common import fresh, table
 
-#: Bits in which the fingerprints of windows of similarity 0.8 may differ. At that similarity about 10
-#: of 64 bits differ, with a standard deviation of about 3: one in several thousand differs in more.
-RADIUS = 20
+#: Bits in which the fingerprints of windows of similarity 0.8 may differ. At that similarity about 19
+#: of 128 bits differ, with a standard deviation of about 4: one in some 20,000 differs in more.
+RADIUS = 36
+LANES, BLOCKS = 2, 8
 #: Benchmark text that is indexed, and broadcast, at once; a larger benchmark is taken in several such parts.
 INDEX_BYTES = 8 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 MATCHES = "array<struct<item_id: long, similarity: double, start: int, end: int>>"
 BITMAP = 1 << 20
-
-
-def fingerprint(hashes: np.ndarray) -> int:
-    """A bit is set where over half the shingles have it."""
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(bits.sum(axis=0) * 2 > len(hashes), bitorder="little").view("<u8")[0])
-
-
-def block_edges(radius: int = RADIUS) -> np.ndarray:
-    return np.linspace(0, 64, radius + 2).astype(int)
+#: The index that this Python worker has built last, by the name of its broadcast.
+_built: dict[str, Index] = {}
+
+
+def occurrences(hashes: np.ndarray) -> np.ndarray:
+    """Which time each hash occurs, from 0, along each row."""
+    order = np.argsort(hashes, axis=1, kind="stable")
+    s = np.take_along_axis(hashes, order, axis=1)
+    at = np.arange(s.shape[1])
+    head = np.where(np.concatenate([np.ones((len(s), 1), bool), s[:, 1:] != s[:, :-1]], axis=1), at, 0)
+    out = np.empty_like(order)
+    np.put_along_axis(out, order, at - np.maximum.accumulate(head, axis=1), axis=1)
+    return out
+
+
+def fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """SimHash (rows x LANES) of each row of shingle hashes: a bit is set where over half of the shingles have it."""
+    own = R.mix(hashes ^ R.mix(occurrences(hashes).astype(R.U)))
+    out = np.empty((len(hashes), LANES), dtype=R.U)
+    for lane in range(LANES):
+        h = R.mix(own + R.U(lane))
+        bits = np.unpackbits(h.view(np.uint8).reshape(*h.shape, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int32)
+        out[:, lane] = np.packbits(bits * 2 > h.shape[1], axis=1, bitorder="little").view(R.U)[:, 0]
+    return out
+
+
+def masks(bits: int) -> np.ndarray:
+    """All 16-bit values with at most so many bits set."""
+    return np.array([sum(1 << b for b in c) for k in range(bits + 1) for c in combinations(range(16), k)], dtype=np.int64)
+
+
+class MultiIndex:
+    """Fingerprints by each of their blocks."""
+
+    def __init__(self, fps: np.ndarray, radius: int = RADIUS):
+        self.fps, self.radius, self.masks = fps, radius, masks(radius // BLOCKS)
+        blocks = fps.view(np.uint16).reshape(len(fps), BLOCKS)
+        self.order = [np.argsort(blocks[:, b], kind="stable") for b in range(BLOCKS)]
+        self.start = [np.searchsorted(blocks[o, b], np.arange((1 << 16) + 1)) for b, o in enumerate(self.order)]
+
+    def near(self, fp: np.ndarray) -> np.ndarray:
+        """Numbers of all fingerprints within the radius."""
+        got = []
+        for b, value in enumerate(fp.view(np.uint16).astype(np.int64)):
+            probe = self.masks ^ value
+            lo, hi = self.start[b][probe], self.start[b][probe + 1]
+            some = hi > lo
+            got.append(self.order[b][R.ranges(lo[some], (hi - lo)[some])])
+        found = np.unique(np.concatenate(got))
+        return found[np.bitwise_count(self.fps[found] ^ fp).sum(axis=1) <= self.radius]
 
 
 class Index:
     """Shingles and fingerprints of benchmark items."""
 
     def __init__(self, items: list[tuple[int | None, str]], width: int, similarity: float):
-        self.width, self.similarity, self.items = width, similarity, []
-        self.edges, self.tables = block_edges(), defaultdict(list)
-        postings: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        self.width, self.similarity, self.items, fps = width, similarity, [], []
+        shingles: dict[int, list[np.ndarray]] = {}
         for item, text in items:
             data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-            if not len(data):
-                continue
             starts, ends, _ = R.words(data, np.array([0, len(data)]))
             n = len(starts)
             if not n:
                 continue
             w = min(width, n)
             h = R.window_hashes(R.word_hashes(data, starts, ends), w, np.arange(n - w + 1))
-            fp, i = fingerprint(h), len(self.items)
             self.items.append((item, n, w, Counter(h.tolist())))
-            for b in range(RADIUS + 1):
-                self.tables[n, b, fp >> int(self.edges[b]) & (1 << int(self.edges[b + 1] - self.edges[b])) - 1].append((i, fp))
-            for x in h.tolist():
-                postings[w][x].add(i)
-        self.postings = {}
-        for w, own in postings.items():
-            keys = np.array(sorted(own), dtype=R.U)
+            fps.append(fingerprints(h[None, :]))
+            shingles.setdefault(w, []).append(h)
+        self.near = MultiIndex(np.concatenate(fps) if fps else np.zeros((0, LANES), R.U)).near
+        self.known = {}
+        for w, own in shingles.items():
+            keys = np.unique(np.concatenate(own))
             marked = np.zeros(BITMAP, dtype=bool)
             marked[(keys % R.U(BITMAP)).astype(np.int64)] = True
-            self.postings[w] = keys, marked, [sorted(own[k]) for k in keys.tolist()]
-
-    def near(self, n: int, fp: int) -> set[int]:
-        """Items of ``n`` words within the radius."""
-        out, seen = set(), set()
-        for b in range(RADIUS + 1):
-            for i, other in self.tables.get((n, b, fp >> int(self.edges[b]) & (1 << int(self.edges[b + 1] - self.edges[b])) - 1), ()):
-                if i not in seen:
-                    seen.add(i)
-                    if (fp ^ other).bit_count() <= RADIUS:
-                        out.add(i)
-        return out
+            self.known[w] = keys, marked, sorted({n for _, n, v, _ in self.items if v == w})
 
     def matches(self, column) -> list[list[dict]]:
         """For each text the items it holds, each with its best window (words ``start`` to ``end``)."""
         out: list[list[dict]] = [[] for _ in range(len(column))]
-        for a, _, offs, data in R.text_slices(column):
+        for a, b, offs, data in R.text_slices(column):
             data = LOWER[data]
             starts, ends, first = R.words(data, offs)
             if not len(starts):
                 continue
             h = R.word_hashes(data, starts, ends)
-            for w, (keys, marked, lists) in self.postings.items():
+            for w, (keys, marked, sizes) in self.known.items():
                 at = R.in_one_text(first, w)
                 if not len(at):
                     continue
                 shingles = R.window_hashes(h, w, at)
                 maybe = np.flatnonzero(marked[(shingles % R.U(BITMAP)).astype(np.int64)])
-                slot = np.minimum(np.searchsorted(keys, shingles[maybe]), len(keys) - 1)
-                true = keys[slot] == shingles[maybe]
-                maybe, slot = maybe[true], slot[true]
-                text = np.searchsorted(first, at[maybe], "right") - 1
-                hits: dict[tuple[int, int], list[int]] = defaultdict(list)
-                for k, s, t in zip(maybe.tolist(), slot.tolist(), text.tolist(), strict=True):
-                    for i in lists[s]:
-                        hits[t, i].append(k)
-                for (t, i), ks in hits.items():
-                    # Windows of a text are consecutive in ``shingles``: position p of the text is at lo + p.
-                    lo = int(np.searchsorted(at, first[t]))
-                    found = self._best(i, np.asarray(ks) - lo, shingles[lo : lo + int(first[t + 1] - first[t]) - w + 1], int(first[t + 1] - first[t]))
-                    if found:
-                        out[a + t].append(found)
+                hit = np.zeros(len(shingles), dtype=bool)
+                hit[maybe] = keys[np.minimum(np.searchsorted(keys, shingles[maybe]), len(keys) - 1)] == shingles[maybe]
+                before = np.concatenate(([0], np.cumsum(hit)))
+                # Windows of a text are consecutive in ``shingles``: position p of text t is at lo[t] + p.
+                lo = np.searchsorted(at, first)
+                for t in np.flatnonzero(before[lo[1:]] > before[lo[:-1]]).tolist():
+                    self._text(w, sizes, shingles[lo[t] : lo[t + 1]], before[lo[t] : lo[t + 1] + 1], int(first[t + 1] - first[t]), out[a + t])
         for own in out:
             own.sort(key=lambda m: (m["item_id"] is None, m["item_id"], m["start"]))
         return out
 
-    def _best(self, i: int, at: np.ndarray, shingles: np.ndarray, n_words: int) -> dict | None:
-        item, n, w, counts = self.items[i]
-        size = min(n, n_words)
-        mine, theirs = size - w + 1, n - w + 1
-        # Overlap m of windows with ``mine`` and ``theirs`` shingles gives m / (mine + theirs - m).
-        need = max(1, int(np.ceil(self.similarity * (mine + theirs) / (1 + self.similarity) - 1e-9)))
-        if len(at) < need:
-            return None
-        left, right = at[: len(at) - need + 1], at[need - 1 :]
-        close = right - left < mine
-        windows = {s for lo, hi in zip(np.maximum(right[close] - mine + 1, 0).tolist(), np.minimum(left[close], n_words - size).tolist(), strict=True) for s in range(lo, hi + 1)}
-        best = None
-        for s in sorted(windows):
-            own = shingles[s : s + mine]
-            if i not in self.near(n, fingerprint(own)):
+    def _text(self, w: int, sizes: list[int], shingles: np.ndarray, before: np.ndarray, n_words: int, out: list[dict]) -> None:
+        """Adds the items of ``w``-word shingles that one text holds; ``before`` counts benchmark shingles from the left."""
+        best: dict[int, dict] = {}
+        for n in sizes:
+            size = min(n, n_words)
+            mine, theirs = size - w + 1, n - w + 1
+            # Overlap m of windows with ``mine`` and ``theirs`` shingles gives m / (mine + theirs - m).
+            need = max(1, int(np.ceil(self.similarity * (mine + theirs) / (1 + self.similarity) - 1e-9)))
+            if need > mine:
                 continue
-            both = sum((Counter(own.tolist()) & counts).values())
-            alike = both / (mine + theirs - both)
-            if alike >= self.similarity and (best is None or alike > best["similarity"]):
-                best = {"item_id": item, "similarity": alike, "start": s, "end": s + size}
-        return best
-
-
-def _finder(rows, width: int, similarity: float):
+            at = np.flatnonzero(before[mine:] - before[:-mine] >= need)
+            # Of equal windows the first counts.
+            at = at[np.sort(np.unique(R.window_hashes(shingles, mine, at), return_index=True)[1])]
+            for some in (at[i : i + 256] for i in range(0, len(at), 256)):
+                own = shingles[some[:, None] + np.arange(mine)]
+                for s, fp, window in zip(some.tolist(), fingerprints(own), own, strict=True):
+                    counts = None
+                    for i in self.near(fp).tolist():
+                        item, length, width, theirs_counts = self.items[i]
+                        if length != n or width != w:
+                            continue
+                        counts = counts or Counter(window.tolist())
+                        both = sum(min(c, theirs_counts[x]) for x, c in counts.items() if x in theirs_counts)
+                        alike = both / (mine + theirs - both)
+                        if alike >= self.similarity and (i not in best or alike > best[i]["similarity"]):
+                            best[i] = {"item_id": item, "similarity": alike, "start": s, "end": s + size}
+        out += best.values()
+
+
+def _finder(name: str, rows, width: int, similarity: float):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def find(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = Index(rows.value, width, similarity)
+        if name not in _built:
+            _built.clear()
+            _built[name] = Index(rows.value, width, similarity)
         for x in texts:
-            yield pa.array(index.matches(x), kind)
+            yield pa.array(_built[name].matches(x), kind)
 
     return find
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text: Column, width: int = 5, similarity: float = 0.8, item_col: str = "item_id", item_text: str = "text") -> Column:
-    """A column for ``docs``: the benchmark items that ``text`` holds, as an array of (item_id, similarity, start, end).
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text: Column, width: int = 5, similarity: float = 0.8, item_col: str = "item_id", item_text: str = "text") -> list[Column]:
+    """Columns for ``docs``, one for each part of the benchmark: the items that ``text`` holds, as an array of (item_id, similarity, start, end).
 
     A-Z are lower-cased; a word is a run of anything but ASCII white space. An item is held where a window of as many words as the
     item has (or the whole text, if shorter) reaches ``similarity``: the weighted Jaccard coefficient of
     their ``width``-word shingles, repeats counted. Items of fewer than ``width`` words are one
-    shingle and have to occur as they are. Of several windows the most similar counts, then the first.
+    shingle and have to occur as they are. Of several windows the most similar counts, then the first. Fingerprints of windows just at the similarity
+    lie beyond ``RADIUS`` about once in 20,000 pairs, and such a pair is not found.
 
-    Null and empty texts, and items without a word, match nothing. Repeated items are found each. The index goes
-    to the executors in parts of at most ``INDEX_BYTES`` of benchmark text (one longer item makes a part of its own).
+    Null and empty texts, and items without a word, match nothing. A very long text is taken whole, in time proportional to its words. Repeated items are found each.
+    An empty table, or an empty benchmark, gives no match. The index goes to the executors in parts of at most ``INDEX_BYTES`` of benchmark
+    text (one longer item makes a part of its own).
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
@@ -167,20 +202,28 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text: Column, width
     for p in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
         rows = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own.collect()])
-        columns.append(F.arrow_udf(_finder(rows, width, similarity), MATCHES)(text))
-    return columns[0] if parts == 1 else F.concat(*columns)
+        columns.append(F.arrow_udf(_finder(uuid.uuid4().hex, rows, width, similarity), MATCHES)(text))
+    return columns
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row for each document and benchmark item that it holds: (id, item_id, similarity, start, end). See ``benchmark_matches``."""
-    found = docs.select(F.col(id_col), benchmark_matches(docs, benchmark, F.col(text_col), **options).alias("matches_"))
-    return found.select(id_col, F.inline("matches_"))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item. All columns and repeated rows stay; null texts stay."""
-    found, = fresh(docs, "matches")
-    return docs.withColumn(found, benchmark_matches(docs, benchmark, F.col(text_col), **options)).where(F.size(found) == 0).drop(found)
+    """One row for each document and benchmark item that it holds: (id, item_id, similarity, start, end). See ``benchmark_matches``.
+
+    Null ids and repeated rows are results each; other columns are ignored, whatever their names. Each part of the benchmark is a pass of its own over the texts."""
+    slim = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
+    found = [slim.select("id_", m.alias("matches_")).select("id_", F.inline("matches_")) for m in benchmark_matches(slim, benchmark, F.col("text_"), **options)]
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("id_", id_col)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item. All columns and repeated rows stay, and so do null and empty texts; an empty table gives an empty one."""
+    columns = benchmark_matches(docs, benchmark, F.col(text_col), **options)
+    found, key, hit, gone = fresh(docs, "matches", "key", "hit", "gone")
+    if len(columns) == 1:
+        return docs.withColumn(found, columns[0]).where(F.size(found) == 0).drop(found)
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    held = [keyed.select(F.col(id_col).alias(hit), F.col(key).alias(gone), m.alias(found)).where(F.size(found) > 0).drop(found) for m in columns]
+    return keyed.join(reduce(DataFrame.unionByName, held), F.col(id_col).eqNullSafe(F.col(hit)) & (F.col(key) == F.col(gone)), "left_anti").drop(key)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
