@@ -4,11 +4,13 @@ Each source is dealt into blocks by a hash permutation. Its target becomes a quo
 whole passes over the source, then blocks of one more pass in permuted order. The tree halves the
 output shards; at each node the quotas of the left half are one multivariate hypergeometric
 draw from the node's. A leaf's quotas name, source by source, a run of the permuted draws that no
-other leaf has, so the draws are disjoint and the quotas are met exactly.
+other leaf has, and nothing else is taken; so the draws are disjoint and the quotas are met exactly.
 """
 
 from __future__ import annotations
 
+from math import gcd
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +83,14 @@ def splitting_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def _stride(n: int) -> int:
+    """A step that visits each of ``n`` places once and leaves neighbours far apart."""
+    step = max(1, round(n * 0.618))
+    while gcd(step, n) > 1:
+        step += 1
+    return step
+
+
 #: Documents at the end of a block among which the best sum is sought, and words that may then be missing at most.
 TAIL, TAIL_WORDS = 256, 400_000
 
@@ -101,17 +111,22 @@ def _fill(sizes: list[int], want: int) -> list[bool]:
     above = sums[-1] >> (left + 1)
     best = left + (above & -above).bit_length() if above else None
     at = best if best is not None and best - left < left - below else below
+    left -= at
     for i in range(len(sums) - 2, -1, -1):
         if not sums[i] >> at & 1:
             took[k + i] = True
             at -= sizes[k + i]
+    # Whatever is missing then, one more document may come nearer by going over.
+    more = min((abs(left - n), i) for i, n in enumerate([*sizes, 0]) if i == len(sizes) or not took[i])
+    if more[1] < len(sizes) and more[0] < left:
+        took[more[1]] = True
     return took
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, shards: int = 64, seed: int = 17, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with ``size`` (words), ``source_size``, ``target``, ``taken`` and ``copies``, an array of (copy, shard).
 
-    A document is taken whole, ``taken / size`` times (0 to ``most``). The taken words of a source come as near
+    A document is taken whole, ``taken / size`` times (0 to ``most``): as often as leaves of the splitting tree hold a draw of it. The taken words of a source come as near
     to its target as whole documents of its last block allow. Who is taken depends on ids, texts
     and the seed alone, so reruns agree.
 
@@ -122,8 +137,9 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, shards: int = 64, seed: int =
     """
     spark, out = docs.sparkSession, ("size", "source_size", "target", "taken", "copies")
     docs = docs.drop(*(c for c in docs.columns if c.lower() in out))
-    src, perm, block = fresh(docs, "src", "perm", "block")
-    whole, rest, n_blocks = fresh(docs, "whole", "rest", "n_blocks")
+    src, perm, block, whole, rest, n_blocks = fresh(docs, "src", "perm", "block", "whole", "rest", "n_blocks")
+    psrc, bsrc, bblock, csrc, cperm, csize = fresh(docs, "psrc", "bsrc", "bblock", "csrc", "cperm", "csize")
+    draws_, want_ = fresh(docs, "draws", "want")
     sized = docs.withColumns({"size": n_words(F.col(text_col)), perm: F.xxhash64(F.col(id_col), F.xxhash64(text_col), F.lit(seed))})
     slim = stored(sized.select(F.col(source_col).alias("source"), "size", F.col(perm).alias("perm")), "mixing-sizes")
     by_source = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -136,62 +152,68 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, shards: int = 64, seed: int =
         times = min(most, int(target[r["source"]] // r["size"])) if r["size"] else 0
         more = round(target[r["source"]] - times * r["size"]) if times < most else 0
         plan.append((r["source"], i, r["size"], target[r["source"]], times, more, max(1, min(MAX_BLOCKS, ALL_BLOCKS // len(order), r["n"] // 64))))
-    plans = F.broadcast(spark.createDataFrame(plan, f"psource string, {src} int, source_size long, target double, {whole} int, {rest} long, {n_blocks} int"))
+    plans = F.broadcast(spark.createDataFrame(plan, f"{psrc} string, {src} int, source_size long, target double, {whole} int, {rest} long, {n_blocks} int"))
 
     def in_blocks(df: DataFrame, source: str, p: str) -> DataFrame:
         """Null-safe equality matches the null source, so no stand-in can clash with a real name."""
-        small = plans.withColumnRenamed("psource", fresh(df, "psource")[0])
-        return df.join(small, F.col(source).eqNullSafe(F.col(small.columns[0]))).drop(small.columns[0]).withColumn(block, F.pmod(F.col(p), F.col(n_blocks)).cast("int"))
+        return df.join(plans, F.col(source).eqNullSafe(F.col(psrc))).drop(psrc).withColumn(block, F.pmod(F.col(p), F.col(n_blocks)).cast("int"))
 
     # Exact words of every block; blocks of a source in permuted order, until the rest is used up.
     slim = in_blocks(slim, "source", "perm")
     along = Window.partitionBy(src).orderBy(F.xxhash64(src, block, F.lit(seed)), block)
     before = F.col("upto") - F.col("words")
     blocks = slim.groupBy(src, block, rest).agg(F.sum("size").alias("words")).withColumns({"rank": F.row_number().over(along) - 1, "upto": F.sum("words").over(along)}).select(
-        F.col(src).alias("bsrc"), F.col(block).alias("bblock"), "rank", (F.col("upto") <= F.col(rest)).alias("full"),
-        F.when((F.col("upto") > F.col(rest)) & (before < F.col(rest)), F.col(rest) - before).alias("want"))
+        F.col(src).alias(bsrc), F.col(block).alias(bblock), "rank", (F.col("upto") <= F.col(rest)).alias("full"),
+        F.when((F.col("upto") > F.col(rest)) & (before < F.col(rest)), F.col(rest) - before).alias(want_))
     blocks = stored(blocks, "mixing-blocks")
-    drawn = {r["bsrc"]: r for r in blocks.groupBy("bsrc").agg(F.count("*").alias("blocks"), F.sum((F.col("full") | F.col("want").isNotNull()).cast("long")).alias("more")).collect()}
-    quotas = [p[4] * drawn[p[1]]["blocks"] + (drawn[p[1]]["more"] if p[4] < most else 0) for p in plan]
+    drawn = {r[bsrc]: r for r in blocks.groupBy(bsrc).agg(F.count("*").alias("n"), F.sum((F.col("full") | F.col(want_).isNotNull()).cast("long")).alias("more")).collect()}
+    quotas = [p[4] * drawn[p[1]]["n"] + (drawn[p[1]]["more"] if p[4] < most else 0) for p in plan]
     ends = np.cumsum(splitting_tree(quotas, shards, seed), axis=0)
-    # Draw number c * blocks + rank is copy c of the block; its shard is the number of shard ends at or below it.
-    shard_ends = F.broadcast(spark.createDataFrame([(p[1], drawn[p[1]]["blocks"], [int(x) for x in ends[:, i]]) for i, p in enumerate(plan)], "esrc int, blocks long, ends array<long>"))
-    draws = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda c: F.struct(c.alias("copy"), F.size(F.filter("ends", lambda e: e <= c * F.col("blocks") + F.col("rank"))).alias("shard")))
-    draws_, full_, want_ = fresh(docs, "draws", "full", "want")
-    sched = stored(blocks.join(shard_ends, F.col("bsrc") == F.col("esrc")).select("bsrc", "bblock", F.col("full").alias(full_), F.col("want").alias(want_), draws.alias(draws_)), "mixing-schedule")
+    # Draw c * blocks + rank of a source is copy c of the block, if below the quota. The draws are dealt in the order of a permutation: each falls in the leaf whose
+    # run holds it, beyond the last run in none.
+    leaves = F.broadcast(spark.createDataFrame([(p[1], drawn[p[1]]["n"], q, _stride(q), [int(x) for x in ends[:, i]]) for i, (p, q) in enumerate(zip(plan, quotas, strict=True))], "leaf_of int, n long, quota long, stride long, ends array<long>"))
+    place = lambda c: F.pmod((c * F.col("n") + F.col("rank")) * F.col("stride"), F.greatest("quota", F.lit(1)))
+    drawn_copies = F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda c: c * F.col("n") + F.col("rank") < F.col("quota"))
+    draws = F.filter(F.transform(drawn_copies, lambda c: F.struct(c.alias("copy"), F.size(F.filter("ends", lambda e: e <= place(c))).alias("shard"))), lambda d: d["shard"] < shards)
+    sched = stored(blocks.join(leaves, F.col(bsrc) == F.col("leaf_of")).select(bsrc, bblock, want_, draws.alias(draws_)), "mixing-schedule")
 
     def scheduled(df: DataFrame) -> DataFrame:
-        b = F.broadcast(sched)
-        return df.join(b, (df[src] == b["bsrc"]) & (df[block] == b["bblock"])).drop("bsrc", "bblock")
+        return df.join(F.broadcast(sched), (F.col(src) == F.col(bsrc)) & (F.col(block) == F.col(bblock))).drop(bsrc, bblock)
 
     # The last block of a source is filled document by document; equal rows count as one.
-    last = scheduled(slim).where(F.col(want_).isNotNull() & (F.col(whole) < most)).groupBy(src, F.col(want_).alias("want"), "perm", F.col("size").alias("each")).agg(F.count("*").alias("n"))
+    divided = F.col(want_).isNotNull() & (F.col(whole) < most)
+    last = scheduled(slim).where(divided).groupBy(src, F.col(want_).alias("want"), "perm", F.col("size").alias("each")).agg(F.count("*").alias("n"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["perm", "each"], ignore_index=True)
         took = _fill([int(x) for x in pdf["each"] * pdf["n"]], int(pdf["want"].iloc[0]))
         return pdf.loc[took, [src, "perm", "each"]]
 
-    chosen = last.groupBy(src).applyInPandas(fill, f"{src} int, perm long, each long").toDF("csrc", "cperm", "ceach")
+    chosen = last.groupBy(src).applyInPandas(fill, f"{src} int, perm long, each long").toDF(csrc, cperm, csize)
     placed = scheduled(in_blocks(sized, source_col, perm))
-    divided = F.col(want_).isNotNull() & (F.col(whole) < most)
 
-    def result(df: DataFrame, more) -> DataFrame:
-        n = F.col(whole) + more
-        return df.select(*docs.columns, "size", "source_size", "target", (F.col("size") * n).alias("taken"), F.slice(draws_, F.lit(1), n).alias("copies"))
+    def result(df: DataFrame, copies) -> DataFrame:
+        return df.select(*docs.columns, "size", "source_size", "target", (F.col("size") * F.size(copies)).alias("taken"), copies.alias("copies"))
+
+    open_ = placed.where(divided).join(chosen, (F.col(src) == F.col(csrc)) & (F.col(perm) == F.col(cperm)) & (F.col("size") == F.col(csize)), "left")
+    passed_over = F.slice(draws_, F.lit(1), F.col(whole))
+    return result(placed.where(~divided), F.col(draws_)).unionByName(result(open_, F.when(F.col(csrc).isNull(), passed_over).otherwise(F.col(draws_))))
 
-    settled = result(placed.where(~divided), (F.col(full_) & (F.col(whole) < most)).cast("int"))
-    open_ = placed.where(divided).join(chosen, (F.col(src) == F.col("csrc")) & (F.col(perm) == F.col("cperm")) & (F.col("size") == F.col("ceach")), "left")
-    return settled.unionByName(result(open_, F.col("csrc").isNotNull().cast("int")))
 
+def mixed_copies(mixed: DataFrame, seed: int = 17, pieces: int = 8, id_col: str = "doc_id") -> DataFrame:
+    """One row for each copy taken, with ``copy`` and ``out_shard``, in place of ``copies``; rows are shuffled locally, within each of the ``pieces`` of a shard.
 
-def mixed_copies(mixed: DataFrame, seed: int = 17) -> DataFrame:
-    """One row for each copy taken, with ``copy`` and ``out_shard``, each shard's rows in a local shuffle's order."""
-    one, = fresh(mixed, "one")
+    Documents that are not taken give no row. Null ids are ordered like values; repeated rows are rows each; an empty table gives an empty one. Columns
+    named like a new one are replaced.
+    """
+    mixed = mixed.drop(*(c for c in mixed.columns if c.lower() in ("copy", "out_shard")))
+    one, piece, spot = fresh(mixed, "one", "piece", "spot")
     rows = mixed.withColumn(one, F.explode("copies")).withColumns({"copy": F.col(f"{one}.copy"), "out_shard": F.col(f"{one}.shard")})
-    return rows.repartition("out_shard").sortWithinPartitions("out_shard", F.xxhash64("doc_id", "copy", F.lit(seed))).drop(one, "copies")
+    rows = rows.withColumns({piece: F.pmod(F.xxhash64(id_col, "copy", F.lit(seed + 1)), F.lit(pieces)), spot: F.xxhash64(id_col, "copy", F.lit(seed))})
+    return rows.repartition("out_shard", piece).sortWithinPartitions("out_shard", piece, spot).drop(one, piece, spot, "copies")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's words in the mix."""
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Every document's words in the mix, and the output shard of each copy taken."""
+    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.transform("copies", lambda c: c["shard"]).alias("out_shards"))
