@@ -21,7 +21,9 @@ from millrace.llm import rolling as R
 from millrace.llm.common import stored
 
 #: Anchors of a chunk, about; a document with more is a chunk of its own.
-CHUNK_ANCHORS = 2_000_000
+CHUNK_ANCHORS = 1_000_000
+#: Text of a group of documents, and text whose anchors or windows a hash bucket gets, about. Their numbers follow the input, so that a group's memory does not.
+PART_BYTES, BUCKET_BYTES, ROW_BYTES = 6 << 20, 12 << 20, 64
 #: Hashes of all anchors of some texts (data, offsets), anchors of each text, and which of them are reference blocks (None: all).
 Scan = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray | None]]
 
@@ -170,7 +172,13 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
 
 
-def shared_anchors(docs: DataFrame, scan: Scan, buckets: int, name: str) -> DataFrame:
+def measured(docs: DataFrame) -> tuple[int, int]:
+    """(groups of documents, hash buckets) for the texts of ``docs``, by their bytes and rows."""
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES)).first()[0] or 0
+    return size // PART_BYTES + 1, size // BUCKET_BYTES + 1
+
+
+def shared_anchors(docs: DataFrame, scan: Scan, parts: int, buckets: int, name: str) -> DataFrame:
     """(doc_id, doc_key, part, hits) of the rows of ``docs`` (as from ``keyed_texts``) with an anchor that another document has too: ``hits``
     are the anchors' numbers in the document (little-endian 32-bit), ``part`` as from ``in_parts``.
 
@@ -179,15 +187,15 @@ def shared_anchors(docs: DataFrame, scan: Scan, buckets: int, name: str) -> Data
     for each chunk.
     """
     probes = docs.mapInArrow(_probes(scan, buckets), "bucket int, chunk long, hashes binary, steps binary, rest binary, blocks binary")
-    hits = probes.groupBy("bucket").applyInPandas(_match, "chunk long, steps binary, rest binary")
+    hits = probes.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_match, "chunk long, steps binary, rest binary")
     directory = docs.mapInArrow(_directory(scan), "chunk long, doc_id long, doc_key long, first long, n long, local binary, inner binary")
-    by_doc = directory.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInPandas(_to_documents, "doc_id long, doc_key long, hits binary")
-    return in_parts(stored(by_doc.dropDuplicates(["doc_id", "doc_key"]), f"{name}-hits"), buckets)
+    by_doc = directory.repartition(parts, "chunk").groupBy("chunk").cogroup(hits.repartition(parts, "chunk").groupBy("chunk")).applyInPandas(_to_documents, "doc_id long, doc_key long, hits binary")
+    return in_parts(stored(by_doc.dropDuplicates(["doc_id", "doc_key"]), f"{name}-hits"), parts)
 
 
 def in_parts(df: DataFrame, parts: int) -> DataFrame:
-    """``df`` with ``part``, one of so many groups of documents by ``doc_key``."""
-    return df.withColumn("part", F.pmod(F.xxhash64("doc_key"), F.lit(parts)).cast("int"))
+    """``df`` with ``part``, one of so many groups of documents by ``doc_key``, and dealt by it."""
+    return df.withColumn("part", F.pmod(F.xxhash64("doc_key"), F.lit(parts)).cast("int")).repartition(parts, "part")
 
 
 def with_hits(docs: pa.Table, hits: pa.Table) -> pa.Table:

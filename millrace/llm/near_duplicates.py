@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import rolling as R
-from millrace.llm.anchors import row_key, shared_anchors
+from millrace.llm.anchors import measured, row_key, shared_anchors
 from millrace.llm.common import n_buckets, stored
 from millrace.llm.components import components
 
 #: Shingles of a block, about, with so many added for each set; a task has two blocks at once.
-BLOCK, EACH = 500_000, 200
+BLOCK, EACH = 100_000, 200
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +219,8 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     nodes = stored(keyed.mapInArrow(_nodes(width), f"row {dict(docs.dtypes)[id_col]}, doc_key long, shingles binary"), "shingle-digests")
     first = F.min(F.struct(F.col("row").isNull().alias("no"), F.col("row").alias("row"), F.col("doc_key").alias("key")))
     distinct = stored(nodes.groupBy("shingles").agg(first.alias("least")), "distinct-sets")
-    hits = shared_anchors(keyed.select(F.col("doc_key").alias("doc_id"), "doc_key", "text"), _scan(width), n, "shingles")
+    by_key = keyed.select(F.col("doc_key").alias("doc_id"), "doc_key", "text")
+    hits = shared_anchors(by_key, _scan(width), *measured(by_key), "shingles")
     chosen = hits.select(F.col("doc_key").alias("node"), "hits").join(distinct.select(F.col("least.key").alias("node")), "node")
     texts = chosen.join(keyed.select(F.col("doc_key").alias("node"), "text"), "node").select("node", "text", "hits")
     sets = stored(texts.mapInArrow(_shared_sets(width, similarity), "node long, size long, takes long, shared binary").dropDuplicates(["node"]), "shared-sets")

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import rolling as R
-from millrace.llm.anchors import in_parts, keyed_texts, row_key, shared_anchors, with_hits
-from millrace.llm.common import LAST_ID, n_buckets, table
+from millrace.llm.anchors import in_parts, keyed_texts, measured, row_key, shared_anchors, with_hits
+from millrace.llm.common import LAST_ID, table
 
 
 def _scan(anchor: int):
@@ -162,14 +162,14 @@ def repeated_passages(docs: DataFrame, width: int = 50, id_col: str = "doc_id",
     after every other, and null ids don't precede one another. An empty table gives an empty one.
     Other columns are ignored. ``docs`` must give its rows in the same order each time it is read, as files do.
     """
-    n = n_buckets(docs.sparkSession, buckets)
     docs = keyed_texts(docs, id_col, text_col)
-    hits = shared_anchors(docs, _scan(width // 2), n, "passages")
-    docs = in_parts(docs, n)
+    parts, n = (buckets, buckets) if buckets else measured(docs)
+    hits = shared_anchors(docs, _scan(width // 2), parts, n, "passages")
+    docs = in_parts(docs, parts)
     windows = docs.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(_windows(width, n), "bucket int, part int, windows binary, least binary")
-    smaller = windows.groupBy("bucket").applyInPandas(_smaller, "part int, windows binary, least binary")
+    smaller = windows.repartition(n, "bucket").groupBy("bucket").applyInPandas(_smaller, "part int, windows binary, least binary")
     # Both cogroups read the same exchange of the texts.
-    found = hits.unionByName(smaller, allowMissingColumns=True)
+    found = hits.unionByName(smaller, allowMissingColumns=True).repartition(parts, "part")
     cut = docs.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cut(width), "doc_id long, doc_key long, n_removed long, spans array<struct<start: long, end: long>>, kept_text string")
     return cut.dropDuplicates(["doc_id", "doc_key"])
 

@@ -10,14 +10,17 @@ Whole texts would need a round for each byte of the longest. But equal strings h
 at the same place within the string. So texts are cut into segments around anchors, segments with the
 same anchor meet in one bucket, and in it columns are counted from the anchor: at most
 ``2 * width`` rounds, and equal strings always begin in the same column. Segments whose anchor
-no other document has cannot match and are not sent. The columns' input, order and results lie in the
-exchange's files; one bucket at a time is in memory.
+no other document has cannot match and are not sent. Within a bucket the symbols, column by column, and the order and common
+prefixes of each round are sequential files, read and written in blocks; the number of buckets follows the input's bytes.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -25,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import rolling as R
-from millrace.llm.anchors import in_parts, keyed_texts, row_key, shared_anchors, with_hits
-from millrace.llm.common import LAST_ID, n_buckets, table
+from millrace.llm.anchors import in_parts, keyed_texts, measured, row_key, shared_anchors, with_hits
+from millrace.llm.common import LAST_ID, table
 
 #: Bytes of the k-grams among which a string's anchor is chosen: long enough that unrelated texts seldom share one.
 GRAM = 24
@@ -101,8 +104,9 @@ class Segments:
             got.append((_content(data, begin, size, ahead), begin, size, ahead, R.mix(grams[kgram]), a + text[chosen], np.full(len(chosen), len(self.slices))))
             self.slices.append((a, offs, data, total, total + len(chosen)))
             total += len(chosen)
-        kinds = (R.U, np.int64, np.int64, np.int64, R.U, np.int64, np.int64)
-        key, self.begin, size, ahead, route, self.row, piece = (np.concatenate(x) if got else np.zeros(0, k) for x, k in zip(zip(*got, strict=True) if got else [()] * 7, kinds, strict=True))
+        kinds = (np.int64, np.int64, np.int64, R.U, np.int64, np.int64)
+        key = np.concatenate([x[0] for x in got]) if got else np.zeros((0, 2), R.U)
+        self.begin, size, ahead, route, self.row, piece = (np.concatenate(x) if got else np.zeros(0, k) for x, k in zip(list(zip(*got, strict=True))[1:] if got else [()] * 6, kinds, strict=True))
         self.strings = size - width + 1
         self.distinct_of, head, self.least = distinct(key, self.ids[self.row])
         self.head, self.size, self.ahead, self.route, self.piece = head, size[head], ahead[head], route[head], piece[head]
@@ -115,9 +119,13 @@ class Segments:
 
 
 def distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each item the number of its key, and for each key its first item and least id; keys are numbered in the order of their first items."""
-    order = np.argsort(key, kind="stable")
-    head = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))) if len(key) else np.zeros(0, np.int64)
+    """For each item the number of its key (two values), and for each key its first item and least id; keys are numbered in the order of their first items."""
+    order = np.argsort(key[:, 0], kind="stable")
+    s = key[order]
+    if ((s[1:, 0] == s[:-1, 0]) & (s[1:, 1] != s[:-1, 1])).any():
+        order = np.lexsort((key[:, 1], key[:, 0]))
+        s = key[order]
+    head = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]).any(axis=1)))) if len(key) else np.zeros(0, np.int64)
     first, least = order[head], np.minimum.reduceat(doc[order], head) if len(head) else np.zeros(0, np.int64)
     by_first = np.argsort(first, kind="stable")
     number = np.empty(len(first), dtype=np.int64)
@@ -128,11 +136,14 @@ def distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _content(data: np.ndarray, begin: np.ndarray, length: np.ndarray, ahead: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges of any length, with the length and the anchor's place."""
-    up, down = R.powers(R.BYTE_BASE, len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=R.U)
-    np.cumsum(R.BYTE_VALUES[data] * up[: len(data)], out=total[1:])
-    return R.mix((total[begin + length] - total[begin]) * down[begin] + R.mix((length * 1024 + ahead).astype(R.U)))
+    """128-bit hashes (two values) of byte ranges of any length, with the length and the anchor's place."""
+    out = np.empty((len(begin), 2), dtype=R.U)
+    for lane, (base, values) in enumerate(((R.BYTE_BASE, R.BYTE_VALUES), (R.WORD_BASE, R.mix(R.BYTE_VALUES)))):
+        up, down = R.powers(base, len(data) + 1)
+        total = np.zeros(len(data) + 1, dtype=R.U)
+        np.cumsum(values[data] * up[: len(data)], out=total[1:])
+        out[:, lane] = R.mix((total[begin + length] - total[begin]) * down[begin] + R.mix((length * 1024 + ahead).astype(R.U)))
+    return out
 
 
 def range_minima(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -151,40 +162,128 @@ def range_minima(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def column_classes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, ahead: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
+#: Items of a sequential file that are in memory at once.
+FILE_BLOCK = 1 << 18
+#: A common prefix of no known bound.
+ALL = 255
+
+
+class ColumnOrder:
+    """The order of the documents' suffixes that begin in one column, with the common prefix of each and its predecessor, in two sequential files.
+
+    ``insert`` reads them in blocks and writes the files of the column before: one file region for each symbol, filled from its front."""
+
+    def __init__(self, folder: str, block: int):
+        self.folder, self.block, self.round, self.n = folder, block, 0, 0
+
+    def _path(self, name: str, number: int) -> str:
+        return f"{self.folder}/{name}-{number}"
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not self.n:
+            return
+        with open(self._path("order", self.round), "rb") as order, open(self._path("prefix", self.round), "rb") as prefix:
+            for at in range(0, self.n, self.block):
+                m = min(self.block, self.n - at)
+                yield np.fromfile(order, "<u4", m), np.fromfile(prefix, np.uint8, m)
+
+    def _with(self, new: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The order, after documents that end here: their suffixes are empty, so they come first and share nothing."""
+        for at in range(0, len(new), self.block):
+            some = new[at : at + self.block].astype("<u4")
+            yield some, np.zeros(len(some), np.uint8)
+        for i, (order, prefix) in enumerate(self.blocks()):
+            if i == 0:
+                prefix[0] = 0
+            yield order, prefix
+
+    def insert(self, symbols: np.ndarray, active: np.ndarray, new: np.ndarray) -> None:
+        """Puts each active document's symbol in front of its suffix; documents that have none leave."""
+        sizes = np.bincount(symbols[active], minlength=256)
+        to = np.cumsum(sizes) - sizes
+        # For each symbol the least common prefix since its last document.
+        since, seen = np.full(256, ALL, np.uint8), np.zeros(256, bool)
+        order_fd, prefix_fd = (os.open(self._path(name, self.round + 1), os.O_RDWR | os.O_CREAT) for name in ("order", "prefix"))
+        try:
+            for order, prefix in self._with(new):
+                at = np.flatnonzero(active[order])
+                if not len(at):
+                    since = np.minimum(since, prefix.min())
+                    continue
+                s = symbols[order[at]]
+                by = np.argsort(s, kind="stable")
+                at, s = at[by], s[by]
+                head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+                common = np.empty(len(s), dtype=np.uint8)
+                same = np.ones(len(s), bool)
+                same[head] = False
+                same = np.flatnonzero(same)
+                common[same] = np.minimum(range_minima(prefix, at[same - 1], at[same]), 250) + 1
+                kinds = s[head]
+                upto = np.minimum(since[kinds], np.minimum.accumulate(prefix)[at[head]])
+                common[head] = np.where(seen[kinds], np.minimum(upto, 250) + 1, 0)
+                ends = np.append(head[1:], len(s)) - 1
+                last = at[ends]
+                since = np.minimum(since, prefix.min())
+                rest = np.append(np.minimum.accumulate(prefix[::-1])[::-1], ALL)
+                since[kinds], seen[kinds] = rest[last + 1], True
+                moved = order[at]
+                for k, a, b in zip(kinds.tolist(), head.tolist(), (ends + 1).tolist(), strict=True):
+                    os.pwrite(order_fd, moved[a:b].tobytes(), 4 * int(to[k]))
+                    os.pwrite(prefix_fd, common[a:b].tobytes(), int(to[k]))
+                    to[k] += b - a
+        finally:
+            os.close(order_fd)
+            os.close(prefix_fd)
+        if self.round:
+            for name in ("order", "prefix"):
+                os.remove(self._path(name, self.round))
+        self.round, self.n = self.round + 1, int(sizes.sum())
+
+    def classes(self, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Documents in order, with the number of their class: neighbours of ``width`` common bytes are of one class."""
+        number = -1
+        for order, prefix in self.blocks():
+            own = number + np.cumsum(prefix < width)
+            number = int(own[-1])
+            yield order, own
+
+
+def column_classes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, ahead: np.ndarray, least: np.ndarray, width: int, block: int | None = None) -> np.ndarray:
     """For every string of ``width`` bytes of every segment, in order, the least id that any segment with that string has.
 
-    Columns are counted from the anchor; the last is inserted first."""
-    first_col, end_col = -ahead, size - ahead
+    Columns are counted from the anchor; the last is inserted first. The symbols, column by column, and each column's order and common prefixes
+    are sequential files in a temporary folder, gone when this returns."""
+    n, first_col, end_col = len(size), -ahead, size - ahead
     strings = size - width + 1
-    slot = np.concatenate(([0], np.cumsum(strings)))
+    slot = np.cumsum(strings) - strings
     out = np.repeat(least, strings)
-    order, lcp = np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    if not n:
+        return out
+    low, high = int(first_col.min()), int(end_col.max())
     by_end = np.argsort(-end_col, kind="stable")
-    ends, entered = -end_col[by_end], 0
-    for col in range(int(end_col.max(initial=0)) - 1, int(first_col.min(initial=0)) - 1, -1):
-        # Suffixes of documents that end here come first, as they are empty; documents that began later than this column leave.
-        upto = int(np.searchsorted(ends, -(col + 1), "right"))
-        new = by_end[entered:upto]
-        entered = upto
-        if len(new):
-            lcp[:1] = 0
-            order, lcp = np.concatenate((new, order)), np.concatenate((np.zeros(len(new), np.uint8), lcp))
-        stay = np.flatnonzero(first_col[order] <= col)
-        symbols = data[begin[order[stay]] + (col - first_col[order[stay]])]
-        to = stay[np.argsort(symbols, kind="stable")]
-        symbols = np.sort(symbols, kind="stable")
-        fresh_lcp = np.zeros(len(to), dtype=np.uint8)
-        same = np.flatnonzero(symbols[1:] == symbols[:-1]) + 1
-        if len(same):
-            fresh_lcp[same] = np.minimum(range_minima(lcp, to[same - 1], to[same]), 250) + 1
-        order, lcp = order[to], fresh_lcp
-        whole = end_col[order] - col >= width
-        if whole.any():
-            head = np.flatnonzero(lcp < width)
-            best = np.minimum.reduceat(least[order], head)
-            own = np.repeat(best, np.diff(np.append(head, len(order))))
-            out[slot[order[whole]] + col - first_col[order[whole]]] = own[whole]
+    entered = np.searchsorted(-end_col[by_end], -np.arange(high, low - 1, -1), "right")
+    with tempfile.TemporaryDirectory(prefix="columns-") as folder:
+        with open(f"{folder}/symbols", "wb") as f:
+            for col in range(high - 1, low - 1, -1):
+                column = np.zeros(n, dtype=np.uint8)
+                own = np.flatnonzero((first_col <= col) & (col < end_col))
+                column[own] = data[begin[own] + (col - first_col[own])]
+                column.tofile(f)
+        order = ColumnOrder(folder, block or FILE_BLOCK)
+        with open(f"{folder}/symbols", "rb") as f:
+            for r, col in enumerate(range(high - 1, low - 1, -1)):
+                order.insert(np.fromfile(f, np.uint8, n), (first_col <= col) & (col < end_col), by_end[entered[r - 1] if r else 0 : entered[r]])
+                if not (end_col - col >= width).any():
+                    continue
+                best = np.full(order.n, LAST_ID)
+                for docs, own in order.classes(width):
+                    head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                    best[own[head]] = np.minimum(best[own[head]], np.minimum.reduceat(least[docs], head))
+                for docs, own in order.classes(width):
+                    whole = end_col[docs] - col >= width
+                    docs = docs[whole]
+                    out[slot[docs] + col - first_col[docs]] = best[own[whole]]
     return out
 
 
@@ -204,30 +303,44 @@ def _send(width: int, buckets: int):
 
 
 def _columns(width: int):
-    def columns(pdf: pd.DataFrame) -> pd.DataFrame:
+    def columns(rows: list[tuple]) -> pa.RecordBatch:
         """All columns of one bucket; goes back to each group of documents: which of its segments have a string
         that a smaller id than their own has, and the least id for each of their strings."""
-        sizes = [np.frombuffer(x, "<u2").astype(np.int64) for x in pdf["size"]]
-        size, ahead = np.concatenate(sizes), np.concatenate([np.frombuffer(x, "u1") for x in pdf["ahead"]]).astype(np.int64)
-        own = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["least"]])
-        data = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, pdf["content"])), np.uint8)
+        sizes = [np.frombuffer(x[3], "<u2").astype(np.int64) for x in rows]
+        size, ahead = np.concatenate(sizes), np.concatenate([np.frombuffer(x[4], "u1") for x in rows]).astype(np.int64)
+        own = np.concatenate([np.frombuffer(x[5], "<i8") for x in rows])
+        data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x[2]) for x in rows), np.uint8)
         begin = np.cumsum(size) - size
         # The same content from several groups of documents is one document of the collection.
-        of, head, least = distinct(_content(data, begin, size, ahead), own)
+        key = np.concatenate([_content(data[begin[a] : begin[b - 1] + size[b - 1]], begin[a:b] - begin[a], size[a:b], ahead[a:b]) for a, b in ((a, min(a + 10_000, len(size))) for a in range(0, len(size), 10_000))])
+        of, head, least = distinct(key, own)
         best = column_classes(data, begin[head], size[head], ahead[head], least, width)
         strings = size[head] - width + 1
         slot = np.cumsum(strings) - strings
-        less = (np.minimum.reduceat(best, slot) if len(head) else least)[of] < own
+        less = np.minimum.reduceat(best, slot)[of] < own
         out, at = [], 0
-        for bucket, part, n in zip(pdf["bucket"], pdf["part"], [len(x) for x in sizes], strict=True):
+        for row, n in zip(rows, map(len, sizes), strict=True):
             mine = np.flatnonzero(less[at : at + n])
             if len(mine):
                 which = of[at + mine]
-                out.append((bucket, part, mine.astype("<u4").tobytes(), best[R.ranges(slot[which], strings[which])].astype("<i8").tobytes()))
+                out.append((row[0], row[1], mine.astype("<u4").tobytes(), best[R.ranges(slot[which], strings[which])].astype("<i8").tobytes()))
             at += n
-        return pd.DataFrame(out, columns=["bucket", "part", "segments", "least"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "part", "segments", "least"])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows come bucket by bucket."""
+        now, rows = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if row[0] != now and rows:
+                    yield columns(rows)
+                    rows = []
+                now = row[0]
+                rows.append(row)
+        if rows:
+            yield columns(rows)
 
-    return columns
+    return emit
 
 
 def _cut(width: int, buckets: int):
@@ -275,14 +388,14 @@ def repeated_bytes(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     """
     if not GRAM < width <= 250:
         raise ValueError(f"width has to be above {GRAM} and at most 250")
-    n = n_buckets(docs.sparkSession, buckets)
     docs = keyed_texts(docs, id_col, text_col)
-    hits = shared_anchors(docs, _scan(width), n, "suffixes")
-    docs = in_parts(docs, n)
+    parts, n = (buckets, buckets) if buckets else measured(docs)
+    hits = shared_anchors(docs, _scan(width), parts, n, "suffixes")
+    docs = in_parts(docs, parts)
     sent = docs.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(_send(width, n), "bucket int, part int, content binary, size binary, ahead binary, least binary")
-    smaller = sent.groupBy("bucket").applyInPandas(_columns(width), "bucket int, part int, segments binary, least binary")
+    smaller = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_columns(width), "bucket int, part int, segments binary, least binary")
     # Both cogroups read the same exchange of the texts.
-    found = hits.unionByName(smaller, allowMissingColumns=True)
+    found = hits.unionByName(smaller, allowMissingColumns=True).repartition(parts, "part")
     cut = docs.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cut(width, n), "doc_id long, doc_key long, n_removed long, spans array<struct<start: long, end: long>>, kept_bytes binary")
     return cut.dropDuplicates(["doc_id", "doc_key"])
 

@@ -101,3 +101,19 @@ def test_column_classes():
         for k in range(len(t) - 5):
             least[t[k : k + 6]] = min(d, least.get(t[k : k + 6], 9))
     assert got.tolist() == [least[t[k : k + 6]] for t in texts for k in range(len(t) - 5)]
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, None])
+def test_columns_through_files(block):
+    """Equal strings share the least id, however the files are cut into blocks."""
+    rng, width = np.random.default_rng(1), 6
+    for _ in range(12):
+        ahead = rng.integers(0, 5, int(rng.integers(1, 60)))
+        texts = [bytes(rng.integers(97, 99, int(a)).tolist()) + b"abc" + bytes(rng.integers(97, 100, int(rng.integers(3, 8))).tolist()) for a in ahead]
+        ids, size = rng.integers(0, 50, len(texts)), np.array([len(t) for t in texts])
+        least = {}
+        for t, a, d in zip(texts, ahead, ids, strict=True):
+            for k in range(len(t) - width + 1):
+                least[t[k : k + width], k - a] = min(d, least.get((t[k : k + width], k - a), 99))
+        got = column_classes(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size, ahead, ids, width, block)
+        assert got.tolist() == [least[t[k : k + width], k - a] for t, a in zip(texts, ahead, strict=True) for k in range(len(t) - width + 1)]
