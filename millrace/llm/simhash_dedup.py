@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import rolling as R
 from millrace.llm.anchors import row_key
-from millrace.llm.common import n_buckets, stored, table
+from millrace.llm.common import fresh, n_buckets, stored, table
 from millrace.llm.components import components
 from millrace.llm.near_duplicates import similar_components
 
@@ -221,15 +221,18 @@ def simhash_components(docs: DataFrame, width: int = 4, lanes: int = 1, radius:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component: the one with the smallest id. All columns stay.
+    """One row of ``docs`` for each component: the one with the smallest id. All columns stay, whatever their names.
 
-    Links are all pairs whose five-word shingle sets have a similarity (Jaccard) of 0.8 or more.
+    Links are all pairs whose five-word shingle sets have a similarity (Jaccard) of 0.8 or more, found by ``similar_components``.
+
+    Null and empty texts, and texts of white space, are alike. A text of fewer words than a shingle is one shingle; a very long one is taken whole. A null id stays only where its component has
+    no other. Of rows that repeat an id and a text one stays, whatever their other columns. An empty table gives an empty one.
     """
+    key, stays = fresh(docs, "row_key", "stays")
     groups = similar_components(docs, width, similarity, id_col, text_col)
-    stay = groups.select(F.col("least_key").alias("key_")).distinct()
-    keyed = docs.withColumn("row_key_", row_key(id_col, text_col))
-    # A key stands for one id and text; rows that repeat it are equal in both, and one of them stays.
-    return keyed.join(stay, F.col("row_key_") == F.col("key_")).drop("key_").dropDuplicates(["row_key_"]).drop("row_key_")
+    stay = groups.select(F.col("least_key").alias(stays)).distinct()
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    return keyed.join(stay, F.col(key) == F.col(stays)).drop(stays).dropDuplicates([key]).drop(key)
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,7 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = known.count()
     if n > rows:
         known = known.where(F.pmod(F.xxhash64("lid", F.lit("toxicity")), F.lit(1_000_000)) < int(1e6 * rows / n))
-    chosen = stored(docs.join(F.broadcast(known), F.col(id_col) == F.col("lid")).select(F.col(text_col).alias("text"), "label"), "toxicity-training")
+    slim = docs.select(F.col(id_col).alias("did"), F.col(text_col).alias("text"))
+    chosen = stored(slim.join(F.broadcast(known), F.col("did") == F.col("lid")).select("text", "label"), "toxicity-training")
     size = dict(chosen.groupBy("label").count().collect())
     n1, n0 = size.get(1, 0), size.get(0, 0)
     terms = {_hash_of(w) for w in INSULTS}

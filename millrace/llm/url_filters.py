@@ -18,8 +18,8 @@ from millrace.llm.common import fresh, lower_ascii, n_buckets, table
 
 #: The rules of the registered query, in the form (host, path, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: At most so many sampled keys come to the driver; they decide only how evenly the ranges are cut.
-SAMPLED_KEYS = 1024
+#: So many sampled keys for each range come to the driver; they decide only how evenly the ranges are cut.
+SAMPLED_KEYS = 32
 
 
 def url_host(url: Column) -> Column:
@@ -37,15 +37,29 @@ def reversed_host(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def _sweep(pages: pd.DataFrame, rules: pd.DataFrame) -> list[int]:
-    """For each page (sorted by key) the index of the longest rule that holds, or -1."""
-    hosts: dict[str, list[tuple[str, int]]] = {}
+class PathRules:
+    """The path rules of one host, by length: a path meets at most one lookup for each length that the host has."""
+
+    def __init__(self):
+        self.by_path: dict[str, int] = {}
+        self.lengths: list[int] = []
+
+    def longest(self, path: str) -> tuple[str, int] | None:
+        for n in self.lengths:
+            if n <= len(path) and (i := self.by_path.get(path[:n])) is not None:
+                return path[:n], i
+        return None
+
+
+def _sweep(keys: pd.Series, paths: pd.Series, rules: pd.DataFrame) -> list[int]:
+    """For each page (in order of its key) the index of the longest rule that holds, or -1."""
+    hosts: dict[str, PathRules] = {}
     for i, (rhost, path) in enumerate(zip(rules["rhost"], rules["path"], strict=True)):
-        hosts.setdefault(rhost, []).append((path, i))
-    for same in hosts.values():
-        same.sort(key=lambda x: (-len(x[0]), x[1]))
+        hosts.setdefault(rhost, PathRules()).by_path[path] = i
+    for own in hosts.values():
+        own.lengths = sorted({len(p) for p in own.by_path}, reverse=True)
     starts, at, stack, out = sorted(hosts), 0, [], []
-    for rhost, path in zip(pages["rhost"], pages["path"], strict=True):
+    for rhost, path in zip(keys, paths, strict=True):
         while at < len(starts) and starts[at] <= rhost:
             while stack and not starts[at].startswith(stack[-1]):
                 stack.pop()
@@ -55,11 +69,8 @@ def _sweep(pages: pd.DataFrame, rules: pd.DataFrame) -> list[int]:
             stack.pop()
         best, longest = -1, (-1, -1)
         for host in stack:
-            for p, i in hosts[host]:
-                if path.startswith(p):
-                    if (size := (len(host) - 1 + len(p), len(host))) > longest:
-                        best, longest = i, size
-                    break
+            if (own := hosts[host].longest(path)) and (size := (len(host) - 1 + len(own[0]), len(host))) > longest:
+                best, longest = own[1], size
         out.append(best)
     return out
 
@@ -72,9 +83,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     path together; on a tie the longer host) decides; where none holds, ``rule`` is null and the
     verdict is ``default``. Rules with the same host and path: the least verdict in string order counts.
 
-    A null url, or one without ``://``, has an empty host and path and meets no rule. Repeated
-    rows are judged one by one. Rules with a null host or path are void. An empty side is no
-    special case. Columns of ``pages`` named like a new one are replaced.
+    A null url, or one without ``://``, has an empty host and path and meets no rule. A very long url is taken whole. Repeated
+    rows are judged one by one, and a host with very many urls is cut into several ranges. Rules with a null host or path are void. An empty side is no
+    special case. Columns of ``pages`` named like one of the four new ones are replaced; any others stay, whatever their names.
     """
     spark = pages.sparkSession
     pages = pages.drop(*(c for c in pages.columns if c.lower() in ("host", "path", "rule", "verdict")))
@@ -82,9 +93,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     keyed = pages.withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))}).withColumns({rhost: reversed_host(F.col("host")), salt: F.hex(F.xxhash64(url_col, "path"))})
     # Splitters are pairs (key, salt), so that a host with very many urls is cut into several ranges.
     n = n_buckets(spark, buckets)
-    # The key with the least hash in each of SAMPLED_KEYS hash ranges: a sample that every task reduces to its own bound.
+    # The key with the least hash in each of so many hash ranges: a sample that every task reduces to its own bound.
     hashed = F.xxhash64(rhost, salt)
-    sample = sorted((r["k"][1], r["k"][2]) for r in keyed.groupBy(F.pmod(hashed, F.lit(SAMPLED_KEYS))).agg(F.min(F.struct(hashed, rhost, salt)).alias("k")).collect())
+    sample = sorted((r["k"][1], r["k"][2]) for r in keyed.groupBy(F.pmod(hashed, F.lit(SAMPLED_KEYS * n))).agg(F.min(F.struct(hashed, rhost, salt)).alias("k")).collect())
     cuts = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
 
     def range_of(keys: pd.Series, salts: pd.Series) -> pd.Series:
@@ -100,9 +111,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     schema = keyed.drop(part, rhost, salt).schema.add("rule", "string").add("verdict", "string")
 
     def sweep(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.rename(columns={rhost: "rhost"}) if rhost != "rhost" else left
-        left = left.sort_values(["rhost"], kind="stable", ignore_index=True)
-        found = _sweep(left, right)
+        left = left.sort_values([rhost], kind="stable", ignore_index=True)
+        found = _sweep(left[rhost], left["path"], right)
         names = [f"{h}{p}" for h, p in zip(right["host"], right["path"], strict=True)]
         verdicts = list(right["verdict"])
         left["rule"] = pd.Series([names[i] if i >= 0 else None for i in found], dtype=object)
