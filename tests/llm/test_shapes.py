@@ -98,28 +98,6 @@ def test_quality_statistics(spark, sf, odd_docs, which):
     assert got == want
 
 
-def test_quality_distances(spark):
-    """The distances against the same estimate in numpy."""
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(400, 5)) * [1, 0.2, 1, 1, 0.2] + [5, 1.7, 1, 0, 0.3]
-    x[:20] += 4
-    names = list(quality_rules.PARTS)
-    rows = spark.createDataFrame([("g", *map(float, v)) for v in x], "grp string, " + ", ".join(f"{n} double" for n in names))
-    got = quality_rules.minimum_covariance(rows).first()
-    floors = np.array(list(quality_rules.PARTS.values()))
-    center = np.median(np.rint(x * 1024), axis=0) / 1024
-    spread = np.median(np.rint(np.abs(x - center) * 1024), axis=0) * 1.4826 / 1024
-    cov = np.diag(spread**2 + floors**2)
-    for _ in range(quality_rules.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(cov), x - center)
-        step = np.rint(np.log(d + 1e-9) * 64)
-        core = x[step <= np.percentile(step, 75)]
-        center, cov = core.mean(axis=0), np.cov(core.T, bias=True) + np.diag(floors**2)
-    assert np.allclose([got[f"m_{n}"] for n in names], center, atol=1e-6)
-    low = np.linalg.cholesky(cov)
-    assert np.allclose([[got[f"l_{i}_{j}"] if j <= i else 0 for j in range(5)] for i in range(5)], low, atol=1e-6)
-
-
 def test_quality_empty(no_docs):
     assert quality_rules.quality_verdicts(no_docs).count() == 0
 
