@@ -5,7 +5,7 @@ shingle occurs it counts as another shingle, so that repeats weigh. A multi-inde
 item fingerprint within the radius: a pair within ``RADIUS`` bits differs in at most ``RADIUS // 8`` bits of some block, and each
 block is looked up at all values that close. Exact weighted-shingle similarity verifies what the index finds.
 
-Windows in which too few shingles are any benchmark shingle at all cannot reach the similarity with an item of their length, and
+Windows in which too few shingles are of any benchmark item of their length cannot reach the similarity with one, and
 are not fingerprinted: a bound, which loses nothing. Which item a window resembles is found through the index alone.
 """
 
@@ -93,7 +93,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str]], width: int, similarity: float):
         self.width, self.similarity, self.items, fps = width, similarity, [], []
-        shingles: dict[int, list[np.ndarray]] = {}
+        shingles: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
             data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
             starts, ends, _ = R.words(data, np.array([0, len(data)]))
@@ -104,14 +104,16 @@ class Index:
             h = R.window_hashes(R.word_hashes(data, starts, ends), w, np.arange(n - w + 1))
             self.items.append((item, n, w, Counter(h.tolist())))
             fps.append(fingerprints(h[None, :]))
-            shingles.setdefault(w, []).append(h)
+            shingles.setdefault(w, []).append((h, n))
         self.near = MultiIndex(np.concatenate(fps) if fps else np.zeros((0, LANES), R.U)).near
         self.known = {}
         for w, own in shingles.items():
-            keys = np.unique(np.concatenate(own))
+            # Distinct shingles, with the lengths of the items that have each.
+            pairs = np.unique(np.array([np.concatenate([h for h, _ in own]), np.concatenate([np.full(len(h), n, R.U) for h, n in own])]), axis=1)
+            keys, first = np.unique(pairs[0], return_index=True)
             marked = np.zeros(BITMAP, dtype=bool)
             marked[(keys % R.U(BITMAP)).astype(np.int64)] = True
-            self.known[w] = keys, marked, sorted({n for _, n, v, _ in self.items if v == w})
+            self.known[w] = keys, marked, np.append(first, pairs.shape[1]), pairs[1].astype(np.int64)
 
     def matches(self, column) -> list[list[dict]]:
         """For each text the items it holds, each with its best window (words ``start`` to ``end``)."""
@@ -122,49 +124,58 @@ class Index:
             if not len(starts):
                 continue
             h = R.word_hashes(data, starts, ends)
-            for w, (keys, marked, sizes) in self.known.items():
+            for w, (keys, marked, first_length, lengths) in self.known.items():
                 at = R.in_one_text(first, w)
                 if not len(at):
                     continue
                 shingles = R.window_hashes(h, w, at)
                 maybe = np.flatnonzero(marked[(shingles % R.U(BITMAP)).astype(np.int64)])
-                hit = np.zeros(len(shingles), dtype=bool)
-                hit[maybe] = keys[np.minimum(np.searchsorted(keys, shingles[maybe]), len(keys) - 1)] == shingles[maybe]
-                before = np.concatenate(([0], np.cumsum(hit)))
+                slot = np.minimum(np.searchsorted(keys, shingles[maybe]), len(keys) - 1)
+                true = keys[slot] == shingles[maybe]
+                hit, slot = maybe[true], slot[true]
+                many = first_length[slot + 1] - first_length[slot]
+                n, hit = lengths[R.ranges(first_length[slot], many)], np.repeat(hit, many)
+                text = np.searchsorted(first, at[hit], "right") - 1
+                order = np.lexsort((hit, n, text))
+                text, n, hit = text[order], n[order], hit[order]
+                cut = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (n[1:] != n[:-1]), [True]))) if len(hit) else np.zeros(1, np.int64)
                 # Windows of a text are consecutive in ``shingles``: position p of text t is at lo[t] + p.
                 lo = np.searchsorted(at, first)
-                for t in np.flatnonzero(before[lo[1:]] > before[lo[:-1]]).tolist():
-                    self._text(w, sizes, shingles[lo[t] : lo[t + 1]], before[lo[t] : lo[t + 1] + 1], int(first[t + 1] - first[t]), out[a + t])
+                for c, d in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    t = int(text[c])
+                    self._windows(w, int(n[c]), shingles[lo[t] : lo[t + 1]], hit[c:d] - lo[t], int(first[t + 1] - first[t]), out[a + t])
         for own in out:
             own.sort(key=lambda m: (m["item_id"] is None, m["item_id"], m["start"]))
         return out
 
-    def _text(self, w: int, sizes: list[int], shingles: np.ndarray, before: np.ndarray, n_words: int, out: list[dict]) -> None:
-        """Adds the items of ``w``-word shingles that one text holds; ``before`` counts benchmark shingles from the left."""
+    def _windows(self, w: int, n: int, shingles: np.ndarray, at: np.ndarray, n_words: int, out: list[dict]) -> None:
+        """Adds the items of ``n`` words and ``w``-word shingles that one text holds; ``at`` has the places of their shingles."""
         best: dict[int, dict] = {}
-        for n in sizes:
-            size = min(n, n_words)
-            mine, theirs = size - w + 1, n - w + 1
-            # Overlap m of windows with ``mine`` and ``theirs`` shingles gives m / (mine + theirs - m).
-            need = max(1, int(np.ceil(self.similarity * (mine + theirs) / (1 + self.similarity) - 1e-9)))
-            if need > mine:
-                continue
-            at = np.flatnonzero(before[mine:] - before[:-mine] >= need)
-            # Of equal windows the first counts.
-            at = at[np.sort(np.unique(R.window_hashes(shingles, mine, at), return_index=True)[1])]
-            for some in (at[i : i + 256] for i in range(0, len(at), 256)):
-                own = shingles[some[:, None] + np.arange(mine)]
-                for s, fp, window in zip(some.tolist(), fingerprints(own), own, strict=True):
-                    counts = None
-                    for i in self.near(fp).tolist():
-                        item, length, width, theirs_counts = self.items[i]
-                        if length != n or width != w:
-                            continue
-                        counts = counts or Counter(window.tolist())
-                        both = sum(min(c, theirs_counts[x]) for x, c in counts.items() if x in theirs_counts)
-                        alike = both / (mine + theirs - both)
-                        if alike >= self.similarity and (i not in best or alike > best[i]["similarity"]):
-                            best[i] = {"item_id": item, "similarity": alike, "start": s, "end": s + size}
+        size = min(n, n_words)
+        mine, theirs = size - w + 1, n - w + 1
+        # Overlap m of windows with ``mine`` and ``theirs`` shingles gives m / (mine + theirs - m).
+        need = max(1, int(np.ceil(self.similarity * (mine + theirs) / (1 + self.similarity) - 1e-9)))
+        if need > min(mine, len(at)):
+            return
+        left, right = at[: len(at) - need + 1], at[need - 1 :]
+        close = right - left < mine
+        lo, hi = np.maximum(right[close] - mine + 1, 0), np.minimum(left[close], n_words - size)
+        starts = np.unique(R.ranges(lo[lo <= hi], (hi - lo + 1)[lo <= hi]))
+        # Of equal windows the first counts.
+        starts = starts[np.sort(np.unique(R.window_hashes(shingles, mine, starts), return_index=True)[1])]
+        for some in (starts[i : i + 256] for i in range(0, len(starts), 256)):
+            own = shingles[some[:, None] + np.arange(mine)]
+            for s, fp, window in zip(some.tolist(), fingerprints(own), own, strict=True):
+                counts = None
+                for i in self.near(fp).tolist():
+                    item, length, width, wanted = self.items[i]
+                    if length != n or width != w:
+                        continue
+                    counts = counts or Counter(window.tolist())
+                    both = sum(min(c, wanted[x]) for x, c in counts.items() if x in wanted)
+                    alike = both / (mine + theirs - both)
+                    if alike >= self.similarity and (i not in best or alike > best[i]["similarity"]):
+                        best[i] = {"item_id": item, "similarity": alike, "start": s, "end": s + size}
         out += best.values()
 
 
@@ -211,7 +222,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Null ids and repeated rows are results each; other columns are ignored, whatever their names. Each part of the benchmark is a pass of its own over the texts."""
     slim = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
-    found = [slim.select("id_", m.alias("matches_")).select("id_", F.inline("matches_")) for m in benchmark_matches(slim, benchmark, F.col("text_"), **options)]
+    found = [slim.select("id_", m.alias("matches_")).select("id_", F.inline_outer("matches_")).where(F.col("start").isNotNull()) for m in benchmark_matches(slim, benchmark, F.col("text_"), **options)]
     return reduce(DataFrame.unionByName, found).withColumnRenamed("id_", id_col)
 
 
