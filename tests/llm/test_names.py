@@ -7,6 +7,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm.common import stored
 from millrace.llm import decontamination, mixing, quality_rules, sharding, simhash_dedup, substring_dedup, suffix_dedup, toxicity, url_filters, warc
 
 ROOT = Path(corpus_pipeline.__file__).parent
@@ -53,7 +54,8 @@ def test_helper_names_of_pages(spark, sf):
     judged = url_filters.filter_urls(many, rules)
     assert set(many.columns) <= set(judged.columns) and judged.where("rhost is null or part is null").count() == 0
     assert rows(judged, "page_id", "rule", "verdict") == rows(url_filters.filter_urls(pages, rules), "page_id", "rule", "verdict")
-    assert rows(warc.read_archives(warc.convert_archives(many)), "page_id", "record_type") == rows(warc.read_archives(warc.convert_archives(pages)), "page_id", "record_type")
+    through = lambda df: warc.read_archives(warc.convert_archives(stored(warc.archive_pages(df), "arcs")))
+    assert rows(through(many), "page_id", "record_type") == rows(through(pages), "page_id", "record_type")
 
 
 def test_mixing_stage_keeps_columns(spark, sf, docs):

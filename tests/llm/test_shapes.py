@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm.common import stored
 from millrace.llm import mixing, quality_rules, sharding, toxicity, url_filters, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -194,7 +195,7 @@ def test_arc_versions():
         head = warc.arc_header(version, "x.arc")
         data = head + warc.arc_capture(version, "x.arc", len(head), "http://a b/\n", b"\r\n\r\nbody\n\n") + warc.arc_capture(version, "x.arc", 0, None, b"")
         got = list(warc.parse_arc(data))
-        assert [c["payload"] for c in got] == [b"\r\n\r\nbody\n\n", b""] and [c["url"] for c in got] == ["http://a%20b/%0A", "-"] and len(got[0]) == len(warc.ARC_FIELDS[version]) + 2
+        assert [c["payload"] for c in got] == [b"\r\n\r\nbody\n\n", b""] and [c["url"] for c in got] == ["http://a%20b/%0A", "-"] and len(got[0]) == len(warc.ARC_FIELDS[version]) + 3
         with pytest.raises(ValueError):
             list(warc.parse_arc(data[:-5]))
     with pytest.raises(ValueError):
@@ -206,7 +207,7 @@ def test_warc_round_trip(spark, least):
     html = ["<p>one</p>", "<p>one</p>", None, "", "<p>one</p>", "é\r\n\r\nWARC/1.1\r\n", "x" * 300_000, "ab", "ab", "<p>two</p>", "<p>two</p>"]
     ids = [4, 9, 1, 2, None, 3, 5, 6, 7, 8, 8]
     pages = spark.createDataFrame([(i, "http://a/?b c", h, "r") for i, h in zip(ids, html, strict=True)], "page_id long, url string, html string, record_type string")
-    got = Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_archives(warc.convert_archives(pages, least_bytes=least)).collect())
+    got = Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_archives(warc.convert_archives(stored(warc.archive_pages(pages), 'arcs'), least_bytes=least)).collect())
     want, newest = Counter(), {}
     for i, h in zip(ids, html, strict=True):
         if i is not None:
@@ -220,6 +221,28 @@ def test_warc_round_trip(spark, least):
 
 def test_warc_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
-    assert warc.read_archives(warc.convert_archives(none)).count() == 0
+    assert warc.read_archives(warc.convert_archives(warc.archive_pages(none))).count() == 0
     with pytest.raises(ValueError):
         list(warc.parse_warc(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))
+
+
+def test_legacy_archive_of_many_captures(spark):
+    """Given dates, types, addresses and ids decide the records; a DNS capture has no HTTP header."""
+    page = b"HTTP/1.0 200 OK\r\nX-Page-Id: %d\r\nContent-Length: 5\r\n\r\nhello"
+    one, two, dns = page % 7, page % 12, b"20080101\nexample.com. 1 IN A 1.2.3.4\n"
+    lines = [(f"dns:example.com 9.9.9.9 200801020304 text/dns {len(dns)}", dns), (f"http://example.com/a 1.2.3.4 20080102030405 text/html {len(one)}", one), (f"http://example.com/b - 20090102030405 text/html {len(two)}", two)]
+    data = warc.arc_header(1, "old.arc") + b"".join(h.encode() + b"\n" + b + b"\n" for h, b in lines)
+    files = stored(warc.convert_archives(spark.createDataFrame([("old.arc", bytearray(data)), (None, None)], "name string, content binary")), "warcs")
+    assert [(r["archive"], r["records"]) for r in files.collect()] == [("old.arc", 3)]
+    got = {r["url"]: r for r in warc.read_archives(files).collect()}
+    assert {u: (r["record_type"], r["page_id"], r["refers_to"], r["date"], r["payload_bytes"]) for u, r in got.items()} == {
+        "dns:example.com": ("resource", None, None, "2008-01-02T03:04:00Z", len(dns)), "http://example.com/a": ("revisit", 7, 12, "2008-01-02T03:04:05Z", 5), "http://example.com/b": ("response", 12, None, "2009-01-02T03:04:05Z", 5)}
+    records = [h for h, _ in warc.parse_warc(bytes(files.first()["content"]))]
+    assert [h["warc-type"] for h in records] == ["warcinfo", "resource", "revisit", "response"] and records[1]["content-type"] == "text/dns" and records[1]["warc-ip-address"] == "9.9.9.9" and "warc-ip-address" not in records[3]
+    assert records[2]["warc-refers-to"] == records[3]["warc-record-id"] and {h["warc-warcinfo-id"] for h in records[1:]} == {records[0]["warc-record-id"]} and records[0]["warc-filename"] == "old.arc"
+
+
+def test_archives_are_cut(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"page {i % 3} " * 50) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    arcs = stored(warc.archive_pages(pages.repartition(2, "page_id")), "arcs").collect()
+    assert len(arcs) == 2 and sum(len(list(warc.parse_arc(bytes(a["content"])))) for a in arcs) == 40
