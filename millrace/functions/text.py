@@ -11,6 +11,11 @@ from millrace.functions import fixed
 ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&rsquo;", "'"), ("&amp;", "&"))
 
 
+def any_of(words) -> str:
+    """A pattern that matches any of some plain words, the longest first."""
+    return "(?:" + "|".join(sorted(words, key=lambda w: -len(w))) + ")"
+
+
 def clean_ws(s: Column) -> Column:
     """Entities decoded, blanks collapsed, at most one empty line, trimmed; a null gives an empty text."""
     t = F.coalesce(s, F.lit(""))

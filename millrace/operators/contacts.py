@@ -22,7 +22,7 @@ def site_emails(pages: DataFrame, bad_parts=fixed.BAD_EMAIL_PARTS, most: int = 1
     found = found.withColumn("same_domain", same).withColumn("confidence", email_confidence(F.col("kind"), F.col("source"), F.col("same_domain"), F.col("email"), F.col("domain_")))
     best = first_by(found, ["site", "email"], [-F.col("confidence"), F.col("page_ord"), F.col("found_ord")])
     order = [F.when(F.col("same_domain"), 0).otherwise(1), local_bucket(F.col("email")), -F.bround("confidence", 2), F.col("page_ord"), F.col("found_ord"), F.col("email")]
-    return ranked(best, ["site"], order).where(F.col("rank") < most).select("site", "email", "source", "page_url", "same_domain", F.bround("confidence", 3).alias("confidence"), "rank")
+    return ranked(best, ["site"], order, most=most).select("site", "email", "source", "page_url", "same_domain", F.bround("confidence", 3).alias("confidence"), "rank")
 
 
 def primary_emails(emails: DataFrame) -> DataFrame:
@@ -80,5 +80,5 @@ def guessed_emails(domains: DataFrame, mx_records: DataFrame, probes: DataFrame,
         checked = checked.join(stop, F.col("site") == F.col("s_"), "left").where(F.col("verification").isin("smtp_valid", "catch_all") & (F.col("stop_").isNull() | (F.col("n") <= F.col("stop_")))).drop("s_", "stop_")
     else:
         checked = checked.where("verification <> 'no_mx'")
-    out = ranked(checked, ["site"], [F.col("n")], "r").where(F.col("r") < most)
+    out = ranked(checked, ["site"], [F.col("n")], "r", most=most)
     return out.select("site", "email", F.lit("guessed").alias("source"), "verification", F.when(F.col("verification") == "smtp_valid", 0.35).otherwise(0.2).alias("confidence"), (F.col("r") + 100).alias("rank"))

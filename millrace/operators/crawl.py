@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.functions import fixed
 from millrace.functions.urls import absolutize, canonicalize, classify_url, looks_like_asset, registrable_domain
@@ -33,8 +34,8 @@ def page_budget(links: DataFrame, max_pages: int = 14, caps: dict[str, int] = fi
     """Of ``ranked_links``, those a crawl takes: by priority and length of the url, so many of each kind, ``max_pages - 1`` of a site."""
     order = [F.col("priority"), F.length("url"), F.col("url")]
     cap = F.coalesce(*(F.when(F.col("kind") == k, n) for k, n in caps.items()), F.lit(2))
-    kept = ranked(links, ["site", "kind"], order, "in_kind").where(F.col("in_kind") < cap)
-    return ranked(kept, ["site"], order, "pick").where(F.col("pick") < max_pages - 1).drop("in_kind")
+    kept = ranked(links, ["site", "kind"], order, "in_kind", most=max([2, *caps.values()])).where(F.col("in_kind") < cap)
+    return ranked(kept, ["site"], order, "pick", most=max_pages - 1).drop("in_kind")
 
 
 def sitemap_urls(docs: DataFrame) -> DataFrame:
@@ -54,9 +55,9 @@ def sitemap_walk(docs: DataFrame, roots: DataFrame, depth: int = 3, fan_out: int
         here = entries.join(at, ["site", "doc_url"])
         pages = here.where(~F.col("is_index")).select("site", "url", "lastmod")
         found = pages if found is None else found.unionByName(pages)
-        at = ranked(here.where("is_index"), ["site"], [F.col("url")], "n_").where(F.col("n_") < min(fan_out, most_docs)).select("site", F.col("url").alias("doc_url")).distinct()
+        at = ranked(here.where("is_index"), ["site"], [F.col("url")], "n_", most=min(fan_out, most_docs)).select("site", F.col("url").alias("doc_url")).distinct()
     newest = found.groupBy("site").agg(F.max(F.when(F.col("lastmod") != "", F.col("lastmod"))).alias("newest"))
-    return ranked(found.select("site", "url").distinct(), ["site"], [F.col("url")], "n_").where(F.col("n_") < most_urls).drop("n_").join(newest, "site")
+    return ranked(found.select("site", "url").distinct(), ["site"], [F.col("url")], "n_", most=most_urls).drop("n_").join(newest, "site")
 
 
 def newest_date(dates: Column, as_of: Column) -> Column:
@@ -66,7 +67,13 @@ def newest_date(dates: Column, as_of: Column) -> Column:
 
 
 def site_texts(pages: DataFrame, kinds: list[str] | None = None, chars: int | None = None, name: str = "text") -> DataFrame:
-    """(site, text) with the texts of its pages of some kinds, in page order, ``chars`` characters at most."""
-    own = pages.where(F.col("kind").isin(*kinds)) if kinds else pages
+    """(site, text) with the texts of its pages of some kinds, in page order, ``chars`` characters at most.
+
+    Pages beyond that length are left out, and the last one cut, before a site's texts come together."""
+    own = (pages.where(F.col("kind").isin(*kinds)) if kinds else pages).select("site", "page_ord", "text")
+    if chars:
+        # A line break stands between two texts, so a page begins after the lengths before it and one for each.
+        before = F.sum(F.length(F.coalesce("text", F.lit(""))) + 1).over(Window.partitionBy("site").orderBy("page_ord").rowsBetween(Window.unboundedPreceding, -1))
+        own = own.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < chars).withColumn("text", F.substring("text", F.lit(1), (chars - F.col("before")).cast("int")))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_ord", "text"))), lambda x: x["text"]), "\n")
-    return own.groupBy("site").agg((F.substring(joined, 1, chars) if chars else joined).alias(name))
+    return own.groupBy("site").agg(joined.alias(name))

@@ -11,16 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import fixed
+
 PARSED = (
     "struct<title: string, meta_description: string, og_site_name: string, og_title: string, lang_attr: string, canonical: string, text: string, headings: array<string>, "
     "links: array<struct<href: string, anchor: string>>, jsonld: array<string>, dates: array<string>, blocks: array<string>, images: array<string>, fields: array<string>, quotes: array<string>>"
 )
-#: Fixed by what a visible text is: tags without text of their own, and tags that break lines.
-SILENT = frozenset("script style noscript svg iframe canvas template head video audio picture source".split())
-BREAKING = frozenset("p div li ul ol br hr h1 h2 h3 h4 h5 h6 tr td th table section article header footer blockquote figcaption nav aside main form pre dd dt dl address summary details option label button".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Meta names whose content is a date.
-DATE_META = frozenset("article:modified_time article:published_time og:updated_time last-modified date dc.date datepublished datemodified revised".split())
+SILENT, BREAKING, VOID, DATE_META = map(frozenset, (fixed.SILENT_TAGS, fixed.BREAKING_TAGS, fixed.VOID_TAGS, fixed.DATE_NAMES))
 QUOTE_CLASS = re.compile(r"testimonial|review|quote|case-?stud|success", re.I)
 
 

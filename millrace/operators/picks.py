@@ -18,13 +18,19 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(best.alias("row_")).select(*keys, *(F.col("row_")[c].alias(c) for c in rest))
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank", start: int = 0) -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1 + start)
+def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank", start: int = 0, most: int | None = None) -> DataFrame:
+    """``df`` with each row's place within its key, from ``start``; with ``most``, at most so many rows of a key.
+
+    The bare row number is compared, which Spark recognises: each task then keeps only that many rows of a key before the shuffle."""
+    out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if most is not None:
+        out = out.where(F.col(name) <= most)
+    return out.withColumn(name, F.col(name) - 1 + start)
 
 
 def top_by(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """At most ``n`` rows of each key, the first by ``order``."""
-    return ranked(df, keys, order, "rank_").where(F.col("rank_") < n).drop("rank_")
+    return ranked(df, keys, order, "rank_", most=n).drop("rank_")
 
 
 def within_budget(df: DataFrame, keys: list[str], order: list[Column], amount: Column, budget: float) -> DataFrame:

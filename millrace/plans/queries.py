@@ -241,7 +241,7 @@ _STOP = ", ".join(f"'{w}'" for w in fixed.QUERY_STOP)
 
 
 @query(rf"""
-WITH q AS (SELECT conv_id, substr(text, 1, 200) AS q FROM conversations WHERE turn = 0),
+WITH q AS (SELECT conv_id, text AS q FROM conversations WHERE turn = 0),
 t AS (SELECT conv_id, list_filter(regexp_extract_all(regexp_replace(regexp_replace(lower(q), 'site:\S+', ' ', 'g'), '["''()]', ' ', 'g'), '([a-z0-9][a-z0-9.\-]+)', 1), lambda t: length(t) > 2 AND NOT list_contains([{_STOP}], t)) AS terms FROM q),
 r AS (SELECT c.conv_id, terms, lower(concat_ws(' ', role, text, '')) AS blob FROM conversations c JOIN t USING (conv_id) WHERE turn > 0)
 SELECT conv_id, avg(CASE WHEN len(terms) = 0 OR len(list_filter(terms, lambda x: contains(blob, x))) >= least(2, len(terms)) THEN 1.0 ELSE 0.0 END) AS relevance, count(*) AS n FROM r GROUP BY conv_id
@@ -249,7 +249,7 @@ SELECT conv_id, avg(CASE WHEN len(terms) = 0 OR len(list_filter(terms, lambda x:
 def query_terms_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first turn as query, later turns as its results."""
     c = table(spark, sf_dir, "conversations")
-    q = c.where("turn = 0").select(F.col("conv_id").alias("qid"), F.substring("text", 1, 200).alias("query"))
+    q = c.where("turn = 0").select(F.col("conv_id").alias("qid"), F.col("text").alias("query"))
     r = c.where("turn > 0").join(q, F.col("conv_id") == F.col("qid")).select("conv_id", "query", F.col("role").alias("title"), F.col("text").alias("snippet"), F.lit("").alias("url"))
     return discovery.relevance(r, ["conv_id"])
 
@@ -537,9 +537,13 @@ def listicle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.list_links(p, headings, spark.createDataFrame([(b,) for b in BLOCKED], "domain string")).select("site", "domain", "url", "anchor", "score")
 
 
+#: Types in order of preference, as the oracle states them.
+_TYPE_ORDER = ["webinar", "vsl", "application", "challenge", "quiz", "lead_magnet", "course_sales", "low_ticket", "book_funnel", "community", "newsletter", "link_in_bio"]
+
+
 @query(f"""
 SELECT page_id, coalesce(arg_max(t, (s, -o)) FILTER (s >= 3), 'landing_page') AS funnel_type FROM (
-  SELECT page_id, unnest([{", ".join(f"struct_pack(t := '{t}', o := {funnels.TYPE_ORDER.index(t)}, s := 3 * len(regexp_extract_all(blob, '(?i)({p})', 1)))" for t, p in fixed.FUNNEL_TYPES)}], recursive := true)
+  SELECT page_id, unnest([{", ".join(f"struct_pack(t := '{t}', o := {_TYPE_ORDER.index(t)}, s := 3 * len(regexp_extract_all(blob, '(?i)({p})', 1)))" for t, p in fixed.FUNNEL_TYPES)}], recursive := true)
   FROM (SELECT page_id, regexp_replace(url, '^[^:]*://', '') || '   ' AS blob FROM pages)) GROUP BY page_id
 """)
 def funnel_type(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local one is set only where the session names none (tests, one machine)."""
+    """A new folder under ``spark.checkpoint.dir``. Where the session names none, a local master gets one of its own; on a cluster that is an error, as executors would not share it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         Path("/tmp/checkpoints").mkdir(exist_ok=True)
         base = f"file://{tempfile.mkdtemp(prefix='millrace-', dir='/tmp/checkpoints')}"
         spark.conf.set("spark.checkpoint.dir", base)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -36,22 +38,22 @@ class EngineHealth:
 
 
 def engine_health(events: DataFrame, rules: EngineHealth | None = None) -> DataFrame:
-    """State of each engine after all its events (``engine, ts, outcome, reason, n_results``), in order of time.
+    """State of each engine after all its events (``engine, ts, outcome, reason, n_results``), in order of time (ties: outcome, then n_results).
 
-    A fold in time order by key; an engine's rows are a group that one task reads in batches, as the state needs all of its past."""
+    What needs the order are the failures in a row, a running count of answers that went well, and the number of blocks before the last one; the rest is counted before the
+    shuffle. An engine without failures has no error, one without blocks no cooldown; an empty table gives an empty one."""
     rules = rules or EngineHealth()
-
-    def fold(key, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["ts", "outcome", "n_results"], ignore_index=True)
-        state = rules.start
-        for r in rows.itertuples():
-            state = rules.step(state, r.ts, r.outcome, r.reason, r.n_results)
-        yield pd.DataFrame([(key[0], *state)], columns=["engine", "queries", "results", "blocked", "failures", "disabled", "cooldown_until", "last_error"])
-
-    def whole(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return next(fold(key, iter([pdf])))
-
-    return events.groupBy("engine").applyInPandas(whole, HEALTH)
+    ok = F.col("outcome") == "ok"
+    along = Window.partitionBy("engine").orderBy("ts", "outcome", "n_results").rowsBetween(Window.unboundedPreceding, 0)
+    runs = events.withColumn("run_", F.sum(ok.cast("int")).over(along)).groupBy("engine", "run_").agg(F.sum((~ok).cast("int")).alias("fails"))
+    streaks = runs.groupBy(F.col("engine").alias("engine_")).agg(F.max_by("fails", "run_").alias("failures"), (F.max("fails") >= rules.most).alias("disabled"))
+    at = F.struct("ts", "outcome", "n_results")
+    sums = events.groupBy("engine").agg(
+        F.count_if(ok).alias("queries"), F.coalesce(F.sum(F.when(ok, F.coalesce("n_results", F.lit(0)))), F.lit(0)).cast("long").alias("results"), F.count_if(F.col("outcome") == "blocked").alias("blocked"),
+        F.max(F.when(F.col("outcome") == "blocked", F.col("ts"))).alias("last_block"), F.max_by("reason", F.when(~ok, at)).alias("last_error"),
+    )
+    until = F.col("last_block") + F.make_dt_interval(secs=rules.cooldown * F.least(F.lit(4), F.col("blocked")))
+    return sums.join(streaks, F.col("engine").eqNullSafe(F.col("engine_"))).select("engine", "queries", "results", "blocked", F.col("failures").cast("long").alias("failures"), "disabled", F.when(F.col("blocked") > 0, until).alias("cooldown_until"), "last_error")
 
 
 class HealthProcessor(StatefulProcessor):
@@ -78,21 +80,36 @@ def stream_engine_health(events: DataFrame) -> DataFrame:
     return events.groupBy("engine").transformWithStateInPandas(HealthProcessor(), HEALTH, "Update", "None")
 
 
-def stream_candidates(batches: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Merges each micro-batch's domains (``domain``) into a candidate table kept as versions ``path/v=<batch>``.
+def stream_candidates(batches: DataFrame, path: str, checkpoint: str, buckets: int = 16) -> StreamingQuery:
+    """Merges each micro-batch's domains (``domain``) into a candidate table, kept in ``buckets`` of domains: ``path/bucket=<b>/v=<batch>``.
 
-    A batch that is tried again writes its own version again, so hits are counted once; the table is the newest version."""
+    A batch rewrites the buckets that it touches, each from its newest older version. A batch that is tried again finds the same older versions and writes its own
+    again, so hits are counted once."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/v={number - 1}") if number else spark.createDataFrame([], "domain string, hits int")
-        merge_candidates(old.select("domain", "hits"), batch).write.mode("overwrite").parquet(f"{path}/v={number}")
+        dealt = batch.select("domain", F.pmod(F.xxhash64("domain"), F.lit(buckets)).cast("int").alias("bucket")).persist()
+        try:
+            for b in sorted(r["bucket"] for r in dealt.select("bucket").distinct().collect()):
+                old = newest_version(spark, path, number - 1, b)
+                merge_candidates(old, dealt.where(F.col("bucket") == b).select("domain")).write.mode("overwrite").parquet(f"{path}/bucket={b}/v={number}")
+        finally:
+            dealt.unpersist()
 
     return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def newest_version(spark: SparkSession, path: str, last: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/v={last}").select("domain", "hits")
+def newest_version(spark: SparkSession, path: str, last: int, bucket: int | None = None) -> DataFrame:
+    """The candidate table (domain, hits) after batch ``last``, or one bucket of it: of each bucket the newest version that is not younger."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    none = spark.createDataFrame([], "domain string, hits int")
+    try:
+        files = found.load(path).select("path", F.regexp_extract("path", r"/bucket=(\d+)/", 1).cast("int").alias("b"), F.regexp_extract("path", r"/v=(\d+)/", 1).cast("int").alias("v")).where(F.col("v") <= last)
+        files = files if bucket is None else files.where(F.col("b") == bucket)
+        newest = files.join(files.groupBy("b").agg(F.max("v").alias("v")), ["b", "v"]).select("path").collect()
+    except AnalysisException:  # nothing has been written yet
+        return none
+    return spark.read.schema("domain string, hits int").parquet(*(r["path"] for r in newest)) if newest else none
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
