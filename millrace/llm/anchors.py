@@ -21,7 +21,7 @@ from millrace.llm import rolling as R
 from millrace.llm.common import stored
 
 #: Anchors of a chunk, about; a document with more is a chunk of its own.
-CHUNK_ANCHORS = 1_000_000
+CHUNK_ANCHORS = 500_000
 #: Text of a group of documents, and text whose anchors or windows a hash bucket gets, about. Their numbers follow the input, so that a group's memory does not.
 PART_BYTES, BUCKET_BYTES, ROW_BYTES = 6 << 20, 12 << 20, 64
 #: Hashes of all anchors of some texts (data, offsets), anchors of each text, and which of them are reference blocks (None: all).
@@ -60,13 +60,25 @@ class Chunk:
                 self.docs.append((i, k, self.n, c))
                 self.n += c
 
-    def close(self):
-        """Key; hash, least position and block mark of each distinct anchor; positions of the anchors that two documents of this chunk share; least and each
-        further position of the other anchors, those that one document has several times, by the further one."""
-        h, block = np.concatenate(self.hashes), np.concatenate(self.blocks)
+    def _by_hash(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order of the anchors by hash, their hashes in that order, and where each distinct one begins."""
+        h = np.concatenate(self.hashes)
         order = np.argsort(h, kind="stable")
         s = h[order]
-        head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        return order, s, np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+
+    def key(self) -> int:
+        return int(np.array([self.sum.intdigest()], dtype=R.U).view(np.int64)[0])
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, least position and block mark of each distinct anchor."""
+        order, s, head = self._by_hash()
+        return s[head], order[head], np.logical_or.reduceat(np.concatenate(self.blocks)[order], head)
+
+    def repeated(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the anchors that two documents of this chunk share; least and each further position of the other anchors, those that one
+        document has several times, by the further one."""
+        order, s, head = self._by_hash()
         doc = np.repeat(np.arange(len(self.docs)), [d[3] for d in self.docs])[order]
         two = np.maximum.reduceat(doc, head) > np.minimum.reduceat(doc, head)
         size = np.diff(np.append(head, len(s)))
@@ -74,9 +86,7 @@ class Chunk:
         further = np.repeat(~two, size)
         further[head] = False
         again = np.column_stack([np.repeat(order[head], size)[further], order[further]])
-        again = again[np.argsort(again[:, 1], kind="stable")]
-        key = np.array([self.sum.intdigest()], dtype=R.U).view(np.int64)[0]
-        return int(key), s[head], order[head], np.logical_or.reduceat(block[order], head), shared, again
+        return shared, again[np.argsort(again[:, 1], kind="stable")]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], scan: Scan) -> Iterator[Chunk]:
@@ -95,7 +105,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], scan: Scan) -> Iterator[Chunk]:
 def _probes(scan: Scan, buckets: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, scan):
-            key, h, at, block, *_ = chunk.close()
+            key, (h, at, block) = chunk.key(), chunk.distinct()
             bucket = (h % R.U(buckets)).astype(np.int32)
             order = np.lexsort((at, bucket))
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -112,7 +122,7 @@ def _probes(scan: Scan, buckets: int):
 def _directory(scan: Scan):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, scan):
-            key, _, _, _, shared, again = chunk.close()
+            key, (shared, again) = chunk.key(), chunk.repeated()
             ids, keys, first, n = zip(*chunk.docs, strict=True)
             cut = np.searchsorted(shared, [*first, chunk.n])
             local = [(shared[cut[i] : cut[i + 1]] - first[i]).astype("<u4").tobytes() for i in range(len(first))]
@@ -187,7 +197,7 @@ def shared_anchors(docs: DataFrame, scan: Scan, parts: int, buckets: int, name:
     for each chunk.
     """
     probes = docs.mapInArrow(_probes(scan, buckets), "bucket int, chunk long, hashes binary, steps binary, rest binary, blocks binary")
-    hits = probes.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_match, "chunk long, steps binary, rest binary")
+    hits = probes.repartitionById(buckets, "bucket").groupBy("bucket").applyInPandas(_match, "chunk long, steps binary, rest binary")
     directory = docs.mapInArrow(_directory(scan), "chunk long, doc_id long, doc_key long, first long, n long, local binary, inner binary")
     by_doc = directory.repartition(parts, "chunk").groupBy("chunk").cogroup(hits.repartition(parts, "chunk").groupBy("chunk")).applyInPandas(_to_documents, "doc_id long, doc_key long, hits binary")
     return in_parts(stored(by_doc.dropDuplicates(["doc_id", "doc_key"]), f"{name}-hits"), parts)
@@ -195,7 +205,7 @@ def shared_anchors(docs: DataFrame, scan: Scan, parts: int, buckets: int, name:
 
 def in_parts(df: DataFrame, parts: int) -> DataFrame:
     """``df`` with ``part``, one of so many groups of documents by ``doc_key``, and dealt by it."""
-    return df.withColumn("part", F.pmod(F.xxhash64("doc_key"), F.lit(parts)).cast("int")).repartition(parts, "part")
+    return df.withColumn("part", F.pmod(F.xxhash64("doc_key"), F.lit(parts)).cast("int")).repartitionById(parts, "part")
 
 
 def with_hits(docs: pa.Table, hits: pa.Table) -> pa.Table:

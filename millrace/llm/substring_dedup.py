@@ -167,9 +167,9 @@ def repeated_passages(docs: DataFrame, width: int = 50, id_col: str = "doc_id",
     hits = shared_anchors(docs, _scan(width // 2), parts, n, "passages")
     docs = in_parts(docs, parts)
     windows = docs.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(_windows(width, n), "bucket int, part int, windows binary, least binary")
-    smaller = windows.repartition(n, "bucket").groupBy("bucket").applyInPandas(_smaller, "part int, windows binary, least binary")
+    smaller = windows.repartitionById(n, "bucket").groupBy("bucket").applyInPandas(_smaller, "part int, windows binary, least binary")
     # Both cogroups read the same exchange of the texts.
-    found = hits.unionByName(smaller, allowMissingColumns=True).repartition(parts, "part")
+    found = hits.unionByName(smaller, allowMissingColumns=True).repartitionById(parts, "part")
     cut = docs.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cut(width), "doc_id long, doc_key long, n_removed long, spans array<struct<start: long, end: long>>, kept_text string")
     return cut.dropDuplicates(["doc_id", "doc_key"])
 

@@ -393,9 +393,9 @@ def repeated_bytes(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     hits = shared_anchors(docs, _scan(width), parts, n, "suffixes")
     docs = in_parts(docs, parts)
     sent = docs.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(_send(width, n), "bucket int, part int, content binary, size binary, ahead binary, least binary")
-    smaller = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_columns(width), "bucket int, part int, segments binary, least binary")
+    smaller = sent.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_columns(width), "bucket int, part int, segments binary, least binary")
     # Both cogroups read the same exchange of the texts.
-    found = hits.unionByName(smaller, allowMissingColumns=True).repartition(parts, "part")
+    found = hits.unionByName(smaller, allowMissingColumns=True).repartitionById(parts, "part")
     cut = docs.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_cut(width, n), "doc_id long, doc_key long, n_removed long, spans array<struct<start: long, end: long>>, kept_bytes binary")
     return cut.dropDuplicates(["doc_id", "doc_key"])
 
