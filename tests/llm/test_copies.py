@@ -7,7 +7,7 @@ import xxhash
 
 from millrace.llm.components import components
 from millrace.llm.decontamination import contaminated, decontaminate
-from millrace.llm.simhash_dedup import drop_near_duplicates, op10_simhash_dedup, simhash_components
+from millrace.llm.simhash_dedup import N_PIVOTS, drop_near_duplicates, fingerprint_links, op10_simhash_dedup, pivot_table, simhash_components
 
 
 def fingerprint(text, width):
@@ -118,3 +118,14 @@ def test_contamination_in_parts(spark, sf, monkeypatch):
     monkeypatch.setattr(decontamination, "INDEX_BYTES", 3000)
     assert sorted(contaminated(d, b).collect()) == whole
     assert {(r["doc_id"], r["item_id"]) for r in whole} == set(brute_matches([(r["doc_id"], r["text"]) for r in d.collect()], [(r["item_id"], r["text"]) for r in b.collect()]))
+
+
+def test_links_come_through_the_pivot_table(spark):
+    fps = [0, 0b1111, 0b11111 << 20, (1 << 64) - 1, (1 << 64) - 8]
+    table = pivot_table(spark.createDataFrame([(bytearray(x.to_bytes(8, "big")),) for x in fps], "fp binary"))
+    assert all(len(r["pivots"]) == N_PIVOTS for r in table.collect())
+    links = {frozenset((int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big"))) for r in fingerprint_links(table).collect()}
+    assert links == {frozenset((0, 0b1111)), frozenset(((1 << 64) - 1, (1 << 64) - 8))}
+    # With other distances in the table, pairs are discarded before they are verified.
+    wrong = table.selectExpr("fp", "case when conv(hex(fp), 16, 10) % 2 = 0 then unhex(repeat('00', 8)) else unhex(repeat('30', 8)) end as pivots")
+    assert fingerprint_links(wrong).count() == 0
