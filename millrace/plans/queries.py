@@ -224,7 +224,12 @@ def phone_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(F.size("p") > 0).select("doc_id", F.size("p").alias("n_phones"), F.array_join(F.array_sort("p"), ";").alias("phones"))
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+q AS (SELECT doc_id, unnest(string_split(regexp_replace(trim(line), '([.!?])\s+([A-Z"“(])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS s FROM p),
+n AS (SELECT doc_id, count(*) AS n, sum(length(trim(s))) AS c FROM q WHERE trim(s) <> '' GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(n, 0) END::INT AS n_sentences, CASE WHEN text IS NOT NULL THEN coalesce(c, 0) END::INT AS chars FROM documents d LEFT JOIN n USING (doc_id)
+""")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = text.sentences(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(s).alias("n_sentences"), F.aggregate(s, F.lit(0), lambda acc, x: acc + F.length(x)).alias("chars"))
@@ -280,7 +285,21 @@ def titlecase_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("phrase").agg(F.count("*").alias("n"), F.bround(F.max(text.titlecase_ratio(F.col("phrase"))), 4).alias("ratio")).where("n > 1")
 
 
-@query()
+def _language_sql() -> str:
+    """Function words of each language counted over the words of a cleaned sample."""
+    lists = {code: ", ".join(f"'{w}'" for w in words.split()) for code, words in text.FUNCTION_WORDS.items()}
+    hits = ", ".join(f"len(list_filter(toks, lambda x: list_contains([{words}], x))) AS n_{code}" for code, words in lists.items())
+    best = " ".join(f"WHEN n_{c} = greatest({', '.join(f'n_{x}' for x in lists)}) THEN '{c}'" for c in lists)
+    return rf"""
+WITH s AS (SELECT doc_id, lang, trim(regexp_replace(substr(regexp_replace(coalesce(text, ''), '(https?://\S+|\S+@\S+|[\d$€£%]+|[^\p{{L}}\p{{N}}_\s''’.,!?-])', ' ', 'g'), 1, 8000), '\s+', ' ', 'g')) AS t FROM documents),
+w AS (SELECT doc_id, lang, length(t) AS chars, regexp_split_to_array(lower(t), '[^\p{{L}}]+') AS toks FROM s), h AS (SELECT doc_id, lang, chars, {hits} FROM w),
+b AS (SELECT *, {' + '.join(f'n_{c}' for c in lists)} AS total, greatest({', '.join(f'n_{c}' for c in lists)}) AS top, CASE {best} END AS best FROM h),
+r AS (SELECT doc_id, lang, CASE WHEN chars < 120 OR total = 0 THEN 'und' ELSE best END AS code, CASE WHEN chars < 120 OR total = 0 THEN 0.0 ELSE top::DOUBLE / total END AS c FROM b)
+SELECT doc_id, lang, code, round_even(c, 3) AS confidence, code = 'en' AND c >= 0.75 AS english FROM r
+"""
+
+
+@query(_language_sql())
 def language_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = text.with_language(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), F.col("text"), F.lit(""), "l")
     return d.select("doc_id", "lang", F.col("l.code").alias("code"), F.bround("l.confidence", 3).alias("confidence"), ((F.col("l.code") == "en") & (F.col("l.confidence") >= fixed.ENGLISH_CONFIDENCE)).alias("english"))
@@ -401,10 +420,29 @@ def best_child_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leads.best_clients(c, f).select("domain", F.col("client.name").alias("client_name"), "clients_count")
 
 
-@query()
+@query(f"""
+WITH {_LEADS_SQL}, f AS (SELECT domain, client_name, string_agg(url, '+' ORDER BY confidence DESC, url) AS fs FROM funnels GROUP BY domain, client_name),
+c AS (SELECT c.domain, string_agg(name || '/' || status || '/' || coalesce(fs, ''), ' ' ORDER BY confidence DESC, name) AS clients FROM clients c LEFT JOIN f ON f.domain = c.domain AND f.client_name = c.name GROUP BY c.domain),
+e AS (SELECT domain, string_agg(email, ' ' ORDER BY rank, email) AS emails FROM emails GROUP BY domain)
+SELECT a.domain, score, coalesce(emails, '') AS emails, coalesce(clients, '') AS clients FROM agencies a LEFT JOIN e USING (domain) LEFT JOIN c USING (domain)
+""")
 def lead_detail_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested lists of each lead, written out in their order."""
     d = leads.lead_detail(*_lead_tables(spark, sf_dir))
-    return d.select("domain", "score", F.coalesce(F.transform("emails", lambda e: e["email"]), F.array().cast("array<string>")).alias("emails"), F.to_json("clients").alias("clients"))
+    urls_of = lambda c: F.array_join(F.transform(F.coalesce(c["funnels"], F.array()), lambda f: f["url"]), "+")
+    line = lambda c: F.concat(c["name"], F.lit("/"), c["status"], F.lit("/"), urls_of(c))
+    return d.select("domain", "score", F.coalesce(F.array_join(F.transform("emails", lambda e: e["email"]), " "), F.lit("")).alias("emails"), F.coalesce(F.array_join(F.transform("clients", line), " "), F.lit("")).alias("clients"))
+
+
+@query(f"""
+WITH {_LEADS_SQL}, e AS (SELECT domain, arg_min(email, (rank, email)) AS email, string_agg(email, ';' ORDER BY rank, email) AS all_emails FROM emails GROUP BY domain),
+f AS (SELECT domain, client_name, arg_min(url, (-confidence, url)) AS url FROM funnels GROUP BY domain, client_name), k AS (SELECT c.*, f.url AS funnel FROM clients c LEFT JOIN f ON f.domain = c.domain AND f.client_name = c.name),
+c AS (SELECT domain, arg_min(name, (CASE WHEN status = 'resolved' THEN 0 ELSE 1 END, CASE WHEN funnel IS NOT NULL THEN 0 ELSE 1 END, -confidence, name)) AS client, count(*) AS clients_count FROM k GROUP BY domain)
+SELECT a.domain, e.email, coalesce(all_emails, '') AS all_emails, client, k.funnel, coalesce(clients_count, 0) AS clients_count FROM agencies a LEFT JOIN e USING (domain) LEFT JOIN c USING (domain) LEFT JOIN k ON k.domain = a.domain AND k.name = c.client
+""")
+def lead_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = leads.lead_summary(*_lead_tables(spark, sf_dir))
+    return s.select("domain", F.col("primary.email").alias("email"), F.coalesce(F.array_join("all_emails", ";"), F.lit("")).alias("all_emails"), F.col("client.name").alias("client"), F.col("funnel.url").alias("funnel"), "clients_count")
 
 
 @query(f"""
@@ -574,10 +612,11 @@ def _serp_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH e AS (SELECT 'engine' || user_id % 40 AS engine, CASE event_type WHEN 'error' THEN 'blocked' WHEN 'signup' THEN 'failed' ELSE 'ok' END AS outcome, event_type, ts, event_id FROM events),
 w AS (SELECT *, sum((outcome = 'ok')::INT) OVER (PARTITION BY engine ORDER BY ts, outcome, event_id) AS run FROM e), f AS (SELECT engine, run, count(*) FILTER (outcome <> 'ok') AS fails FROM w GROUP BY engine, run)
 SELECT engine, count(*) FILTER (outcome = 'ok') AS queries, sum(CASE WHEN outcome = 'ok' THEN event_id ELSE 0 END)::BIGINT AS results, count(*) FILTER (outcome = 'blocked') AS blocked,
-  (SELECT fails FROM f WHERE f.engine = e.engine ORDER BY run DESC LIMIT 1) AS failures, (SELECT max(fails) >= 4 FROM f WHERE f.engine = e.engine) AS disabled FROM e GROUP BY engine
+  (SELECT fails FROM f WHERE f.engine = e.engine ORDER BY run DESC LIMIT 1) AS failures, (SELECT max(fails) >= 4 FROM f WHERE f.engine = e.engine) AS disabled,
+  max(ts) FILTER (outcome = 'blocked') + to_seconds(900 * least(4, count(*) FILTER (outcome = 'blocked'))) AS cooldown_until, arg_max(event_type, (ts, outcome, event_id)) FILTER (outcome <> 'ok') AS last_error FROM e GROUP BY engine
 """)
 def engine_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incremental.engine_health(_serp_events(spark, sf_dir)).select("engine", "queries", "results", "blocked", "failures", "disabled")
+    return incremental.engine_health(_serp_events(spark, sf_dir)).select("engine", "queries", "results", "blocked", "failures", "disabled", F.col("cooldown_until").cast("timestamp_ntz").alias("cooldown_until"), "last_error")
 
 
 @query("""

@@ -192,3 +192,110 @@ def site_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scoring.scored(facts)
     parts = [F.col(f"breakdown.{c}").cast("double").alias(c) for c in ("services_score", "icp_score", "client_score", "agency_score")] + [F.col(f"breakdown.{c}").alias(c) for c in ("fresh_score", "contact_score", "penalties")]
     return s.select("site", "score", "status", "tier", "reject_reason", *parts, F.array_join("breakdown.flags", ",").alias("flags"), F.array_join(F.array_sort("services"), ",").alias("services"))
+
+
+# --- merges, queues, texts -------------------------------------------------------------------------------------------
+
+_OLD_NEW = """
+SELECT 'c' || c_custkey AS domain, c_custkey AS k, c_custkey % 3 <> 0 AS was, c_custkey % 2 = 0 AS now_, CASE WHEN c_custkey % 5 = 0 THEN 'note ' || c_custkey END AS old_note, CASE WHEN c_custkey % 7 = 0 THEN 'old founder' END AS old_founder,
+  CASE WHEN c_custkey % 11 = 0 THEN 'new founder' END AS new_founder FROM {customer}
+"""
+
+
+@query(f"""
+WITH x AS ({duck(_OLD_NEW)}) SELECT domain, CASE WHEN now_ THEN 'new name' ELSE 'old name' END AS name, CASE WHEN was THEN old_note END AS notes, CASE WHEN now_ THEN coalesce(new_founder, CASE WHEN was THEN old_founder END) ELSE old_founder END AS founder FROM x WHERE was OR now_
+""")
+def lead_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New facts over old leads, merged twice: a batch that is tried again changes nothing more."""
+    x = made_up(spark, sf_dir, _OLD_NEW)
+    old = x.where("was").select("domain", F.lit("old name").alias("name"), F.col("old_note").alias("notes"), F.col("old_founder").alias("founder"))
+    new = x.where("now_").select("domain", F.lit("new name").alias("name"), F.lit(None).cast("string").alias("notes"), F.col("new_founder").alias("founder"))
+    return merges.merge_agencies(merges.merge_agencies(old, new, kept=("notes",)), new, kept=("notes",))
+
+
+@query("""
+SELECT 'c' || c_custkey AS domain, 'A' || c_custkey || '@M.test' AS email, CASE WHEN c_custkey % 4 = 0 THEN 'unverified' WHEN c_custkey % 3 = 0 THEN 'invalid' ELSE 'smtp_valid' END AS verification, CASE WHEN c_custkey % 4 <> 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END END AS verified_at FROM customer
+""")
+def email_checks_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of addresses known before stay with them, the newest of several, whatever the case."""
+    c = made_up(spark, sf_dir, "SELECT 'c' || c_custkey AS domain, c_custkey AS k FROM {customer}")
+    known = c.where("k % 4 <> 0").select("domain", "k", F.concat(F.lit("a"), "k", F.lit("@m.test")).alias("email"))
+    old = known.select("domain", "email", F.lit("smtp_valid").alias("verification"), F.lit(1).alias("verified_at")).unionByName(known.where("k % 3 = 0").select("domain", "email", F.lit("invalid").alias("verification"), F.lit(2).alias("verified_at")))
+    return merges.merge_emails(old, c.select("domain", F.concat(F.lit("A"), "k", F.lit("@M.test")).alias("email"), F.lit("unverified").alias("verification")))
+
+
+_SEEN = """
+SELECT c_custkey AS k, CASE c_custkey % 7 WHEN 0 THEN 'https://www.firm' || c_custkey || '.test/x' WHEN 1 THEN 'https://instagram.com/f' || c_custkey WHEN 2 THEN 'https://blocked.test/' || c_custkey WHEN 3 THEN 'https://a.b.blocked.test/' || c_custkey
+  WHEN 4 THEN 'http://localhost/' || c_custkey WHEN 5 THEN 'https://firm' || c_custkey || '.co.uk' ELSE 'https://ann' || c_custkey || '.mykajabi.com/p' END AS url, CASE WHEN c_custkey % 5 = 0 THEN 'done' ELSE 'new' END AS status FROM {customer}
+"""
+
+
+@query(f"WITH x AS ({duck(_SEEN)}) SELECT k, CASE k % 7 WHEN 0 THEN 'firm' || k || '.test' WHEN 5 THEN 'firm' || k || '.co.uk' ELSE 'ann' || k || '.mykajabi.com' END AS domain FROM x WHERE k % 7 IN (0, 5, 6)")
+def candidate_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merges.admissible(made_up(spark, sf_dir, _SEEN), spark.createDataFrame([("blocked.test",)], "domain string")).select("k", "domain")
+
+
+@query(f"WITH x AS ({duck(_SEEN)}) SELECT 'd' || k AS domain, (k % 13)::INT AS hits FROM x WHERE status = 'new' ORDER BY k % 13 DESC, 'd' || k LIMIT 20")
+def crawl_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 candidates to crawl next."""
+    from millrace.operators.discovery import crawl_queue
+
+    x = made_up(spark, sf_dir, _SEEN).select(F.concat(F.lit("d"), "k").alias("domain"), (F.col("k") % 13).cast("int").alias("hits"), "status")
+    return crawl_queue(x, limit=20).select("domain", "hits")
+
+
+_STAGES = "SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'qualified' WHEN 1 THEN 'review' ELSE 'rejected' END AS status, CASE c_custkey % 5 WHEN 0 THEN 'clients_done' WHEN 1 THEN 'founders_done' WHEN 2 THEN 'emails_done' END AS enrich_stage FROM {customer}"
+
+
+@query(f"""
+WITH x AS ({duck(_STAGES)}) SELECT 'clients' AS stage, k FROM x WHERE status <> 'rejected' AND enrich_stage IS NULL UNION ALL SELECT 'founders', k FROM x WHERE status <> 'rejected' AND coalesce(enrich_stage, '') <> 'founders_done'
+UNION ALL SELECT 'emails', k FROM x WHERE status <> 'rejected' AND coalesce(enrich_stage, '') <> 'emails_done' UNION ALL SELECT 'forced', k FROM x WHERE status <> 'rejected'
+""")
+def stage_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each stage still has to work on, and what it takes by force."""
+    from millrace.plans.pipeline import stage_rows
+
+    x = made_up(spark, sf_dir, _STAGES)
+    rows = [stage_rows(x, s).select(F.lit(s).alias("stage"), "k") for s in ("clients", "founders", "emails")] + [stage_rows(x, "clients", force=True).select(F.lit("forced").alias("stage"), "k")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+@query("""
+WITH d AS (SELECT coalesce(source, '-') AS site, doc_id, coalesce(text, '') AS t, CASE WHEN doc_id % 2 = 0 THEN 'about' ELSE 'blog' END AS kind FROM documents), o AS (SELECT site, string_agg(t, chr(10) ORDER BY doc_id) AS t FROM d WHERE kind = 'about' GROUP BY site)
+SELECT site, length(substr(t, 1, 5000)) AS chars, md5(substr(t, 1, 5000)) AS digest FROM o
+""")
+def site_texts_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 5000 characters of each site's pages of one kind, in their order."""
+    d = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("-")).alias("site"), F.col("doc_id").alias("page_ord"), F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("doc_id") % 2 == 0, "about").otherwise("blog").alias("kind"))
+    return crawl.site_texts(d, ["about"], 5000).select("site", F.length("text").cast("long").alias("chars"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE '20' || lpad((10 + c_custkey % 14)::VARCHAR, 2, '0') || '-0' || (1 + c_custkey % 9) || '-11' END AS newest FROM customer")
+def newest_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest day of a page's dates; those beyond next year and before 2000 don't count, nor what is no day."""
+    c = made_up(spark, sf_dir, "SELECT c_custkey AS k, '20' || lpad(CAST(10 + c_custkey % 14 AS STRING), 2, '0') || '-0' || (1 + c_custkey % 9) || '-11' AS day FROM {customer}")
+    others = F.array(F.lit("2099-01-01"), F.lit("1998-05-05"), F.lit("soon"), F.lit("2005-02-03T10:00:00Z"))
+    dates = F.when(F.col("k") % 4 == 3, F.slice(others, 1, 3)).otherwise(F.concat(others, F.array(F.concat("day", F.lit("T01:02:03")))))
+    return c.select("k", crawl.newest_date(dates, F.lit(AS_OF).cast("date")).alias("newest"))
+
+
+@query("SELECT 'site' || c_custkey || '.test' AS site, 'https://site' || c_custkey || '.test/p' || i AS url, CASE WHEN c_custkey % 2 = 0 THEN '2024-03-0' || (1 + c_custkey % 5) END AS newest FROM customer, (SELECT unnest([1, 2, 3]) AS i) WHERE c_custkey % 3 = 0 OR i < 3")
+def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of sitemaps, reached through an index that also names an image map; a third of the sites have a second map."""
+    c = made_up(spark, sf_dir, "SELECT 'site' || c_custkey || '.test' AS site, c_custkey AS k FROM {customer}")
+    at = lambda path: F.concat(F.lit("https://"), "site", F.lit(path))
+    tag = lambda name, inner, mod=None: F.concat(F.lit(f"<{name}><loc>"), inner, F.lit("</loc>"), mod if mod is not None else F.lit(""), F.lit(f"</{name}>"))
+    mod = F.when(F.col("k") % 2 == 0, F.concat(F.lit("<lastmod>2024-03-0"), 1 + F.col("k") % 5, F.lit("</lastmod>"))).otherwise(F.lit(""))
+    index = F.concat(F.lit("<sitemapindex>"), tag("sitemap", at("/a.xml")), F.when(F.col("k") % 3 == 0, tag("sitemap", at("/b.xml"))).otherwise(F.lit("")), tag("sitemap", at("/image-map.xml")), F.lit("</sitemapindex>"))
+    first = F.concat(F.lit("<urlset>"), tag("url", at("/p1"), mod), tag("url", at("/p2")), tag("url", at("/p1")), F.lit("</urlset>"))
+    second, image = F.concat(F.lit("<urlset>"), tag("url", at("/p3")), F.lit("</urlset>")), F.concat(F.lit("<urlset>"), tag("url", at("/i.png")), F.lit("</urlset>"))
+    docs = c.select("site", F.explode(F.array(*(F.struct(at(p).alias("doc_url"), x.alias("xml")) for p, x in (("/map.xml", index), ("/a.xml", first), ("/b.xml", second), ("/image-map.xml", image))))).alias("d")).select("site", "d.*")
+    return crawl.sitemap_walk(docs, c.select("site", at("/map.xml").alias("doc_url"))).select("site", "url", "newest")
+
+
+@query("SELECT lower(r_name) AS text, n_name AS country, engine FROM region, nation, (SELECT unnest(['one', 'two']) AS engine)")
+def search_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries by countries by engines."""
+    from millrace.operators import discovery
+
+    return discovery.search_plan(table(spark, sf_dir, "region").select(F.lower("r_name").alias("text")), table(spark, sf_dir, "nation").select(F.col("n_name").alias("country")), spark.createDataFrame([("one",), ("two",)], "engine string"))
