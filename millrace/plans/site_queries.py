@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed, names, text, urls
-from millrace.operators import company, contacts, crawl, funnels, merges, scoring
+from millrace.operators import company, contacts, crawl, funnels, merges, people, scoring
 from millrace.plans.queries import AS_OF, query
 from millrace.sources.tables import table
 
@@ -299,3 +299,230 @@ def search_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.operators import discovery
 
     return discovery.search_plan(table(spark, sf_dir, "region").select(F.lower("r_name").alias("text")), table(spark, sf_dir, "nation").select(F.col("n_name").alias("country")), spark.createDataFrame([("one",), ("two",)], "engine string"))
+
+
+# --- contacts -------------------------------------------------------------------------------------------------------
+
+#: Home, contact and blog pages with addresses in all five channels.
+_CONTACT_PAGES = """
+WITH c AS (SELECT c_custkey AS k, 's' || c_custkey || '.org' AS site FROM {customer})
+SELECT site, k, 1 AS page_ord, 'home' AS kind, 'https://' || site || '/' AS url, '<a href="mailto:Info@' || site || '?subject=x">Mail</a> <script>"email": "press@' || site || '"</script>' AS html, 'Write to ann@' || site || '. Call +1 415 555 ' || CAST(1000 + k % 9000 AS STRING) || ' today.' AS text FROM c
+UNION ALL SELECT site, k, 2, 'contact', 'https://' || site || '/contact', '<p>none</p>', 'Write to bob [at] ' || site || ' or ann@' || site || ' or sam@gmail.com or zoe@other' || CAST(k AS STRING) || '.com' FROM c
+UNION ALL SELECT site, k, 3, 'blog', 'https://' || site || '/blog', '<p></p>', 'logo@2x.png and noreply@' || site FROM c WHERE k % 2 = 0
+"""
+
+
+@query("""
+WITH s AS (SELECT 's' || c_custkey || '.org' AS site, c_custkey AS k FROM customer),
+e AS (SELECT site, 'info@' || site AS email, 'mailto' AS source, '/' AS page, TRUE AS same_domain, 0.95 AS confidence, 2 AS bucket, 1 AS page_ord, 0 AS found FROM s
+  UNION ALL SELECT site, 'press@' || site, 'jsonld', '/', TRUE, 0.65, 4, 1, 2 FROM s UNION ALL SELECT site, 'ann@' || site, 'text', '/contact', TRUE, 0.95, 0, 2, 0 FROM s
+  UNION ALL SELECT site, 'bob@' || site, 'obfuscated', '/contact', TRUE, 0.95, 0, 2, 3 FROM s UNION ALL SELECT site, 'sam@gmail.com', 'text', '/contact', FALSE, 0.7, 0, 2, 1 FROM s UNION ALL SELECT site, 'zoe@other' || k || '.com', 'text', '/contact', FALSE, 0.45, 0, 2, 2 FROM s)
+SELECT site, email, source, 'https://' || site || page AS page_url, same_domain, confidence::DOUBLE AS confidence, (row_number() OVER (PARTITION BY site ORDER BY CASE WHEN same_domain THEN 0 ELSE 1 END, bucket, confidence DESC, page_ord, found) - 1)::INT AS rank FROM e
+""")
+def site_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of sites from all channels, each once with its best finding, ranked."""
+    return contacts.site_emails(made_up(spark, sf_dir, _CONTACT_PAGES))
+
+
+@query("SELECT 's' || c_custkey || '.org' AS site, '+1 415 555 ' || (1000 + c_custkey % 9000)::VARCHAR AS phones FROM customer")
+def site_phone_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contacts.site_phones(made_up(spark, sf_dir, _CONTACT_PAGES)).select("site", F.array_join("phones", ";").alias("phones"))
+
+
+_LINKED = """
+WITH c AS (SELECT c_custkey AS k, 's' || c_custkey || '.org' AS site FROM {customer})
+SELECT site, 1 AS page_ord, 'home' AS kind, 'https://' || site || '/' AS url, l.link_ord AS link_ord, l.href AS href, l.anchor AS anchor, k FROM c, (SELECT 0 AS link_ord, 'https://www.instagram.com/firm?hl=en' AS href, 'Insta' AS anchor UNION ALL SELECT 1, 'https://instagram.com/second', 'x'
+  UNION ALL SELECT 2, 'https://www.facebook.com/sharer.php?u=1', 'Share' UNION ALL SELECT 3, '/book-a-call', 'Book' UNION ALL SELECT 4, 'https://calendly.com/firm/call', 'Talk' UNION ALL SELECT 5, 'https://www.linkedin.com/company/firm/', 'LinkedIn' UNION ALL SELECT 6, 'mailto:x@y.org', 'Mail') l
+WHERE NOT (l.link_ord = 4 AND k % 2 = 0) AND NOT (l.link_ord >= 3 AND k % 5 = 0)
+"""
+
+
+@query("""
+WITH s AS (SELECT 's' || c_custkey || '.org' AS site, c_custkey AS k FROM customer)
+SELECT site, 'https://www.instagram.com/firm' AS instagram, CASE WHEN k % 5 <> 0 THEN 'https://www.linkedin.com/company/firm/' END AS linkedin, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 2 = 0 THEN 'https://' || site || '/book-a-call' ELSE 'https://calendly.com/firm/call' END AS booking_url,
+  CASE WHEN k % 5 <> 0 THEN 'https://www.linkedin.com/company/firm/' END AS company_linkedin FROM s
+""")
+def site_profile_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles, the booking link and the company's page, from the links of a site."""
+    pages = made_up(spark, sf_dir, _LINKED).groupBy("site", "page_ord", "kind", "url").agg(F.transform(F.array_sort(F.collect_list(F.struct("link_ord", "href", "anchor"))), lambda x: F.struct(x["href"].alias("href"), x["anchor"].alias("anchor"))).alias("links"))
+    links = contacts.page_links(pages)
+    own = contacts.site_profiles(links).groupBy("site").agg(*(F.max(F.when(F.col("network") == n, F.col("url"))).alias(n) for n in ("instagram", "linkedin")))
+    return own.join(contacts.booking_links(links), "site", "left").join(people.company_profiles(links), "site", "left")
+
+
+# --- companies ------------------------------------------------------------------------------------------------------
+
+_COMPANY_PAGES = """
+WITH c AS (SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 4 THEN 'blue-fox' || c_custkey || '.com.au' ELSE 'firm' || c_custkey || '.com' END AS site FROM {customer})
+SELECT site, k, 0 AS page_ord, 'home' AS kind, CASE k % 4 WHEN 0 THEN 'Home | Firm ' || k || ' | Best ads of all' WHEN 1 THEN 'Ads by us - Grow' ELSE 'Welcome' END AS title, CASE WHEN k % 4 = 2 THEN 'Site Name ' || k ELSE '' END AS og_site_name, '' AS og_title, CASE WHEN k % 3 = 0 THEN 'We grow firms' ELSE '' END AS meta_description,
+  CASE WHEN k % 4 = 3 THEN 'Data Name ' || k END AS org_name,
+  CASE k % 5 WHEN 0 THEN 'We are based in Toronto. ' WHEN 1 THEN 'Visit us: Denver, CO 80202. ' WHEN 2 THEN 'A firm from the netherlands. ' WHEN 3 THEN 'Nothing to see. ' ELSE 'No place. ' END || CASE k % 3 WHEN 0 THEN 'Founded in 2015. ' ELSE '' END || CASE k % 7 WHEN 0 THEN 'A team of 25 people. ' WHEN 1 THEN 'A boutique firm. ' ELSE '' END || CASE WHEN k % 2 = 0 THEN 'Copyright 2019-2023 and © 2021' ELSE 'In 2014 and 2016.' END AS text FROM c
+"""
+
+
+def _company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.to_json(F.struct(F.lit("Organization").alias("@type"), F.col("org_name").alias("name"), F.lit("2012-05-01").alias("foundingDate"), F.struct(F.lit("US").alias("addressCountry"), F.lit("Reno").alias("addressLocality")).alias("address")))
+    jsonld = F.array_compact(F.array(F.when(F.col("org_name").isNotNull(), data)))
+    return made_up(spark, sf_dir, _COMPANY_PAGES).withColumns({"jsonld": jsonld, "headings": F.array(F.lit("Short"), F.lit("A heading of good length")), "blocks": F.array(F.lit("A block of text that is long enough to be taken for a description of what the firm does all day."))})
+
+
+@query(f"""
+WITH p AS ({duck(_COMPANY_PAGES)})
+SELECT site, CASE k % 4 WHEN 3 THEN 'Data Name ' || k WHEN 2 THEN 'Site Name ' || k WHEN 0 THEN CASE WHEN k % 5 = 4 THEN 'Firm ' || k ELSE 'Firm ' || k END ELSE 'Grow' END AS name, 'A heading of good length' AS tagline,
+  CASE WHEN k % 3 = 0 THEN 'We grow firms' ELSE 'A block of text that is long enough to be taken for a description of what the firm does all day.' END AS description,
+  CASE WHEN k % 4 = 3 THEN 'United States' ELSE CASE k % 5 WHEN 0 THEN 'Canada' WHEN 1 THEN 'United States' WHEN 2 THEN 'Netherlands' WHEN 4 THEN 'Australia' END END AS country, CASE WHEN k % 4 = 3 THEN 'Reno' ELSE CASE k % 5 WHEN 0 THEN 'Toronto' WHEN 1 THEN 'Denver' END END AS city,
+  CASE WHEN k % 4 = 3 THEN 2012 WHEN k % 3 = 0 THEN 2015 END AS founded_year, CASE k % 7 WHEN 0 THEN '25+ people' WHEN 1 THEN 'boutique' END AS team_size_hint, CASE WHEN k % 2 = 0 THEN 2023 ELSE 2016 END AS copyright_year FROM p
+""")
+def company_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return company.company_facts(_company_pages(spark, sf_dir))
+
+
+_LIVE_PAGES = """
+WITH c AS (SELECT c_custkey AS k, 'firm' || c_custkey || '.com' AS site FROM {customer})
+SELECT site, k, 0 AS page_ord, CASE WHEN k % 11 = 0 THEN 'about' ELSE 'home' END AS kind, 'https://' || site || '/' AS url, CASE k % 7 WHEN 1 THEN 'https://www.facebook.com/firm' WHEN 2 THEN 'https://hugedomains.com/x' WHEN 3 THEN 'https://' || site || '/expired' ELSE 'https://' || site || '/' END AS final_url,
+  CASE WHEN k % 7 = 4 THEN 'This domain is for sale' ELSE 'Firm' END AS title, CASE WHEN k % 7 = 5 THEN 'Short.' ELSE repeat('We do good work for good people. ', 8) END || CASE WHEN k % 2 = 0 THEN ' Copyright 2018' ELSE ' Copyright 2024' END AS text,
+  CASE k % 3 WHEN 0 THEN '2020-01-01' WHEN 1 THEN '2024-02-02' END AS day FROM c
+"""
+
+
+@query(f"""
+WITH p AS ({duck(_LIVE_PAGES)}), r AS (SELECT *, CASE WHEN kind <> 'home' THEN 'no_home' WHEN length(text) < 150 THEN 'thin_content' WHEN k % 7 = 4 THEN 'parked_or_placeholder' WHEN k % 7 = 1 THEN 'redirect_to_facebook.com' WHEN k % 7 = 2 THEN 'redirect_to_hugedomains.com' WHEN k % 7 = 3 THEN 'parked_redirect' ELSE 'ok' END AS reason FROM p)
+SELECT site, reason = 'ok' AS alive, reason, CASE WHEN reason = 'ok' THEN day END AS last_activity, reason = 'ok' AND CASE WHEN day IS NOT NULL THEN day = '2020-01-01' AND k % 2 = 0 ELSE k % 2 = 0 END AS stale FROM r
+""")
+def liveness_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The liveness gate itself, with every reason it can give."""
+    p = made_up(spark, sf_dir, _LIVE_PAGES).withColumn("dates", F.when(F.col("day").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat("day", F.lit("T00:00:00")), F.lit("1999-01-01"))))
+    return company.site_liveness(p, F.lit(AS_OF).cast("date"))
+
+
+# --- funnels --------------------------------------------------------------------------------------------------------
+
+_FUNNEL_LINKS = """
+SELECT 's' || c_custkey || '.org' AS site, 1 AS page_ord, l.link_ord AS link_ord, replace(l.url, 'SITE', 's' || c_custkey || '.org') AS url, l.anchor AS anchor, CASE WHEN l.link_ord IN (0, 1, 7) THEN l.dom ELSE 's' || c_custkey || '.org' END AS domain, CAST(NULL AS STRING) AS network FROM {customer},
+  (SELECT 0 AS link_ord, 'https://firm.mykajabi.com/free-webinar' AS url, 'Join now' AS anchor, 'firm.mykajabi.com' AS dom UNION ALL SELECT 1, 'https://calendly.com/', 'Book', 'calendly.com' UNION ALL SELECT 2, 'https://SITE/webinar', 'Register today', '' UNION ALL SELECT 3, 'https://SITE/about', 'About', ''
+  UNION ALL SELECT 4, 'https://SITE/newsletter', 'Subscribe', '' UNION ALL SELECT 5, 'https://SITE/webinar/', 'more', '' UNION ALL SELECT 6, 'https://SITE/a.pdf', 'Download guide', '' UNION ALL SELECT 7, 'https://elsewhere.test/webinar', 'Register', 'elsewhere.test') l WHERE c_custkey % 3 <> 0 OR l.link_ord <> 0
+"""
+
+
+@query("""
+WITH s AS (SELECT 's' || c_custkey || '.org' AS site, c_custkey AS k FROM customer)
+SELECT site, 'https://firm.mykajabi.com/free-webinar' AS url, 'Join now' AS anchor, 7.5::DOUBLE AS score, TRUE AS external FROM s WHERE k % 3 <> 0
+UNION ALL SELECT site, 'https://' || site || '/webinar', 'Register today', 3.5, FALSE FROM s
+""")
+def funnel_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that look like a funnel's entry."""
+    return funnels.funnel_candidates(made_up(spark, sf_dir, _FUNNEL_LINKS))
+
+
+_FUNNEL_PAGES = """
+WITH c AS (SELECT c_custkey AS k, 's' || c_custkey || '.org' AS site FROM {customer})
+SELECT site, k, CASE k % 4 WHEN 0 THEN 'https://firm.mykajabi.com/x' ELSE 'https://' || site || '/x' END AS url, CASE k % 3 WHEN 0 THEN 'Apply' WHEN 1 THEN 'Register' ELSE 'See' END AS anchor, k % 4 = 0 AS external, k % 5 = 0 AS is_home, CASE WHEN k % 2 = 0 THEN 'A title' ELSE '' END AS title, '' AS og_title,
+  CASE WHEN k % 4 = 0 THEN 'kajabi' ELSE '' END || CASE WHEN k % 6 < 3 THEN '<video src="x">' ELSE '' END || CASE WHEN k % 7 = 0 THEN 'js.stripe.com' ELSE '' END AS html,
+  CASE k % 5 WHEN 0 THEN 'Quiz and assessment for all' WHEN 1 THEN 'Save your seat' ELSE 'Text' END || CASE WHEN k % 2 = 0 THEN ' for $ 49 only' ELSE '' END AS text, CASE WHEN k % 2 = 0 THEN 'input email e mail' ELSE 'input tel phone' END AS field FROM c
+"""
+
+
+@query(f"""
+WITH p AS ({duck(_FUNNEL_PAGES)}),
+t AS (SELECT *, CASE k % 3 WHEN 0 THEN 'application' WHEN 1 THEN 'webinar' ELSE 'landing_page' END AS funnel_type,
+  list_filter([CASE WHEN k % 2 = 0 THEN 'opt-in form (email)' END, CASE WHEN k % 2 = 1 THEN 'phone capture' END, CASE WHEN k % 6 < 3 THEN 'video (VSL / training)' END, CASE WHEN k % 7 = 0 THEN 'checkout / enrollment' END, CASE WHEN k % 5 = 1 THEN 'webinar / training registration' END], lambda x: x IS NOT NULL) AS steps FROM p),
+n AS (SELECT *, len(list_filter(steps, lambda x: x <> 'phone capture')) AS strong, funnel_type <> 'landing_page' AS typed FROM t),
+c AS (SELECT *, round_even(0.25 + 0.1 * least(3, strong) + CASE WHEN typed THEN 0.15 ELSE 0 END + CASE WHEN external THEN 0.15 ELSE 0 END + CASE WHEN k % 4 = 0 THEN 0.1 ELSE 0 END - CASE WHEN is_home AND NOT typed THEN 0.1 ELSE 0 END, 3)::DOUBLE AS confidence FROM n)
+SELECT site, url, funnel_type, CASE WHEN k % 4 = 0 THEN 'kajabi' END AS platform, 'The offer' AS offer, CASE WHEN k % 2 = 0 THEN '$ 49' END AS price_hint, array_to_string(steps, ';') AS steps, confidence FROM c WHERE (typed OR strong >= 2) AND confidence >= 0.5
+""")
+def funnel_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What fetched funnel pages are: type, platform, offer, price, steps and confidence."""
+    p = made_up(spark, sf_dir, _FUNNEL_PAGES).withColumns({"headings": F.array(F.lit("The offer")), "fields": F.array("field")})
+    return funnels.site_funnels(p).withColumn("steps", F.array_join("steps", ";"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'quiz' WHEN doc_id % 3 = 1 THEN 'challenge' ELSE 'landing_page' END AS funnel_type FROM documents")
+def funnel_type_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types by words of the text alone: three different ones of a type count 3, two only 2."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "A quiz, an assessment, a scorecard").when(F.col("doc_id") % 3 == 1, "A 5-day challenge, a bootcamp and one more challenge").otherwise("A quiz, an assessment and the same quiz").alias("t"))
+    none = F.lit("")
+    return d.select("doc_id", funnels.funnel_type(F.lit("https://a.test/x"), none, none, none, F.col("t")).alias("funnel_type"))
+
+
+# --- people ---------------------------------------------------------------------------------------------------------
+
+_PEOPLE_PAGES = """
+WITH c AS (SELECT c_custkey AS k, 's' || c_custkey || '.org' AS site FROM {customer})
+SELECT site, k, 1 AS page_ord, 'about' AS kind, 'https://' || site || '/about' AS url, 'About' AS title, CASE k % 4 WHEN 0 THEN 'Ann Baker, founder. We grow firms.' WHEN 1 THEN 'Founded by Bruno Castillo in a garage.' WHEN 2 THEN 'She says: Chloe Dunmore, founder. A client story.' ELSE 'We are a firm.' END AS text, 'Who we are' AS heading FROM c
+UNION ALL SELECT site, k, 2, 'services', 'https://' || site || '/services', 'Services', 'Talk to Erin Novak, media buyer.' || CASE WHEN k % 5 = 0 THEN repeat(' .', 60) || ' Our client Dana Whitfield, owner of a studio, wrote a review.' ELSE '' END, 'Services' FROM c
+UNION ALL SELECT site, k, 3, 'case_studies', 'https://' || site || '/case-studies', 'Stories', 'We helped Dana Whitfield, a business coach, to book calls.' || CASE WHEN k % 3 = 0 THEN ' And Erin Novak helped many clients to grow revenue.' ELSE '' END, 'How Dana Whitfield doubled her coaching business' FROM c
+"""
+
+
+def _people_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    data = F.when((F.col("k") % 4 == 3) & (F.col("page_ord") == 1), F.array(F.to_json(F.struct(F.lit("Organization").alias("@type"), F.struct(F.lit("Devon Evans").alias("name"), F.lit("CEO").alias("jobTitle")).alias("founder"))))).otherwise(none)
+    return made_up(spark, sf_dir, _PEOPLE_PAGES).withColumns({"jsonld": data, "headings": F.array("heading"), "quotes": none, "images": none})
+
+
+_PEOPLE_LINKS = """
+SELECT 's' || c_custkey || '.org' AS site, 1 AS page_ord, 0 AS link_ord, 'https://www.linkedin.com/in/ann-baker?x=1' AS href, 'https://www.linkedin.com/in/ann-baker?x=1' AS url, 'linkedin.com' AS domain, 'linkedin' AS network, 'Ann' AS anchor FROM {customer} WHERE c_custkey % 12 = 0
+UNION ALL SELECT 's' || c_custkey || '.org', 3, 0, 'https://danawhitfield.com/?a=1', 'https://danawhitfield.com/?a=1', 'danawhitfield.com', CAST(NULL AS STRING), 'Her site' FROM {customer} WHERE c_custkey % 2 = 0
+"""
+
+
+@query("""
+WITH s AS (SELECT 's' || c_custkey || '.org' AS site, c_custkey AS k FROM customer WHERE c_custkey % 4 <> 2)
+SELECT site, CASE k % 4 WHEN 0 THEN 'Ann Baker' WHEN 1 THEN 'Bruno Castillo' ELSE 'Devon Evans' END AS name, CASE k % 4 WHEN 0 THEN 'founder' WHEN 1 THEN 'Founder' ELSE 'CEO' END AS title, CASE WHEN k % 12 = 0 THEN 'https://www.linkedin.com/in/ann-baker' END AS linkedin,
+  CASE WHEN k % 12 = 0 THEN 'site_link' ELSE 'site_name' END AS source, CASE WHEN k % 12 = 0 THEN 0.9 WHEN k % 4 = 3 THEN 0.7 ELSE 0.6 END::DOUBLE AS confidence FROM s
+""")
+def site_founders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Founders by title, by verb, and from linked data; one named in a client's story is none."""
+    return people.founders(_people_pages(spark, sf_dir), made_up(spark, sf_dir, _PEOPLE_LINKS))
+
+
+@query("""
+SELECT 's' || c_custkey || '.org' AS site, 'Dana Whitfield' AS name, 'person' AS kind, 'business coach' AS role_title, 'business coaching' AS niche, CASE WHEN c_custkey % 5 = 0 THEN 'Our client Dana Whitfield, owner of a studio, wrote a review.' ELSE 'We helped Dana Whitfield, a business coach, to book calls.' END AS evidence,
+  CASE WHEN c_custkey % 2 = 0 THEN 'https://danawhitfield.com/' END AS website, (0.79 + CASE WHEN c_custkey % 2 = 0 THEN 0.1 ELSE 0 END + CASE WHEN c_custkey % 5 = 0 THEN 0.04 ELSE 0 END)::DOUBLE AS confidence, 'client_context,heading,sentence' AS signals, 1 AS coach_clients FROM customer
+""")
+def site_client_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients by headings and sentences; the site's team is kept out, but a client with a title, told of as a client, is no team."""
+    pages = _people_pages(spark, sf_dir)
+    own = pages.select("site", F.concat(F.lit("Firm "), "k").alias("name")).distinct()
+    found = people.site_clients(pages, made_up(spark, sf_dir, _PEOPLE_LINKS), own)
+    proof = people.coach_proof(found).select("site", F.col("coach_clients").cast("int").alias("coach_clients"))
+    return found.join(proof, "site").select("site", "name", "kind", "role_title", "niche", "evidence", "website", "confidence", F.array_join("signals", ",").alias("signals"), "coach_clients")
+
+
+_SEARCHED = """
+SELECT 's' || c_custkey || '.org' AS site, c_custkey AS k, 1 AS rank, 'https://www.linkedin.com/in/ann-baker-77' AS url, CASE WHEN c_custkey % 5 = 0 THEN 'Ann Baker - Founder | LinkedIn' ELSE 'Ann Baker - Founder - Acme Growth | LinkedIn' END AS title, '' AS snippet FROM {customer}
+UNION ALL SELECT 's' || c_custkey || '.org', c_custkey, 2, 'https://www.linkedin.com/in/someone', 'Some One - Baker | LinkedIn', 'bread' FROM {customer}
+"""
+
+
+@query("""
+SELECT 's' || c_custkey || '.org' AS site, 'Ann Baker' AS name, 'https://www.linkedin.com/in/ann-baker-77/' AS linkedin, CASE WHEN c_custkey % 2 = 1 THEN 0.7 WHEN c_custkey % 5 = 0 THEN 0.6 ELSE 0.85 END::DOUBLE AS confidence FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 5 <> 0
+""")
+def founder_profiles_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = made_up(spark, sf_dir, _SEARCHED)
+    known = x.where("k % 2 = 0").select("site", F.lit("Ann Baker").alias("name")).distinct()
+    return people.founders_from_search(known, x.drop("k"), x.select("site", F.lit("Acme Growth Agency").alias("name")).distinct())
+
+
+_CLIENT_RESULTS = """
+SELECT 's' || c_custkey || '.org' AS site, 'Ann Baker' AS client_name, 1 AS rank, 'https://facebook.com/annbaker' AS url, 'Ann Baker coach' AS title, 'coach' AS snippet FROM {customer}
+UNION ALL SELECT 's' || c_custkey || '.org', 'Ann Baker', 2, CASE WHEN c_custkey % 3 = 0 THEN 'https://news.test/a' ELSE 'https://annbaker.com/home?x=1' END, CASE WHEN c_custkey % 3 = 0 THEN 'A story' ELSE 'Ann Baker' END, 'words' FROM {customer}
+UNION ALL SELECT 's' || c_custkey || '.org', 'Ann Baker', 3, 'https://ann-baker.org/x', 'Ann Baker, coach', 'course' FROM {customer} WHERE c_custkey % 7 = 0
+"""
+
+
+@query("""
+SELECT 's' || c_custkey || '.org' AS site, 'Ann Baker' AS name, CASE WHEN c_custkey % 7 = 0 THEN 'https://ann-baker.org/x' ELSE 'https://annbaker.com/home' END AS website FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 7 = 0
+""")
+def client_sites_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best search result for clients without a site: the name in the domain, in the title, and the trade."""
+    x = made_up(spark, sf_dir, _CLIENT_RESULTS)
+    clients = x.select("site", F.col("client_name").alias("name"), F.lit(None).cast("string").alias("niche"), F.lit(None).cast("string").alias("website")).distinct()
+    return people.resolved_clients(clients, x)
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS trade FROM documents")
+def trade_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of the trade: two different terms of it and an offer."""
+    t = F.when(F.col("doc_id") % 3 == 0, "A course for every coach. Enroll now").when(F.col("doc_id") % 3 == 1, "Every coach needs a coach. Enroll now").otherwise("Students of a coach.")
+    return table(spark, sf_dir, "documents").select("doc_id", people.infopreneur_site(t).alias("trade"))
