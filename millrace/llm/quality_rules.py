@@ -163,7 +163,8 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
     done: list[DataFrame] = []
     for r in range(ROUNDS):
         far = _distances(rows, open_, "start")
-        limit = _quantiles(far, ["grp", "start"], SUPPORT)
+        # Stored, its size is known, and if it is small the rows stay where they are.
+        limit = stored(_quantiles(far, ["grp", "start"], SUPPORT), "mcd-limits")
         core = far.join(limit, ["grp", "start"]).withColumn("w", F.when(F.col("step") < F.col("limit"), 1.0).when(F.col("step") == F.col("limit"), F.col("part")).otherwise(0.0)).where("w > 0")
         before = open_.select("grp", "start", F.col("det").alias("before"))
         new = stored(_factored(_moments(core, ["grp", "start"])).join(before, ["grp", "start"]), "mcd-estimates")
@@ -210,7 +211,7 @@ def group_estimates(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     for v in (1, 2):
         up = scales.select(F.col("grp").alias("parent"), F.col("scale").alias("up"))
         scales = own.where(F.col("level") == v).join(up, "parent").select("grp", ((F.col("n") * F.col("scale") + PRIOR * F.col("up")) / (F.col("n") + PRIOR)).alias("scale"))
-    return estimates, scales
+    return estimates, stored(scales, "mcd-scale")
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:

@@ -237,7 +237,9 @@ def convert_archives(archives: DataFrame, name_col: str = "name", content_col: s
     older = slim.withColumn("salt", F.pmod(F.xxhash64("archive", "at"), F.lit(SALTS)).cast("int")).join(newest, ["digest", "salt"]).where(F.col("id").isNull() | (F.col("id") < F.col("new.id")))
     # An archive's size bounds its list.
     revisits = older.groupBy(F.col("archive").alias("of")).agg(F.collect_list(F.struct("at", F.col("new.id").alias("id"), F.col("new.archive").alias("archive"), F.col("new.at").alias("offset"))).alias("revisits"))
-    return arcs.join(revisits, F.col("archive") == F.col("of"), "left").select("archive", "content", "revisits").mapInArrow(_converted, "archive string, records long, content binary")
+    # Partitions follow the number of archives, so that a task has a few of them whatever the input's size.
+    n = arcs.count() // 4 + 1
+    return arcs.repartition(n, "archive").join(revisits.repartition(n, "of"), F.col("archive") == F.col("of"), "left").select("archive", "content", "revisits").mapInArrow(_converted, "archive string, records long, content binary")
 
 
 def read_archives(archives: DataFrame, content_col: str = "content") -> DataFrame:
