@@ -526,3 +526,76 @@ def trade_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites of the trade: two different terms of it and an offer."""
     t = F.when(F.col("doc_id") % 3 == 0, "A course for every coach. Enroll now").when(F.col("doc_id") % 3 == 1, "Every coach needs a coach. Enroll now").otherwise("Students of a coach.")
     return table(spark, sf_dir, "documents").select("doc_id", people.infopreneur_site(t).alias("trade"))
+
+
+# --- runs -----------------------------------------------------------------------------------------------------------
+
+_CANDIDATES = """
+SELECT 'd' || c_custkey AS domain, c_custkey AS k, CAST(c_custkey % 17 AS INT) AS hits, CASE c_custkey % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'claimed' ELSE 'new' END AS status, CASE WHEN c_custkey % 4 = 1 THEN CAST(1 AS BIGINT) END AS run_id, CAST(NULL AS STRING) AS reject_reason FROM {customer}
+"""
+
+
+@query(f"""
+WITH c AS ({duck(_CANDIDATES)}), t AS (SELECT domain FROM c WHERE status = 'new' ORDER BY hits DESC, domain LIMIT 30),
+x AS (SELECT c.*, t.domain IS NOT NULL AS own FROM c LEFT JOIN t USING (domain)), y AS (SELECT domain, k, CASE WHEN own THEN 'claimed' ELSE status END AS status, CASE WHEN own THEN 2 ELSE run_id END AS run_id FROM x)
+SELECT domain, CASE WHEN status = 'claimed' AND run_id = 2 THEN CASE WHEN k % 5 <> 0 THEN 'done' ELSE 'new' END ELSE status END AS status, run_id, CASE WHEN status = 'claimed' AND run_id = 2 AND k % 5 = 1 THEN 'dead:thin' END AS reject_reason FROM y
+""")
+def claim_and_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run claims its candidates and marks them, twice: those that came to no outcome are free again."""
+    from millrace.plans import runs
+
+    c = made_up(spark, sf_dir, _CANDIDATES)
+    outcomes = c.where("k % 5 <> 0").select("domain", F.when(F.col("k") % 5 == 1, "dead:thin").alias("reject_reason"))
+    once = runs.mark(runs.claim(c, 2, 30), 2, outcomes)
+    return runs.mark(once, 2, outcomes).select("domain", "status", "run_id", "reject_reason")
+
+
+@query(f"""
+WITH c AS ({duck(_CANDIDATES)}) SELECT 1::BIGINT AS run_id, count(*) AS claimed, 0::BIGINT AS done, count(*) FILTER (k % 3 = 0) AS qualified, count(*) FILTER (k % 3 = 1) AS review, 0::BIGINT AS rejected FROM c WHERE run_id IS NOT NULL
+""")
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.plans import runs
+
+    c = made_up(spark, sf_dir, _CANDIDATES)
+    return runs.run_statistics(c, c.select("domain", F.when(F.col("k") % 3 == 0, "qualified").when(F.col("k") % 3 == 1, "review").otherwise("rejected").alias("status")))
+
+
+_RUNS = "SELECT c_custkey AS run_id, CASE c_custkey % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'finished' ELSE 'failed' END AS state, TIMESTAMP '2024-01-01 00:00:00' AS started_at, CASE WHEN c_custkey % 3 <> 0 THEN TIMESTAMP '2024-01-01 00:01:00' END AS finished_at FROM {customer}"
+
+
+@query(f"""
+WITH r AS ({duck(_RUNS)}) SELECT run_id, CASE WHEN run_id = 99 THEN 'cancelled' ELSE state END AS state, CASE WHEN run_id = 99 THEN 3600 WHEN state <> 'running' THEN 60 END::BIGINT AS seconds FROM r ORDER BY run_id DESC LIMIT 100
+""")
+def runs_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 100 runs, two of which were to be cancelled: one was going on, one had ended."""
+    from millrace.plans import runs
+
+    r, at = made_up(spark, sf_dir, _RUNS), F.lit("2024-01-01 01:00:00").cast("timestamp")
+    return runs.run_list(runs.cancelled(runs.cancelled(r, 99, at), 100, at), 100).select("run_id", "state", "seconds")
+
+
+@query("SELECT to_json(struct_pack(domain := 'd' || c_custkey, name := c_name, score := (c_custkey % 50)::INT, tier := CASE WHEN c_custkey % 2 = 0 THEN 'A' END))::VARCHAR AS json FROM customer")
+def json_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.plans import runs
+
+    return runs.json_rows(made_up(spark, sf_dir, "SELECT 'd' || c_custkey AS domain, c_name AS name, CAST(c_custkey % 50 AS INT) AS score, CASE WHEN c_custkey % 2 = 0 THEN 'A' END AS tier FROM {customer}"))
+
+
+@query("SELECT rtrim(rpad('d' || c_custkey, 12, ' ') || ' ' || rpad(substr(c_name, 1, 12), 12, ' ') || ' ' || CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE '-' END) AS line FROM customer")
+def console_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.plans import runs
+
+    return runs.console_lines(made_up(spark, sf_dir, "SELECT 'd' || c_custkey AS domain, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'A' END AS tier FROM {customer}"), 12)
+
+
+@query("SELECT event_id, event_type AS message FROM (SELECT * FROM events WHERE user_id = 3 AND event_id > 50 ORDER BY event_id DESC LIMIT 40)")
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events appended to a log in two batches, and its tail from a cursor on."""
+    from millrace.plans import runs
+    from millrace.sources.shared import shared_dir
+    from millrace.sources.tables import event_tail
+
+    e, at = table(spark, sf_dir, "events"), f"{shared_dir(spark)}/events"
+    for half in (0, 1):
+        runs.append_events(e.where(F.col("event_id") % 2 == half), at)
+    return event_tail(spark.read.parquet(at), 3, 50, 40).select("event_id", F.col("event_type").alias("message"))
