@@ -212,15 +212,17 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     """(doc_key, component_id, least_key) for each distinct row of ``docs``: documents joined by links of ``similarity`` (Jaccard) or more over their shingle sets.
 
     No link is missed and none is made without that similarity (but for 64-bit hashes that collide). ``component_id`` is the smallest id of the component, ``least_key`` the ``row_key`` of a row
-    with it. Empty and null texts are alike. A null id is never the smallest where there is another. ``docs`` must give its rows in the same order each time it is read, as files do.
+    with it. Empty and null texts are alike, and so are texts of white space; a very long text is taken whole, a repeated row once. An empty table gives an empty one; other columns are ignored. A null id is never the smallest where there is another. ``docs`` must give its rows in the same order each time it is read, as files do.
     """
-    n = n_buckets(docs.sparkSession, None)
     keyed = docs.select(F.col(id_col).alias("row"), row_key(id_col, text_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
     nodes = stored(keyed.mapInArrow(_nodes(width), f"row {dict(docs.dtypes)[id_col]}, doc_key long, shingles binary"), "shingle-digests")
     first = F.min(F.struct(F.col("row").isNull().alias("no"), F.col("row").alias("row"), F.col("doc_key").alias("key")))
     distinct = stored(nodes.groupBy("shingles").agg(first.alias("least")), "distinct-sets")
     by_key = keyed.select(F.col("doc_key").alias("doc_id"), "doc_key", "text")
-    hits = shared_anchors(by_key, _scan(width), *measured(by_key), "shingles")
+    parts, buckets = measured(by_key)
+    hits = shared_anchors(by_key, _scan(width), parts, buckets, "shingles")
+    # At least the session's partitions, and more as the texts grow.
+    n = max(buckets, n_buckets(docs.sparkSession, None))
     chosen = hits.select(F.col("doc_key").alias("node"), "hits").join(distinct.select(F.col("least.key").alias("node")), "node")
     texts = chosen.join(keyed.select(F.col("doc_key").alias("node"), "text"), "node").select("node", "text", "hits")
     sets = stored(texts.mapInArrow(_shared_sets(width, similarity), "node long, size long, takes long, shared binary").dropDuplicates(["node"]), "shared-sets")

@@ -34,6 +34,8 @@ RADIUS = 4
 BLOCKS = (9, 9, 9, 9, 9, 9, 10)
 #: Groups up to this size are compared side by side at once.
 SMALL = 6
+#: Fingerprints for each task of the search.
+TASK_FINGERPRINTS = 20_000
 #: Pivots: unrelated fingerprints pass one in 0.57 of all cases, all of them in about 0.011.
 N_PIVOTS = 8
 LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=R.U)
@@ -208,7 +210,8 @@ def fingerprint_links(pivots: DataFrame, lanes: int = 1, radius: int = RADIUS) -
     """Links (a, b) among the fingerprints of a pivot table, enough to connect all that are connected."""
     if (lanes, radius) != (1, RADIUS):
         raise ValueError("agreeing blocks are for 64 bits and radius 4")
-    n = n_buckets(pivots.sparkSession, None)
+    # A task holds the copies of this many fingerprints, whatever their number.
+    n = max(n_buckets(pivots.sparkSession, None), pivots.count() // TASK_FINGERPRINTS + 1)
     return pivots.mapInArrow(_keyed(lanes), "key long, fp binary, pivots binary").repartition(n, "key").mapInArrow(_links(lanes, radius), "a binary, b binary")
 
 

@@ -192,8 +192,8 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAINING_ROWS) -> Model:
-    """A model of the labelled documents that aren't held out: all of them, or about ``rows``.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAINING_ROWS, voters: int = VOTERS) -> Model:
+    """A model of the labelled documents that aren't held out: all of them, or about ``rows`` (a sample by a hash of the id); at most ``voters`` terms are learnt.
 
     Null labels and ids are not learnt from; of repeated labels of a document, 1 prevails. Without labels the
     fixed insults alone vote, each with weight 2 on a bias of -4.
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         share = F.col("pos") / total
         # Twice the log-likelihood ratio of the term's own share of toxic documents against the overall share.
         g2 = 2 * (F.col("pos") * F.log(share / rate) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - share) / (1 - rate))).otherwise(0))
-        best = counts.where((F.col("pos") > 0) & (share > min(0.95, 3 * rate))).select("term", g2.alias("g2")).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(VOTERS)
+        best = counts.where((F.col("pos") > 0) & (share > min(0.95, 3 * rate))).select("term", g2.alias("g2")).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(voters)
         terms |= {r["term"] % (1 << 64) for r in best.collect()}
     model = Model(np.array(sorted(terms), dtype=R.U), np.zeros(0))
     if not (n1 and n0):
@@ -236,7 +236,7 @@ def _scorer(model: Model):
 
 
 def toxicity_score(model: Model, text: Column) -> Column:
-    """The model's score of a text, 0 to 1. Null and empty texts are scored like texts without a vote."""
+    """The model's score of a text, 0 to 1. Null and empty texts are scored like texts without a vote; a very long text is read whole, and every row for itself."""
     return F.arrow_udf(_scorer(model), "double")(text)
 
 
