@@ -145,8 +145,10 @@ def _parse_batches(html: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def parse_html(html: Column) -> Column:
-    """A page's facts (PARSED). A null or empty page has empty ones."""
-    return F.pandas_udf(_parse_batches, PARSED)(html)
+    """A page's facts (PARSED). A null or empty page has empty ones.
+
+    Marked as not deterministic, so that a filter on a fact doesn't parse the page a second time."""
+    return F.pandas_udf(_parse_batches, PARSED).asNondeterministic()(html)
 
 
 def parsed_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed
-from millrace.functions.text import labels_matching
 from millrace.operators import company, contacts, people
-from millrace.operators.crawl import admitted_pages, site_texts
+from millrace.operators.crawl import admitted_pages, page_ok, site_texts
 from millrace.operators.html import parsed_pages
 from millrace.operators.scoring import finalized, scored
 from millrace.sources.shared import stored
@@ -54,8 +53,8 @@ class Leads:
 
 
 def flat_pages(pages: DataFrame) -> DataFrame:
-    """Pages (``site, page_ord, kind, url, final_url, status, error, html``) admitted, parsed once, as plain columns."""
-    df = parsed_pages(pages)
+    """Pages (``site, page_ord, kind, url, final_url, status, error, html``) admitted, as plain columns; those that were fetched are parsed, once."""
+    df = parsed_pages(pages.where(page_ok(F.col("status"), F.col("error"), F.col("html"))))
     fetched = admitted_pages(df.withColumn("text", F.col("parsed.text")), F.col("text"))
     return fetched.select("site", "page_ord", "kind", "url", "final_url", "html", "text", *(F.col(f"parsed.{c}").alias(c) for c in ("title", "meta_description", "og_site_name", "og_title", "lang_attr", "canonical", "headings", "links", "jsonld", "dates", "blocks", "images", "fields", "quotes")))
 
@@ -78,8 +77,10 @@ def process_sites(pages: DataFrame, as_of: Column, config: RunConfig = RunConfig
     shape = flat.groupBy("site").agg(
         F.bool_or(F.col("kind") == "case_studies").alias("has_case_page"), F.bool_or(F.col("kind") == "clients").alias("has_clients_page"), F.avg((F.col("kind") == "blog").cast("double")).alias("blog_ratio"), F.count("*").alias("pages_crawled"),
         F.max(F.when(F.col("kind") == "home", F.length("text"))).alias("home_chars"), F.min_by(F.concat_ws(" ", "title", "meta_description", "og_title", F.array_join(F.slice("headings", 1, 12), " ")), F.when(F.col("kind") == "home", F.col("page_ord"))).alias("headline"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(labels_matching(F.substring("html", 1, 600_000), fixed.TECH))))).alias("tech"),
+        *(F.bool_or(F.substring("html", 1, 600_000).rlike(f"(?i){p}")).alias(f"tech_{i}") for i, (_, p) in enumerate(fixed.TECH)),
     )
+    flags = [f"tech_{i}" for i in range(len(fixed.TECH))]
+    shape = shape.withColumn("tech", F.array_sort(F.array_compact(F.array(*(F.when(F.col(f), label) for f, (label, _) in zip(flags, fixed.TECH, strict=True)))))).drop(*flags)
     first = flat.groupBy("site", "kind").agg(F.min_by("url", "page_ord").alias("url")).groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "url")))).alias("key_pages"))
     core = site_texts(flat, ["home", "services", "industries", "about", "clients", "case_studies"], 150_000, "core_text")
     profiles = contacts.site_profiles(links)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import contacts as fc
 from millrace.functions import text, urls
-from millrace.operators import crawl, discovery, funnels, html, merges, scoring
+from millrace.operators import crawl, discovery, funnels, html, merges, people, picks, scoring
 from millrace.plans import pipeline, queries, site_queries  # noqa: F401
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -175,3 +175,25 @@ def test_site_to_lead(spark):
 
 def test_registered_names_have_columns(spark, sf):
     assert queries.site_scorecard(spark, sf).columns[0] == "site" and len(queries.QUERIES) >= 50
+
+
+def test_pages_are_parsed_once(spark):
+    plan = pipeline.flat_pages(pages_of(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1
+
+
+def test_top_rows_are_limited_before_the_shuffle(spark):
+    df = spark.range(100).selectExpr("id % 3 as k", "id as v")
+    top = picks.top_by(df, ["k"], [F.col("v")], 2)
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString() and sorted(map(tuple, top.collect())) == [(0, 0), (0, 3), (1, 1), (1, 4), (2, 2), (2, 5)]
+
+
+def test_clients_are_no_team(spark):
+    rows = spark.createDataFrame([("s", "about", "Talk to Erin Novak, media buyer." + " ." * 60 + " Our client Dana Whitfield, owner of a studio, wrote a review.")], "site string, kind string, text string")
+    assert [r["member"] for r in people.team_names(rows).collect()] == ["erin novak"]
+
+
+def test_site_texts_are_cut_before_they_are_joined(spark):
+    rows = spark.createDataFrame([("s", 2, "bbbb"), ("s", 1, "aaaa"), ("s", 3, "cccc"), ("t", 1, None)], "site string, page_ord int, text string")
+    for n in (3, 7, 100):
+        assert {r["site"]: r["text"] for r in crawl.site_texts(rows, None, n).collect()}["s"] == "aaaa\nbbbb\ncccc"[:n]
