@@ -599,3 +599,80 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     for half in (0, 1):
         runs.append_events(e.where(F.col("event_id") % 2 == half), at)
     return event_tail(spark.read.parquet(at), 3, 50, 40).select("event_id", F.col("event_type").alias("message"))
+
+
+# --- more of the way in and out ---------------------------------------------------------------------------------------
+
+_ADDRESSES = """
+SELECT 'c' || o_custkey AS site, 'o' || o_orderkey || '@m.test' AS email, CASE WHEN o_orderpriority = '1-URGENT' THEN 'guessed' ELSE 'text' END AS source,
+  CASE o_orderkey % 6 WHEN 0 THEN 'smtp_valid' WHEN 1 THEN 'catch_all' WHEN 2 THEN 'mx_valid' WHEN 3 THEN 'unverified' WHEN 4 THEN 'invalid' ELSE 'no_mx' END AS verification, o_orderkey % 3 = 0 AS same_domain, CAST(o_orderkey % 7 AS INT) AS rank FROM {orders}
+"""
+
+
+@query(f"""
+WITH e AS ({duck(_ADDRESSES)}), b AS (SELECT site, arg_min(struct_pack(email := email, v := verification), (CASE WHEN source = 'guessed' THEN 1 ELSE 0 END,
+  CASE verification WHEN 'smtp_valid' THEN 0 WHEN 'catch_all' THEN 1 WHEN 'mx_valid' THEN 2 WHEN 'unverified' THEN 3 ELSE 4 END, CASE WHEN same_domain THEN 0 ELSE 1 END, rank, email)) AS best FROM e GROUP BY site)
+SELECT site, best.email AS email, best.v AS verification FROM b WHERE best.v NOT IN ('invalid', 'no_mx')
+""")
+def primary_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one address of each site to write to, by all its keys; none where the best is dead."""
+    return contacts.primary_emails(made_up(spark, sf_dir, _ADDRESSES)).select("site", "email", "verification")
+
+
+_ANSWERS = """
+SELECT 'query ' || c_custkey AS query, 'us' AS country, p.page AS page, '<ol><li class="b_algo"><h2><a href="https://a' || c_custkey || '.test/' || p.page || '">First <b>hit</b></a></h2><p>About it</p></li><li class="b_algo x"><a href="https://search.test/ck/a?u=' || p.u || '">Second</a><p>More</p></li><li class="b_algo"><a href="/inner">No</a></li></ol>' AS bing,
+  '<div class="result results_links"><a class="result__a" href="//d.test/l/?uddg=https%3A%2F%2Fa' || c_custkey || '.test%2F' || p.page || '&amp;r=1">First <b>hit</b></a><a class="result__snippet" href="x">About it</a></div><div class="result result--ad"><a href="https://ad.test/">Ad</a></div><div class="result"><a href="https://two.test/">Second</a><a class="result__snippet">More</a></div>' AS duck
+FROM {customer}, (SELECT 1 AS page, 'a1aHR0cHM6Ly90d28udGVzdC8' AS u UNION ALL SELECT 2, 'a1aHR0cHM6Ly90d28udGVzdC8') p
+"""
+
+
+@query("""
+WITH q AS (SELECT 'query ' || c_custkey AS query, c_custkey AS k, page, engine FROM customer, (SELECT unnest([1, 2]) AS page), (SELECT unnest(['bing', 'duck']) AS engine))
+SELECT engine, query, page::INT AS page, (2 * page - 1)::INT AS rank, 'https://a' || k || '.test/' || page AS url, 'First hit' AS title, 'About it' AS snippet FROM q UNION ALL SELECT engine, query, page, 2 * page, 'https://two.test/', 'Second', 'More' FROM q
+""")
+def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result pages of two engines: redirects undone, advertisements and inner links left out, ranks running on over the pages."""
+    from millrace.operators.discovery import parsed_results
+
+    a = made_up(spark, sf_dir, _ANSWERS)
+    of = lambda column, engine: parsed_results(a.select("query", "country", "page", F.col(column).alias("html")), engine).select(F.lit(column).alias("engine"), "query", "page", "rank", "url", "title", "snippet")
+    return of("bing", "bing").unionByName(of("duck", "duckduckgo"))
+
+
+_FETCHED = """
+SELECT 's' || c_custkey % 20 || '.org' AS site, CAST(c_custkey AS INT) AS page_ord, CASE c_custkey % 7 WHEN 0 THEN 404 WHEN 1 THEN 204 ELSE 200 END AS status, CASE WHEN c_custkey % 11 = 0 THEN 'timeout' END AS error, CASE WHEN c_custkey % 13 = 0 THEN '' ELSE '<p>x</p>' END AS html,
+  CASE WHEN c_custkey % 5 = 0 THEN 'short' ELSE repeat('text ' || c_custkey % 3 || ' ', 20) END AS text FROM {customer}
+"""
+
+
+@query(f"WITH p AS ({duck(_FETCHED)}) SELECT site, min(page_ord) AS page_ord FROM p WHERE status BETWEEN 200 AND 299 AND error IS NULL AND html <> '' AND length(text) > 80 GROUP BY site, text")
+def pages_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.admitted_pages(made_up(spark, sf_dir, _FETCHED), F.col("text")).select("site", "page_ord")
+
+
+@query("""
+SELECT c_custkey AS k, c_custkey % 2 = 0 AND c_custkey % 20 >= 10 AS list_page, c_custkey % 3 = 0 OR (c_custkey % 3 = 1 AND c_custkey % 4 = 0) AS needs_render FROM customer
+""")
+def page_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages look like lists of companies, and which only a browser would show."""
+    from millrace.operators import discovery, html
+
+    c = made_up(spark, sf_dir, "SELECT c_custkey AS k FROM {customer}")
+    k = F.col("k")
+    agencies = F.repeat(F.lit("An Agency or agencies. "), F.when(k % 2 == 0, 2).otherwise(1))
+    body = F.repeat(F.lit("0123456789"), F.when(k % 3 == 0, 40).when(k % 3 == 1, 100).otherwise(200))
+    shell = F.when(k % 4 == 0, '<div id="root"></div>').otherwise("<p>x</p>")
+    return c.select("k", discovery.looks_like_list(agencies, k % 20).alias("list_page"), html.needs_render(shell, body).alias("needs_render"))
+
+
+@query("""
+SELECT 'd' || c_custkey AS domain, CASE WHEN c_custkey % 3 = 0 THEN 'rejected' ELSE 'review' END AS status, CASE WHEN c_custkey % 6 = 0 THEN 'called' END AS user_status, CASE WHEN c_custkey % 3 = 0 THEN 'old ' || c_custkey ELSE 'old ' || c_custkey END AS notes FROM customer
+""")
+def lead_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes that people make to leads; what a change leaves out stays."""
+    from millrace.operators import leads
+
+    c = made_up(spark, sf_dir, "SELECT 'd' || c_custkey AS domain, c_custkey AS k FROM {customer}")
+    old = c.select("domain", F.lit("review").alias("status"), F.lit(None).cast("string").alias("user_status"), F.concat(F.lit("old "), "k").alias("notes"))
+    changes = c.where("k % 3 = 0").select("domain", F.lit("rejected").alias("status"), F.when(F.col("k") % 6 == 0, "called").alias("user_status"), F.lit(None).cast("string").alias("notes"))
+    return leads.patch_lead(old, changes).select("domain", "status", "user_status", "notes")
