@@ -29,6 +29,8 @@ SUPPORT, ROUNDS = 0.75, 40
 SETTLED = 1e-6
 #: Steps of a logarithm of squared distance, and of a statistic, between which a quantile is interpolated.
 FINE, FINER = 16, 64
+#: Files of a table of groups.
+SMALL_FILES = 8
 #: Median of the chi-square distribution with as many degrees as PARTS, to scale distances by.
 CHI2_MEDIAN = 4.3515
 #: Squared distance beyond which a text is rejected (chi-square with 5 degrees: about 2 in 10,000).
@@ -81,6 +83,11 @@ def vector() -> dict[str, Column]:
     }
 
 
+def _kept(small: DataFrame, name: str) -> DataFrame:
+    """A table of a row or a few for each group, stored in few files: in very many, their footers alone would make it look too large to be sent to all tasks."""
+    return stored(small.repartition(SMALL_FILES), name)
+
+
 def squared_distance() -> Column:
     """Mahalanobis distance of the vector from the centre ``m_*`` by the lower triangular factor ``l_*`` of the covariance."""
     z: list[Column] = []
@@ -119,7 +126,7 @@ def _medians(rows: DataFrame, name: str, values: dict[str, Column]) -> DataFrame
     """For each ``grp`` the median of each value."""
     long = rows.select("grp", F.explode(F.array(*(F.struct(F.lit(p).alias("which"), F.floor(x * FINER).alias("step")) for p, x in values.items()))).alias("x")).select("grp", "x.*")
     found = _quantiles(long, ["grp", "which"], 0.5).withColumn("at", (F.col("limit") + F.col("part")) / FINER)
-    return stored(found.groupBy("grp").agg(*(F.max(F.when(F.col("which") == p, F.col("at"))).alias(f"{name}_{p}") for p in values)), f"mcd-{name}")
+    return _kept(found.groupBy("grp").agg(*(F.max(F.when(F.col("which") == p, F.col("at"))).alias(f"{name}_{p}") for p in values)), f"mcd-{name}")
 
 
 def _moments(weighted: DataFrame, by: list[str]) -> DataFrame:
@@ -159,15 +166,15 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
     """For each ``grp`` of ``rows`` (with the vector's columns) the centre ``m_*``, covariance ``c_*`` and determinant (``det``, its logarithm) of least determinant among the starts.
 
     The farthest step that the core takes in counts by the part of it that makes the core exactly ``SUPPORT`` of the group."""
-    open_ = stored(_factored(_starts(rows)), "mcd-starts")
+    open_ = _kept(_factored(_starts(rows)), "mcd-starts")
     done: list[DataFrame] = []
     for r in range(ROUNDS):
         far = _distances(rows, open_, "start")
         # Stored, its size is known, and if it is small the rows stay where they are.
-        limit = stored(_quantiles(far, ["grp", "start"], SUPPORT), "mcd-limits")
+        limit = _kept(_quantiles(far, ["grp", "start"], SUPPORT), "mcd-limits")
         core = far.join(limit, ["grp", "start"]).withColumn("w", F.when(F.col("step") < F.col("limit"), 1.0).when(F.col("step") == F.col("limit"), F.col("part")).otherwise(0.0)).where("w > 0")
         before = open_.select("grp", "start", F.col("det").alias("before"))
-        new = stored(_factored(_moments(core, ["grp", "start"])).join(before, ["grp", "start"]), "mcd-estimates")
+        new = _kept(_factored(_moments(core, ["grp", "start"])).join(before, ["grp", "start"]), "mcd-estimates")
         # The first step may raise the determinant, as that of a start is of no core.
         falls = F.lit(r == 0) | (F.col("before") - F.col("det") > SETTLED)
         done.append(new.where(~falls))
@@ -177,7 +184,7 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
     else:
         done.append(open_)
     best = reduce(DataFrame.unionByName, done).groupBy("grp").agg(F.min(F.struct("det", "start", *M, *C)).alias("best"))
-    return stored(best.select("grp", "best.*"), "mcd-best")
+    return _kept(best.select("grp", "best.*"), "mcd-best")
 
 
 def _shrunk(own: DataFrame, above: DataFrame | None) -> DataFrame:
@@ -198,20 +205,20 @@ def group_estimates(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     path = F.array(*(F.struct(F.col(f"grp_{v}").alias("grp"), F.lit(v).alias("level"), (F.col(f"grp_{v - 1}") if v else F.lit(None).cast("string")).alias("parent")) for v in range(3)))
     rows = vectors.select(F.explode(path).alias("g"), *PARTS).select("g.*", *PARTS)
     slim = rows.select("grp", *PARTS)
-    groups = stored(rows.groupBy("grp", "level", "parent").agg(F.count("*").alias("n")), "mcd-groups")
+    groups = _kept(rows.groupBy("grp", "level", "parent").agg(F.count("*").alias("n")), "mcd-groups")
     found = groups.join(minimum_covariance(slim), "grp")
     shrunk: list[DataFrame] = []
     for v in range(3):
-        shrunk.append(stored(_shrunk(found.where(F.col("level") == v).select("grp", "parent", "n", *M, *C), shrunk[-1] if v else None), "mcd-shrunk"))
-    estimates = stored(_factored(reduce(DataFrame.unionByName, shrunk)), "mcd-factored")
+        shrunk.append(_kept(_shrunk(found.where(F.col("level") == v).select("grp", "parent", "n", *M, *C), shrunk[-1] if v else None), "mcd-shrunk"))
+    estimates = _kept(_factored(reduce(DataFrame.unionByName, shrunk)), "mcd-factored")
     # A group more concentrated than the chi-square distribution is not judged more strictly for it.
     middle = _quantiles(_distances(slim, estimates), ["grp"], 0.5)
-    own = stored(groups.join(middle, "grp").select("grp", "level", "parent", "n", F.greatest(F.exp((F.col("limit") + F.col("part")) / FINE) / CHI2_MEDIAN, F.lit(1.0)).alias("scale")), "mcd-scales")
+    own = _kept(groups.join(middle, "grp").select("grp", "level", "parent", "n", F.greatest(F.exp((F.col("limit") + F.col("part")) / FINE) / CHI2_MEDIAN, F.lit(1.0)).alias("scale")), "mcd-scales")
     scales = own.where("level = 0").select("grp", "scale")
     for v in (1, 2):
         up = scales.select(F.col("grp").alias("parent"), F.col("scale").alias("up"))
         scales = own.where(F.col("level") == v).join(up, "parent").select("grp", ((F.col("n") * F.col("scale") + PRIOR * F.col("up")) / (F.col("n") + PRIOR)).alias("scale"))
-    return estimates, stored(scales, "mcd-scale")
+    return estimates, _kept(scales, "mcd-scale")
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
