@@ -7,11 +7,11 @@ from millrace.llm.mixing import op7_mixing
 from millrace.llm.quality_rules import op4_quality_rules
 from millrace.llm.sharding import op3_sharding
 from millrace.llm.simhash_dedup import op10_simhash_dedup
-from millrace.llm.substring_dedup import op2_substring_dedup
-from millrace.llm.suffix_dedup import op5_suffix_dedup
+from millrace.llm.substring_dedup import OP2_SQL, op2_substring_dedup
+from millrace.llm.suffix_dedup import OP5_SQL, op5_suffix_dedup
 from millrace.llm.toxicity import op8_toxicity
 from millrace.llm.url_filters import OP1_SQL, op1_url_filters
-from millrace.llm.warc import op9_warc
+from millrace.llm.warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict:
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL}
+    return {"op1_url_filters": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op9_warc": OP9_SQL}

@@ -187,3 +187,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = docs.select("doc_id", row_key("doc_id", "text").alias("doc_key"), "text").mapInArrow(_digest, "doc_id long, doc_key long, n_words long, whole_sha256 string")
     return whole.join(cut, F.col("doc_id").eqNullSafe(F.col("cid")) & (F.col("doc_key") == F.col("ckey")), "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM t),
+x AS (SELECT doc_id, i, word, md5(string_agg(word, ' ') OVER a) AS h, count(*) OVER a AS n FROM w WINDOW a AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+m AS (SELECT h, min(doc_id) AS least FROM x WHERE n = 50 GROUP BY h),
+s AS (SELECT x.doc_id, x.i, x.word, x.n = 50 AND m.least < x.doc_id AS again FROM x LEFT JOIN m ON m.h = x.h),
+c AS (SELECT doc_id, i, word, coalesce(bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), FALSE) AS gone FROM s),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM c GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)
+"""

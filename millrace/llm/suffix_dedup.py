@@ -408,3 +408,16 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = docs.select("doc_id", row_key("doc_id", "text").alias("doc_key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole_sha256"))
     return whole.join(cut, F.col("doc_id").eqNullSafe(F.col("cid")) & (F.col("doc_key") == F.col("ckey")), "left").select(
         "doc_id", "n_bytes", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")), F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bs FROM documents),
+w AS (SELECT doc_id, unnest(bs) AS byte, unnest(range(1, len(bs) + 1)) AS i FROM t),
+x AS (SELECT doc_id, i, byte, CASE WHEN count(*) OVER a = 50 THEN md5(string_agg(byte, '') OVER a) END AS h FROM w WINDOW a AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+m AS (SELECT h, min(doc_id) AS least FROM x WHERE h IS NOT NULL GROUP BY h),
+s AS (SELECT x.doc_id, x.i, x.byte, coalesce(m.least < x.doc_id, FALSE) AS again FROM x LEFT JOIN m ON m.h = x.h),
+c AS (SELECT doc_id, i, byte, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM s),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS starts FROM c),
+k AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)
+"""

@@ -254,3 +254,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page from a legacy archive to a WARC file, and read back."""
     archives = stored(archive_pages(table(spark, sf_dir, "pages")), "arc")
     return read_archives(stored(convert_archives(archives), "warc")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY b) AS newest FROM p),
+d AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(h, i * 5 + 1, 5))::BIGINT) AS parts FROM g)
+SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(parts, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 32768) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 1024) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 32) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v % 32 + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to FROM d
+"""
