@@ -11,6 +11,7 @@ from millrace.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from millrace.llm.suffix_dedup import OP5_SQL, op5_suffix_dedup
 from millrace.llm.toxicity import op8_toxicity
 from millrace.llm.url_filters import OP1_SQL, op1_url_filters
+from millrace.llm.vector_codes import OP11_SQL, op11_vector_codes
 from millrace.llm.warc import OP9_SQL, op9_warc
 
 
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_warc": op9_warc,
         "op10_simhash_dedup": op10_simhash_dedup,
+        "op11_vector_codes": op11_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op9_warc": OP9_SQL}
+    return {"op1_url_filters": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op9_warc": OP9_SQL, "op11_vector_codes": OP11_SQL}
