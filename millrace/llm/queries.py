@@ -5,6 +5,7 @@ from __future__ import annotations
 from millrace.llm.decontamination import op6_decontamination
 from millrace.llm.mixing import op7_mixing
 from millrace.llm.quality_rules import op4_quality_rules
+from millrace.llm.secret_scan import op13_secret_scan
 from millrace.llm.sharding import op3_sharding
 from millrace.llm.simhash_dedup import op10_simhash_dedup
 from millrace.llm.substring_dedup import OP2_SQL, op2_substring_dedup
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op9_warc": op9_warc,
         "op10_simhash_dedup": op10_simhash_dedup,
         "op11_vector_codes": op11_vector_codes,
+        "op13_secret_scan": op13_secret_scan,
     }
 
 
