@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from millrace.llm.collocations import OP12_SQL, op12_collocations
 from millrace.llm.decontamination import op6_decontamination
 from millrace.llm.mixing import op7_mixing
 from millrace.llm.quality_rules import op4_quality_rules
@@ -29,9 +30,10 @@ def queries() -> dict:
         "op9_warc": op9_warc,
         "op10_simhash_dedup": op10_simhash_dedup,
         "op11_vector_codes": op11_vector_codes,
+        "op12_collocations": op12_collocations,
         "op13_secret_scan": op13_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op9_warc": OP9_SQL, "op11_vector_codes": OP11_SQL}
+    return {"op1_url_filters": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op9_warc": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_collocations": OP12_SQL}
