@@ -23,7 +23,7 @@ from millrace.llm.common import fresh, stored, table
 
 LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Text of a chunk, about; a longer text is a chunk of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Bits of the map of frequent pairs.
 MAP_BITS = 1 << 25
 #: A language's candidates are ranked in groups of about so many times the rows that are wanted.
@@ -50,7 +50,7 @@ def sequence(data: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray,
 
 def _lists(*columns) -> list[pa.Array]:
     """A row of lists."""
-    return [pa.array([c], pa.list_(c.type)) if isinstance(c, pa.Array) else pa.array([c.tolist()], pa.list_(pa.int64())) for c in columns]
+    return [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c if isinstance(c, pa.Array) else pa.array(c)) for c in columns]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
