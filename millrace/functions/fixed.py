@@ -273,6 +273,20 @@ EXPORT_COLUMNS = (
 
 FOUNDER_NOUNS = ("founder", "co-founder", "cofounder", "ceo", "owner", "managing director")
 FOUNDING_VERBS = ("founded", "started", "created", "launched", "run", "led", "owned")
+#: Words before a name that are no part of it, whatever their case.
+NAME_LEADS = ("meet", "the", "hi", "hey", "hello", "our", "i", "we", "and", "by", "with", "from", "for", "client", "dr", "mr", "mrs", "ms", "prof")
+#: What introduces a client in a heading, and what a heading tells of as a result.
+HEADING_LEADS = ("how", "how we helped", "helped", "helping", "case study", "client", "client spotlight", "success story", "working with", "results for", "meet")
+RESULT_WORDS = ("$", "€", "£", "%", "x", "roas", "leads", "calls", "clients", "students", "launch")
+#: Classes and ids of blocks that quote clients or tell of them; descendants that name the speaker; sections of logos, their headings, and the press.
+BLOCK_CLASSES = ("testimonial", "review", "quote", "case-stud", "casestud", "client", "success", "result", "story", "feedback")
+CITE_TAGS = ("cite", "figcaption", "h3", "h4", "h5", "strong", "b")
+CITE_CLASSES = ("author", "name", "title")
+LOGO_CLASSES = ("client", "logo", "trusted", "featured", "partner", "brand", "worked", "as-seen", "seen-on", "portfolio")
+LOGO_HEADINGS = ("client", "trusted by", "worked with", "work with", "partner", "brands we", "brands that", "brands who", "companies we", "companies that", "companies who", "loved by", "used by", "our customers", "success stories")
+HANDLE_NOISE = ("the", "official", "real", "iam", "im", "coach", "mr", "mrs", "ms", "dr", "its", "hey", "hi", "team", "agency", "marketing", "page", "tv", "hq", "co", "inc")
+#: Tags whose start ends an open paragraph.
+ENDS_PARAGRAPH = ("address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul")
 GREETINGS = ("hi", "hey", "hello")
 STORY_WORDS = ("founder", "ceo", "owner", "started", "built", "run")
 SELF_WORDS = ("i'm", "im", "i am", "my name is")

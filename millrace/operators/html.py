@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 
 from millrace.functions import fixed
 
+NODES = "array<struct<pre: int, last: int, parent: int, tag: string, cls: string, value: string, start: int, end: int>>"
 PARSED = (
     "struct<title: string, meta_description: string, og_site_name: string, og_title: string, lang_attr: string, canonical: string, text: string, headings: array<string>, "
-    "links: array<struct<href: string, anchor: string>>, jsonld: array<string>, dates: array<string>, blocks: array<string>, images: array<string>, fields: array<string>, quotes: array<string>>"
+    "links: array<struct<href: string, anchor: string>>, jsonld: array<string>, dates: array<string>, blocks: array<string>, fields: array<string>, flow: string, "
+    f"nodes: {NODES}>"
 )
+COLUMNS = ("title", "meta_description", "og_site_name", "og_title", "lang_attr", "canonical", "text", "headings", "links", "jsonld", "dates", "blocks", "fields", "flow", "nodes")
 SILENT, BREAKING, VOID, DATE_META = map(frozenset, (fixed.SILENT_TAGS, fixed.BREAKING_TAGS, fixed.VOID_TAGS, fixed.DATE_NAMES))
-QUOTE_CLASS = re.compile(r"testimonial|review|quote|case-?stud|success", re.I)
+#: For a starting tag: the open tags that it ends, and those beyond which it ends nothing.
+_ITEMS = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
+ENDS = _ITEMS | {"dd": _ITEMS["dt"], "th": _ITEMS["td"]} | {t: (("p",), ("td", "th", "li", "button")) for t in fixed.ENDS_PARAGRAPH}
 
 
 def tidy(s: str) -> str:
@@ -27,15 +32,22 @@ def tidy(s: str) -> str:
 
 
 class PageParser(HTMLParser):
-    """Collects what PARSED holds; unclosed tags end where the enclosing one does."""
+    """Collects what PARSED holds in one pass. Unclosed tags end where the enclosing one does, paragraphs and items where the next one starts.
+
+    ``flow`` is the text of all text nodes, a line feed between two of them. ``nodes`` are the elements in document order (``pre``); ``last`` is the last element inside, ``parent`` the enclosing one
+    (-1: none), ``cls`` class and id, ``value`` a link's target or an image's description, and ``start`` and ``end`` the part of ``flow`` inside."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: dict = {k: "" for k in ("title", "meta_description", "og_site_name", "og_title", "lang_attr", "canonical")} | {k: [] for k in ("headings", "links", "jsonld", "dates", "images", "fields", "quotes")}
+        self.out: dict = {k: "" for k in ("title", "meta_description", "og_site_name", "og_title", "lang_attr", "canonical")} | {k: [] for k in ("headings", "links", "jsonld", "dates", "fields", "nodes")}
         self.parts: list[str] = []
         self.open: list[str] = []
         #: Tag, value, and pieces of text of what is being collected.
         self.taking: list[tuple[str, str, list[str]]] = []
+        #: Numbers of the open elements, pieces of the flow and its length.
+        self.path: list[int] = []
+        self.flow: list[str] = []
+        self.at = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a, o = {k: v or "" for k, v in attrs}, self.out
@@ -45,18 +57,20 @@ class PageParser(HTMLParser):
             self.meta((a.get("name") or a.get("property") or a.get("itemprop") or "").lower(), a.get("content", ""))
         elif tag == "link" and a.get("rel", "").lower() == "canonical":
             o["canonical"] = o["canonical"] or a.get("href", "")
-        elif tag == "img" and a.get("alt"):
-            o["images"].append(tidy(a["alt"])[:200])
         elif tag in ("input", "textarea", "select"):
             o["fields"].append(f"{tag} {a.get('type', '')} {a.get('name', '')} {a.get('placeholder', '')}".lower()[:200])
         if tag in BREAKING:
             self.parts.append("\n")
             for _, _, pieces in self.taking:
                 pieces.append("\n")
+        self.end_implied(tag)
+        n = len(o["nodes"])
+        o["nodes"].append({"pre": n, "last": n, "parent": self.path[-1] if self.path else -1, "tag": tag, "cls": f"{a.get('class', '')} {a.get('id', '')}".strip()[:200], "value": tidy(a.get("alt", ""))[:200] if tag == "img" else a.get("href", ""), "start": self.at, "end": self.at})
         if tag in VOID:
             return
         self.open.append(tag)
-        if tag == "title" or tag in ("h1", "h2", "h3") or (tag == "a" and "href" in a) or (tag == "script" and a.get("type") == "application/ld+json") or tag in ("blockquote", "figure") or QUOTE_CLASS.search(a.get("class", "") + a.get("id", "")):
+        self.path.append(n)
+        if tag == "title" or tag in ("h1", "h2", "h3") or (tag == "a" and "href" in a) or (tag == "script" and a.get("type") == "application/ld+json"):
             self.taking.append((tag, a.get("href", ""), []))
         else:
             self.taking.append(("", "", []))
@@ -78,11 +92,24 @@ class PageParser(HTMLParser):
         if tag in BREAKING:
             self.parts.append("\n")
         if tag in self.open:
-            while self.open:
-                last = self.open.pop()
-                self.finish(*self.taking.pop())
-                if last == tag:
-                    break
+            self.end_from(len(self.open) - 1 - self.open[::-1].index(tag))
+
+    def end_implied(self, tag: str) -> None:
+        ended, beyond = ENDS.get(tag, ((), ()))
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k] in ended:
+                self.end_from(k)
+                return
+            if self.open[k] in beyond:
+                return
+
+    def end_from(self, k: int) -> None:
+        """Ends the ``k``-th open element and what is open inside it."""
+        while len(self.open) > k:
+            self.open.pop()
+            node = self.out["nodes"][self.path.pop()]
+            node["last"], node["end"] = len(self.out["nodes"]) - 1, self.at
+            self.finish(*self.taking.pop())
 
     def finish(self, tag: str, value: str, pieces: list[str]) -> None:
         o, raw = self.out, "".join(pieces)
@@ -95,8 +122,6 @@ class PageParser(HTMLParser):
             o["links"].append({"href": value, "anchor": tidy(raw)[:200]})
         elif tag == "script":
             o["jsonld"] += json_items(raw)
-        elif tag and 25 <= len(tidy(raw)) <= 2500:
-            o["quotes"].append(tidy(raw))
 
     def handle_data(self, data: str) -> None:
         in_title = "title" in self.open or "script" in self.open
@@ -105,15 +130,16 @@ class PageParser(HTMLParser):
                 pieces.append(data)
         if not SILENT.intersection(self.open):
             self.parts.append(data)
+            piece = data if self.at == 0 else "\n" + data
+            self.flow.append(piece)
+            self.at += len(piece)
 
     def page(self) -> dict:
-        while self.open:
-            self.open.pop()
-            self.finish(*self.taking.pop())
+        self.end_from(0)
         text = tidy("".join(self.parts))
         for item in map(json.loads, self.out["jsonld"]):
             self.out["dates"] += [item[k][:40] for k in ("dateModified", "datePublished") if isinstance(item.get(k), str)]
-        return self.out | {"text": text, "blocks": [b.strip() for b in text.split("\n") if len(b.strip()) > 1]}
+        return self.out | {"text": text, "flow": "".join(self.flow), "blocks": [b.strip() for b in text.split("\n") if len(b.strip()) > 1]}
 
 
 def json_items(raw: str) -> list[str]:
@@ -141,7 +167,7 @@ def _parse(html: str | None) -> dict:
 
 def _parse_batches(html: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in html:
-        yield pd.DataFrame([_parse(x) for x in batch], columns=["title", "meta_description", "og_site_name", "og_title", "lang_attr", "canonical", "text", "headings", "links", "jsonld", "dates", "blocks", "images", "fields", "quotes"])
+        yield pd.DataFrame([_parse(x) for x in batch], columns=COLUMNS)
 
 
 def parse_html(html: Column) -> Column:

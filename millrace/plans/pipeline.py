@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed
-from millrace.operators import company, contacts, people
+from millrace.operators import company, contacts, html, people
 from millrace.operators.crawl import admitted_pages, page_ok, site_texts
 from millrace.operators.html import parsed_pages
 from millrace.operators.scoring import finalized, scored
@@ -56,7 +56,7 @@ def flat_pages(pages: DataFrame) -> DataFrame:
     """Pages (``site, page_ord, kind, url, final_url, status, error, html``) admitted, as plain columns; those that were fetched are parsed, once."""
     df = parsed_pages(pages.where(page_ok(F.col("status"), F.col("error"), F.col("html"))))
     fetched = admitted_pages(df.withColumn("text", F.col("parsed.text")), F.col("text"))
-    return fetched.select("site", "page_ord", "kind", "url", "final_url", "html", "text", *(F.col(f"parsed.{c}").alias(c) for c in ("title", "meta_description", "og_site_name", "og_title", "lang_attr", "canonical", "headings", "links", "jsonld", "dates", "blocks", "images", "fields", "quotes")))
+    return fetched.select("site", "page_ord", "kind", "url", "final_url", "html", "text", *(F.col(f"parsed.{c}").alias(c) for c in html.COLUMNS if c != "text"))
 
 
 def process_sites(pages: DataFrame, as_of: Column, config: RunConfig = RunConfig()) -> Leads:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import fixed, names, text, urls
 from millrace.operators import company, contacts, crawl, funnels, merges, people, scoring
+from millrace.operators.html import NODES
 from millrace.plans.queries import AS_OF, query
 from millrace.sources.tables import table
 
@@ -457,7 +458,9 @@ UNION ALL SELECT site, k, 3, 'case_studies', 'https://' || site || '/case-studie
 def _people_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<string>")
     data = F.when((F.col("k") % 4 == 3) & (F.col("page_ord") == 1), F.array(F.to_json(F.struct(F.lit("Organization").alias("@type"), F.struct(F.lit("Devon Evans").alias("name"), F.lit("CEO").alias("jobTitle")).alias("founder"))))).otherwise(none)
-    return made_up(spark, sf_dir, _PEOPLE_PAGES).withColumns({"jsonld": data, "headings": F.array("heading"), "quotes": none, "images": none})
+    link = '[{"pre": 0, "last": 0, "parent": -1, "tag": "a", "cls": "", "value": "https://www.linkedin.com/in/ann-baker?x=1", "start": 0, "end": 3}]'
+    nodes = F.from_json(F.when((F.col("k") % 12 == 0) & (F.col("page_ord") == 1), link).otherwise("[]"), NODES)
+    return made_up(spark, sf_dir, _PEOPLE_PAGES).withColumns({"jsonld": data, "headings": F.array("heading"), "flow": F.lit("Ann"), "nodes": nodes})
 
 
 _PEOPLE_LINKS = """
