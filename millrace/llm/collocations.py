@@ -5,7 +5,7 @@ a global id by a join, and replaces the pairs of the sequences by these ids: a n
 frequent phrase has only frequent parts, so no phrase is lost. The pair is kept as parent pointers: along the left ones lie the counts of all first parts, along the right ones those
 of all last parts, and a phrase lies inside the longer ones that point to it.
 
-A chunk sends each of its distinct pairs once, with its number, and asks for the ids only of pairs that a bitmap of fixed size says may be frequent.
+A chunk sends each of its distinct pairs once, with its number, and asks for the ids only of names that a bitmap of fixed size says may be frequent; the join then tells.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,8 +26,8 @@ from millrace.llm.common import fresh, stored, table
 LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Text of a chunk, about; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
-#: Bits of the map of frequent pairs.
-MAP_BITS = 1 << 25
+#: Bits of the map of frequent names, and of each of the parts in which it is made.
+MAP_BITS, PART_BITS = 1 << 25, 1 << 15
 #: A language's candidates are ranked in groups of about so many times the rows that are wanted.
 GROUP = 10
 
@@ -53,6 +55,10 @@ def _lists(*columns) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c if isinstance(c, pa.Array) else pa.array(c)) for c in columns]
 
 
+def _packed(seq: np.ndarray) -> bytes:
+    return zstandard.compress(seq.tobytes())
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Of each chunk: the sequence of its words (numbers from 1; 0 after each piece), and each distinct word of a language with its number of occurrences."""
     base, made = TaskContext.get().partitionId() << 32, 0
@@ -66,7 +72,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Itera
         seq = np.zeros(len(code) + int(last.sum()), "<i4")
         seq[np.arange(len(code)) + np.cumsum(last) - last] = code + 1
         names = [d.dictionary.take(pa.array(i)).cast(pa.string()) for d, i in ((langs, own // len(words.dictionary)), (words, own % len(words.dictionary)))]
-        return pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([seq.tobytes()], pa.binary()), *_lists(*names, n)], ["chunk", "seq", "lang", "word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([_packed(seq)], pa.binary()), *_lists(*names, n)], ["chunk", "seq", "lang", "word", "n"])
 
     parts, size = [], 0
     for batch in batches:
@@ -88,7 +94,7 @@ def _pairs(keep: bool):
         """Of each chunk: the sequence with each two adjacent names replaced by their pair's number (0 where one is not frequent), and the distinct pairs with their number of occurrences."""
         for batch in batches:
             for i in range(batch.num_rows):
-                seq = np.frombuffer(batch.column(1)[i].as_py(), "<i4")
+                seq = np.frombuffer(zstandard.decompress(batch.column(1)[i].as_py()), "<i4")
                 code, name = (batch.column(2).slice(i, 1).flatten().field(k).to_numpy() for k in range(2))
                 known = np.zeros(max(int(seq.max(initial=0)), int(code.max(initial=0)) + 1) + 1, np.int64)
                 known[code + 1] = np.arange(1, len(code) + 1)
@@ -99,40 +105,56 @@ def _pairs(keep: bool):
                 if keep:
                     then[at] = pair + 1
                 left, right = name[own // (len(code) + 1) - 1], name[own % (len(code) + 1) - 1]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([then.tobytes()], pa.binary()), *_lists(left, right, n)], ["chunk", "seq", "left", "right", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([_packed(then)], pa.binary()), *_lists(left, right, n)], ["chunk", "seq", "left", "right", "n"])
 
     return emit
 
 
-def _bit(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return (R.mix(R.mix(left.astype(R.U)) + right.astype(R.U)) % R.U(MAP_BITS)).astype(np.int64)
+def _pair_bits(left: pa.Array, right: pa.Array) -> np.ndarray:
+    return (R.mix(R.mix(left.to_numpy().astype(R.U)) + right.to_numpy().astype(R.U)) % R.U(MAP_BITS)).astype(np.int64)
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bit(*(batch.column(i).to_numpy() for i in range(2)))))], ["bit"])
+def _text_hashes(texts: pa.Array) -> np.ndarray:
+    texts = texts.cast(pa.large_binary())
+    offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offs[0] : offs[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
+    return R.word_hashes(data, offs[:-1] - offs[0], offs[1:] - offs[0])
+
 
+def _word_bits(lang: pa.Array, word: pa.Array) -> np.ndarray:
+    return (R.mix(_text_hashes(lang) + R.mix(_text_hashes(word))) % R.U(MAP_BITS)).astype(np.int64)
 
-def frequent_map(pairs: DataFrame):
-    """A bitmap in which the bits of all ``pairs`` (left, right) are set, broadcast."""
 
-    def add(total, row):
-        total[row[0]] = True
-        return total
+def _part_of_map(parts: pd.DataFrame) -> pd.DataFrame:
+    bits = np.zeros(PART_BITS, bool)
+    bits[parts["bit"].to_numpy() % PART_BITS] = True
+    return pd.DataFrame({"part": [parts["bit"].iloc[0] // PART_BITS], "bits": [np.packbits(bits).tobytes()]})
+
+
+def frequent_map(names: DataFrame, keys: list[str], bits):
+    """A bitmap in which the bits of all ``names`` are set, broadcast: as large for any number of names."""
+
+    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(bits(batch.column(0), batch.column(1))))], ["bit"])
 
-    bits = pairs.select("left", "right").mapInArrow(_bits, "bit long").distinct().rdd.treeAggregate(np.zeros(MAP_BITS, bool), add, np.logical_or)
-    return pairs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    parts = names.select(*keys).mapInArrow(set_bits, "bit long").distinct().groupBy(F.expr(f"bit div {PART_BITS}")).applyInPandas(_part_of_map, "part long, bits binary").collect()
+    whole = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in parts:
+        whole[r.part * PART_BITS // 8 : (r.part + 1) * PART_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    return names.sparkSession.sparkContext.broadcast(whole)
 
 
-def _asked(bits):
+def _asked(known, bits, keys: list[str]):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct pairs of each chunk, with their numbers in it, that may be frequent."""
+        """The distinct names of each chunk, with their numbers in it, that may be frequent."""
         for batch in batches:
             for i in range(batch.num_rows):
-                left, right = (batch.column(k).slice(i, 1).flatten().to_numpy() for k in (1, 2))
-                bit = _bit(left, right)
-                own = np.flatnonzero(bits.value[bit >> 3] >> (7 - (bit & 7)) & 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(0)[i].as_py())), pa.array(own.astype(np.int32)), pa.array(left[own]), pa.array(right[own])], ["chunk", "code", "left", "right"])
+                a, b = (batch.column(k).slice(i, 1).flatten() for k in (1, 2))
+                bit = bits(a, b)
+                own = np.flatnonzero(known.value[bit >> 3] >> (7 - (bit & 7)) & 1)
+                at = pa.array(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(0)[i].as_py())), pa.array(own.astype(np.int32)), a.take(at), b.take(at)], ["chunk", "code", *keys])
 
     return emit
 
@@ -143,9 +165,10 @@ def _frequent(level: DataFrame, keys: list[str], least: int, name: str) -> DataF
     return stored(rows.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), *keys, "f"), name)
 
 
-def _renamed(level: DataFrame, rows: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+def _renamed(level: DataFrame, names: DataFrame, keys: list[str], kind: str, bits) -> DataFrame:
     """The sequences of a level, with the ids that ``names`` gives their numbers."""
-    ids = rows.join(names, keys).groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("ids"))
+    asked = level.select("chunk", *keys).mapInArrow(_asked(frequent_map(names, keys, bits), bits, keys), f"chunk long, code int, {keys[0]} {kind}, {keys[1]} {kind}")
+    ids = asked.join(names, keys).groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("ids"))
     return level.select("chunk", "seq").join(ids, "chunk")
 
 
@@ -154,12 +177,11 @@ def phrase_tables(docs: DataFrame, lang_col: str, text_col: str, longest: int, l
     words, ``tails`` those of the last 1, 2, ... words."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     level = stored(rows.mapInArrow(_chunks, "chunk long, seq binary, lang array<string>, word array<string>, n array<long>"), "chunks")
-    flat = level.select("chunk", F.posexplode(F.arrays_zip("lang", "word", "n")).alias("code", "k")).select("chunk", "code", "k.*")
-    totals = flat.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = level.select(F.explode(F.arrays_zip("lang", "n")).alias("k")).groupBy("k.lang").agg(F.sum("k.n").alias("n"))
     names = _frequent(level, ["lang", "word"], least, "names-1")
     none = F.array().cast("array<long>")
     tables = [names.select("id", "lang", F.array("word").alias("words"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), none.alias("heads"), none.alias("tails"))]
-    named = _renamed(level, flat.drop("n"), names, ["lang", "word"])
+    named = _renamed(level, names, ["lang", "word"], "string", _word_bits)
     for k in range(2, longest + 1):
         level = stored(named.mapInArrow(_pairs(k < longest), "chunk long, seq binary, left array<long>, right array<long>, n array<long>"), f"pairs-{k}")
         names = _frequent(level, ["left", "right"], least, f"names-{k}")
@@ -169,8 +191,7 @@ def phrase_tables(docs: DataFrame, lang_col: str, text_col: str, longest: int, l
         whole = names.join(left, "left").join(right, "right")
         tables.append(stored(whole.select("id", "lang", F.concat("first", F.array("last")).alias("words"), "f", "left", "right", "heads", "tails"), f"phrases-{k}"))
         if k < longest:
-            asked = level.select("chunk", "left", "right").mapInArrow(_asked(frequent_map(names)), "chunk long, code int, left long, right long")
-            named = _renamed(level, asked, names, ["left", "right"])
+            named = _renamed(level, names, ["left", "right"], "long", _pair_bits)
     return totals, tables
 
 
