@@ -91,24 +91,30 @@ FUNCTION_WORDS = {
 }
 
 
-def with_language(df: DataFrame, text: Column, lang_attr: Column, name: str = "language", words=None) -> DataFrame:
-    """``df`` with struct(code, confidence): by function words, with the page's own claim as a hint.
+def with_language(df: DataFrame, text: Column, lang_attr: Column, name: str = "language", words=None, model=None) -> DataFrame:
+    """``df`` with struct(code, confidence): by ``model`` (a ``language.LanguageModel``), or by function words where there is none, with the page's own claim as a hint.
 
-    A sample of under 120 characters, or without any function word, takes the claim with 0.6 (0.5), or ``und`` with 0. A claim that agrees adds 0.1; an
+    A sample of under 120 characters, or without any evidence, takes the claim with 0.6 (0.5), or ``und`` with 0. A claim that agrees adds 0.1; an
     unsure other language on a page that claims English is English with 0.78. Built in steps, so that the sample is split once."""
-    words = words or {k: v.split() for k, v in FUNCTION_WORDS.items()}
-    among = lambda listed: lambda t: t.isin(*listed)
     out = df.withColumns({"sample_": language_sample(text), "attr_": F.element_at(F.split(F.replace(F.lower(F.coalesce(lang_attr, F.lit(""))), F.lit("_"), F.lit("-")), "-"), 1)})
-    out = out.withColumns({"tokens_": F.split(F.lower("sample_"), r"[^\p{L}]+"), "chars_": F.length("sample_")})
-    out = out.withColumns({f"hits_{code}": F.size(F.filter("tokens_", among(w))) for code, w in words.items()})
-    total = sum((F.col(f"hits_{code}") for code in words), F.lit(0))
-    out = out.withColumns({"total_": total, "best_": F.array_max(F.array(*(F.struct(F.col(f"hits_{code}").alias("n"), F.lit(-i).alias("at"), F.lit(code).alias("code")) for i, code in enumerate(words))))})
+    out = out.withColumn("chars_", F.length("sample_"))
+    if model is None:
+        words = words or {k: v.split() for k, v in FUNCTION_WORDS.items()}
+        among = lambda listed: lambda t: t.isin(*listed)
+        out = out.withColumn("tokens_", F.split(F.lower("sample_"), r"[^\p{L}]+"))
+        out = out.withColumns({f"hits_{code}": F.size(F.filter("tokens_", among(w))) for code, w in words.items()})
+        out = out.withColumn("best_", F.array_max(F.array(*(F.struct(F.col(f"hits_{code}").alias("n"), F.lit(-i).alias("at"), F.lit(code).alias("code")) for i, code in enumerate(words)))))
+        total = sum((F.col(f"hits_{code}") for code in words), F.lit(0))
+        out = out.withColumns({"none_": total == 0, "share_": F.when(total > 0, F.col("best_.n") / total)})
+    else:
+        out = model.scored(out, "sample_").withColumn("best_", model.best())
+        out = out.withColumns({"none_": F.size("grams_") == 0, "share_": model.share(F.col("best_.n"))})
     result = lambda code, conf: F.struct(code.alias("code"), conf.cast("double").alias("confidence"))
-    attr, best, share = F.col("attr_"), F.col("best_.code"), F.col("best_.n") / F.col("total_")
+    attr, best, share = F.col("attr_"), F.col("best_.code"), F.col("share_")
     claim = lambda conf: result(F.when(attr == "", "und").otherwise(attr), F.when(attr == "", 0.0).otherwise(conf))
     found = (
         F.when(F.col("chars_") < 120, claim(0.6))
-        .when(F.col("total_") == 0, claim(0.5))
+        .when(F.col("none_"), claim(0.5))
         .when(best == attr, result(best, F.least(F.lit(1.0), share + 0.1)))
         .when((attr == "en") & (share < 0.9), result(F.lit("en"), F.lit(0.78)))
         .otherwise(result(best, share))

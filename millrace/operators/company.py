@@ -81,10 +81,10 @@ def company_facts(pages: DataFrame) -> DataFrame:
                      "loc_.country", "loc_.city", F.when(founded != "", founded).cast("int").alias("founded_year"), F.when(team != "", F.concat(team, F.lit("+ people"))).when(words != "", words).alias("team_size_hint"), copyright_year(text).alias("copyright_year"))
 
 
-def site_language(pages: DataFrame) -> DataFrame:
-    """(site, language, language_confidence) from the home, about and services pages."""
+def site_language(pages: DataFrame, model=None) -> DataFrame:
+    """(site, language, language_confidence) from the home, about and services pages, by ``model`` if there is one."""
     attr = pages.where("kind = 'home'").groupBy("site").agg(F.min_by("lang_attr", "page_ord").alias("claim"))
-    df = with_language(site_texts(pages, ["home", "about", "services"], 12_000).join(attr, "site", "left"), F.col("text"), F.col("claim"), "l_")
+    df = with_language(site_texts(pages, ["home", "about", "services"], 12_000).join(attr, "site", "left"), F.col("text"), F.col("claim"), "l_", model=model)
     return df.select("site", F.col("l_.code").alias("language"), F.bround("l_.confidence", 3).alias("language_confidence"))
 
 

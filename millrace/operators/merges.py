@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from millrace.functions import fixed
 from millrace.functions.urls import not_blocked, registrable_domain, social_network
 from millrace.operators.picks import first_by
+from millrace.operators.suffixes import with_registrable_domain
 
 
-def admissible(batch: DataFrame, blocked: DataFrame, url_col: str = "url") -> DataFrame:
-    """``batch`` with ``domain``, for urls that may be a company's: not blocked, no network's, no service host."""
-    df = batch.withColumn("domain", registrable_domain(F.col(url_col)))
+def admissible(batch: DataFrame, blocked: DataFrame, url_col: str = "url", rules: DataFrame | None = None) -> DataFrame:
+    """``batch`` with ``domain``, for urls that may be a company's: not blocked, no network's, no service host. Domains follow the public-suffix ``rules``, or a short list where there are none."""
+    df = batch.withColumn("domain", registrable_domain(F.col(url_col))) if rules is None else with_registrable_domain(batch, url_col, rules)
     df = df.where(F.contains("domain", F.lit(".")) & social_network(F.col(url_col)).isNull() & ~F.col("domain").rlike(fixed.ADMISSION_PREFIX))
     return not_blocked(df, "domain", blocked)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed
+from millrace.functions.language import LanguageModel
 from millrace.operators import company, contacts, html, people
 from millrace.operators.crawl import admitted_pages, page_ok, site_texts
 from millrace.operators.html import parsed_pages
@@ -32,6 +33,7 @@ class RunConfig:
     resume: bool = True
     force: bool = False
     bad_email_parts: tuple[str, ...] = field(default=fixed.BAD_EMAIL_PARTS)
+    language_model: LanguageModel | None = None
 
     def __post_init__(self) -> None:
         if unknown := set(self.stages) - set(STAGES):
@@ -66,7 +68,7 @@ def process_sites(pages: DataFrame, as_of: Column, config: RunConfig = RunConfig
     # Parsed once, read by every extractor; the same for links and for what several stages need.
     flat = stored(flat_pages(pages), "pages")
     links = stored(contacts.page_links(flat), "links")
-    language, alive = stored(company.site_language(flat), "language"), stored(company.site_liveness(flat, as_of), "liveness")
+    language, alive = stored(company.site_language(flat, config.language_model), "language"), stored(company.site_liveness(flat, as_of), "liveness")
     facts = stored(company.company_facts(flat), "companies")
     english = language.where("language = 'en'").join(alive.where("alive"), "site").select("site")
     own, own_links = flat.join(english, "site", "left_semi"), links.join(english, "site", "left_semi")
