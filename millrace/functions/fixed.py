@@ -285,6 +285,9 @@ CITE_CLASSES = ("author", "name", "title")
 LOGO_CLASSES = ("client", "logo", "trusted", "featured", "partner", "brand", "worked", "as-seen", "seen-on", "portfolio")
 LOGO_HEADINGS = ("client", "trusted by", "worked with", "work with", "partner", "brands we", "brands that", "brands who", "companies we", "companies that", "companies who", "loved by", "used by", "our customers", "success stories")
 HANDLE_NOISE = ("the", "official", "real", "iam", "im", "coach", "mr", "mrs", "ms", "dr", "its", "hey", "hi", "team", "agency", "marketing", "page", "tv", "hq", "co", "inc")
+#: Words of a name that don't tell it, and domains that are no client's.
+NAME_FILLERS = ("dr", "mr", "mrs", "ms", "the", "and", "of")
+NOT_CLIENT_DOMAIN = r"(dictionary|thesaurus|wiki|news|times|post|tribune|herald|journal|daily|gazette|video|tube|movie|film|college|university|\.edu$|\.gov$|godaddy|wix\.com|squarespace\.com|amazon|ebay|etsy|imdb|spotify|apple\.com|google|yahoo|bing|parenting|recipe|weather|sports|hospital|clinic|pharma|bank|insurance)"
 #: Tags whose start ends an open paragraph.
 ENDS_PARAGRAPH = ("address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul")
 GREETINGS = ("hi", "hey", "hello")

@@ -29,6 +29,7 @@ class RunConfig:
     min_score: int = fixed.MIN_SCORE
     candidate_multiplier: int = 8
     max_pages: int = 14
+    max_clients_per_agency: int = 4
     require_named_client: bool = True
     resume: bool = True
     force: bool = False
@@ -52,6 +53,7 @@ class Leads:
     emails: DataFrame
     clients: DataFrame
     profiles: DataFrame
+    funnels: DataFrame | None = None
 
 
 def flat_pages(pages: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ result is there are not repeated unless ``force`` is set.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators import leads
 from millrace.operators.discovery import crawl_queue
-from millrace.operators.merges import admissible, merge_candidates
+from millrace.operators.merges import admissible
+from millrace.plans.enrichment import Outside, enriched, opened
 from millrace.plans.pipeline import Leads, RunConfig, finalize, process_sites
 from millrace.sources.shared import stored
 
@@ -76,28 +77,40 @@ def console_lines(df: DataFrame, width: int = 24) -> DataFrame:
 
 @dataclass(frozen=True)
 class RunInput:
-    """Stored search results in batches (``batch, url``), stored pages (as for ``process_sites``), and domains never taken."""
+    """Stored search results in batches (``batch, url``), stored pages (as for ``process_sites``), domains never taken, and what the outside world answers to the enriching stages."""
 
     results: DataFrame
     pages: DataFrame
     blocked: DataFrame
+    outside: Outside | None = None
 
 
 def discovered(config: RunConfig, results: DataFrame, blocked: DataFrame, old: DataFrame) -> DataFrame:
-    """(domain, hits) after the batches of ``results``, in order, up to the one with which there are enough candidates."""
-    found = old
-    for batch in [r["batch"] for r in results.select("batch").distinct().orderBy("batch").collect()]:
-        if config.enough(found.count()):
+    """(domain, hits) after the batches of ``results``, in order, up to the one with which there are enough candidates.
+
+    All batches are admitted in one pass. How many new domains each brings tells where the search stops; a domain's hits are the batches up to there that have it."""
+    rows = stored(admissible(results, blocked).select("batch", "domain").distinct(), "admitted")
+    first = rows.join(old.select("domain"), "domain", "left_anti").groupBy("domain").agg(F.min("batch").alias("batch"))
+    new = {r.batch: r.n for r in first.groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    there, used = old.count(), []
+    for batch in sorted(r.batch for r in rows.select("batch").distinct().collect()):
+        if config.enough(there):
             break
-        # Stored, so that a long search doesn't grow one plan.
-        found = stored(merge_candidates(found, admissible(results.where(F.col("batch") == batch), blocked)), "candidates")
-    return found
+        there += new.get(batch, 0)
+        used.append(batch)
+    hits = rows.where(F.col("batch").isin(used)).groupBy("domain").agg(F.count("*").alias("n")) if used else rows.limit(0).select("domain", F.lit(0).cast("long").alias("n"))
+    return old.join(hits.withColumnRenamed("domain", "found"), F.col("domain") == F.col("found"), "full").select(F.coalesce("domain", "found").alias("domain"), (F.coalesce("hits", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("int").alias("hits"))
+
+
+#: Tables that each stage writes.
+WRITES = {"crawl": ("agencies", "emails", "clients", "profiles", "funnels"), "clients": ("agencies", "clients", "funnels"), "founders": ("agencies",), "emails": ("agencies", "emails")}
 
 
 def run_pipeline(spark: SparkSession, config: RunConfig, run_id: int, source: RunInput, path: str, as_of: Column) -> Leads | None:
-    """The stages of ``config.stages``, in order, with their tables and events under ``path``; returns the leads, where the run has come that far.
+    """The stages of ``config.stages``, in order, with their tables and events under ``path``; returns the leads as far as the run has come, or None before any are there.
 
-    With ``resume`` a stage whose table is there is read, not repeated; ``force`` repeats all. An early stop follows ``config.enough``."""
+    Each stage writes the tables that it changes into a folder of its own and reads those of the stages before it. With ``resume`` a stage whose tables are there is read, not repeated; ``force`` repeats all. The enriching stages need
+    ``source.outside``. An early stop of the search follows ``config.enough``."""
 
     def table(name: str) -> DataFrame | None:
         try:
@@ -113,6 +126,12 @@ def run_pipeline(spark: SparkSession, config: RunConfig, run_id: int, source: Ru
             have = table(name)
         return have
 
+    def tables(name: str, make) -> dict[str, DataFrame]:
+        """The tables of a stage; all are made again where one is missing."""
+        names = [f"{name}/{n}" for n in WRITES[name]]
+        made = make() if config.force or not config.resume or any(table(n) is None for n in names) else None
+        return {n.split("/")[1]: stage(n, lambda n=n: getattr(made, n.split("/")[1])) for n in names}
+
     def candidates() -> DataFrame:
         none = spark.createDataFrame([], "domain string, hits int")
         found = discovered(config, source.results, source.blocked, none)
@@ -121,22 +140,17 @@ def run_pipeline(spark: SparkSession, config: RunConfig, run_id: int, source: Ru
     if "discover" not in config.stages and table("candidates") is None:
         return None
     claimed = stage("candidates", candidates)
-    if "crawl" not in config.stages and table("agencies") is None:
+    if "crawl" not in config.stages and table("crawl/agencies") is None:
         return None
-    names = ("agencies", "emails", "clients", "profiles")
-    if config.force or not config.resume or any(table(n) is None for n in names):
-        own = source.pages.join(claimed.where("status = 'claimed'").select(F.col("domain").alias("site")), "site", "left_semi")
-        made = process_sites(own, as_of, config)
-        for n in names:
-            stage(n, lambda n=n: getattr(made, n))
-    got = Leads(*(table(n) for n in names))
+    own = source.pages.join(claimed.where("status = 'claimed'").select(F.col("domain").alias("site")), "site", "left_semi")
+    got = Leads(**tables("crawl", lambda: opened(process_sites(own, as_of, config))))
     stage("marked", lambda: mark(claimed, run_id, got.agencies.select("domain", "reject_reason")))
-    if "finalize" not in config.stages:
-        return got
-    funnels = spark.createDataFrame([], "domain string, client_name string")
-    checked = got.emails.withColumn("verification", F.lit("unverified"))
-    final = stage("final", lambda: finalize(got, checked, funnels, config))
-    return Leads(final, got.emails, got.clients, got.profiles)
+    for name in ("clients", "founders", "emails"):
+        if name in config.stages and source.outside is not None:
+            got = replace(got, **tables(name, lambda name=name, got=got: enriched(got, name, source.outside, config)))
+    if "finalize" in config.stages:
+        got = replace(got, agencies=stage("final", lambda: finalize(got, got.emails, got.funnels, config)))
+    return got
 
 
 def run_response(agencies: DataFrame, emails: DataFrame, clients: DataFrame, funnels: DataFrame, **filters) -> DataFrame:

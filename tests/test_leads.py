@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import contacts as fc
 from millrace.functions import text, urls
 from millrace.operators import crawl, discovery, funnels, html, merges, people, picks, scoring
-from millrace.plans import model_queries, pipeline, queries, site_queries, tree_queries  # noqa: F401
+from millrace.plans import model_queries, pipeline, queries, run_queries, site_queries, tree_queries  # noqa: F401
 
 ROOT = Path(__file__).resolve().parents[1]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
