@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import language, text
+from millrace.functions import fixed, language, lexicons, text
 from millrace.operators import suffixes
 from millrace.plans.queries import query
 from millrace.sources.tables import table
@@ -58,3 +58,32 @@ def suffix_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = spark.sql(_HOSTS, pages=table(spark, sf_dir, "pages"))
     rules = spark.createDataFrame([(r,) for r in RULES], "rule string")
     return suffixes.with_registrable_domain(u, "url", rules).select("page_id", "domain")
+
+
+_SCRIPTS = """CASE page_id % 7 WHEN 0 THEN '<script src="https://connect.facebook.net/en_US/fbevents.js"></script>' WHEN 1 THEN '<link href="/WP-Content/x.css"><a href="https://calendly.com/me">call</a>' WHEN 2 THEN '<script>gtag( "config" , "AW-1")</script>'
+ WHEN 3 THEN '<img src="https://static.wixstatic.com/a.png"> stripe.com checkout' WHEN 4 THEN '<script src="https://js.stripe.com/v3"></script><p>kajabi</p>' WHEN 5 THEN 'Elementor wp-json' ELSE '' END"""
+
+
+@query(f"""
+WITH h AS (SELECT page_id, html || {_SCRIPTS} AS html FROM pages), t AS (SELECT unnest({[label for label, _ in fixed.TECH]!r}) AS label, unnest([{', '.join("'" + p.replace("'", "''") + "'" for _, p in fixed.TECH)}]) AS pattern)
+SELECT page_id, label FROM h, t WHERE regexp_matches(html, '(?i)' || pattern)
+""")
+def tech_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Technologies in the pages' markup, all 47 patterns decided by one automaton."""
+    p = table(spark, sf_dir, "pages").selectExpr("page_id", f"html || {_SCRIPTS} AS html")
+    return p.select("page_id", F.explode(lexicons.labels_of(F.col("html"), fixed.TECH)).alias("label"))
+
+
+_TALK = """CASE doc_id % 6 WHEN 0 THEN ' Our Facebook Ads and google ad, meta ads.' WHEN 1 THEN ' A sales funnel, funnels and landing page for course launches' WHEN 2 THEN ' pay-per-click PPC seo' WHEN 3 THEN ' growth partner; scaling your coaching. Split-test' ELSE '' END"""
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') || {_TALK} AS text FROM documents), t AS (SELECT unnest({[label for label, _ in fixed.SERVICES]!r}) AS label, unnest([{', '.join("'" + p.replace("'", "''") + "'" for _, p in fixed.SERVICES)}]) AS pattern)
+SELECT doc_id, label, least(30, len(regexp_extract_all(text, '(?i)' || pattern)))::INT AS n FROM d, t WHERE regexp_matches(text, '(?i)' || pattern)
+""")
+def service_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services that texts speak of, with the number of mentions, 30 at most: one pass decides which of the patterns run."""
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", f"coalesce(text, '') || {_TALK} AS text")
+    labels = F.array(*(F.lit(label) for label, _ in fixed.SERVICES))
+    counted = d.select("doc_id", F.arrays_zip(labels.alias("label"), lexicons.counts_of(F.col("text"), fixed.SERVICES).alias("n")).alias("z"))
+    return counted.select("doc_id", F.explode("z").alias("e")).select("doc_id", F.col("e.label").alias("label"), F.col("e.n").alias("n")).where("n > 0")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import fixed
 from millrace.functions.language import LanguageModel
+from millrace.functions.lexicons import labels_of
 from millrace.operators import company, contacts, html, people
 from millrace.operators.crawl import admitted_pages, page_ok, site_texts
 from millrace.operators.html import parsed_pages
@@ -78,13 +79,11 @@ def process_sites(pages: DataFrame, as_of: Column, config: RunConfig = RunConfig
     clients = stored(people.site_clients(own, own_links, facts.select("site", "name")), "clients")
     founder = stored(people.founders(own, own_links), "founders").select("site", *(F.col(c).alias(f"founder_{c}") for c in ("name", "title", "linkedin", "source", "confidence")))
     counts = emails.groupBy("site").agg(F.count("*").alias("n_emails"), F.sum(F.col("same_domain").cast("int")).alias("n_own_emails"))
-    shape = flat.groupBy("site").agg(
+    shape = flat.withColumn("labels", labels_of(F.substring("html", 1, 600_000), fixed.TECH)).groupBy("site").agg(
         F.bool_or(F.col("kind") == "case_studies").alias("has_case_page"), F.bool_or(F.col("kind") == "clients").alias("has_clients_page"), F.avg((F.col("kind") == "blog").cast("double")).alias("blog_ratio"), F.count("*").alias("pages_crawled"),
         F.max(F.when(F.col("kind") == "home", F.length("text"))).alias("home_chars"), F.min_by(F.concat_ws(" ", "title", "meta_description", "og_title", F.array_join(F.slice("headings", 1, 12), " ")), F.when(F.col("kind") == "home", F.col("page_ord"))).alias("headline"),
-        *(F.bool_or(F.substring("html", 1, 600_000).rlike(f"(?i){p}")).alias(f"tech_{i}") for i, (_, p) in enumerate(fixed.TECH)),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("tech"),
     )
-    flags = [f"tech_{i}" for i in range(len(fixed.TECH))]
-    shape = shape.withColumn("tech", F.array_sort(F.array_compact(F.array(*(F.when(F.col(f), label) for f, (label, _) in zip(flags, fixed.TECH, strict=True)))))).drop(*flags)
     first = flat.groupBy("site", "kind").agg(F.min_by("url", "page_ord").alias("url")).groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "url")))).alias("key_pages"))
     core = site_texts(flat, ["home", "services", "industries", "about", "clients", "case_studies"], 150_000, "core_text")
     profiles = contacts.site_profiles(links)

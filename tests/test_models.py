@@ -1,9 +1,12 @@
 """Language model and suffix rules: held-out accuracy, literal cases, odd tables."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import language, text
+from millrace.functions import fixed, language, lexicons, text
 from millrace.operators import merges, suffixes
 
 
@@ -50,3 +53,24 @@ def test_suffix_rules(spark, tmp_path):
     blocked = spark.createDataFrame([("y.z.ck",)], "domain string")
     kept = merges.admissible(rows.where("url like '%ck'"), blocked, rules=rules)
     assert {r.domain for r in kept.collect()} == {"www.ck", "z.ck"}
+
+
+def test_literals_that_patterns_need():
+    assert lexicons.needed(r"\b(facebook|fb) ads?\b") == {"facebook ads", "facebook ad", "fb ads", "fb ad"} and lexicons.needed(r"kajabi|x\.y") == {"kajabi", "x.y"}
+    assert lexicons.needed(r"\d+ (top|best)[a-z]* of") == {" top", " best"} and lexicons.needed(r"a?\w+") is None and lexicons.needed(r"(abc|\d)") is None and lexicons.needed(r"(ab)+c{2}") is not None
+
+
+def test_every_pattern_is_found_where_it_matches():
+    every = tuple((f"{i}", p) for i, (_, p) in enumerate((*fixed.TECH, *fixed.SERVICES, *fixed.ICP, *fixed.NON_AGENCY, *fixed.FUNNEL_TYPES)))
+    lex, r = lexicons.Lexicon(every), random.Random(4)
+    assert len(lex.always) < len(every) / 10
+    words = sorted({w for _, p in every for w in re.findall(r"[a-z]{2,}", p)}) + ["$5k", "10", "-", ".", "'", '"', "(", "&", "É", "ads", "s"]
+    for _ in range(400):
+        text = "".join(r.choice(words).title() + r.choice([" ", "", "-", ".", "  "]) if r.random() < 0.3 else r.choice(words) + r.choice([" ", "", "-", ".", "/"]) for _ in range(60))
+        assert lex.count(text, 30) == [min(30, sum(1 for _ in p.finditer(text))) for p in lex.patterns]
+
+
+def test_lexicon_columns_with_nulls(spark):
+    rows = spark.createDataFrame([("we do Facebook ads and facebook ads",), (None,), ("",)], "t string")
+    got = rows.select(lexicons.counts_of(F.col("t"), fixed.SERVICES, 1).alias("n"), lexicons.labels_of(F.col("t"), fixed.SERVICES).alias("l")).collect()
+    assert got[0].n[0] == 1 and got[0].l == ["meta ads"] and sum(got[1].n) == 0 and got[2].l == []
