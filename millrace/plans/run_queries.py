@@ -14,6 +14,8 @@ from millrace.plans.queries import query
 from millrace.plans.runs import WRITES
 from millrace.plans.site_queries import made_up
 from millrace.sources.shared import stored
+from millrace.sources.tables import table
+from millrace.streaming import stateful
 
 _AGENCIES = "SELECT c_custkey AS k, 'a' || c_custkey || '.org' AS domain, 'Acme Growth Agency' AS name, CAST(60 + c_custkey % 30 AS INT) AS score, CASE WHEN c_custkey % 5 = 4 THEN 'rejected' ELSE 'qualified' END AS status, CAST(NULL AS STRING) AS tier, CAST(NULL AS STRING) AS reject_reason, CASE WHEN c_custkey % 2 = 0 THEN 'Ann Baker' END AS founder_name, CAST(NULL AS STRING) AS founder_title, CASE WHEN c_custkey % 6 = 0 THEN 'https://linkedin.com/in/known' END AS founder_linkedin, CAST(NULL AS STRING) AS founder_source, CAST(NULL AS DOUBLE) AS founder_confidence, CASE WHEN c_custkey % 11 = 0 THEN 'emails_done' END AS enrich_stage FROM {customer}"
 _EMAILS = "SELECT 'a' || c_custkey || '.org' AS domain, 'office@a' || c_custkey || '.org' AS email, 'mailto' AS source, 'https://x' AS page_url, true AS same_domain, CAST(0.9 AS DOUBLE) AS confidence, 1 AS rank, 'unknown' AS verification, false AS is_primary FROM {customer} WHERE c_custkey % 3 <> 0"
@@ -73,3 +75,35 @@ def run_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = leads.emails.groupBy("domain").agg(F.max("verification").alias("verification"), F.max(F.when(F.col("is_primary"), F.col("email"))).alias("primary_email"))
     out = final.join(c, "domain", "left").join(n, "domain", "left").join(e, "domain", "left")
     return out.select("domain", "tier", "status", "enrich_stage", "client_status", "website", F.coalesce("funnels", F.lit(0)).alias("funnels"), "verification", "primary_email", "founder_linkedin")
+
+
+@query("""
+WITH o AS (SELECT event_type || user_id % 50 AS key, event_id AS op_id, ts, CASE WHEN event_id % 4 = 0 THEN 'put' ELSE 'get' END AS op, CASE WHEN event_id % 12 <> 0 THEN 'v' || event_id END AS value FROM events)
+SELECT g.key, g.op_id, CASE WHEN p.value IS NOT NULL AND epoch_us(g.ts) - epoch_us(p.ts) <= 7200000000 THEN p.value END AS value, coalesce(p.value IS NOT NULL AND epoch_us(g.ts) - epoch_us(p.ts) <= 7200000000, false) AS hit
+FROM (SELECT * FROM o WHERE op = 'get') g LEFT JOIN LATERAL (SELECT p.value, p.ts FROM o p WHERE p.op = 'put' AND p.key = g.key AND (p.ts < g.ts OR p.ts = g.ts AND p.op_id < g.op_id) ORDER BY p.ts DESC, p.op_id DESC LIMIT 1) p ON true
+""")
+def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as puts into and gets from a cache whose entries live for two hours."""
+    e = table(spark, sf_dir, "events")
+    ops = e.select(F.concat("event_type", F.col("user_id") % 50).alias("key"), F.col("event_id").alias("op_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 4 == 0, "put").otherwise("get").alias("op"), F.when(F.col("event_id") % 12 != 0, F.concat(F.lit("v"), "event_id")).alias("value"))
+    return stateful.cache_reads(ops, 7200).drop("ts")
+
+
+_LEASE_OPS = "SELECT 'd' || user_id % 400 AS key, event_id AS op_id, ts, CASE WHEN event_type = 'purchase' THEN 'done' ELSE 'claim' END AS op, 'run' || event_id % 3 AS holder, row_number() OVER (PARTITION BY user_id % 400 ORDER BY ts, event_id) AS i FROM events"
+
+
+@query(f"""
+WITH RECURSIVE o AS MATERIALIZED ({_LEASE_OPS}),
+f(key, i, op_id, holder, outcome, by_, at_, closed) AS (
+  SELECT key, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::TIMESTAMP, false FROM (SELECT DISTINCT key FROM o)
+  UNION ALL
+  SELECT key, i, op_id, holder, outcome, CASE WHEN outcome IN ('granted', 'renewed', 'reclaimed') THEN holder ELSE by_ END, CASE WHEN outcome IN ('granted', 'renewed', 'reclaimed') THEN ts ELSE at_ END, closed OR outcome = 'done'
+  FROM (SELECT f.key, o.i, o.op_id, o.ts, o.holder, f.by_, f.at_, f.closed, CASE WHEN o.op = 'done' THEN CASE WHEN f.by_ = o.holder AND NOT f.closed THEN 'done' ELSE 'void' END WHEN f.closed THEN 'void' WHEN f.by_ IS NULL THEN 'granted'
+    WHEN f.by_ = o.holder THEN 'renewed' WHEN epoch_us(o.ts) - epoch_us(f.at_) > 3600000000 THEN 'reclaimed' ELSE 'refused' END AS outcome FROM f JOIN o ON o.key = f.key AND o.i = f.i + 1))
+SELECT key, op_id, holder, outcome FROM f WHERE i > 0
+""")
+def lease_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as claims of three runs on domains, and work done: what is granted, renewed, reclaimed after an hour, refused, done once, or void."""
+    e = table(spark, sf_dir, "events")
+    ops = e.select(F.concat(F.lit("d"), F.col("user_id") % 400).alias("key"), F.col("event_id").alias("op_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "purchase", "done").otherwise("claim").alias("op"), F.concat(F.lit("run"), F.col("event_id") % 3).alias("holder"))
+    return stateful.lease_outcomes(ops).drop("ts")
