@@ -202,16 +202,14 @@ def email_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.primary_emails(rows).select("site", "email")
 
 
-@query(r"""
-WITH k AS (SELECT range AS i FROM range(1, 256)), t AS (SELECT i, 'user' || i || '@mail.test' AS plain FROM k)
-SELECT i, plain AS email FROM t
-""")
+@query("SELECT c_custkey AS i, lower(replace(c_name, '#', '.')) || '@mail' || c_nationkey || '.test' AS email FROM customer")
 def cf_email_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses protected with every key, decoded again."""
-    k = spark.range(1, 256).select(F.col("id").alias("i"), F.concat(F.lit("user"), "id", F.lit("@mail.test")).alias("plain"))
+    """Addresses made from the customers' names, protected with a key each, decoded again."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@mail"), "c_nationkey", F.lit(".test")).alias("plain"))
+    key = (F.col("i") % 255 + 1).cast("long")
     two = lambda n: F.lpad(F.lower(F.hex(n)), 2, "0")
-    chars = F.transform(F.filter(F.split("plain", ""), lambda c: c != ""), lambda c: two(F.ascii(c).bitwiseXOR(F.col("i").cast("int")).cast("long")))
-    return k.select("i", fc.decode_protected_email(F.concat(two(F.col("i")), F.array_join(chars, ""))).alias("email"))
+    chars = F.transform(F.filter(F.split("plain", ""), lambda x: x != ""), lambda x: two(F.ascii(x).cast("long").bitwiseXOR(key)))
+    return c.select("i", fc.decode_protected_email(F.concat(two(key), F.array_join(chars, ""))).alias("email"))
 
 
 @query(rf"""

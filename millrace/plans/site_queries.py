@@ -437,10 +437,17 @@ def funnel_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnels.site_funnels(p).withColumn("steps", F.array_join("steps", ";"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'quiz' WHEN doc_id % 3 = 1 THEN 'challenge' ELSE 'landing_page' END AS funnel_type FROM documents")
+_OFFERS = "CASE doc_id % 3 WHEN 0 THEN 'A quiz, an assessment, a scorecard. ' WHEN 1 THEN 'A 5-day challenge, a bootcamp and one more challenge. ' ELSE 'A quiz, an assessment and the same quiz. ' END || coalesce(text, '')"
+_TYPES_OF = ", ".join(f"{{'n': len(list_distinct(regexp_extract_all(lower(substr(t, 1, 2500)), '{p.replace(chr(39), chr(39) * 2)}'))), 'type': '{label}'}}" for label, p in fixed.FUNNEL_TYPES)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_OFFERS} AS t FROM documents), s AS (SELECT doc_id, list_filter([{_TYPES_OF}], lambda x: x.n >= 3) AS s FROM d)
+SELECT doc_id, CASE WHEN len(s) = 0 THEN 'landing_page' ELSE list_sort(s, 'DESC')[1].type END AS funnel_type FROM s
+""")
 def funnel_type_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types by words of the text alone: three different ones of a type count 3, two only 2."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "A quiz, an assessment, a scorecard").when(F.col("doc_id") % 3 == 1, "A 5-day challenge, a bootcamp and one more challenge").otherwise("A quiz, an assessment and the same quiz").alias("t"))
+    """Types of texts by the words of their beginning, as the operator takes it: three different ones of a type count 3, two only 2."""
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_OFFERS} AS t")
     none = F.lit("")
     return d.select("doc_id", funnels.funnel_type(F.lit("https://a.test/x"), none, none, none, F.col("t")).alias("funnel_type"))
 
@@ -524,11 +531,14 @@ def client_sites_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.resolved_clients(clients, x)
 
 
-@query("SELECT doc_id, doc_id % 3 = 0 AS trade FROM documents")
+_SITE_TEXT = "CASE doc_id % 3 WHEN 0 THEN 'A course for every coach. Enroll now. ' WHEN 1 THEN 'Every coach needs a coach. Enroll now. ' ELSE 'Students of a coach. ' END || coalesce(text, '')"
+
+
+@query(f"WITH d AS (SELECT doc_id, {_SITE_TEXT} AS t FROM documents) SELECT doc_id, len(list_distinct(regexp_extract_all(lower(t), '{names.ICP_EVIDENCE.replace('(?i)', '')}', 1))) >= 2 AND regexp_matches(t, '{fixed.FUNNEL_PATH}') AS trade FROM d")
 def trade_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites of the trade: two different terms of it and an offer."""
-    t = F.when(F.col("doc_id") % 3 == 0, "A course for every coach. Enroll now").when(F.col("doc_id") % 3 == 1, "Every coach needs a coach. Enroll now").otherwise("Students of a coach.")
-    return table(spark, sf_dir, "documents").select("doc_id", people.infopreneur_site(t).alias("trade"))
+    """Texts of the trade: two different terms of it and an offer, anywhere in the whole text."""
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_SITE_TEXT} AS t")
+    return d.select("doc_id", people.infopreneur_site(F.col("t")).alias("trade"))
 
 
 # --- runs -----------------------------------------------------------------------------------------------------------
