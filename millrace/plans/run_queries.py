@@ -13,9 +13,9 @@ from millrace.plans.pipeline import Leads, finalize
 from millrace.plans.queries import query
 from millrace.plans.runs import WRITES
 from millrace.plans.site_queries import made_up
-from millrace.sources.shared import stored
+from millrace.sources.shared import shared_dir, stored
 from millrace.sources.tables import table
-from millrace.streaming import stateful
+from millrace.streaming import counters, stateful
 
 _AGENCIES = "SELECT c_custkey AS k, 'a' || c_custkey || '.org' AS domain, 'Acme Growth Agency' AS name, CAST(60 + c_custkey % 30 AS INT) AS score, CASE WHEN c_custkey % 5 = 4 THEN 'rejected' ELSE 'qualified' END AS status, CAST(NULL AS STRING) AS tier, CAST(NULL AS STRING) AS reject_reason, CASE WHEN c_custkey % 2 = 0 THEN 'Ann Baker' END AS founder_name, CAST(NULL AS STRING) AS founder_title, CASE WHEN c_custkey % 6 = 0 THEN 'https://linkedin.com/in/known' END AS founder_linkedin, CAST(NULL AS STRING) AS founder_source, CAST(NULL AS DOUBLE) AS founder_confidence, CASE WHEN c_custkey % 11 = 0 THEN 'emails_done' END AS enrich_stage FROM {customer}"
 _EMAILS = "SELECT 'a' || c_custkey || '.org' AS domain, 'office@a' || c_custkey || '.org' AS email, 'mailto' AS source, 'https://x' AS page_url, true AS same_domain, CAST(0.9 AS DOUBLE) AS confidence, 1 AS rank, 'unknown' AS verification, false AS is_primary FROM {customer} WHERE c_custkey % 3 <> 0"
@@ -107,3 +107,19 @@ def lease_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     ops = e.select(F.concat(F.lit("d"), F.col("user_id") % 400).alias("key"), F.col("event_id").alias("op_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "purchase", "done").otherwise("claim").alias("op"), F.concat(F.lit("run"), F.col("event_id") % 3).alias("holder"))
     return stateful.lease_outcomes(ops).drop("ts")
+
+
+_CHANGES = "SELECT 'd' || o_custkey AS domain, CASE o_orderstatus WHEN 'F' THEN 'qualified' WHEN 'O' THEN 'review' ELSE 'rejected' END AS status, CASE WHEN o_orderstatus <> 'P' THEN substr(o_orderpriority, 1, 1) END AS tier, CAST(o_orderkey % 100 AS INT) AS score, CASE WHEN o_orderstatus = 'P' THEN 'low_score' END AS reject_reason, o_orderkey AS ts, CAST(o_orderkey % 3 AS INT) AS batch FROM {orders}"
+
+
+@query(f"""
+WITH l AS (SELECT domain, arg_max({{'status': status, 'tier': tier, 'score': score, 'reason': reject_reason}}, (batch, ts)) AS r FROM ({_CHANGES.replace('{orders}', 'orders')}) GROUP BY domain)
+SELECT measure, key, count(*)::BIGINT AS n FROM (SELECT unnest([{{'measure': 'status', 'key': r.status}}, {{'measure': 'tier', 'key': r.tier}}, {{'measure': 'reason', 'key': r.reason}}, {{'measure': 'leads', 'key': 'all'}}], recursive := true) FROM l) WHERE key IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'score', 'sum', sum(r.score)::BIGINT FROM l
+""")
+def counters_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of leads after three batches of changes, each taken in by what it changes."""
+    path, changes = shared_dir(spark), made_up(spark, sf_dir, _CHANGES)
+    for n in range(3):
+        counters.count_changes(changes.where(F.col("batch") == n), n, path)
+    return counters.lead_counters(spark, path, 2)
