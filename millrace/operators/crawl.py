@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import fixed
-from millrace.functions.urls import absolutize, canonicalize, classify_url, looks_like_asset, registrable_domain
+from millrace.functions.urls import absolutize, canonicalize, classify_url, looks_like_asset, registrable_domain, same_site
 from millrace.operators.picks import content_dedup, first_by, ranked
+from millrace.sources.shared import stored
 
 
 def page_ok(status: Column, error: Column, html: Column) -> Column:
@@ -38,26 +39,40 @@ def page_budget(links: DataFrame, max_pages: int = 14, caps: dict[str, int] = fi
     return ranked(kept, ["site"], order, "pick", most=max_pages - 1).drop("in_kind")
 
 
-def sitemap_urls(docs: DataFrame) -> DataFrame:
-    """(site, doc_url, url, lastmod, is_index) of sitemap documents (``site, doc_url, xml``); indexes leave out media and archives."""
-    is_index = F.col("xml").rlike("(?i)<sitemapindex")
+def _numbered_entries(docs: DataFrame) -> DataFrame:
+    """(site, doc_url, is_index, pos, url, lastmod) of the stored maps' entries, in the order of the document, those without a place left out."""
+    xml = docs.where(F.col("xml").rlike("(?i)<(urlset|sitemapindex)"))
     entries = F.regexp_extract_all("xml", F.lit(r"(?is)<(?:url|sitemap)>(.*?)</(?:url|sitemap)>"), F.lit(1))
-    out = docs.select("site", "doc_url", is_index.alias("is_index"), F.explode(entries).alias("entry_"))
-    out = out.select("site", "doc_url", F.regexp_extract("entry_", r"(?i)<loc>\s*([^<\s]+)\s*</loc>", 1).alias("url"), F.regexp_extract("entry_", r"(?i)<lastmod>\s*([^<\s]+)\s*</lastmod>", 1).alias("lastmod"), "is_index")
-    return out.where((F.col("url") != "") & ~(F.col("is_index") & F.col("url").rlike("(?i)(image|video|tag|category|author|attachment)")))
-
-
-def sitemap_walk(docs: DataFrame, roots: DataFrame, depth: int = 3, fan_out: int = 15, most_docs: int = 12, most_urls: int = 3000) -> DataFrame:
-    """Page urls reached from the root documents (``site, doc_url``) through indexes, level by level, with the newest ``lastmod`` of the site."""
-    entries = sitemap_urls(docs)
-    at, found = roots.select("site", "doc_url").distinct(), None
-    for _ in range(depth):
-        here = entries.join(at, ["site", "doc_url"])
-        pages = here.where(~F.col("is_index")).select("site", "url", "lastmod")
-        found = pages if found is None else found.unionByName(pages)
-        at = ranked(here.where("is_index"), ["site"], [F.col("url")], "n_", most=min(fan_out, most_docs)).select("site", F.col("url").alias("doc_url")).distinct()
-    newest = found.groupBy("site").agg(F.max(F.when(F.col("lastmod") != "", F.col("lastmod"))).alias("newest"))
-    return ranked(found.select("site", "url").distinct(), ["site"], [F.col("url")], "n_", most=most_urls).drop("n_").join(newest, "site")
+    out = xml.select("site", "doc_url", F.col("xml").rlike("(?i)<sitemapindex").alias("is_index"), F.posexplode(entries).alias("pos", "entry_"))
+    lastmod = F.substring(F.regexp_extract("entry_", r"(?i)<lastmod>\s*([^<\s]+)\s*</lastmod>", 1), 1, 10)
+    return out.select("site", "doc_url", "is_index", "pos", F.regexp_extract("entry_", r"(?i)<loc>\s*([^<\s]+)\s*</loc>", 1).alias("url"), lastmod.alias("lastmod")).where("url <> ''")
+
+
+def sitemap_walk(docs: DataFrame, roots: DataFrame, fan_out: int = 15, most_docs: int = 12, most_urls: int = 3000) -> DataFrame:
+    """(site, url, newest): page urls reached from the root documents (``site, doc_url``) through indexes, and the newest day of the maps read.
+
+    A site's documents are visited breadth first, in the order of the documents that name them, each once, ``most_docs`` in all; of an index the first ``fan_out`` entries count. Each level of the frontier is one join, and the walk ends where a level is empty. A map is read while no more than
+    ``most_urls`` urls came before it; urls of other sites and assets are left out. A document that isn't stored uses up its visit."""
+    entries = stored(_numbered_entries(docs), "sitemap-entries")
+    frontier = roots.select("site", "doc_url", F.struct(F.lit(0).alias("by"), F.lit(0).alias("pos")).alias("at"))
+    visited = roots.select("site", "doc_url", F.lit(0).alias("number")).limit(0)
+    for _ in range(most_docs):
+        new = first_by(frontier, ["site", "doc_url"], [F.col("at.by"), F.col("at.pos")]).join(visited.select("site", "doc_url"), ["site", "doc_url"], "left_anti")
+        so_far = visited.groupBy(F.col("site").alias("vs")).agg(F.count("*").alias("n"))
+        level = ranked(new, ["site"], [F.col("at.by"), F.col("at.pos"), F.col("doc_url")], "place", start=1, most=most_docs).join(so_far, F.col("site") == F.col("vs"), "left")
+        level = stored(level.select("site", "doc_url", (F.coalesce("n", F.lit(0)) + F.col("place")).cast("int").alias("number")).where(F.col("number") <= most_docs), "sitemap-level")
+        if level.isEmpty():
+            break
+        visited = visited.unionByName(level)
+        named = entries.where("is_index").join(level, ["site", "doc_url"])
+        first = ranked(named, ["site", "number"], [F.col("pos")], "place", start=1, most=fan_out)
+        frontier = first.where(~F.col("url").rlike("(?i)(image|video|tag|category|author|attachment)")).select("site", F.col("url").alias("doc_url"), F.struct(F.col("number").alias("by"), "pos").alias("at"))
+    pages = entries.where("not is_index").join(visited, ["site", "doc_url"]).withColumn("own", same_site(F.col("url"), F.col("site")) & ~looks_like_asset(F.col("url")))
+    sizes = pages.groupBy("site", "number").agg(F.count_if("own").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("site").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))  # a dozen rows a site at most
+    read = pages.join(sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= most_urls).select("site", "number"), ["site", "number"])
+    newest = read.groupBy("site").agg(F.max(F.when(F.col("lastmod") != "", F.col("lastmod"))).alias("newest"))
+    return read.where("own").select("site", "url").distinct().join(newest, "site")
 
 
 def newest_date(dates: Column, as_of: Column) -> Column:

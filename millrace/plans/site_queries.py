@@ -280,17 +280,24 @@ def newest_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("k", crawl.newest_date(dates, F.lit(AS_OF).cast("date")).alias("newest"))
 
 
-@query("SELECT 'site' || c_custkey || '.test' AS site, 'https://site' || c_custkey || '.test/p' || i AS url, CASE WHEN c_custkey % 2 = 0 THEN '2024-03-0' || (1 + c_custkey % 5) END AS newest FROM customer, (SELECT unnest([1, 2, 3]) AS i) WHERE c_custkey % 3 = 0 OR i < 3")
+@query("""
+WITH s AS (SELECT c_custkey AS k, 'site' || c_custkey || '.test' AS site, CASE WHEN c_custkey % 2 = 0 THEN '2024-03-0' || (1 + c_custkey % 5) ELSE '2024-02-01' END AS newest FROM customer)
+SELECT site, 'https://' || site || '/p' || i AS url, newest FROM s, (SELECT unnest([1, 2, 3]) AS i) WHERE k % 3 = 0 OR i < 3
+UNION ALL SELECT site, 'https://' || site || '/q' || i, newest FROM s, (SELECT unnest(range(1, 21)) AS i) WHERE k % 5 = 0 AND i <= CASE WHEN k % 3 = 0 THEN 9 ELSE 10 END
+""")
 def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of sitemaps, reached through an index that also names an image map; a third of the sites have a second map."""
+    """Pages of sitemaps, reached through an index that also names itself, an image map and, for a fifth of the sites, twenty maps more than a dozen visits take in; one map has urls of another site and an asset, and a date with a time."""
     c = made_up(spark, sf_dir, "SELECT 'site' || c_custkey || '.test' AS site, c_custkey AS k FROM {customer}")
     at = lambda path: F.concat(F.lit("https://"), "site", F.lit(path))
     tag = lambda name, inner, mod=None: F.concat(F.lit(f"<{name}><loc>"), inner, F.lit("</loc>"), mod if mod is not None else F.lit(""), F.lit(f"</{name}>"))
-    mod = F.when(F.col("k") % 2 == 0, F.concat(F.lit("<lastmod>2024-03-0"), 1 + F.col("k") % 5, F.lit("</lastmod>"))).otherwise(F.lit(""))
-    index = F.concat(F.lit("<sitemapindex>"), tag("sitemap", at("/a.xml")), F.when(F.col("k") % 3 == 0, tag("sitemap", at("/b.xml"))).otherwise(F.lit("")), tag("sitemap", at("/image-map.xml")), F.lit("</sitemapindex>"))
-    first = F.concat(F.lit("<urlset>"), tag("url", at("/p1"), mod), tag("url", at("/p2")), tag("url", at("/p1")), F.lit("</urlset>"))
-    second, image = F.concat(F.lit("<urlset>"), tag("url", at("/p3")), F.lit("</urlset>")), F.concat(F.lit("<urlset>"), tag("url", at("/i.png")), F.lit("</urlset>"))
-    docs = c.select("site", F.explode(F.array(*(F.struct(at(p).alias("doc_url"), x.alias("xml")) for p, x in (("/map.xml", index), ("/a.xml", first), ("/b.xml", second), ("/image-map.xml", image))))).alias("d")).select("site", "d.*")
+    mod = F.when(F.col("k") % 2 == 0, F.concat(F.lit("<lastmod>2024-03-0"), 1 + F.col("k") % 5, F.lit("T10:00:00Z</lastmod>"))).otherwise(F.lit(""))
+    more = F.when(F.col("k") % 5 == 0, F.concat(*(tag("sitemap", at(f"/q{i}.xml")) for i in range(1, 21)))).otherwise(F.lit(""))
+    index = F.concat(F.lit("<sitemapindex>"), tag("sitemap", at("/map.xml")), tag("sitemap", at("/a.xml")), F.when(F.col("k") % 3 == 0, tag("sitemap", at("/b.xml"))).otherwise(F.lit("")), tag("sitemap", at("/image-map.xml")), more, F.lit("</sitemapindex>"))
+    other = tag("url", F.lit("https://other.test/x"), F.lit("<lastmod>2024-02-01</lastmod>"))
+    first = F.concat(F.lit("<urlset>"), tag("url", at("/p1"), mod), tag("url", at("/p2")), tag("url", at("/p1")), other, tag("url", at("/i.png")), F.lit("</urlset>"))
+    second, image = F.concat(F.lit("<urlset>"), tag("url", at("/p3")), F.lit("</urlset>")), F.concat(F.lit("<urlset>"), tag("url", at("/i9")), F.lit("</urlset>"))
+    maps = (("/map.xml", index), ("/a.xml", first), ("/b.xml", second), ("/image-map.xml", image), *((f"/q{i}.xml", F.concat(F.lit("<urlset>"), tag("url", at(f"/q{i}")), F.lit("</urlset>"))) for i in range(1, 21)))
+    docs = c.select("site", F.explode(F.array(*(F.struct(at(p).alias("doc_url"), x.alias("xml")) for p, x in maps))).alias("d")).select("site", "d.*")
     return crawl.sitemap_walk(docs, c.select("site", at("/map.xml").alias("doc_url"))).select("site", "url", "newest")
 
 
