@@ -5,9 +5,9 @@ similarity share a shingle among the first ``n - ceil(similarity * n) + 1`` of e
 filter). The order here is by rarity: first the shingles that no other document has, then by the number of sets that have them. A
 set with enough shingles of its own has no candidate and goes no further.
 
-Sets that share a shingle of their prefixes, directly or by others, form a candidate group. Every pair within a group is decided by its exact
-similarity: a large group is cut into blocks, and each pair of blocks is a task's work. In it a set is compared with all those not
-reached yet, and reached only by a similarity that holds, so that links join the same sets as all links would.
+Two sets are compared only where they share a shingle of their prefixes and what both have from it on is enough for the similarity (sizes and
+places tell), and only verified links join sets. A shingle of few sets gives its pairs. One of many sets compares them with a few of them first, until that links
+little; then come the pairs that no link joins so far, the sets cut into blocks. So copies cost what they are in number, not the square of it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import rolling as R
@@ -25,8 +25,10 @@ from millrace.llm.anchors import measured, row_key, shared_anchors
 from millrace.llm.common import n_buckets, stored
 from millrace.llm.components import components
 
-#: Shingles of a block, about, with so many added for each set; a task has two blocks at once.
-BLOCK, EACH = 100_000, 200
+#: A shingle of so many sets gives all their pairs; sets of a block of more; sets that all the others of a shingle are compared with in a round.
+FEW, BLOCK, STARS = 8, 1000, 4
+#: A round must link one in so many of its pairs to be followed by another.
+WORTH = 10
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,23 +72,13 @@ def _shared_sets(width: int, similarity: float):
                 n, own = len(np.unique(h)), np.unique(h[np.frombuffer(hits, "<u4")])
                 prefix = n - int(np.ceil(similarity * n - 1e-9)) + 1
                 if n - len(own) < prefix:
-                    out.append((key, n, prefix - (n - len(own)), own.tobytes()))
+                    out.append((key, n, prefix - (n - len(own)), own.view(np.int64)))
             cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["node", "size", "takes", "shared"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["node", "size", "takes", "shared"])
 
     return emit
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each shared shingle of a set; ``rest`` is what the prefix takes less all of them."""
-    for batch in batches:
-        for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-            h = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
-            n = [len(x) for x in h]
-            node, takes = (part.column(i).to_numpy() for i in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(np.repeat(node, n)), pa.array(np.repeat(takes - n, n))], ["shingle", "node", "rest"])
-
-
 def _whole(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
     """The columns of a partition."""
     got = list(batches)
@@ -101,88 +93,24 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of shingles that several sets have, with the number of sets; a shingle's rows are all in this partition."""
-    for shingle, node, rest in [_whole(batches)]:
+    for shingle, node, size, rest in [_whole(batches)]:
         order = np.argsort(shingle, kind="stable")
-        _, size = _runs(shingle[order])
-        n = np.repeat(size, size)
+        _, n = _runs(shingle[order])
+        n = np.repeat(n, n)
         order, n = order[n > 1], n[n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(shingle[order]), pa.array(node[order]), pa.array(rest[order]), pa.array(n)], ["shingle", "node", "rest", "sets"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shingle[order], node[order], size[order], rest[order], n)], ["shingle", "node", "size", "rest", "sets"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of several sets that lie in a set's prefix, the rarest first; a set's rows are all in this partition."""
-    for shingle, node, rest, sets in [_whole(batches)]:
+    """The shingles of several sets that lie in a set's prefix, the rarest first, with the number of such shingles from each on; a set's rows are all in this partition."""
+    for shingle, node, size, rest, sets in [_whole(batches)]:
         order = np.lexsort((shingle, sets, node))
-        head, size = _runs(node[order])
+        head, n = _runs(node[order])
+        tail = np.repeat(head + n, n) - np.arange(len(order))
         # Shingles that no other set has come before these: the prefix takes so many fewer.
-        taken = np.arange(len(order)) - np.repeat(head, size) < rest[order] + np.repeat(size, size)
-        yield pa.RecordBatch.from_arrays([pa.array(shingle[order][taken]), pa.array(node[order][taken])], ["shingle", "node"])
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins the sets of each shingle with the least of them."""
-    for shingle, node in [_whole(batches)]:
-        order = np.lexsort((node, shingle))
-        head, size = _runs(shingle[order])
-        pairs = np.column_stack([node[order], np.repeat(node[order][head], size)])
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-
-def alike(size: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that connect what all pairs of ``similarity`` or more would. ``sets`` may leave out items that no two have in common, ``size`` counts them."""
-    n = len(sets)
-    first = np.cumsum([0, *map(len, sets)])
-    values, item = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(item, kind="stable")
-    owner = np.repeat(np.arange(n), np.diff(first))[order]
-    start = np.searchsorted(item[order], np.arange(len(values) + 1))
-    fresh, left, out = np.ones(n, dtype=bool), n, []
-    for s in range(n):
-        if not fresh[s]:
-            continue
-        fresh[s], left, reached = False, left - 1, [s]
-        while reached and left:
-            x = reached.pop()
-            own = item[first[x] : first[x + 1]]
-            both = np.bincount(owner[R.ranges(start[own], start[own + 1] - start[own])], minlength=n)
-            hit = np.flatnonzero(fresh & (both / (size[x] + size - both) >= similarity)).tolist()
-            fresh[hit] = False
-            left -= len(hit)
-            reached += hit
-            out += [(x, y) for y in hit]
-    return out
-
-
-def _verified(similarity: float):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links of each pair of blocks; the rows come in the order of these."""
-
-        def links():
-            found = alike(np.array([x[1] for x in rows]), [np.frombuffer(x[2], np.int64) for x in rows], similarity)
-            a, b = ([rows[p[i]][0] for p in found] for i in range(2))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        now, rows = None, []
-        for batch in batches:
-            for root, lo, hi, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if (root, lo, hi) != now and rows:
-                    yield links()
-                    rows = []
-                now = (root, lo, hi)
-                rows.append(row)
-        if rows:
-            yield links()
-
-    return emit
-
-
-def candidate_groups(sets: DataFrame, buckets: int) -> DataFrame:
-    """(node, root) of the sets that share a shingle of their prefixes with another, by groups."""
-    rows = sets.select("node", "takes", "shared").mapInArrow(_exploded, "shingle long, node long, rest long")
-    counted = rows.repartition(buckets, "shingle").mapInArrow(_skip_empty(_counted), "shingle long, node long, rest long, sets long")
-    prefixes = counted.repartition(buckets, "node").mapInArrow(_skip_empty(_prefixes), "shingle long, node long")
-    return components(prefixes.repartition(buckets, "shingle").mapInArrow(_skip_empty(_stars), "a long, b long"))
+        taken = np.repeat(n, n) - tail < rest[order] + np.repeat(n, n)
+        order = order[taken]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shingle[order], node[order], size[order], tail[taken])], ["shingle", "node", "size", "tail"])
 
 
 def _skip_empty(emit):
@@ -194,18 +122,79 @@ def _skip_empty(emit):
     return some
 
 
+def prefix_rows(sets: DataFrame, buckets: int) -> DataFrame:
+    """(shingle, node, size, tail, blocks, own) of each shingle that the prefixes of several sets have; ``tail`` bounds what the set can share from that shingle on, ``own`` is its block of ``blocks``, 0 of 0 where there are few sets."""
+    rows = sets.select(F.explode("shared").alias("shingle"), "node", "size", (F.col("takes") - F.size("shared")).alias("rest"))
+    counted = rows.repartition(buckets, "shingle").mapInArrow(_skip_empty(_counted), "shingle long, node long, size long, rest long, sets long")
+    prefixes = stored(counted.repartition(buckets, "node").mapInArrow(_skip_empty(_prefixes), "shingle long, node long, size long, tail long"), "prefixes")
+    several = prefixes.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.when(F.col("n") <= FEW, 0).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int")
+    placed = prefixes.join(several, "shingle").withColumn("blocks", blocks).drop("n")
+    return placed.withColumn("own", F.when(F.col("blocks") == 0, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int"))
+
+
+def _may_reach(x: str, y: str, similarity: float) -> Column:
+    """Whether two sets can have the similarity if the shingle they met by is the first that both have."""
+    return F.least(f"{x}.tail", f"{y}.tail") * (1 + similarity) >= (F.col(f"{x}.size") + F.col(f"{y}.size")) * similarity - 1e-6
+
+
+def _pairs_within(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """The pairs (a, b) of different roots that meet under equal keys and may reach the similarity. Rows of two blocks meet across these only."""
+    row = F.struct("node", "size", "tail", "root", "own")
+    met = rows.select(*keys, row.alias("x")).join(rows.select(*keys, row.alias("y")), keys).where("x.node < y.node and x.root <> y.root")
+    if "lo" in keys:
+        met = met.where("lo = hi or x.own <> y.own")
+    return met.where(_may_reach("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _pairs_with_some(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """The pairs (a, b) of different roots of a few sets of each shingle with its others; each block of these is a join's key."""
+    row = F.struct("node", "size", "tail", "root")
+    first = [F.min(F.struct(F.xxhash64("node", F.lit(turn * STARS + i)).alias("h"), row.alias("x"))).alias(f"s{i}") for i in range(STARS)]
+    stars = rows.groupBy("shingle", "blocks").agg(*first).select("shingle", F.explode(F.expr("sequence(0, blocks - 1)")).alias("own"), F.array_distinct(F.array(*(f"s{i}.x" for i in range(STARS)))).alias("all"))
+    met = rows.select("shingle", "own", row.alias("y")).join(stars, ["shingle", "own"]).select("y", F.explode("all").alias("x")).where("x.root <> y.root").where(_may_reach("x", "y", similarity))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _pairs_left(rows: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of different roots that a shingle of many sets has: each block meets each other one, and itself with them."""
+    met = rows.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))))
+    return _pairs_within(met.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")), ["shingle", "lo", "hi"], similarity)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float, places: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets have the similarity. A set of very many pairs is looked up in so many places."""
+    there = pairs.withColumn("at_a", F.pmod(F.xxhash64("b"), F.lit(places))).withColumn("at_b", F.pmod(F.xxhash64("a"), F.lit(places)))
+    for x in ("a", "b"):
+        of = sets.select(F.col("node").alias(x), F.struct("size", "shared").alias(f"set_{x}"))
+        there = there.join(pairs_places(pairs, x, places).join(of, x), [x, f"at_{x}"])
+    both = F.size(F.array_intersect("set_a.shared", "set_b.shared"))
+    return there.select("a", "b", both.alias("both"), (F.col("set_a.size") + F.col("set_b.size")).alias("sizes")).where(F.col("both") / (F.col("sizes") - F.col("both")) >= similarity).select("a", "b")
+
+
+def pairs_places(pairs: DataFrame, x: str, places: int) -> DataFrame:
+    """The places where a set of ``pairs`` is needed, each once."""
+    return pairs.select(x, F.pmod(F.xxhash64("b" if x == "a" else "a"), F.lit(places)).alias(f"at_{x}")).distinct()
+
+
 def similar_links(sets: DataFrame, similarity: float, buckets: int) -> DataFrame:
-    """Links (a, b) among ``sets`` (node, size, takes, shared) that connect all nodes of ``similarity`` or more."""
-    members = sets.join(candidate_groups(sets, buckets).toDF("member", "root"), F.col("node") == F.col("member")).select("root", "node", "size", "shared")
-    weight = F.sum(F.octet_length("shared") / 8 + EACH)
-    # A group of several blocks has that many shingles, so there are few.
-    large = members.groupBy("root").agg(F.ceil(weight / BLOCK).cast("int").alias("blocks")).where("blocks > 1").withColumnRenamed("root", "large")
-    blocks = members.join(F.broadcast(large), F.col("root") == F.col("large"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    # A block meets each other block, and itself with them.
-    own = blocks.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = own.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))))
-    pairs = met.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "size", "shared")
-    return pairs.repartition(buckets, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(_verified(similarity), "a long, b long")
+    """Verified links (a, b) among ``sets`` (node, size, takes, shared) that connect all nodes of ``similarity`` or more."""
+    rows = stored(prefix_rows(sets, buckets).withColumn("root", F.col("node")), "prefix-rows")
+    many = rows.where("blocks > 0")
+    pairs = stored(_pairs_within(rows.where("blocks = 0"), ["shingle"], similarity).unionByName(_pairs_with_some(many, similarity, 0)).distinct(), "pairs")
+    links = stored(verified(pairs, sets, similarity, buckets), "links-0")
+    turn, last = 1, many.isEmpty()
+    while not last:
+        roots = components(links).withColumnRenamed("root", "now")
+        now = many.join(roots, "node", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
+        apart = now.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle")
+        many = stored(now.join(apart, "shingle"), "apart")
+        # Compared with some of them again, or all that is left.
+        last = many.isEmpty() or (turn > 1 and found.count() * WORTH <= pairs.count())
+        pairs = stored(_pairs_left(many, similarity) if last else _pairs_with_some(many, similarity, turn), "pairs")
+        found = stored(verified(pairs, sets, similarity, buckets), f"links-{turn}")
+        links, turn = links.unionByName(found), turn + 1
+    return links
 
 
 def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,7 +214,7 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     n = max(buckets, n_buckets(docs.sparkSession, None))
     chosen = hits.select(F.col("doc_key").alias("node"), "hits").join(distinct.select(F.col("least.key").alias("node")), "node")
     texts = chosen.join(keyed.select(F.col("doc_key").alias("node"), "text"), "node").select("node", "text", "hits")
-    sets = stored(texts.mapInArrow(_shared_sets(width, similarity), "node long, size long, takes long, shared binary").dropDuplicates(["node"]), "shared-sets")
+    sets = stored(texts.mapInArrow(_shared_sets(width, similarity), "node long, size long, takes long, shared array<long>").dropDuplicates(["node"]), "shared-sets")
     roots = components(similar_links(sets, similarity, n))
     by_set = distinct.join(roots, F.col("least.key") == F.col("node"), "left").select("shingles", F.coalesce("root", "least.key").alias("root"), "least")
     least = by_set.groupBy("root").agg(F.min("least").alias("best"))
