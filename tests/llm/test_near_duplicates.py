@@ -74,3 +74,26 @@ def test_repeated_line_and_other_words(spark):
     line = " ".join(f"l{k}" for k in range(7))
     rows = [(i, " ".join([*[line] * 400, *(f"d{i}_{k}" for k in range(400))])) for i in range(4)]
     assert stays(spark, rows) == kept(rows) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_large_group_of_copies_in_blocks(spark, monkeypatch, block):
+    """Copies of one text with edits of their own: alike with some of the others only, and compared by far fewer than all pairs."""
+    from millrace.llm import near_duplicates
+
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    met, verified = [], near_duplicates.verified
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_duplicates, "verified", counted)
+    r, base, rows = random.Random(3), [f"w{k}" for k in range(200)], []
+    for i in range(120):
+        own = list(base)
+        for k in r.sample(range(0, 200, 8), r.choice((1, 1, 2, 4))):
+            own[k] = f"e{i}_{k}"
+        rows.append((i, " ".join(own)))
+    assert stays(spark, rows) == kept(rows)
+    assert sum(met) < 120 * 119 / 4
