@@ -38,4 +38,4 @@ def test_stages(spark, sf):
 
 def test_registered():
     q = queries.queries()
-    assert [n.split("_")[0] for n in q] == [f"op{i}" for i in range(1, 11)] and set(queries.oracle_sql()) <= set(q)
+    assert [n.split("_")[0] for n in q] == [f"op{i}" for i in range(1, 14)] and set(queries.oracle_sql()) <= set(q)
