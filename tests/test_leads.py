@@ -56,6 +56,13 @@ def test_rest_works_without_the_optional_part():
 # --- functions ------------------------------------------------------------------------------------------------------
 
 
+def test_a_protected_code_is_worked_out_once(spark):
+    # The code as an expression: were it in the lambda of the decoded letters, it would be made again for each of them.
+    coded = spark.createDataFrame([("0b6e6d2a684b67646a62742564796c",), ("zz",), (None,), ("",)], "x string").select(F.reverse(F.reverse(F.concat("x", F.lit("")))).alias("c"))
+    plan = coded.select(fc.decode_protected_email(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(") == 2
+
+
 @pytest.mark.parametrize(("url", "domain"), [("https://www.shop.co.uk/x?y=1", "shop.co.uk"), ("http://news.acme.org", "acme.org"), ("https://ann.mykajabi.com/p", "ann.mykajabi.com"), ("https://www.acme.org", "acme.org")])
 def test_registrable_domain(spark, url, domain):
     assert value(spark, urls.registrable_domain(F.lit(url))) == domain
