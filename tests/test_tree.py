@@ -1,10 +1,13 @@
 """The document tree and the mentions of people, on literal pages and texts."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import mentions as M
 from millrace.operators import dom, html, people
+from millrace.plans import tree_queries
+from millrace.plans.queries import SQL
 
 
 def parsed(spark, *markup):
@@ -60,3 +63,12 @@ def test_links_meet_clients_by_parts_of_names(spark):
     assert got == {"nova institute": "https://other.com/", "dana whitfield": "https://the-dana-whitfield-site.com/", "bob lim": "https://boblim.org/", "jonathan archer": "https://archer-jon.net/"}
     plan = people.client_links(clients, links)._jdf.queryExecution().optimizedPlan().toString()
     assert "part" in plan.split("Join Inner")[1].split("\n")[0]
+
+
+def test_article_keeps_references_without_a_semicolon(spark, tmp_path):
+    rows = [(1, "https://x", "<article><h1>a &amp; b&amp c &lt</h1><p>&lt;d&gt; &#x27;e&#x27; &quot f</p></article>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = tree_queries.page_articles(spark, str(tmp_path)).first().article
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == con.execute(SQL["page_articles"]).fetchone()[1] == "a & b&amp c &lt <d> 'e' &quot f"
