@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import mentions as M
-from millrace.operators import dom, html, people
+from millrace.operators import contacts, dom, html, people
 from millrace.plans import tree_queries
 from millrace.plans.queries import SQL
 
@@ -72,3 +72,10 @@ def test_article_keeps_references_without_a_semicolon(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert got == con.execute(SQL["page_articles"]).fetchone()[1] == "a & b&amp c &lt <d> 'e' &quot f"
+
+
+def test_founder_behind_a_long_text(spark):
+    long = "a word and one more of it " * 3000
+    page = parsed(spark, f"<p>{long}</p><p>Founded by Devon Evans. We like it here.</p><p>It is a place to be, and so on and on and on for a while. <a href='https://linkedin.com/in/devonevans'>in</a></p>")
+    got = people.founders(page, contacts.page_links(page)).first()
+    assert (got.name, got.linkedin, got.confidence) == ("Devon Evans", "https://linkedin.com/in/devonevans", 0.9)
