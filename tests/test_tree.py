@@ -1,6 +1,7 @@
 """The document tree and the mentions of people, on literal pages and texts."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,10 @@ def test_founder_behind_a_long_text(spark):
     page = parsed(spark, f"<p>{long}</p><p>Founded by Devon Evans. We like it here.</p><p>It is a place to be, and so on and on and on for a while. <a href='https://linkedin.com/in/devonevans'>in</a></p>")
     got = people.founders(page, contacts.page_links(page)).first()
     assert (got.name, got.linkedin, got.confidence) == ("Devon Evans", "https://linkedin.com/in/devonevans", 0.9)
+
+
+def test_pages_are_parsed_in_pieces_of_bounded_size():
+    sizes = [10, 600_000, 600_000, 3_000_000, 0, 5]
+    pages = pd.Series(["x" * n for n in sizes[:-1]] + [None])
+    pieces = list(html._parse_batches(iter([pages, pages.iloc[:0]])))
+    assert [len(p) for p in pieces] == [2, 1, 3, 0] and [len(t) for p in pieces for t in p["text"]] == [10, 600_000, 600_000, 3_000_000, 0, 0]
