@@ -31,6 +31,8 @@ MAP_BITS, PART_BITS = 1 << 25, 1 << 15
 #: A language's candidates are ranked in groups of about so many times the rows that are wanted.
 GROUP = 10
 
+#: Rows of the pairs of a chunk.
+PAIR_ROWS = pa.schema([("chunk", pa.int64()), ("code", pa.int32()), ("seq", pa.binary()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
 #: ASCII capitals become small letters, and the signs that end a piece line ends; blanks and tabs part words.
 SIGNS = np.arange(256, dtype=np.uint8)
 SIGNS[65:91] += 32
@@ -89,23 +91,38 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Itera
         yield chunk()
 
 
+def _rows(chunk, seq: bytes, keys: list, n, names: list[str]) -> pa.RecordBatch:
+    """A chunk as rows: its sequence (code -1), then its distinct names with their numbers from 0."""
+    size = len(n)
+    whole = [pa.concat_arrays([pa.nulls(1, k.type), k]) for k in (*keys, n)]
+    seqs = pa.concat_arrays([pa.array([seq], pa.binary()), pa.nulls(size, pa.binary())])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size + 1, chunk)), pa.array(np.arange(-1, size, dtype=np.int32)), seqs, *whole], ["chunk", "code", "seq", *names, "n"])
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for one in _chunks(batches):
+        lang, word, n = (one.column(k).flatten() for k in (2, 3, 4))
+        yield _rows(one.column(0)[0].as_py(), one.column(1)[0].as_py(), [lang, word], n, ["lang", "word"])
+
+
 def _pairs(keep: bool):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each chunk: the sequence with each two adjacent names replaced by their pair's number (0 where one is not frequent), and the distinct pairs with their number of occurrences."""
-        for batch in batches:
-            for i in range(batch.num_rows):
-                seq = np.frombuffer(zstandard.decompress(batch.column(1)[i].as_py()), "<i4")
-                code, name = (batch.column(2).slice(i, 1).flatten().field(k).to_numpy() for k in range(2))
-                known = np.zeros(max(int(seq.max(initial=0)), int(code.max(initial=0)) + 1) + 1, np.int64)
-                known[code + 1] = np.arange(1, len(code) + 1)
-                now = known[seq]
-                at = np.flatnonzero((now[:-1] > 0) & (now[1:] > 0))
-                own, pair, n = np.unique(now[at] * (len(code) + 1) + now[at + 1], return_inverse=True, return_counts=True)
-                then = np.zeros(len(seq) if keep else 0, "<i4")
-                if keep:
-                    then[at] = pair + 1
-                left, right = name[own // (len(code) + 1) - 1], name[own % (len(code) + 1) - 1]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([_packed(then)], pa.binary()), *_lists(left, right, n)], ["chunk", "seq", "left", "right", "n"])
+    def emit(whole: pa.Table, ids: pa.Table) -> pa.Table:
+        """Of one chunk, from its sequence and the ids of its frequent names: the sequence with each two adjacent names replaced by their pair's number (0 where one is not frequent), and the distinct pairs with their number of occurrences."""
+        out = []
+        if whole.num_rows and ids.num_rows:
+            seq = np.frombuffer(zstandard.decompress(whole["seq"][0].as_py()), "<i4")
+            code, name = (ids[k].to_numpy() for k in ("code", "id"))
+            known = np.zeros(max(int(seq.max(initial=0)), int(code.max(initial=0)) + 1) + 1, np.int64)
+            known[code + 1] = np.arange(1, len(code) + 1)
+            now = known[seq]
+            at = np.flatnonzero((now[:-1] > 0) & (now[1:] > 0))
+            own, pair, n = np.unique(now[at] * (len(code) + 1) + now[at + 1], return_inverse=True, return_counts=True)
+            then = np.zeros(len(seq) if keep else 0, "<i4")
+            if keep:
+                then[at] = pair + 1
+            left, right = (pa.array(name[x - 1]) for x in (own // (len(code) + 1), own % (len(code) + 1)))
+            out.append(_rows(whole["chunk"][0].as_py(), _packed(then), [left, right], pa.array(n), ["left", "right"]))
+        return pa.Table.from_batches(out, PAIR_ROWS)
 
     return emit
 
@@ -147,51 +164,48 @@ def frequent_map(names: DataFrame, keys: list[str], bits):
 
 def _asked(known, bits, keys: list[str]):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct names of each chunk, with their numbers in it, that may be frequent."""
+        """The names, with their chunks and their numbers in these, that may be frequent."""
         for batch in batches:
-            for i in range(batch.num_rows):
-                a, b = (batch.column(k).slice(i, 1).flatten() for k in (1, 2))
-                bit = bits(a, b)
-                own = np.flatnonzero(known.value[bit >> 3] >> (7 - (bit & 7)) & 1)
-                at = pa.array(own)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(0)[i].as_py())), pa.array(own.astype(np.int32)), a.take(at), b.take(at)], ["chunk", "code", *keys])
+            if batch.num_rows:
+                bit = bits(batch.column(2), batch.column(3))
+                yield batch.filter(pa.array((known.value[bit >> 3] >> (7 - (bit & 7)) & 1).astype(bool)))
 
     return emit
 
 
 def _frequent(level: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
     """(id, keys, f) of the names of a level that occur at least so often. The ids are written down before they are used."""
-    rows = level.select(F.explode(F.arrays_zip(*keys, "n")).alias("k")).select("k.*").groupBy(*keys).agg(F.sum("n").alias("f"))
+    rows = level.where("code >= 0").groupBy(*keys).agg(F.sum("n").alias("f"))
     return stored(rows.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), *keys, "f"), name)
 
 
-def _renamed(level: DataFrame, names: DataFrame, keys: list[str], kind: str, bits) -> DataFrame:
-    """The sequences of a level, with the ids that ``names`` gives their numbers."""
-    asked = level.select("chunk", *keys).mapInArrow(_asked(frequent_map(names, keys, bits), bits, keys), f"chunk long, code int, {keys[0]} {kind}, {keys[1]} {kind}")
-    ids = asked.join(names, keys).groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("ids"))
-    return level.select("chunk", "seq").join(ids, "chunk")
+def _next_level(level: DataFrame, names: DataFrame, keys: list[str], kind: str, bits, keep: bool, name: str) -> DataFrame:
+    """The pairs of a level's sequences, whose numbers stand for the ids of ``names``. One chunk at a time is in a task's memory."""
+    asked = level.where("code >= 0").select("chunk", "code", *keys).mapInArrow(_asked(frequent_map(names, keys, bits), bits, keys), f"chunk long, code int, {keys[0]} {kind}, {keys[1]} {kind}")
+    ids = asked.join(names, keys).select("chunk", "code", "id")
+    whole = level.where("code < 0").select("chunk", "seq")
+    return stored(whole.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_pairs(keep), "chunk long, code int, seq binary, left long, right long, n long"), name)
 
 
 def phrase_tables(docs: DataFrame, lang_col: str, text_col: str, longest: int, least: int) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n) with the number of words of each language, and for 1 to ``longest`` words the frequent phrases: (id, lang, words, f, left, right, heads, tails). ``heads`` are the counts of the first 1, 2, ...
     words, ``tails`` those of the last 1, 2, ... words."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    level = stored(rows.mapInArrow(_chunks, "chunk long, seq binary, lang array<string>, word array<string>, n array<long>"), "chunks")
-    totals = level.select(F.explode(F.arrays_zip("lang", "n")).alias("k")).groupBy("k.lang").agg(F.sum("k.n").alias("n"))
+    level = stored(rows.mapInArrow(_word_rows, "chunk long, code int, seq binary, lang string, word string, n long"), "chunks")
+    totals = level.where("code >= 0").groupBy("lang").agg(F.sum("n").alias("n"))
     names = _frequent(level, ["lang", "word"], least, "names-1")
     none = F.array().cast("array<long>")
     tables = [names.select("id", "lang", F.array("word").alias("words"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), none.alias("heads"), none.alias("tails"))]
-    named = _renamed(level, names, ["lang", "word"], "string", _word_bits)
+    keys, kind, bits = ["lang", "word"], "string", _word_bits
     for k in range(2, longest + 1):
-        level = stored(named.mapInArrow(_pairs(k < longest), "chunk long, seq binary, left array<long>, right array<long>, n array<long>"), f"pairs-{k}")
+        level = _next_level(level, names, keys, kind, bits, k < longest, f"pairs-{k}")
+        keys, kind, bits = ["left", "right"], "long", _pair_bits
         names = _frequent(level, ["left", "right"], least, f"names-{k}")
         parent = tables[-1]
         left = parent.select(F.col("id").alias("left"), "lang", F.col("words").alias("first"), F.concat("heads", F.array("f")).alias("heads"))
         right = parent.select(F.col("id").alias("right"), F.element_at("words", -1).alias("last"), F.concat("tails", F.array("f")).alias("tails"))
         whole = names.join(left, "left").join(right, "right")
         tables.append(stored(whole.select("id", "lang", F.concat("first", F.array("last")).alias("words"), "f", "left", "right", "heads", "tails"), f"phrases-{k}"))
-        if k < longest:
-            named = _renamed(level, names, ["left", "right"], "long", _pair_bits)
     return totals, tables
 
 
