@@ -5,7 +5,7 @@ a global id by a join, and replaces the pairs of the sequences by these ids: a n
 frequent phrase has only frequent parts, so no phrase is lost. The pair is kept as parent pointers: along the left ones lie the counts of all first parts, along the right ones those
 of all last parts, and a phrase lies inside the longer ones that point to it.
 
-A chunk sends each of its distinct pairs once, with its number, and asks for the ids only of names that a bitmap of fixed size says may be frequent; the join then tells.
+A chunk sends each of its distinct pairs once, and asks, with their numbers, for the ids only of names that a bitmap of fixed size says may be frequent; the join then tells. Sequences are stored, pairs are not.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ MAP_BITS, PART_BITS = 1 << 25, 1 << 15
 #: A language's candidates are ranked in groups of about so many times the rows that are wanted.
 GROUP = 10
 
-#: Rows of the pairs of a chunk.
-PAIR_ROWS = pa.schema([("chunk", pa.int64()), ("code", pa.int32()), ("seq", pa.binary()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
+#: A chunk: its sequence of the numbers of frequent names, and their ids.
+SEQUENCE = pa.schema([("chunk", pa.int64()), ("seq", pa.binary()), ("names", pa.binary())])
+
 #: ASCII capitals become small letters, and the signs that end a piece line ends; blanks and tabs part words.
 SIGNS = np.arange(256, dtype=np.uint8)
 SIGNS[65:91] += 32
@@ -105,24 +106,46 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(one.column(0)[0].as_py(), one.column(1)[0].as_py(), [lang, word], n, ["lang", "word"])
 
 
-def _pairs(keep: bool):
+def _pairs(seq: bytes, names: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array, np.ndarray]:
+    """Of a chunk's sequence of numbers from 1 (0: not frequent) and the ids of these: where two names stand side by side, the number of each such pair from 0, the length of the sequence, and for each distinct pair both ids and its number of occurrences."""
+    now, name = np.frombuffer(zstandard.decompress(seq), "<i4"), np.frombuffer(zstandard.decompress(names), "<i8")
+    at = np.flatnonzero((now[:-1] > 0) & (now[1:] > 0))
+    own, pair, n = np.unique(now[at].astype(np.int64) * (len(name) + 1) + now[at + 1], return_inverse=True, return_counts=True)
+    return at, pair, len(now), *(pa.array(name[x - 1]) for x in (own // (len(name) + 1), own % (len(name) + 1))), n
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct pairs of each chunk, with their number of occurrences."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            *_, left, right, n = _pairs(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+            yield pa.RecordBatch.from_arrays([left, right, pa.array(n)], ["left", "right", "n"])
+
+
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct pairs of each chunk, with their numbers in it."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            *_, left, right, n = _pairs(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), batch.column(0)[i].as_py())), pa.array(np.arange(len(n), dtype=np.int32)), left, right], ["chunk", "code", "left", "right"])
+
+
+def _renamed(words: bool):
     def emit(whole: pa.Table, ids: pa.Table) -> pa.Table:
-        """Of one chunk, from its sequence and the ids of its frequent names: the sequence with each two adjacent names replaced by their pair's number (0 where one is not frequent), and the distinct pairs with their number of occurrences."""
-        out = []
-        if whole.num_rows and ids.num_rows:
-            seq = np.frombuffer(zstandard.decompress(whole["seq"][0].as_py()), "<i4")
-            code, name = (ids[k].to_numpy() for k in ("code", "id"))
-            known = np.zeros(max(int(seq.max(initial=0)), int(code.max(initial=0)) + 1) + 1, np.int64)
-            known[code + 1] = np.arange(1, len(code) + 1)
-            now = known[seq]
-            at = np.flatnonzero((now[:-1] > 0) & (now[1:] > 0))
-            own, pair, n = np.unique(now[at] * (len(code) + 1) + now[at + 1], return_inverse=True, return_counts=True)
-            then = np.zeros(len(seq) if keep else 0, "<i4")
-            if keep:
-                then[at] = pair + 1
-            left, right = (pa.array(name[x - 1]) for x in (own // (len(code) + 1), own % (len(code) + 1)))
-            out.append(_rows(whole["chunk"][0].as_py(), _packed(then), [left, right], pa.array(n), ["left", "right"]))
-        return pa.Table.from_batches(out, PAIR_ROWS)
+        """One chunk's sequence with the numbers of its frequent names, and their ids, from the sequence before and the ids that its words or pairs have."""
+        if not (whole.num_rows and ids.num_rows):
+            return SEQUENCE.empty_table()
+        seq = whole["seq"][0].as_py()
+        code, name = (ids[k].to_numpy() for k in ("code", "id"))
+        if words:
+            then = np.frombuffer(zstandard.decompress(seq), "<i4")
+        else:
+            at, pair, size, *_ = _pairs(seq, whole["names"][0].as_py())
+            then = np.zeros(size, "<i4")
+            then[at] = pair + 1
+        known = np.zeros(max(int(then.max(initial=0)), int(code.max()) + 1) + 1, "<i4")
+        known[code + 1] = np.arange(1, len(code) + 1)
+        return pa.table([whole["chunk"].slice(0, 1), pa.array([_packed(known[then])], pa.binary()), pa.array([_packed(name.astype("<i8"))], pa.binary())], schema=SEQUENCE)
 
     return emit
 
@@ -173,18 +196,17 @@ def _asked(known, bits, keys: list[str]):
     return emit
 
 
-def _frequent(level: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
-    """(id, keys, f) of the names of a level that occur at least so often. The ids are written down before they are used."""
-    rows = level.where("code >= 0").groupBy(*keys).agg(F.sum("n").alias("f"))
+def _frequent(counts: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
+    """(id, keys, f) of the names that occur at least so often in all chunks. The ids are written down before they are used."""
+    rows = counts.groupBy(*keys).agg(F.sum("n").alias("f"))
     return stored(rows.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), *keys, "f"), name)
 
 
-def _next_level(level: DataFrame, names: DataFrame, keys: list[str], kind: str, bits, keep: bool, name: str) -> DataFrame:
-    """The pairs of a level's sequences, whose numbers stand for the ids of ``names``. One chunk at a time is in a task's memory."""
-    asked = level.where("code >= 0").select("chunk", "code", *keys).mapInArrow(_asked(frequent_map(names, keys, bits), bits, keys), f"chunk long, code int, {keys[0]} {kind}, {keys[1]} {kind}")
+def _named(whole: DataFrame, rows: DataFrame, names: DataFrame, keys: list[str], kind: str, bits, name: str) -> DataFrame:
+    """(chunk, seq, names) of the chunks whose sequences are in ``whole``, by the ids that ``names`` gives their ``rows``. One chunk at a time is in a task's memory."""
+    asked = rows.mapInArrow(_asked(frequent_map(names, keys, bits), bits, keys), f"chunk long, code int, {keys[0]} {kind}, {keys[1]} {kind}")
     ids = asked.join(names, keys).select("chunk", "code", "id")
-    whole = level.where("code < 0").select("chunk", "seq")
-    return stored(whole.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_pairs(keep), "chunk long, code int, seq binary, left long, right long, n long"), name)
+    return stored(whole.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_renamed("names" not in whole.columns), "chunk long, seq binary, names binary"), name)
 
 
 def phrase_tables(docs: DataFrame, lang_col: str, text_col: str, longest: int, least: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -193,19 +215,20 @@ def phrase_tables(docs: DataFrame, lang_col: str, text_col: str, longest: int, l
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     level = stored(rows.mapInArrow(_word_rows, "chunk long, code int, seq binary, lang string, word string, n long"), "chunks")
     totals = level.where("code >= 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    names = _frequent(level, ["lang", "word"], least, "names-1")
+    names = _frequent(level.where("code >= 0"), ["lang", "word"], least, "names-1")
     none = F.array().cast("array<long>")
     tables = [names.select("id", "lang", F.array("word").alias("words"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), none.alias("heads"), none.alias("tails"))]
-    keys, kind, bits = ["lang", "word"], "string", _word_bits
+    level = _named(level.where("code < 0").select("chunk", "seq"), level.where("code >= 0").select("chunk", "code", "lang", "word"), names, ["lang", "word"], "string", _word_bits, "named-1")
     for k in range(2, longest + 1):
-        level = _next_level(level, names, keys, kind, bits, k < longest, f"pairs-{k}")
-        keys, kind, bits = ["left", "right"], "long", _pair_bits
-        names = _frequent(level, ["left", "right"], least, f"names-{k}")
+        names = _frequent(level.select("seq", "names").mapInArrow(_pair_counts, "left long, right long, n long"), ["left", "right"], least, f"names-{k}")
         parent = tables[-1]
         left = parent.select(F.col("id").alias("left"), "lang", F.col("words").alias("first"), F.concat("heads", F.array("f")).alias("heads"))
         right = parent.select(F.col("id").alias("right"), F.element_at("words", -1).alias("last"), F.concat("tails", F.array("f")).alias("tails"))
         whole = names.join(left, "left").join(right, "right")
         tables.append(stored(whole.select("id", "lang", F.concat("first", F.array("last")).alias("words"), "f", "left", "right", "heads", "tails"), f"phrases-{k}"))
+        if k < longest:
+            # The pairs are made again from the sequences, which are smaller than they.
+            level = _named(level, level.mapInArrow(_pair_rows, "chunk long, code int, left long, right long"), names, ["left", "right"], "long", _pair_bits, f"named-{k}")
     return totals, tables
 
 

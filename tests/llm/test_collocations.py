@@ -92,3 +92,12 @@ def test_ranking_in_parts_is_the_ranking(spark):
     found = C.first_of_groups(rows, "g", [F.desc("score"), F.asc("p")], F.col("p"), 40)
     want = [(g, i, s, p) for g in range(3) for i, (s, p) in enumerate(sorted(((-(x % 50), str(x)) for x in range(20_000) if x % 3 == g))[:40], 1)]
     assert sorted((r.g, r["rank"], -r.score, r.p) for r in found.collect()) == sorted(want)
+
+
+def test_only_sequences_are_stored_of_pairs(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(C, "stored", lambda df, name, write=C.stored: kept.setdefault(name, write(df, name)))
+    rows = texts(60, 5)
+    C.phrase_tables(spark.createDataFrame(rows, "lang string, text string"), "lang", "text", 3, 2)
+    assert "pairs-2" not in kept and "pairs-3" not in kept
+    assert all(kept[f"named-{k}"].groupBy("chunk").count().agg(F.max("count")).first()[0] == 1 for k in (1, 2))
