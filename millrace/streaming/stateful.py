@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
@@ -32,19 +33,32 @@ def lease_outcomes(ops: DataFrame, lease: int = LEASE) -> DataFrame:
 
     A claim is ``granted`` where the key is free, ``reclaimed`` where another holder's claim is older than ``lease`` seconds, ``renewed`` where it is the holder's own, else ``refused``. Work that is done by who holds the key is ``done`` and closes it; by another, or
     after it is closed, it is ``void``, and so are claims of a closed key: nothing is done twice. A key's events are folded in order of time, then number."""
-    events = F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("at"), "op_id", "ts", "op", "holder")))
-    start = F.struct(F.lit(None).cast("string").alias("by"), F.lit(0).cast("long").alias("at"), F.lit(False).alias("closed"), F.array().cast("array<struct<op_id: bigint, ts: timestamp, holder: string, outcome: string>>").alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        mine, old = s["by"].eqNullSafe(e["holder"]) & s["by"].isNotNull(), e["at"] - s["at"] > lease * 1_000_000
-        claim = F.when(s["closed"], "void").when(s["by"].isNull(), "granted").when(mine, "renewed").when(old, "reclaimed").otherwise("refused")
-        outcome = F.when(e["op"] == "claim", claim).otherwise(F.when(mine & ~s["closed"], "done").otherwise("void"))
-        held = outcome.isin("granted", "renewed", "reclaimed")
-        return F.struct(F.when(held, e["holder"]).otherwise(s["by"]).alias("by"), F.when(held, e["at"]).otherwise(s["at"]).alias("at"), (s["closed"] | (outcome == "done")).alias("closed"),
-                        F.concat(s["out"], F.array(F.struct(e["op_id"].alias("op_id"), e["ts"].alias("ts"), e["holder"].alias("holder"), outcome.alias("outcome")))).alias("out"))
-
-    folded = ops.where("op in ('claim', 'done')").groupBy("key").agg(F.aggregate(events, start, step)["out"].alias("out"))
-    return folded.select("key", F.explode("out").alias("o")).select("key", "o.op_id", "o.ts", "o.holder", "o.outcome")
+    own = ops.where("op in ('claim', 'done')").select("key", "op_id", "ts", F.unix_micros("ts").alias("at"), "op", "holder")
+    # A task reads its keys one after another, sorted by Spark, and keeps the state of one.
+    ordered = own.repartition("key").sortWithinPartitions("key", "at", "op_id", "op", "holder")
+    return ordered.mapInArrow(_fold_claims(lease * 1_000_000), CLAIMS)
+
+
+def _fold_claims(lease: int):
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, by, since, closed = object(), None, 0, False
+        for batch in batches:
+            out = []
+            for key, at, op, holder in zip(*(batch.column(k).to_pylist() for k in ("key", "at", "op", "holder")), strict=True):
+                if key != now:
+                    now, by, since, closed = key, None, 0, False
+                mine = by is not None and by == holder
+                if op == "done":
+                    outcome = "done" if mine and not closed else "void"
+                    closed = closed or outcome == "done"
+                else:
+                    outcome = "void" if closed else "granted" if by is None else "renewed" if mine else "reclaimed" if None not in (at, since) and at - since > lease else "refused"
+                    if outcome in ("granted", "renewed", "reclaimed"):
+                        by, since = holder, at
+                out.append(outcome)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("key", "op_id", "ts", "holder")), pa.array(out, pa.string())], ["key", "op_id", "ts", "holder", "outcome"])
+
+    return fold
 
 
 class _Keyed(StatefulProcessor):

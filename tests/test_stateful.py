@@ -78,3 +78,10 @@ def test_engine_health_as_a_stream(rocks, tmp_path):
     want = incremental.engine_health(rocks.createDataFrame(rows, ddl))
     columns = want.columns
     assert sorted(map(tuple, last.select(*columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_key_of_many_claims_is_read_in_order_and_never_gathered(spark):
+    rows = spark.range(30_000).selectExpr("'d' AS key", "id AS op_id", "timestamp_seconds(id) AS ts", "'claim' AS op", "concat('run', id % 2) AS holder").repartition(4)
+    got = stateful.lease_outcomes(rows, 100)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.outcome: r["count"] for r in got.groupBy("outcome").count().collect()} == {"granted": 1, "renewed": 14_999, "refused": 15_000}
