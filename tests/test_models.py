@@ -1,8 +1,11 @@
 """Language model and suffix rules: held-out accuracy, literal cases, odd tables."""
 
+from collections import Counter
+
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +77,17 @@ def test_lexicon_columns_with_nulls(spark):
     rows = spark.createDataFrame([("we do Facebook ads and facebook ads",), (None,), ("",)], "t string")
     got = rows.select(lexicons.counts_of(F.col("t"), fixed.SERVICES, 1).alias("n"), lexicons.labels_of(F.col("t"), fixed.SERVICES).alias("l")).collect()
     assert got[0].n[0] == 1 and got[0].l == ["meta ads"] and sum(got[1].n) == 0 and got[2].l == []
+
+
+def test_trigrams_are_counted_before_they_are_rows():
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "fr", "en"]), pa.array(["aaaaaa", "", "aaaab𝔄é"])], ["lang", "sample"])
+    got = [r for b in language._counted(iter([batch])) for r in b.to_pylist()]
+    want = Counter(sum(ord(c) * m for c, m in zip(t[i : i + 3], language.MIX, strict=True)) % language.BUCKETS for t in ("aaaaaa", "aaaab𝔄é") for i in range(len(t) - 2))
+    assert {r["g"]: r["n"] for r in got if r["lang"] == "en"} == want and len(got) == len(want)
+
+
+def test_a_text_is_scored_by_no_interpreted_fold(spark):
+    model = language.LanguageModel({"en": (1,) * language.BUCKETS, "fr": (2,) * language.BUCKETS})
+    scored = model.scored(spark.createDataFrame([("abcd",), ("a",), ("",)], "s string"), "s")
+    assert "aggregate(" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.grams_, r.score_en, r.score_fr) for r in scored.collect()] == [(2, 2, 4), (0, 0, 0), (0, 0, 0)]
