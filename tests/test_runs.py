@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.plans import enrichment, runs
 from millrace.plans.pipeline import RunConfig
 from millrace.streaming import incremental
+from millrace.plans import site_queries
 from test_leads import pages_of
 
 
@@ -71,3 +72,9 @@ def test_streamed_candidates_over_batches(spark, tmp_path):
     assert sorted(incremental.newest_version(spark, f"{at}/table", 1).collect()) == [("a.org", 1), ("b.org", 2), ("c.org", 1)]
     # A batch that is tried again is merged with what was there before it.
     assert sorted(incremental.newest_version(spark, f"{at}/table", 0).collect()) == [("a.org", 1), ("b.org", 1)]
+
+
+def test_made_up_rows_are_dealt_to_all_tasks(spark, sf):
+    rows = site_queries.made_up(spark, sf, "SELECT c_custkey AS k FROM {customer}")
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) <= 2 * min(sizes)
