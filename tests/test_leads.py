@@ -56,6 +56,12 @@ def test_rest_works_without_the_optional_part():
 # --- functions ------------------------------------------------------------------------------------------------------
 
 
+def test_a_funnel_type_reads_its_texts_once(spark):
+    t = spark.createDataFrame([("A quiz, an assessment, a scorecard.",), (None,)], "t string").select(F.reverse(F.reverse("t")).alias("t"))
+    typed = t.select(funnels.funnel_type(F.lit("https://a.test/x"), F.lit(""), F.lit(""), F.lit(""), F.col("t")).alias("v"))
+    assert typed._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 2 and [r.v for r in typed.collect()] == ["quiz", "landing_page"]
+
+
 def test_a_protected_code_is_worked_out_once(spark):
     # The code as an expression: were it in the lambda of the decoded letters, it would be made again for each of them.
     coded = spark.createDataFrame([("0b6e6d2a684b67646a62742564796c",), ("zz",), (None,), ("",)], "x string").select(F.reverse(F.reverse(F.concat("x", F.lit("")))).alias("c"))
