@@ -5,9 +5,13 @@ similarity share a shingle among the first ``n - ceil(similarity * n) + 1`` of e
 filter). The order here is by rarity: first the shingles that no other document has, then by the number of sets that have them. A
 set with enough shingles of its own has no candidate and goes no further.
 
-Two sets are compared only where they share a shingle of their prefixes and what both have from it on is enough for the similarity (sizes and
-places tell), and only verified links join sets. A shingle of few sets gives its pairs. One of many sets compares them with a few of them first, until that links
-little; then come the pairs that no link joins so far, the sets cut into blocks. So copies cost what they are in number, not the square of it.
+SimHash comes first: the fingerprints of the sets go through a pivot table (``pivots``), and of the pairs within its radius those that have the
+similarity join sets. At a similarity of 0.8 some ten of 64 bits differ, so the radius finds a part of the links; the prefixes find the rest, among sets not joined yet.
+
+Two sets are compared only where they share a shingle of their prefixes, what both have from it on is enough for the similarity (sizes and
+places tell), and their sketches allow it; only verified links join sets. A sketch is a row of bits, each the parity of the number of shingles that fall to it: a shingle that one set has and the other has not changes one
+bit, so sketches differ in no more bits than the sets in shingles. That is a bound and loses no pair. A shingle of few sets gives its pairs. One of many sets compares them with a few of them first, until that links
+little; then come the pairs that no link joins so far, the sets cut into blocks. So copies cost what they are in number; sets that share a shingle and stay unlinked still cost a comparison of sketches for each pair, but no row.
 """
 
 from __future__ import annotations
@@ -24,11 +28,14 @@ from millrace.llm import rolling as R
 from millrace.llm.anchors import measured, row_key, shared_anchors
 from millrace.llm.common import n_buckets, stored
 from millrace.llm.components import components
+from millrace.llm.pivots import fingerprint_links, majority_bits, pivot_table
 
 #: A shingle of so many sets gives all their pairs; sets of a block of more; sets that all the others of a shingle are compared with in a round.
 FEW, BLOCK, STARS = 8, 1000, 4
-#: A round must link one in so many of its pairs to be followed by another.
+#: A round must find a link for one in so many of its rows to be followed by another.
 WORTH = 10
+#: Bits of a sketch.
+SKETCH = 512
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,18 +70,27 @@ def _nodes(width: int):
     return emit
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parities of the numbers of distinct hashes that fall to each of ``SKETCH`` bits."""
+    return np.packbits(np.bincount((hashes % R.U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).view("<i8")
+
+
 def _shared_sets(width: int, similarity: float):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each set that may have a candidate: its size, its shingles that other documents have, and how many of these its prefix takes (0 or less: not all of its others)."""
+        """Of each set that may have a candidate: its size, its shingles that other documents have, how many of these its prefix takes (0 or less: not all of its others), its sketch and its SimHash."""
         for batch in batches:
-            out = []
+            out, kept = [], [np.zeros(0, R.U)]
             for key, h, hits in zip(batch.column(0).to_pylist(), _texts(batch.column(1), width), batch.column(2).to_pylist(), strict=True):
-                n, own = len(np.unique(h)), np.unique(h[np.frombuffer(hits, "<u4")])
+                every, own = np.unique(h), np.unique(h[np.frombuffer(hits, "<u4")])
+                n = len(every)
                 prefix = n - int(np.ceil(similarity * n - 1e-9)) + 1
                 if n - len(own) < prefix:
-                    out.append((key, n, prefix - (n - len(own)), own.view(np.int64)))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["node", "size", "takes", "shared"])
+                    out.append((key, n, prefix - (n - len(own)), own.view(np.int64), sketch(every)))
+                    kept.append(every)
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            fps = majority_bits(np.concatenate(kept), np.cumsum([len(x) for x in kept])).astype(">u8")
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*cols, [x.tobytes() for x in fps]), types, strict=True)], ["node", "size", "takes", "shared", "sketch", "fp"])
 
     return emit
 
@@ -123,24 +139,26 @@ def _skip_empty(emit):
 
 
 def prefix_rows(sets: DataFrame, buckets: int) -> DataFrame:
-    """(shingle, node, size, tail, blocks, own) of each shingle that the prefixes of several sets have; ``tail`` bounds what the set can share from that shingle on, ``own`` is its block of ``blocks``, 0 of 0 where there are few sets."""
+    """(node, shingle, size, tail, blocks, own, sketch) of each shingle that the prefixes of several sets have; ``tail`` bounds what the set can share from that shingle on, ``own`` is its block of ``blocks``, 0 of 0 where there are few sets."""
     rows = sets.select(F.explode("shared").alias("shingle"), "node", "size", (F.col("takes") - F.size("shared")).alias("rest"))
     counted = rows.repartition(buckets, "shingle").mapInArrow(_skip_empty(_counted), "shingle long, node long, size long, rest long, sets long")
     prefixes = stored(counted.repartition(buckets, "node").mapInArrow(_skip_empty(_prefixes), "shingle long, node long, size long, tail long"), "prefixes")
     several = prefixes.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.when(F.col("n") <= FEW, 0).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int")
-    placed = prefixes.join(several, "shingle").withColumn("blocks", blocks).drop("n")
+    placed = prefixes.join(several, "shingle").withColumn("blocks", blocks).drop("n").join(sets.select("node", "sketch"), "node")
     return placed.withColumn("own", F.when(F.col("blocks") == 0, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int"))
 
 
 def _may_reach(x: str, y: str, similarity: float) -> Column:
-    """Whether two sets can have the similarity if the shingle they met by is the first that both have."""
-    return F.least(f"{x}.tail", f"{y}.tail") * (1 + similarity) >= (F.col(f"{x}.size") + F.col(f"{y}.size")) * similarity - 1e-6
+    """Whether two sets can have the similarity if the shingle they met by is the first that both have, and by their sketches."""
+    sizes = F.col(f"{x}.size") + F.col(f"{y}.size")
+    apart = sum((F.bit_count(F.get(f"{x}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{y}.sketch", F.lit(i)))) for i in range(1, SKETCH // 64)), F.bit_count(F.get(f"{x}.sketch", F.lit(0)).bitwiseXOR(F.get(f"{y}.sketch", F.lit(0)))))
+    return (F.least(f"{x}.tail", f"{y}.tail") * (1 + similarity) >= sizes * similarity - 1e-6) & (apart * (1 + similarity) <= sizes * (1 - similarity) + 1e-6)
 
 
 def _pairs_within(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
     """The pairs (a, b) of different roots that meet under equal keys and may reach the similarity. Rows of two blocks meet across these only."""
-    row = F.struct("node", "size", "tail", "root", "own")
+    row = F.struct("node", "size", "tail", "root", "own", "sketch")
     met = rows.select(*keys, row.alias("x")).join(rows.select(*keys, row.alias("y")), keys).where("x.node < y.node and x.root <> y.root")
     if "lo" in keys:
         met = met.where("lo = hi or x.own <> y.own")
@@ -149,7 +167,7 @@ def _pairs_within(rows: DataFrame, keys: list[str], similarity: float) -> DataFr
 
 def _pairs_with_some(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
     """The pairs (a, b) of different roots of a few sets of each shingle with its others; each block of these is a join's key."""
-    row = F.struct("node", "size", "tail", "root")
+    row = F.struct("node", "size", "tail", "root", "sketch")
     first = [F.min(F.struct(F.xxhash64("node", F.lit(turn * STARS + i)).alias("h"), row.alias("x"))).alias(f"s{i}") for i in range(STARS)]
     stars = rows.groupBy("shingle", "blocks").agg(*first).select("shingle", F.explode(F.expr("sequence(0, blocks - 1)")).alias("own"), F.array_distinct(F.array(*(f"s{i}.x" for i in range(STARS)))).alias("all"))
     met = rows.select("shingle", "own", row.alias("y")).join(stars, ["shingle", "own"]).select("y", F.explode("all").alias("x")).where("x.root <> y.root").where(_may_reach("x", "y", similarity))
@@ -177,20 +195,34 @@ def pairs_places(pairs: DataFrame, x: str, places: int) -> DataFrame:
     return pairs.select(x, F.pmod(F.xxhash64("b" if x == "a" else "a"), F.lit(places)).alias(f"at_{x}")).distinct()
 
 
+def simhash_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that have the same SimHash, or SimHashes within the radius that the pivot table leaves: each set with one of its fingerprint, and that one with those of near fingerprints."""
+    firsts = sets.groupBy("fp").agg(F.min("node").alias("first"))
+    near = fingerprint_links(stored(pivot_table(firsts), "pivot-table")).join(firsts.toDF("a", "x"), "a").join(firsts.toDF("b", "y"), "b").select("x", "y")
+    same = sets.join(firsts, "fp").select(F.col("first").alias("x"), F.col("node").alias("y")).where("x <> y")
+    return near.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _joined(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows with the roots that the links so far give them."""
+    roots = components(links).withColumnRenamed("root", "now")
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
+
+
 def similar_links(sets: DataFrame, similarity: float, buckets: int) -> DataFrame:
-    """Verified links (a, b) among ``sets`` (node, size, takes, shared) that connect all nodes of ``similarity`` or more."""
-    rows = stored(prefix_rows(sets, buckets).withColumn("root", F.col("node")), "prefix-rows")
+    """Verified links (a, b) among ``sets`` (node, size, takes, shared, sketch, fp) that connect all nodes of ``similarity`` or more."""
+    links = stored(verified(stored(simhash_pairs(sets), "simhash-pairs"), sets, similarity, buckets), "links-simhash")
+    rows = stored(_joined(prefix_rows(sets, buckets).withColumn("root", F.col("node")), links), "prefix-rows")
     many = rows.where("blocks > 0")
     pairs = stored(_pairs_within(rows.where("blocks = 0"), ["shingle"], similarity).unionByName(_pairs_with_some(many, similarity, 0)).distinct(), "pairs")
-    links = stored(verified(pairs, sets, similarity, buckets), "links-0")
+    links = links.unionByName(stored(verified(pairs, sets, similarity, buckets), "links-0"))
     turn, last = 1, many.isEmpty()
     while not last:
-        roots = components(links).withColumnRenamed("root", "now")
-        now = many.join(roots, "node", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
+        now = _joined(many, links)
         apart = now.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle")
-        many = stored(now.join(apart, "shingle"), "apart")
+        compared, many = many, stored(now.join(apart, "shingle"), "apart")
         # Compared with some of them again, or all that is left.
-        last = many.isEmpty() or (turn > 1 and found.count() * WORTH <= pairs.count())
+        last = many.isEmpty() or (turn > 1 and found.count() * WORTH <= compared.count())
         pairs = stored(_pairs_left(many, similarity) if last else _pairs_with_some(many, similarity, turn), "pairs")
         found = stored(verified(pairs, sets, similarity, buckets), f"links-{turn}")
         links, turn = links.unionByName(found), turn + 1
@@ -214,7 +246,7 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     n = max(buckets, n_buckets(docs.sparkSession, None))
     chosen = hits.select(F.col("doc_key").alias("node"), "hits").join(distinct.select(F.col("least.key").alias("node")), "node")
     texts = chosen.join(keyed.select(F.col("doc_key").alias("node"), "text"), "node").select("node", "text", "hits")
-    sets = stored(texts.mapInArrow(_shared_sets(width, similarity), "node long, size long, takes long, shared array<long>").dropDuplicates(["node"]), "shared-sets")
+    sets = stored(texts.mapInArrow(_shared_sets(width, similarity), "node long, size long, takes long, shared array<long>, sketch array<long>, fp binary").dropDuplicates(["node"]), "shared-sets")
     roots = components(similar_links(sets, similarity, n))
     by_set = distinct.join(roots, F.col("least.key") == F.col("node"), "left").select("shingles", F.coalesce("root", "least.key").alias("root"), "least")
     least = by_set.groupBy("root").agg(F.min("least").alias("best"))

@@ -97,3 +97,52 @@ def test_large_group_of_copies_in_blocks(spark, monkeypatch, block):
         rows.append((i, " ".join(own)))
     assert stays(spark, rows) == kept(rows)
     assert sum(met) < 120 * 119 / 4
+
+
+def test_group_below_the_similarity_gives_few_pairs(spark, monkeypatch):
+    """Sets that share most shingles and stay below the similarity are told apart by their sketches, not as rows."""
+    from millrace.llm import near_duplicates
+
+    met, verified = [], near_duplicates.verified
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_duplicates, "verified", counted)
+    r, base, rows = random.Random(4), [f"w{k}" for k in range(146)], []
+    for i in range(300):
+        own = list(base)
+        for k in r.sample(range(4, 142, 6), r.choice((1, 2, 3, 3, 4))):
+            own[k] = f"e{i}_{k}"
+        rows.append((i, " ".join(own)))
+    assert stays(spark, rows) == kept(rows)
+    assert sum(met) < 300 * 20
+
+
+def test_sketches_never_differ_more_than_sets():
+    import numpy as np
+
+    from millrace.llm.near_duplicates import sketch
+
+    r = np.random.default_rng(5)
+    for n in (0, 1, 30, 400, 5000):
+        for both in (0, n // 2, n):
+            pool = np.unique(r.integers(0, 1 << 64, 2 * n - both, np.uint64))
+            x, y = pool[:n], pool[len(pool) - n :]
+            apart = int(np.bitwise_count((sketch(x) ^ sketch(y)).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(x, y)) and (len(np.setxor1d(x, y)) > 60 or apart >= len(np.setxor1d(x, y)) * 0.6)
+
+
+def test_near_fingerprints_are_linked_through_the_pivot_table(spark):
+    from millrace.llm import near_duplicates
+
+    base = [f"w{k}" for k in range(600)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base[:-1], "x"])), (2, " ".join(f"v{k}" for k in range(600))), (3, " ".join([*base[:300], *(f"y{k}" for k in range(300))]))]
+    found, pairs = [], near_duplicates.simhash_pairs
+    try:
+        near_duplicates.simhash_pairs = lambda sets: found.append(pairs(sets)) or found[0]
+        assert stays(spark, rows) == kept(rows) == [0, 2, 3]
+    finally:
+        near_duplicates.simhash_pairs = pairs
+    assert found[0].distinct().count() == 1
