@@ -4,6 +4,7 @@ from collections import Counter
 
 import random
 import re
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -91,3 +92,14 @@ def test_a_text_is_scored_by_no_interpreted_fold(spark):
     scored = model.scored(spark.createDataFrame([("abcd",), ("a",), ("",)], "s string"), "s")
     assert "aggregate(" not in scored._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.grams_, r.score_en, r.score_fr) for r in scored.collect()] == [(2, 2, 4), (0, 0, 0), (0, 0, 0)]
+
+
+def test_a_lexicon_takes_one_text_of_a_batch_at_a_time():
+    entries = (("ads", r"\bmeta ads?\b"), ("seo", r"\bseo\b"))
+    texts = pa.array([f"Meta ads {i} " + "x" * 4000 for i in range(5000)] + [None, ""])
+    tracemalloc.start()
+    out = next(lexicons._over(entries, lambda lex, x: lex.count(x, 30), pa.int32())(iter([texts])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == [[1, 0]] * 5000 + [[0, 0]] * 2
+    assert peak < 5e6
