@@ -5,7 +5,8 @@ a global id by a join, and replaces the pairs of the sequences by these ids: a n
 frequent phrase has only frequent parts, so no phrase is lost. The pair is kept as parent pointers: along the left ones lie the counts of all first parts, along the right ones those
 of all last parts, and a phrase lies inside the longer ones that point to it.
 
-A chunk sends each of its distinct pairs once, and asks, with their numbers, for the ids only of names that a bitmap of fixed size says may be frequent; the join then tells. Sequences are stored, pairs are not.
+A chunk asks, with their numbers, for the ids only of words that a bitmap of fixed size says may be frequent; a join then tells. Its distinct pairs it sends once, packed, one row for each hash bucket; the bucket
+adds up their numbers, names the frequent ones and answers each chunk with its pairs' ids in the order sent, so that pairs are never rows of their own. Sequences are stored, pairs are not.
 """
 
 from __future__ import annotations
@@ -21,19 +22,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import rolling as R
-from millrace.llm.common import fresh, stored, table
+from millrace.llm.common import fresh, n_buckets, stored, table
 
 LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Text of a chunk, about; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
 #: Bits of the map of frequent names, and of each of the parts in which it is made.
 MAP_BITS, PART_BITS = 1 << 25, 1 << 15
+#: Packed sequences whose pairs a hash bucket gets, about. The number of buckets follows the input, so that a bucket's memory does not.
+BUCKET_BYTES = 4 << 20
 #: A language's candidates are ranked in groups of about so many times the rows that are wanted.
 GROUP = 10
 
 #: A chunk: its sequence of the numbers of frequent names, and their ids.
 SEQUENCE = pa.schema([("chunk", pa.int64()), ("seq", pa.binary()), ("names", pa.binary())])
 
+#: What a bucket finds: frequent pairs (id, left, right, f), and answers to chunks.
+COUNTED = pa.schema([*((c, pa.int64()) for c in ("id", "left", "right", "f", "chunk")), ("bucket", pa.int32()), ("found", pa.binary())])
+
 #: ASCII capitals become small letters, and the signs that end a piece line ends; blanks and tabs part words.
 SIGNS = np.arange(256, dtype=np.uint8)
 SIGNS[65:91] += 32
@@ -106,54 +112,108 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(one.column(0)[0].as_py(), one.column(1)[0].as_py(), [lang, word], n, ["lang", "word"])
 
 
-def _pairs(seq: bytes, names: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array, np.ndarray]:
+def _planes(x: np.ndarray) -> bytes:
+    """Integers byte by byte: all lowest bytes, then all second ones, ..., as these compress."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(map(_planes, columns)))
+
+
+def _unpack(packed: bytes, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(columns, 8, -1)
+    return [np.ascontiguousarray(x.T).reshape(-1).view("<i8") for x in planes]
+
+
+def _pairs(seq: bytes, names: bytes) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]:
     """Of a chunk's sequence of numbers from 1 (0: not frequent) and the ids of these: where two names stand side by side, the number of each such pair from 0, the length of the sequence, and for each distinct pair both ids and its number of occurrences."""
     now, name = np.frombuffer(zstandard.decompress(seq), "<i4"), np.frombuffer(zstandard.decompress(names), "<i8")
     at = np.flatnonzero((now[:-1] > 0) & (now[1:] > 0))
     own, pair, n = np.unique(now[at].astype(np.int64) * (len(name) + 1) + now[at + 1], return_inverse=True, return_counts=True)
-    return at, pair, len(now), *(pa.array(name[x - 1]) for x in (own // (len(name) + 1), own % (len(name) + 1))), n
+    return at, pair, len(now), *(name[x - 1] for x in (own // (len(name) + 1), own % (len(name) + 1))), n
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct pairs of each chunk, with their number of occurrences."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            *_, left, right, n = _pairs(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
-            yield pa.RecordBatch.from_arrays([left, right, pa.array(n)], ["left", "right", "n"])
+def _by_bucket(left: np.ndarray, right: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a chunk's distinct pairs by hash bucket and ids, and where each bucket's begin."""
+    bucket = (R.mix(R.mix(left.astype(R.U)) + right.astype(R.U)) % R.U(buckets)).astype(np.int64)
+    order = np.lexsort((right, left, bucket))
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct pairs of each chunk, with their numbers in it."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            *_, left, right, n = _pairs(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), batch.column(0)[i].as_py())), pa.array(np.arange(len(n), dtype=np.int32)), left, right], ["chunk", "code", "left", "right"])
+def _pair_rows(buckets: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct pairs of each chunk with their numbers of occurrences, a row for each bucket."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                *_, left, right, n = _pairs(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
+                order, cut = _by_bucket(left, right, buckets)
+                own = np.flatnonzero(np.diff(cut))
+                packed = [_pack(np.diff(left[x], prepend=0), right[x], n[x]) for x in (order[cut[b] : cut[b + 1]] for b in own)]
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.full(len(own), batch.column(0)[i].as_py(), np.int64)), pa.array(packed, pa.binary())], ["bucket", "chunk", "pairs"])
+
+    return emit
 
 
-def _renamed(words: bool):
-    def emit(whole: pa.Table, ids: pa.Table) -> pa.Table:
-        """One chunk's sequence with the numbers of its frequent names, and their ids, from the sequence before and the ids that its words or pairs have."""
-        if not (whole.num_rows and ids.num_rows):
+def _count_pairs(least: int, answers: bool):
+    def count(rows: pa.Table) -> pa.Table:
+        """Of a bucket: a row for each frequent pair, with its id; if ``answers``, then one for each chunk with frequent pairs, with the places of its pairs' ids in the bucket (from 1; 0: not frequent), in the order sent."""
+        bucket = rows["bucket"][0].as_py()
+        parts = [_unpack(x.as_py(), 3) for x in rows["pairs"]]
+        left, right, n = np.concatenate([np.cumsum(p[0]) for p in parts]), *(np.concatenate([p[k] for p in parts]) for k in (1, 2))
+        order = np.lexsort((right, left))
+        head = np.ones(len(order), bool)
+        head[1:] = (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)
+        f = np.add.reduceat(n[order], np.flatnonzero(head))
+        often = f >= least
+        first = order[head][often]
+        ids = (bucket << 32) + np.arange(len(first))
+        out = [pa.table([*(pa.array(x) for x in (ids, left[first], right[first], f[often])), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], schema=COUNTED)]
+        if answers:
+            place = np.zeros(len(order), np.int64)
+            place[order] = np.where(often, np.cumsum(often), 0)[np.cumsum(head) - 1]
+            found = [(c, _pack(x)) for c, x in zip(rows["chunk"].to_pylist(), np.split(place, np.cumsum([len(p[0]) for p in parts])[:-1]), strict=True) if x.any()]
+            k = len(found)
+            out.append(pa.table([*[pa.nulls(k, pa.int64())] * 4, pa.array([x[0] for x in found], pa.int64()), pa.array([bucket] * k, pa.int32()), pa.array([x[1] for x in found], pa.binary())], schema=COUNTED))
+        return pa.concat_tables(out)
+
+    return count
+
+
+def _level(chunk: pa.ChunkedArray, then: np.ndarray, code: np.ndarray, name: np.ndarray) -> pa.Table:
+    """A chunk's sequence of the names with these numbers (``then`` has them from 1), and their ids."""
+    known = np.zeros(max(int(then.max(initial=0)), int(code.max(initial=-1)) + 1) + 1, "<i4")
+    known[code + 1] = np.arange(1, len(code) + 1)
+    return pa.table([chunk.slice(0, 1), pa.array([_packed(known[then])], pa.binary()), pa.array([_packed(name.astype("<i8"))], pa.binary())], schema=SEQUENCE)
+
+
+def _renamed_words(whole: pa.Table, ids: pa.Table) -> pa.Table:
+    """One chunk's sequence with the numbers of its frequent words, and their ids, from the sequence before and the ids that its words have."""
+    if not (whole.num_rows and ids.num_rows):
+        return SEQUENCE.empty_table()
+    then = np.frombuffer(zstandard.decompress(whole["seq"][0].as_py()), "<i4")
+    return _level(whole["chunk"], then, *(ids[k].to_numpy() for k in ("code", "id")))
+
+
+def _renamed_pairs(buckets: int):
+    def emit(whole: pa.Table, answers: pa.Table) -> pa.Table:
+        """One chunk's sequence with the numbers of its frequent pairs, and their ids, from the sequence before and the buckets' answers."""
+        if not (whole.num_rows and answers.num_rows):
             return SEQUENCE.empty_table()
-        seq = whole["seq"][0].as_py()
-        code, name = (ids[k].to_numpy() for k in ("code", "id"))
-        if words:
-            then = np.frombuffer(zstandard.decompress(seq), "<i4")
-        else:
-            at, pair, size, *_ = _pairs(seq, whole["names"][0].as_py())
-            then = np.zeros(size, "<i4")
-            then[at] = pair + 1
-        known = np.zeros(max(int(then.max(initial=0)), int(code.max()) + 1) + 1, "<i4")
-        known[code + 1] = np.arange(1, len(code) + 1)
-        return pa.table([whole["chunk"].slice(0, 1), pa.array([_packed(known[then])], pa.binary()), pa.array([_packed(name.astype("<i8"))], pa.binary())], schema=SEQUENCE)
+        at, pair, size, left, right, _ = _pairs(whole["seq"][0].as_py(), whole["names"][0].as_py())
+        order, cut = _by_bucket(left, right, buckets)
+        ids = np.full(len(order), -1)
+        for b, found in zip(answers["bucket"].to_pylist(), answers["found"].to_pylist(), strict=True):
+            (place,) = _unpack(found, 1)
+            ids[order[cut[b] : cut[b + 1]]] = np.where(place > 0, (b << 32) + place - 1, -1)
+        then = np.zeros(size, "<i4")
+        then[at] = pair + 1
+        code = np.flatnonzero(ids >= 0)
+        return _level(whole["chunk"], then, code, ids[code])
 
     return emit
 
 
-def _pair_bits(left: pa.Array, right: pa.Array) -> np.ndarray:
-    return (R.mix(R.mix(left.to_numpy().astype(R.U)) + right.to_numpy().astype(R.U)) % R.U(MAP_BITS)).astype(np.int64)
-
-
 def _text_hashes(texts: pa.Array) -> np.ndarray:
     texts = texts.cast(pa.large_binary())
     offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -171,42 +231,46 @@ def _part_of_map(parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [parts["bit"].iloc[0] // PART_BITS], "bits": [np.packbits(bits).tobytes()]})
 
 
-def frequent_map(names: DataFrame, keys: list[str], bits):
-    """A bitmap in which the bits of all ``names`` are set, broadcast: as large for any number of names."""
+def frequent_map(words: DataFrame):
+    """A bitmap in which the bits of all ``words`` are set, broadcast: as large for any number of them."""
 
     def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(bits(batch.column(0), batch.column(1))))], ["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_word_bits(batch.column(0), batch.column(1))))], ["bit"])
 
-    parts = names.select(*keys).mapInArrow(set_bits, "bit long").distinct().groupBy(F.expr(f"bit div {PART_BITS}")).applyInPandas(_part_of_map, "part long, bits binary").collect()
+    parts = words.select("lang", "word").mapInArrow(set_bits, "bit long").distinct().groupBy(F.expr(f"bit div {PART_BITS}")).applyInPandas(_part_of_map, "part long, bits binary").collect()
     whole = np.zeros(MAP_BITS // 8, np.uint8)
     for r in parts:
         whole[r.part * PART_BITS // 8 : (r.part + 1) * PART_BITS // 8] = np.frombuffer(r.bits, np.uint8)
-    return names.sparkSession.sparkContext.broadcast(whole)
+    return words.sparkSession.sparkContext.broadcast(whole)
 
 
-def _asked(known, bits, keys: list[str]):
+def _asked(known):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The names, with their chunks and their numbers in these, that may be frequent."""
+        """The words, with their chunks and their numbers in these, that may be frequent."""
         for batch in batches:
             if batch.num_rows:
-                bit = bits(batch.column(2), batch.column(3))
+                bit = _word_bits(batch.column(2), batch.column(3))
                 yield batch.filter(pa.array((known.value[bit >> 3] >> (7 - (bit & 7)) & 1).astype(bool)))
 
     return emit
 
 
-def _frequent(counts: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
-    """(id, keys, f) of the names that occur at least so often in all chunks. The ids are written down before they are used."""
-    rows = counts.groupBy(*keys).agg(F.sum("n").alias("f"))
-    return stored(rows.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), *keys, "f"), name)
+def _frequent_words(rows: DataFrame, least: int) -> DataFrame:
+    """(id, lang, word, f) of the words that occur at least so often in all chunks. The ids are written down before they are used."""
+    counts = rows.groupBy("lang", "word").agg(F.sum("n").alias("f"))
+    return stored(counts.where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f"), "names-1")
+
+
+def _renamed(whole: DataFrame, ids: DataFrame, by, name: str) -> DataFrame:
+    """(chunk, seq, names) of the chunks whose sequences are in ``whole``, by what ``ids`` tells of each. One chunk at a time is in a task's memory."""
+    return stored(whole.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(by, "chunk long, seq binary, names binary"), name)
 
 
-def _named(whole: DataFrame, rows: DataFrame, names: DataFrame, keys: list[str], kind: str, bits, name: str) -> DataFrame:
-    """(chunk, seq, names) of the chunks whose sequences are in ``whole``, by the ids that ``names`` gives their ``rows``. One chunk at a time is in a task's memory."""
-    asked = rows.mapInArrow(_asked(frequent_map(names, keys, bits), bits, keys), f"chunk long, code int, {keys[0]} {kind}, {keys[1]} {kind}")
-    ids = asked.join(names, keys).select("chunk", "code", "id")
-    return stored(whole.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_renamed("names" not in whole.columns), "chunk long, seq binary, names binary"), name)
+def _counted(level: DataFrame, buckets: int, least: int, answers: bool, name: str) -> DataFrame:
+    """The frequent pairs of all chunks, as in ``COUNTED``, and with ``answers`` what each chunk is told of its own."""
+    pairs = level.mapInArrow(_pair_rows(buckets), "bucket int, chunk long, pairs binary").repartitionById(buckets, "bucket")
+    return stored(pairs.groupBy("bucket").applyInArrow(_count_pairs(least, answers), "id long, left long, right long, f long, chunk long, bucket int, found binary"), name)
 
 
 def phrase_tables(docs: DataFrame, lang_col: str, text_col: str, longest: int, least: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -215,12 +279,15 @@ def phrase_tables(docs: DataFrame, lang_col: str, text_col: str, longest: int, l
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     level = stored(rows.mapInArrow(_word_rows, "chunk long, code int, seq binary, lang string, word string, n long"), "chunks")
     totals = level.where("code >= 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    names = _frequent(level.where("code >= 0"), ["lang", "word"], least, "names-1")
+    names = _frequent_words(level.where("code >= 0"), least)
     none = F.array().cast("array<long>")
     tables = [names.select("id", "lang", F.array("word").alias("words"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), none.alias("heads"), none.alias("tails"))]
-    level = _named(level.where("code < 0").select("chunk", "seq"), level.where("code >= 0").select("chunk", "code", "lang", "word"), names, ["lang", "word"], "string", _word_bits, "named-1")
+    asked = level.where("code >= 0").select("chunk", "code", "lang", "word").mapInArrow(_asked(frequent_map(names)), "chunk long, code int, lang string, word string")
+    level = _renamed(level.where("code < 0").select("chunk", "seq"), asked.join(names, ["lang", "word"]).select("chunk", "code", "id"), _renamed_words, "named-1")
     for k in range(2, longest + 1):
-        names = _frequent(level.select("seq", "names").mapInArrow(_pair_counts, "left long, right long, n long"), ["left", "right"], least, f"names-{k}")
+        buckets = max(n_buckets(docs.sparkSession, None), (level.agg(F.sum(F.octet_length("seq"))).first()[0] or 0) // BUCKET_BYTES + 1)
+        counted = _counted(level, buckets, least, k < longest, f"names-{k}")
+        names = counted.where("chunk is null").select("id", "left", "right", "f")
         parent = tables[-1]
         left = parent.select(F.col("id").alias("left"), "lang", F.col("words").alias("first"), F.concat("heads", F.array("f")).alias("heads"))
         right = parent.select(F.col("id").alias("right"), F.element_at("words", -1).alias("last"), F.concat("tails", F.array("f")).alias("tails"))
@@ -228,7 +295,7 @@ def phrase_tables(docs: DataFrame, lang_col: str, text_col: str, longest: int, l
         tables.append(stored(whole.select("id", "lang", F.concat("first", F.array("last")).alias("words"), "f", "left", "right", "heads", "tails"), f"phrases-{k}"))
         if k < longest:
             # The pairs are made again from the sequences, which are smaller than they.
-            level = _named(level, level.mapInArrow(_pair_rows, "chunk long, code int, left long, right long"), names, ["left", "right"], "long", _pair_bits, f"named-{k}")
+            level = _renamed(level, counted.where("chunk is not null").select("chunk", "bucket", "found"), _renamed_pairs(buckets), f"named-{k}")
     return totals, tables
 
 

@@ -101,3 +101,25 @@ def test_only_sequences_are_stored_of_pairs(spark, monkeypatch):
     C.phrase_tables(spark.createDataFrame(rows, "lang string, text string"), "lang", "text", 3, 2)
     assert "pairs-2" not in kept and "pairs-3" not in kept
     assert all(kept[f"named-{k}"].groupBy("chunk").count().agg(F.max("count")).first()[0] == 1 for k in (1, 2))
+
+
+def test_pairs_travel_packed_and_are_never_rows(spark, monkeypatch):
+    """Each chunk gives a bucket one row, in one Python pass; the bucket's answers name the chunk's pairs."""
+    monkeypatch.setattr(C, "BUCKET_BYTES", 300)
+    kept, dealt = {}, []
+    monkeypatch.setattr(C, "stored", lambda df, name, write=C.stored: kept.setdefault(name, write(df, name)))
+    monkeypatch.setattr(C, "_pair_rows", lambda buckets, rows=C._pair_rows: dealt.append(buckets) or rows(buckets))
+    rows = [(lang, t) for lang, t in texts(200, 6) if lang]
+    _, tables = C.phrase_tables(spark.createDataFrame(rows, "lang string, text string").repartition(5), "lang", "text", 3, 2)
+    want = defaultdict(Counter)
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            for k in (2, 3):
+                want[k].update((lang, *w[i : i + k]) for i in range(len(w) - k + 1))
+    for k in (2, 3):
+        assert {(r.lang, *r.words): r.f for r in tables[k - 1].collect()} == {g: f for g, f in want[k].items() if f >= 2}
+    assert min(dealt) > 4
+    rows = kept["named-1"].mapInArrow(C._pair_rows(dealt[0]), "bucket int, chunk long, pairs binary")
+    assert rows.groupBy("chunk", "bucket").count().agg(F.max("count")).first()[0] == 1
+    assert rows.count() < sum(len(C._unpack(bytes(r.pairs), 3)[0]) for r in rows.collect())
