@@ -203,30 +203,29 @@ def simhash_pairs(sets: DataFrame) -> DataFrame:
     return near.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _joined(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _joined(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows with the roots that the links so far give them."""
-    roots = components(links).withColumnRenamed("root", "now")
-    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
+    return rows.join(roots.withColumnRenamed("root", "now"), "node", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
 
 
-def similar_links(sets: DataFrame, similarity: float, buckets: int) -> DataFrame:
-    """Verified links (a, b) among ``sets`` (node, size, takes, shared, sketch, fp) that connect all nodes of ``similarity`` or more."""
-    links = stored(verified(stored(simhash_pairs(sets), "simhash-pairs"), sets, similarity, buckets), "links-simhash")
-    rows = stored(_joined(prefix_rows(sets, buckets).withColumn("root", F.col("node")), links), "prefix-rows")
+def similar_roots(sets: DataFrame, similarity: float, buckets: int) -> DataFrame:
+    """(node, root) of those of ``sets`` (node, size, takes, shared, sketch, fp) that verified links of ``similarity`` or more join; ``root`` is the smallest node so joined. Each step's links go on from the roots of the steps before."""
+    roots = components(stored(verified(stored(simhash_pairs(sets), "simhash-pairs"), sets, similarity, buckets), "links-simhash"))
+    rows = stored(_joined(prefix_rows(sets, buckets).withColumn("root", F.col("node")), roots), "prefix-rows")
     many = rows.where("blocks > 0")
     pairs = stored(_pairs_within(rows.where("blocks = 0"), ["shingle"], similarity).unionByName(_pairs_with_some(many, similarity, 0)).distinct(), "pairs")
-    links = links.unionByName(stored(verified(pairs, sets, similarity, buckets), "links-0"))
+    roots = components(roots.union(stored(verified(pairs, sets, similarity, buckets), "links-0")))
     turn, last = 1, many.isEmpty()
     while not last:
-        now = _joined(many, links)
+        now = _joined(many, roots)
         apart = now.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle")
         compared, many = many, stored(now.join(apart, "shingle"), "apart")
         # Compared with some of them again, or all that is left.
         last = many.isEmpty() or (turn > 1 and found.count() * WORTH <= compared.count())
         pairs = stored(_pairs_left(many, similarity) if last else _pairs_with_some(many, similarity, turn), "pairs")
         found = stored(verified(pairs, sets, similarity, buckets), f"links-{turn}")
-        links, turn = links.unionByName(found), turn + 1
-    return links
+        roots, turn = components(roots.union(found)), turn + 1
+    return roots
 
 
 def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,7 +246,7 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     chosen = hits.select(F.col("doc_key").alias("node"), "hits").join(distinct.select(F.col("least.key").alias("node")), "node")
     texts = chosen.join(keyed.select(F.col("doc_key").alias("node"), "text"), "node").select("node", "text", "hits")
     sets = stored(texts.mapInArrow(_shared_sets(width, similarity), "node long, size long, takes long, shared array<long>, sketch array<long>, fp binary").dropDuplicates(["node"]), "shared-sets")
-    roots = components(similar_links(sets, similarity, n))
+    roots = similar_roots(sets, similarity, n)
     by_set = distinct.join(roots, F.col("least.key") == F.col("node"), "left").select("shingles", F.coalesce("root", "least.key").alias("root"), "least")
     least = by_set.groupBy("root").agg(F.min("least").alias("best"))
     named = by_set.join(least, "root").select("shingles", F.col("best.row").alias("component_id"), F.col("best.key").alias("least_key"))

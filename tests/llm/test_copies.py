@@ -129,3 +129,18 @@ def test_links_come_through_the_pivot_table(spark):
     # With other distances in the table, pairs are discarded before they are verified.
     wrong = table.selectExpr("fp", "case when substring(hex(fp), 16, 1) in ('0', '8') then unhex(repeat('00', 8)) else unhex(repeat('30', 8)) end as pivots")
     assert fingerprint_links(wrong).count() == 0
+
+
+def test_components_plan_little_and_stop_when_settled(spark, monkeypatch):
+    """The driver's memory follows the plans: a half round joins once, and links to roots need no round."""
+    from millrace.llm import components as G
+
+    kept = []
+    monkeypatch.setattr(G, "stored", lambda df, name, write=G.stored: kept.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("Join"))) or write(df, name))
+    stars = [(i * 10 + k, i * 10) for i in range(5) for k in range(1, 5)]
+    want = {n: n // 10 * 10 for x in stars for n in x}
+    assert {r["node"]: r["root"] for r in components(spark.createDataFrame(stars, "a long, b long")).collect()} == want
+    assert [n for n, _ in kept] == ["links"]
+    path = [(i, i + 1) for i in range(40)] + [(100, 90), (100, 95), (95, 95), (90, 100)]
+    assert {r["node"]: r["root"] for r in components(spark.createDataFrame(path, "a long, b long")).collect()} == {**dict.fromkeys(range(41), 0), 90: 90, 95: 90, 100: 90}
+    assert len(kept) > 3 and max(j for _, j in kept) == 1
