@@ -136,9 +136,14 @@ def label_model(votes: np.ndarray, human: np.ndarray, rounds: int = 50) -> tuple
         p0 = ((1 - q) @ v + 0.05) / ((1 - q).sum() + 5)
         h1, h0 = np.clip((q @ human) / max(q.sum(), 1e-9), 0.6, 0.99), np.clip(((1 - q) @ human) / max((1 - q).sum(), 1e-9), 0.005, 0.2)
         if r % 10 == 0:
-            rest = (v - q[:, None] * p1 - (1 - q)[:, None] * p0)
-            scale = np.sqrt((rest**2).sum(axis=0)) + 1e-9
-            weight = 1 / np.maximum(np.abs((rest.T @ rest) / scale[:, None] / scale[None, :]).clip(0, 1).sum(axis=1), 1)
+            # In place: two copies of the votes at most.
+            rest = q[:, None] * p1
+            np.subtract(v, rest, out=rest)
+            rest -= (1 - q)[:, None] * p0
+            both = rest.T @ rest
+            scale = np.sqrt(np.square(rest, out=rest).sum(axis=0)) + 1e-9
+            weight = 1 / np.maximum(np.abs(both / scale[:, None] / scale[None, :]).clip(0, 1).sum(axis=1), 1)
+            del rest
         odds = np.log(prior / (1 - prior)) + v @ (weight * np.log(p1 / p0)) + (1 - v) @ (weight * np.log((1 - p1) / (1 - p0)))
         odds += np.where(human == 1, np.log(h1 / h0), np.log((1 - h1) / (1 - h0)))
         new = sigmoid(odds)
@@ -222,6 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = chosen.select("text", "label").mapInArrow(_votes(model), "toxic int, words long, votes binary").collect()
     votes = np.stack([np.frombuffer(r["votes"], "<f4") for r in got])
     human, words = np.array([r["toxic"] for r in got], dtype=np.float64), np.array([r["words"] for r in got])
+    del got
     posterior, _, _ = label_model(votes, human)
     model.weights = logistic(features(votes, words), posterior)
     return model

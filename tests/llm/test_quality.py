@@ -136,3 +136,19 @@ def test_verdicts(spark):
         assert got[i][0] == pytest.approx(d, rel=1e-5) and got[i][1] == (d <= Q.CUTOFF)
         kept.add(got[i][1])
     assert kept == {True, False}
+
+
+def test_label_model_copies_its_votes_twice_at_most():
+    import tracemalloc
+
+    import numpy as np
+
+    from millrace.llm.toxicity import label_model
+
+    r = np.random.default_rng(1)
+    votes = (r.random((8000, 150)) < 0.03).astype(np.float32)
+    tracemalloc.start()
+    label_model(votes, (r.random(8000) < 0.1).astype(np.float64), rounds=12)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3.5 * votes.size * 8
