@@ -8,7 +8,7 @@ choose the lexicon and are one more voter of the label model; they are no input
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +29,8 @@ VOTERS, LEAST_G2 = 256, 24.0
 #: Insults that vote from the start, so that a lexicon exists however few labels there are.
 INSULTS = ("idiot", "moron", "stupid", "dumb", "imbecile", "trash", "garbage", "scum", "loser", "clown", "pathetic", "worthless", "disgusting", "filth", "vermin", "freak", "creep", "bastard", "bitch", "shit", "fuck", "asshole", "idiota", "imbécil", "estúpido", "basura", "idiote", "imbécile", "ordure", "connard", "merde", "dummkopf", "abschaum", "arschloch", "scheiße", "trottel")
 BITMAP = 1 << 20
+#: Training rows that the driver has as floating-point numbers at a time.
+AT_ONCE = 1000
 
 
 def term_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -112,11 +114,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def features(votes: np.ndarray, words: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
     """Which voters vote, how many, how often all of their terms occur, in all and for each word, and 1 for the bias."""
-    given = votes > 0
-    terms = votes[:, : votes.shape[1] - N_PATTERNS]
-    total = terms.sum(axis=1)
-    distinct = given[:, : terms.shape[1]].sum(axis=1)
-    return np.column_stack([given, np.log1p(distinct), np.log1p(total), np.log1p(1000 * total / np.maximum(words, 1)), total == 0, np.ones(len(votes))])
+    return features_of(votes > 0, votes[:, : votes.shape[1] - N_PATTERNS].sum(axis=1), words)
+
+
+def features_of(given: np.ndarray, total: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """``features`` from who votes, and how often all terms occur."""
+    distinct = given[:, : given.shape[1] - N_PATTERNS].sum(axis=1)
+    return np.column_stack([given, np.log1p(distinct), np.log1p(total), np.log1p(1000 * total / np.maximum(words, 1)), total == 0, np.ones(len(given))])
+
+
+def slices(n: int) -> list[slice]:
+    return [slice(a, a + AT_ONCE) for a in range(0, n, AT_ONCE)]
 
 
 def label_model(votes: np.ndarray, human: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,24 +135,34 @@ def label_model(votes: np.ndarray, human: np.ndarray, rounds: int = 50) -> tuple
     with all voters. Expectation maximisation starts from the human labels and keeps them as a
     voter with its own, learned, error rates.
     """
-    v = (votes > 0).astype(np.float64)
+    n, m = votes.shape
+    parts = slices(n)
+
+    def of(part: slice) -> np.ndarray:
+        return (votes[part] > 0).astype(np.float64)
+
     q = np.where(human == 1, 0.9, 0.05).astype(np.float64)
-    weight = np.ones(v.shape[1])
+    weight = np.ones(m)
     for r in range(rounds):
         prior = np.clip(q.mean(), 0.01, 0.6)
-        p1 = (q @ v + 0.5) / (q.sum() + 5)
-        p0 = ((1 - q) @ v + 0.05) / ((1 - q).sum() + 5)
+        on, off = np.zeros(m), np.zeros(m)
+        for part in parts:
+            v = of(part)
+            on += q[part] @ v
+            off += (1 - q[part]) @ v
+        p1 = (on + 0.5) / (q.sum() + 5)
+        p0 = (off + 0.05) / ((1 - q).sum() + 5)
         h1, h0 = np.clip((q @ human) / max(q.sum(), 1e-9), 0.6, 0.99), np.clip(((1 - q) @ human) / max((1 - q).sum(), 1e-9), 0.005, 0.2)
         if r % 10 == 0:
-            # In place: two copies of the votes at most.
-            rest = q[:, None] * p1
-            np.subtract(v, rest, out=rest)
-            rest -= (1 - q)[:, None] * p0
-            both = rest.T @ rest
-            scale = np.sqrt(np.square(rest, out=rest).sum(axis=0)) + 1e-9
+            both, squares = np.zeros((m, m)), np.zeros(m)
+            for part in parts:
+                rest = of(part) - q[part, None] * p1 - (1 - q[part, None]) * p0
+                both += rest.T @ rest
+                squares += np.square(rest).sum(axis=0)
+            scale = np.sqrt(squares) + 1e-9
             weight = 1 / np.maximum(np.abs(both / scale[:, None] / scale[None, :]).clip(0, 1).sum(axis=1), 1)
-            del rest
-        odds = np.log(prior / (1 - prior)) + v @ (weight * np.log(p1 / p0)) + (1 - v) @ (weight * np.log((1 - p1) / (1 - p0)))
+        if_on, if_off = weight * np.log(p1 / p0), weight * np.log((1 - p1) / (1 - p0))
+        odds = np.log(prior / (1 - prior)) + np.concatenate([of(part) @ if_on + (1 - of(part)) @ if_off for part in parts])
         odds += np.where(human == 1, np.log(h1 / h0), np.log((1 - h1) / (1 - h0)))
         new = sigmoid(odds)
         if np.abs(new - q).max() < 1e-6:
@@ -153,13 +171,19 @@ def label_model(votes: np.ndarray, human: np.ndarray, rounds: int = 50) -> tuple
     return q, p1 * q.mean() / (p1 * q.mean() + p0 * (1 - q.mean())), weight
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
-    """Weights of a ridge-penalised logistic regression on soft labels (Newton's method)."""
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+def logistic(x: Callable[[slice], np.ndarray], y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
+    """Weights of a ridge-penalised logistic regression on soft labels (Newton's method); ``x`` makes the features of a slice of the rows."""
+    m, parts = x(slice(0, 1)).shape[1], slices(len(y))
+    w, penalty = np.zeros(m), np.full(m, ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        curve, slope = np.diag(penalty), penalty * w
+        for part in parts:
+            f = x(part)
+            p = sigmoid(f @ w)
+            curve += (f * (p * (1 - p))[:, None]).T @ f
+            slope += f.T @ (p - y[part])
+        step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-7:
             break
@@ -187,7 +211,8 @@ def _votes(model: Model):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             votes, words = model.votes(batch.column(0))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(words), pa.array([r.astype("<f4").tobytes() for r in votes], pa.binary())], ["toxic", "words", "votes"])
+            total = votes[:, : len(model.terms)].sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(words), pa.array(total), pa.array([r.tobytes() for r in np.packbits(votes > 0, axis=1)], pa.binary())], ["toxic", "words", "total", "votes"])
 
     return emit
 
@@ -224,12 +249,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not (n1 and n0):
         model.weights = np.array([2.0] * len(model.terms) + [0.0] * (N_PATTERNS + 4) + [-4.0])
         return model
-    got = chosen.select("text", "label").mapInArrow(_votes(model), "toxic int, words long, votes binary").collect()
-    votes = np.stack([np.frombuffer(r["votes"], "<f4") for r in got])
-    human, words = np.array([r["toxic"] for r in got], dtype=np.float64), np.array([r["words"] for r in got])
+    got = chosen.select("text", "label").mapInArrow(_votes(model), "toxic int, words long, total float, votes binary").toArrow()
+    human, words, total = (got.column(c).to_numpy() for c in ("toxic", "words", "total"))
+    packed = np.frombuffer(b"".join(got.column("votes").to_pylist()), np.uint8).reshape(got.num_rows, -1)
     del got
-    posterior, _, _ = label_model(votes, human)
-    model.weights = logistic(features(votes, words), posterior)
+    # A bit a vote comes to the driver, a byte a vote stays there; floating-point numbers are made of a slice at a time.
+    given = np.unpackbits(packed, axis=1, count=len(model.terms) + N_PATTERNS).view(bool)
+    posterior, _, _ = label_model(given, human.astype(np.float64))
+    model.weights = logistic(lambda part: features_of(given[part], total[part], words[part]), posterior)
     return model
 
 

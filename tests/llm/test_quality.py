@@ -152,3 +152,34 @@ def test_label_model_copies_its_votes_twice_at_most():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 3.5 * votes.size * 8
+
+
+def test_toxicity_fit_makes_few_votes_into_numbers_at_a_time():
+    import tracemalloc
+
+    from millrace.llm import toxicity
+
+    r = np.random.default_rng(2)
+    given, human = r.random((20_000, 200)) < 0.03, (r.random(20_000) < 0.1).astype(np.float64)
+    total, words = given.sum(axis=1).astype(np.float32), np.full(20_000, 90)
+    tracemalloc.start()
+    posterior, _, _ = toxicity.label_model(given, human, rounds=12)
+    toxicity.logistic(lambda part: toxicity.features_of(given[part], total[part], words[part]), posterior, steps=3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All votes as numbers of 8 bytes are 32 MB.
+    assert most < 12_000_000
+
+
+def test_toxicity_fit_is_the_same_however_many_rows_at_once(monkeypatch):
+    from millrace.llm import toxicity
+
+    r = np.random.default_rng(3)
+    given, human = r.random((3000, 40)) < 0.05, (r.random(3000) < 0.1).astype(np.float64)
+    total, words = given.sum(axis=1).astype(np.float32), np.full(3000, 90)
+    out = []
+    for n in (3000, 70):
+        monkeypatch.setattr(toxicity, "AT_ONCE", n)
+        posterior, accuracy, weight = toxicity.label_model(given, human)
+        out.append(np.concatenate([posterior, accuracy, weight, toxicity.logistic(lambda part: toxicity.features_of(given[part], total[part], words[part]), posterior)]))
+    assert np.allclose(*out, rtol=1e-9, atol=1e-9)
