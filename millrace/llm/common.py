@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.sources.shared import stored
 
-__all__ = ["LAST_ID", "SPACE", "WORD", "fresh", "inline", "lower_ascii", "n_buckets", "stored", "table"]
+__all__ = ["LAST_ID", "SPACE", "WORD", "exchanged_joins", "fresh", "inline", "lower_ascii", "n_buckets", "stored", "table"]
 
 #: A word, in Java's and Python's regular expressions: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def exchanged_joins(spark: SparkSession) -> Iterator[None]:
+    """Queries that run within it join by exchanges, but where a hint asks for a broadcast: no join's side goes through the driver, which else collects, packs and keeps each one."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "-1")
+        yield
+    finally:
+        for n, value in before.items():
+            if value is None:
+                spark.conf.unset(n)
+            else:
+                spark.conf.set(n, value)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """For each name one like it that ``df`` has no column of, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -146,3 +146,26 @@ def test_near_fingerprints_are_linked_through_the_pivot_table(spark):
     finally:
         near_duplicates.simhash_pairs = pairs
     assert found[0].distinct().count() == 1
+
+
+def test_no_join_goes_through_the_driver(spark, monkeypatch):
+    from millrace.llm import components, near_duplicates
+    from millrace.sources import shared
+
+    plans = []
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return shared.stored(df, name)
+
+    monkeypatch.setattr(near_duplicates, "stored", watched)
+    monkeypatch.setattr(components, "stored", watched)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n, None) for n in names]
+    r = random.Random(8)
+    text = [r.choice("abcdefgh") * 3 + str(r.randrange(500)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*text[: 59 - i % 3], f"x{i}"])) for i in range(12)], "doc_id long, text string")
+    rows = near_duplicates.similar_components(docs).collect()
+    assert {x["component_id"] for x in rows} == {0}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    assert [spark.conf.get(n, None) for n in names] == before
