@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import mentions as M
-from millrace.operators import contacts, dom, html, people
+from millrace.operators import contacts, dom, funnels, html, people
 from millrace.plans import tree_queries
 from millrace.plans.queries import SQL
 
@@ -87,3 +87,11 @@ def test_pages_are_parsed_in_pieces_of_bounded_size():
     pages = pd.Series(["x" * n for n in sizes[:-1]] + [None])
     pieces = list(html._parse_batches(iter([pages, pages.iloc[:0]])))
     assert [len(p) for p in pieces] == [2, 1, 3, 0] and [len(t) for p in pieces for t in p["text"]] == [10, 600_000, 600_000, 3_000_000, 0, 0]
+
+
+def test_steps_behind_long_and_malformed_beginnings(spark):
+    late = "<p>Register now</p><p>Last chance</p><p>Book a call</p><p>Submit your application</p><textarea>"
+    page = parsed(spark, "<p>" + "a word and one more of it " * 3000 + "</p>" + late, "<![foo bar]>" + late, "<p>a<![ b</p>" + late, f"<input placeholder='{'x' * 300} email'>", "")
+    got = {r.site: r.steps for r in page.select("site", funnels.funnel_steps(F.lit(""), F.col("text"), F.col("fields")).alias("steps")).collect()}
+    shown = ["application form", "calendar booking (sales call)", "webinar / training registration", "deadline / countdown"]
+    assert got == {"s0": shown, "s1": shown, "s2": shown, "s3": ["opt-in form (email)"], "s4": []}
