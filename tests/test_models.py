@@ -6,12 +6,15 @@ import random
 import re
 import tracemalloc
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed, language, lexicons, text
 from millrace.operators import merges, suffixes
+from millrace.plans import model_queries
+from millrace.plans.queries import SQL
 
 
 @pytest.fixture(scope="module")
@@ -103,3 +106,26 @@ def test_a_lexicon_takes_one_text_of_a_batch_at_a_time():
     tracemalloc.stop()
     assert out.to_pylist() == [[1, 0]] * 5000 + [[0, 0]] * 2
     assert peak < 5e6
+
+
+def test_more_languages_than_a_task_holds(spark, tmp_path):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "concat(lang, '-', pmod(doc_id, 37)) AS lang", "text")
+    d = d.union(d.selectExpr("doc_id + 100000", "nullif(lang, 'de-3')", "concat(text, ' and ', doc_id)")).union(spark.createDataFrame([(-1, None, None), (-2, "", ""), (-3, "xx", "ab"), (-4, "yy", "unlike " * 40)], "doc_id long, lang string, text string"))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(SQL["language_model"]).fetchall()
+    got = [tuple(r) for r in model_queries.language_model(spark, str(tmp_path)).collect()]
+    assert len({r[1] for r in want}) > language.LANGUAGES and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_a_model_of_many_languages_is_kept(spark, tmp_path):
+    rows = [(f"l{i:03}", chr(0x4E00 + i) * 150) for i in range(150)]
+    model = language.learn_languages(spark.createDataFrame(rows, "lang string, text string"))
+    model.rows(spark).write.parquet(f"{tmp_path}/model")
+    kept = language.LanguageModel.of(spark.read.parquet(f"{tmp_path}/model"))
+    asked = spark.createDataFrame([*rows, *rows[:1], ("", "short"), ("", None)], "want string, text string")
+    got = text.with_language(asked, F.col("text"), F.lit(""), "l", model=kept).collect()
+    assert kept.languages == 150 and len(got) == 153 and all(r.l.code == (r.want or "und") for r in got)
+    none = text.with_language(asked.limit(0), F.col("text"), F.lit(""), "l", model=kept)
+    assert none.count() == 0
