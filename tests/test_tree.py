@@ -95,3 +95,19 @@ def test_steps_behind_long_and_malformed_beginnings(spark):
     got = {r.site: r.steps for r in page.select("site", funnels.funnel_steps(F.lit(""), F.col("text"), F.col("fields")).alias("steps")).collect()}
     shown = ["application form", "calendar booking (sales call)", "webinar / training registration", "deadline / countdown"]
     assert got == {"s0": shown, "s1": shown, "s2": shown, "s3": ["opt-in form (email)"], "s4": []}
+
+
+def test_every_client_of_a_site_is_listed(spark):
+    last = lambda i: "".join(chr(97 + i // k % 26) for k in (676, 26, 1))
+    name = lambda i: f"Dana W{last(i)}ez"
+    told = "".join(f"<p>We helped our client {name(i)}, a business coach, to book many more calls than in the year before.</p>" for i in range(1000))
+    many = "<p>We helped our clients Ann Abel, Bea Bold, Cid Cole, Dan Dune and Eve Eck, a business coach each, to book calls.</p>"
+    quoted = "".join(f"<blockquote>They doubled the sales of my course.<br>— {name(i)}, Business Coach</blockquote>" for i in range(130))
+    signed = "<blockquote>They doubled our sales." + "".join(f"<br>— {name(i)}, Business Coach" for i in range(6)) + "</blockquote>"
+    page = parsed(spark, told, many, quoted, signed)
+    found = people.site_clients(page, contacts.page_links(page), page.select("site", F.lit("Some Firm").alias("name")))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.site, set()).add(r.name)
+    assert got["s0"] == {name(i) for i in range(1000)} and got["s1"] == {"Ann Abel", "Bea Bold", "Cid Cole", "Dan Dune", "Eve Eck"}
+    assert got["s2"] == {name(i) for i in range(130)} and got["s3"] == {name(i) for i in range(6)}
